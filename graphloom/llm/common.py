@@ -37,6 +37,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store(path: str):
+    """(file system, path in it) of a path or URI, for files that tasks write and read themselves."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return fs.FileSystem.from_uri(path)
+
+
+def put(path: str, data: bytes, attempt: int) -> None:
+    """Writes a file whole: under a name of this attempt first, then renamed, so that a repeated task does no harm."""
+    system, at = store(path)
+    folder, _, name = at.rpartition("/")
+    system.create_dir(folder)
+    with system.open_output_stream(f"{folder}/_{name}.{attempt}") as f:
+        f.write(data)
+    system.move(f"{folder}/_{name}.{attempt}", at)
+
+
+def mapped(path: str) -> np.ndarray:
+    """The bytes of a file: memory-mapped where the file system is local or mounted, else read."""
+    from pyarrow import fs
+
+    system, at = store(path)
+    if isinstance(system, fs.LocalFileSystem):
+        return np.memmap(at, dtype=np.uint8, mode="r")
+    with system.open_input_file(at) as f:
+        return np.frombuffer(f.read(), dtype=np.uint8)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

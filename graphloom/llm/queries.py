@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard, lattice, packing, quality, secret_scan, spm, topk, wavelet
+from . import html_text, jaccard, lattice, lm, packing, quality, secret_scan, spm, topk, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -51,7 +55,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_tokens, op3_secrets, op4_quality, op5_lattice, op6_packing, op7_sentencepiece, op9_jaccard, op10_html)
+    f.__name__: f for f in (op1_topk, op2_tokens, op3_secrets, op4_quality, op5_lattice, op6_packing, op7_sentencepiece, op8_lm, op9_jaccard, op10_html)
 }
 
 ORACLE_SQL: dict[str, str] = {
