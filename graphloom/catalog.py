@@ -5,10 +5,575 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import rules
+from .functions import scores as S
+from .functions import text as T
+from .operators import communities, fold, graph, layout, search, tables
+from .plans import ingest, quality, retrieval
+from .sources import tables as src
+from .streaming import assertions as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+# The views of sources.tables in SQL.
+NODE = """node AS (SELECT 'r' || r_regionkey AS id, 'indexable' AS kind, lower(r_name) AS name, 'place' AS type FROM region
+ UNION ALL SELECT 'n' || n_nationkey, 'indexable', lower(n_name), 'place' FROM nation
+ UNION ALL SELECT 's' || s_suppkey, 'indexable', lower(s_name), 'organization' FROM supplier
+ UNION ALL SELECT 'c' || c_custkey, 'indexable', lower(c_name), 'person' FROM customer
+ UNION ALL SELECT 'p' || p_partkey, 'indexable', lower(p_name), 'thing' FROM part
+ UNION ALL SELECT 'o' || o_orderkey, 'note', NULL, NULL FROM orders)"""
+REL = """rel AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'located_in' AS rel_type, 9.0::DOUBLE AS confidence, 1::BIGINT AS mention_count FROM nation
+ UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'located_in', 9.0::DOUBLE, 1 FROM supplier
+ UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'located_in', 9.0::DOUBLE, 1 FROM customer
+ UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, 'supplies', 1 + ((l_suppkey + l_partkey) % 10) * 0.9::DOUBLE, count(*) FROM lineitem GROUP BY l_suppkey, l_partkey
+ UNION ALL SELECT 'c' || o_custkey, 's' || l_suppkey, 'buys_from', 1 + ((o_custkey + l_suppkey) % 10) * 0.9::DOUBLE, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey)"""
+REF = """ref AS (SELECT DISTINCT 'o' || l_orderkey AS note_id, 'p' || l_partkey AS node_id FROM lineitem
+ UNION ALL SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem
+ UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)"""
+MEMBER = """member AS (SELECT 'p' || p_partkey AS node_id, 'community_l2_' || p_brand AS community_id, 2 AS level FROM part
+ UNION ALL SELECT 'p' || p_partkey, 'community_l1_' || p_type, 1 FROM part
+ UNION ALL SELECT 'p' || p_partkey, 'community_l0_' || (p_size // 10), 0 FROM part)"""
+ASSERTED = """asserted AS (SELECT event_id, ts, 'u' || user_id AS src, 'k' || (json_extract_string(props, '$.k')::BIGINT % 10) AS dst,
+ CASE event_type WHEN 'signup' THEN 'knows' WHEN 'view' THEN 'learning' WHEN 'click' THEN 'works_with' WHEN 'purchase' THEN 'friends_with' WHEN 'error' THEN 'hates' END AS rel_type,
+ greatest(1.0::DOUBLE, least(10.0::DOUBLE, value / 10)) AS confidence FROM events)"""
+NOTE = """note AS (SELECT d.doc_id AS id, array_to_string(string_split(text, ' ')[1:3], ' ') AS title, text AS content, coalesce(quality = 1, false) AS processed, coalesce(toxic = 1, false) AS failed, lang AS kb_id FROM documents d LEFT JOIN labels y USING (doc_id))"""
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- notes -----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {NOTE} SELECT id, title, CASE WHEN processed THEN 'completed' WHEN failed THEN 'failed' ELSE 'processing' END AS status, processed, failed FROM note
+WHERE (content ILIKE '%the%' OR title ILIKE '%the%') AND kb_id = 'en' AND NOT failed""")
+def notes_search_status(spark, d):
+    n = src.notes(spark, d)
+    return n.where((F.col("content").ilike("%the%") | F.col("title").ilike("%the%")) & (F.col("kb_id") == "en") & ~F.col("failed")).select("id", "title", tables.status(F.col("processed"), F.col("failed")).alias("status"), "processed", "failed")
+
+
+@query(f"WITH {NOTE} SELECT id, title, kb_id FROM note WHERE id = 7")
+def note_lookup(spark, d):
+    return src.notes(spark, d).where("id = 7").select("id", "title", "kb_id")
+
+
+@query(f"WITH {NOTE} SELECT id, (id % 3 = 0) OR processed AS processed, CASE WHEN id % 3 = 0 THEN false ELSE failed END AS failed FROM note")
+def notes_mark_processed(spark, d):
+    n = src.notes(spark, d)
+    return tables.set_status(n, n.where("id % 3 = 0"), processed=True).select("id", "processed", "failed")
+
+
+@query("SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY user_id")
+def latest_status(spark, d):
+    e = src.read(spark, d, "events")
+    return e.groupBy(F.col("user_id").alias("id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("ts"))
+
+
+# --- names -----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {NODE}, q AS (SELECT unnest(['red', 'customer#00000001', 'asia']) AS matched)
+SELECT id, name, type, matched FROM (SELECT DISTINCT id, name, type, matched FROM node, q WHERE kind IN ('indexable', 'note') AND name IS NOT NULL AND contains(lower(name), matched))
+ORDER BY matched, length(name), name, id LIMIT 50""")
+def name_match_fuzzy(spark, d):
+    return graph.match_fuzzy(src.nodes(spark, d), ["red", "customer#00000001", "ASIA "])
+
+
+@query(f"WITH {NODE} SELECT DISTINCT id, name, type FROM node WHERE lower(name) IN ('asia', 'france', 'customer#000000007') ORDER BY name, id LIMIT 50")
+def name_match_exact(spark, d):
+    return graph.match_exact(src.nodes(spark, d), ["Asia", "FRANCE", "customer#000000007"])
+
+
+@query(f"WITH {NODE} SELECT lower(name) AS name, min(id) AS id FROM node WHERE kind = 'indexable' AND name IS NOT NULL GROUP BY lower(name)")
+def name_canonical(spark, d):
+    return graph.canonical_ids(src.nodes(spark, d))
+
+
+@query(f"""WITH {NODE}, b AS (SELECT (SELECT split_part(min(name), ' ', 1) FROM node WHERE type = 'thing') AS b)
+SELECT DISTINCT id, name, type FROM node, b WHERE name IS NOT NULL AND (starts_with(name, b || ' ') OR (contains(name, b) AND length(name) > length(b) + 2))
+AND NOT ((contains(name, ' sr') AND contains(b, ' jr')) OR (contains(name, ' jr') AND contains(b, ' sr')) OR regexp_matches(name, ' (sr\\.?|jr\\.?|senior|junior|i|ii|iii|iv|v|vi)$') <> regexp_matches(b, ' (sr\\.?|jr\\.?|senior|junior|i|ii|iii|iv|v|vi)$'))
+ORDER BY length(name), name, id LIMIT 5""")
+def name_variants(spark, d):
+    n = src.nodes(spark, d)
+    base = n.where("type = 'thing'").agg(F.split(F.min("name"), " ")[0].alias("b")).first()["b"]
+    return graph.variants(n, base)
+
+
+@query(f"""WITH {NODE}, c AS (SELECT name, min(id) AS id FROM node WHERE kind = 'indexable' AND name IS NOT NULL GROUP BY name),
+w AS (SELECT DISTINCT lower(c_name) AS name FROM customer WHERE c_custkey % 7 = 0 UNION SELECT 'nobody') SELECT w.name, c.id FROM w LEFT JOIN c ON w.name = c.name""")
+def names_to_ids(spark, d):
+    w = src.read(spark, d, "customer").where("c_custkey % 7 = 0").select(F.lower("c_name").alias("name")).union(spark.createDataFrame([("nobody",)], "name string")).distinct()
+    return graph.names_to_ids(w, src.nodes(spark, d))
+
+
+@query(f"WITH {NODE} SELECT id, name, type FROM node WHERE kind = 'indexable' AND contains(name, 'customer#00000000') ORDER BY starts_with(name, 'customer#00000000') DESC, name, id LIMIT 5")
+def autocomplete(spark, d):
+    return retrieval.autocomplete(src.nodes(spark, d), "Customer#00000000")
+
+
+# --- graph -----------------------------------------------------------------------------------------
+
+_HOP = """e AS (SELECT DISTINCT src, dst, rel_type, coalesce(confidence, 1.0) AS confidence FROM rel WHERE coalesce(confidence, 1.0) >= 2.0),
+o AS (SELECT s.id AS seed, dst AS node_id, rel_type, confidence, 'outgoing' AS direction FROM e JOIN seeds s ON src = s.id),
+i AS (SELECT s.id AS seed, src AS node_id, rel_type, confidence, 'incoming' AS direction FROM e JOIN seeds s ON dst = s.id),
+h AS (SELECT * FROM o UNION ALL SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.seed = i.seed AND o.node_id = i.node_id))"""
+
+
+@query(f"WITH {NODE}, {REL}, seeds AS (SELECT id FROM node WHERE type = 'organization'), {_HOP} SELECT seed, node_id, name, type, rel_type, confidence, direction FROM h JOIN node ON id = node_id")
+def expand_one_hop(spark, d):
+    n = src.nodes(spark, d)
+    return graph.one_hop(n.where("type = 'organization'"), src.relations(spark, d), n, 2.0)
+
+
+@query(f"""WITH RECURSIVE {REL}, e AS (SELECT DISTINCT src, dst, rel_type, confidence FROM (SELECT src, dst, rel_type, confidence FROM rel WHERE rel_type = 'located_in' UNION ALL SELECT dst, src, rel_type, confidence FROM rel WHERE rel_type = 'located_in') WHERE src <> dst),
+w AS (SELECT 'r' || r_regionkey AS seed, 'r' || r_regionkey AS node_id, 0 AS depth, ['r' || r_regionkey] AS path, []::VARCHAR[] AS rel_path, []::DOUBLE[] AS confidence_path FROM region
+ UNION ALL SELECT seed, dst, depth + 1, list_append(path, dst), list_append(rel_path, rel_type), list_append(confidence_path, e.confidence) FROM w JOIN e ON node_id = src WHERE depth < 2 AND NOT list_contains(path, dst))
+SELECT seed, node_id, depth, array_to_string(path, '>') AS path, array_to_string(rel_path, '>') AS rel_path, list_min(confidence_path) AS weakest FROM w WHERE depth > 0""")
+def expand_k_hop(spark, d):
+    e = src.relations(spark, d).where("rel_type = 'located_in'")
+    r = src.read(spark, d, "region").select(src.key("r", "r_regionkey").alias("id"))
+    return graph.k_hop(r, e, 2, 0.5).select("seed", "node_id", "depth", F.array_join("path", ">").alias("path"), F.array_join("rel_path", ">").alias("rel_path"), F.array_min("confidence_path").alias("weakest"))
+
+
+@query(f"""WITH RECURSIVE {REL}, e AS (SELECT DISTINCT src, dst, rel_type, confidence FROM (SELECT src, dst, rel_type, confidence FROM rel WHERE rel_type = 'located_in' UNION ALL SELECT dst, src, rel_type, confidence FROM rel WHERE rel_type = 'located_in') WHERE src <> dst AND confidence >= 0.5),
+ids AS (SELECT 'n' || n_nationkey AS id FROM nation), w AS (SELECT id AS seed, id AS node_id, 0 AS depth, [id] AS path FROM ids
+ UNION ALL SELECT seed, dst, depth + 1, list_append(path, dst) FROM w JOIN e ON node_id = src WHERE depth < 2 AND NOT list_contains(path, dst))
+SELECT seed AS src, node_id AS dst, depth AS length, array_to_string(path, '>') AS path FROM w WHERE depth > 0 AND seed < node_id AND node_id IN (SELECT id FROM ids)""")
+def paths_between(spark, d):
+    e = src.relations(spark, d).where("rel_type = 'located_in'")
+    ids = src.read(spark, d, "nation").select(src.key("n", "n_nationkey").alias("id"))
+    return graph.paths_between(ids, e, 2, limit=None).select("src", "dst", "length", F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH {REF}, r AS (SELECT DISTINCT note_id, node_id FROM ref), n AS (SELECT node_id, note_id, row_number() OVER (PARTITION BY node_id ORDER BY note_id) AS n FROM r)
+SELECT node_id, note_id, coalesce(o_orderpriority, 'Untitled Note') AS title, n FROM n LEFT JOIN orders ON note_id = 'o' || o_orderkey WHERE n <= 2""")
+def evidence_per_node(spark, d):
+    titles = src.read(spark, d, "orders").select(src.key("o", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"))
+    return graph.evidence(src.references(spark, d), titles, 2)
+
+
+@query(f"WITH {REF} SELECT min(note_id) AS note_id, node_id FROM ref GROUP BY node_id HAVING count(DISTINCT note_id) = 1")
+def orphans_exclusive(spark, d):
+    return graph.referenced_only_by(src.references(spark, d))
+
+
+@query(f"""WITH {REF}, one AS (SELECT node_id FROM ref GROUP BY node_id HAVING count(DISTINCT note_id) = 1 AND min(note_id) = 'o1'), {REL}
+SELECT 'ref' AS t, count(*) AS n FROM ref WHERE note_id <> 'o1' UNION ALL SELECT 'rel', count(*) FROM rel WHERE src NOT IN (SELECT node_id FROM one) AND dst NOT IN (SELECT node_id FROM one)""")
+def delete_note_cascade(spark, d):
+    left = tables.delete_note("o1", {"notes": src.nodes(spark, d).where("kind = 'note'"), "nodes": src.nodes(spark, d), "ref": src.references(spark, d), "rel": src.relations(spark, d)})
+    return left["ref"].agg(F.lit("ref").alias("t"), F.count("*").alias("n")).unionByName(left["rel"].agg(F.lit("rel").alias("t"), F.count("*").alias("n")))
+
+
+@query(f"WITH {NODE}, {MEMBER} SELECT id, name, type FROM node WHERE kind = 'indexable' AND name IS NOT NULL AND id NOT IN (SELECT node_id FROM member)")
+def orphan_nodes(spark, d):
+    return graph.orphans(src.nodes(spark, d), src.members(spark, d))
+
+
+@query(f"WITH {REL}, {MEMBER} SELECT DISTINCT src, dst, rel_type FROM rel WHERE src NOT IN (SELECT node_id FROM member) AND dst NOT IN (SELECT node_id FROM member) ORDER BY src, dst, rel_type LIMIT 1000")
+def orphan_edges(spark, d):
+    return graph.orphan_edges(src.relations(spark, d), src.members(spark, d))
+
+
+_ASSOC = "assoc AS (SELECT DISTINCT 'p' || a.l_partkey AS src, 'p' || b.l_partkey AS dst, 'with' AS rel_type FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2)"
+
+
+def _assoc(spark, d):
+    line = src.read(spark, d, "lineitem")
+    a = line.where("l_linenumber = 1").select("l_orderkey", src.key("p", "l_partkey").alias("src"))
+    b = line.where("l_linenumber = 2").select("l_orderkey", src.key("p", "l_partkey").alias("dst"))
+    return a.join(b, "l_orderkey").select("src", "dst", F.lit("with").alias("rel_type")).distinct()
+
+
+@query(f"WITH {_ASSOC}, {MEMBER} SELECT a.community_id, count(*) AS edges FROM assoc JOIN member a ON a.node_id = src JOIN member b ON b.node_id = dst AND a.community_id = b.community_id GROUP BY a.community_id")
+def community_edges(spark, d):
+    return graph.edges_within_communities(_assoc(spark, d), src.members(spark, d))
+
+
+@query(f"WITH {REL}, {REF} SELECT src, dst, rel_type, confidence FROM rel UNION ALL SELECT note_id, node_id, 'REFERENCES', NULL FROM ref")
+def full_graph_edges(spark, d):
+    return graph.all_edges(src.relations(spark, d), src.references(spark, d))
+
+
+@query(f"WITH {REL}, {MEMBER} SELECT src, dst FROM rel UNION SELECT node_id, community_id FROM member ORDER BY src, dst LIMIT 5000")
+def layout_edges(spark, d):
+    return graph.layout_edges(src.relations(spark, d), src.members(spark, d))
+
+
+@query(f"WITH {REL} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM rel WHERE src <> dst")
+def undirected_pairs(spark, d):
+    return graph.undirected_pairs(src.relations(spark, d))
+
+
+@query(f"WITH {REL} SELECT src, dst, rel_type FROM rel WHERE src IN (SELECT 's' || s_suppkey FROM supplier) AND dst IN (SELECT 'p' || p_partkey FROM part)")
+def edges_without_dangling(spark, d):
+    k = src.nodes(spark, d).where("type in ('organization', 'thing')")
+    return graph.without_dangling(src.relations(spark, d), k).select("src", "dst", "rel_type")
+
+
+@query(f"WITH {REL} SELECT rel_type, count(*) AS edges, sum(mention_count)::BIGINT AS mentions, round(avg(confidence), 6) AS mean_confidence FROM rel GROUP BY rel_type")
+def graph_stats(spark, d):
+    return graph.statistics(src.relations(spark, d))
+
+
+@query(f"WITH {REL} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM rel UNION ALL SELECT dst FROM rel) GROUP BY id")
+def node_degrees(spark, d):
+    return graph.degrees(src.relations(spark, d))
+
+
+@query(f"""WITH {MEMBER} SELECT node_id, arg_max(community_id, level) AS community_id, max(CASE level WHEN 0 THEN community_id END) AS l0, max(CASE level WHEN 1 THEN community_id END) AS l1 FROM member GROUP BY node_id""")
+def membership_rollup(spark, d):
+    return graph.roll_up(src.members(spark, d)).select("node_id", "community_id", F.col("levels")[0].alias("l0"), F.col("levels")[1].alias("l1"))
+
+
+@query(f"""WITH {MEMBER}, v AS (SELECT c.community_id AS child, p.community_id AS parent, count(*) AS votes FROM member c JOIN member p ON c.node_id = p.node_id AND c.level = 2 AND p.level = 1 GROUP BY ALL)
+SELECT child, parent, votes FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY votes DESC, parent) AS r FROM v) WHERE r = 1""")
+def parent_vote(spark, d):
+    return graph.parents_by_vote(src.members(spark, d), 2, 1)
+
+
+@query(f"WITH {MEMBER} SELECT community_id, count(DISTINCT node_id) AS member_count FROM member WHERE level = 2 GROUP BY community_id")
+def community_overview(spark, d):
+    return graph.community_overview(src.members(spark, d), 2)
+
+
+@query(f"""WITH {NODE}, {MEMBER}, m AS (SELECT community_id, level, list_sort(list(DISTINCT name))[1:3] AS names, count(DISTINCT node_id) AS member_count FROM member JOIN node ON id = node_id GROUP BY ALL)
+SELECT community_id, level, CASE len(names) WHEN 0 THEN 'Related knowledge topics' WHEN 1 THEN 'About ' || names[1] WHEN 2 THEN names[1] || ' and ' || names[2] ELSE names[1] || ' and related topics' END AS name, member_count FROM m""")
+def community_names(spark, d):
+    return communities.named(src.members(spark, d), src.nodes(spark, d))
+
+
+@query(f"""WITH {REL}, s AS (SELECT src, dst, max(confidence)::VARCHAR AS nl FROM rel WHERE rel_type = 'supplies' GROUP BY src, dst), w AS (SELECT dst AS src, src AS dst FROM rel WHERE rel_type = 'supplies' AND mention_count > 1 UNION ALL SELECT src, dst FROM rel WHERE rel_type = 'supplies' AND mention_count = 1)
+SELECT w.src, w.dst, coalesce(f.nl, b.nl) IS NOT NULL AS found, f.nl IS NULL AND b.nl IS NOT NULL AS reverse FROM w LEFT JOIN s f ON f.src = w.src AND f.dst = w.dst LEFT JOIN s b ON b.src = w.dst AND b.dst = w.src""")
+def relation_sentences(spark, d):
+    r = src.relations(spark, d).where("rel_type = 'supplies'")
+    said = r.select("src", "dst", F.lit("r1").alias("relationship_id"), T.spoken(F.col("rel_type")).alias("natural_language"))
+    pairs = r.where("mention_count > 1").select(F.col("dst").alias("src"), F.col("src").alias("dst")).unionByName(r.where("mention_count = 1").select("src", "dst"))
+    return graph.relation_sentences(pairs, said).select("src", "dst", F.col("nl").isNotNull().alias("found"), "reverse")
+
+
+# --- search ----------------------------------------------------------------------------------------
+
+_COS = "round(list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 6)"
+
+
+def _vectors(spark, d):
+    return src.read(spark, d, "embeddings")
+
+
+@query(f"WITH s AS (SELECT e.vec_id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) SELECT vec_id, score FROM s WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 50")
+def vector_topk(spark, d):
+    e = _vectors(spark, d)
+    return search.vector_top_k(e, e.where("vec_id = 0").first()["embedding"], 50, 0.1).select("vec_id", "score")
+
+
+@query(f"WITH s AS (SELECT e.vec_id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE label = 3) SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 20")
+def vector_topk_filtered(spark, d):
+    e = _vectors(spark, d)
+    return search.vector_top_k(e, e.where("vec_id = 0").first()["embedding"], 20, None, F.col("label") == 3).select("vec_id", "score")
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS qid, e.vec_id, {_COS} AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s WHERE score >= 0.0)
+SELECT qid, vec_id, score, rank FROM r WHERE rank <= 10""")
+def vector_topk_batch(spark, d):
+    e = _vectors(spark, d)
+    return search.vector_top_k_each(e, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), 10, 0.0)
+
+
+@query(f"""WITH s AS (SELECT e.vec_id, e.label, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
+h AS (SELECT 'name' || label AS name, score, vec_id % 3 AS origin FROM s) SELECT name, max(score) AS score, count(*) AS hits FROM h GROUP BY name""")
+def vector_multi_merge(spark, d):
+    e = _vectors(spark, d)
+    hits = search.vector_top_k(e, e.where("vec_id = 0").first()["embedding"], 1_000_000, None)
+    rows = hits.select(F.concat(F.lit("Name"), F.col("label").cast("string")).alias("name"), "score", F.pmod("vec_id", F.lit(3)).cast("int").alias("origin"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"), F.lit("thing").alias("type"))
+    counts = rows.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("hits"))
+    return search.merge_hits(rows).join(counts, "name").select("name", "score", "hits")
+
+
+_BM25 = """d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS ts FROM documents),
+n AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM d), p AS (SELECT doc_id, t, len AS dl, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS t FROM d) GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM p GROUP BY t)"""
+
+
+@query(f"""WITH {_BM25}, q AS (SELECT qid, term FROM (VALUES ('a', 'the'), ('a', 'thand'), ('b', 'und'), ('b', 'der')) v(qid, term)),
+s AS (SELECT qid, doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM q JOIN p ON p.t = term JOIN f USING (t), n GROUP BY qid, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank FROM s) SELECT qid, id, score, rank, count(*) OVER (PARTITION BY qid) - rank + 1 AS rank_score FROM r WHERE rank <= 20""")
+def bm25_topk(spark, d):
+    docs = src.read(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("isolated_contexts"))
+    fields = {"isolated_contexts": 1.0}
+    terms = spark.createDataFrame([("a", "the"), ("a", "thand"), ("b", "und"), ("b", "der")], "qid string, term string")
+    return search.best_each(search.bm25(search.text_index(docs, fields), docs, terms, fields), 20)
+
+
+@query(None)
+def bm25_weighted_fields(spark, d):
+    docs = src.text_documents(spark, d)
+    terms = spark.createDataFrame([("a", "the"), ("a", "src3"), ("b", "en")], "qid string, term string")
+    return search.best_each(search.bm25(search.text_index(docs), docs, terms), 20)
+
+
+@query("""WITH a AS (SELECT 'k' || (doc_id % 50) AS name, doc_id::DOUBLE AS score, 0 AS source FROM documents WHERE doc_id % 3 = 0), b AS (SELECT 'k' || (vec_id % 70), vec_id::DOUBLE, 1 FROM embeddings), u AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY source, score DESC) AS n FROM u) SELECT 'q' AS qid, name, score, source, row_number() OVER (ORDER BY source, score DESC, name)::INTEGER AS ord FROM r WHERE n = 1""")
+def hybrid_fusion(spark, d):
+    a = src.read(spark, d, "documents").where("doc_id % 3 = 0").select(F.lit("q").alias("qid"), F.concat(F.lit("k"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.col("doc_id").cast("double").alias("score"))
+    b = _vectors(spark, d).select(F.lit("q").alias("qid"), F.concat(F.lit("k"), (F.col("vec_id") % 70).cast("string")).alias("name"), F.col("vec_id").cast("double").alias("score"))
+    return search.fuse(a, b)
+
+
+@query("""WITH s AS (SELECT doc_id AS id, list_distinct(list_concat(regexp_extract_all(text, '([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)', 1), regexp_extract_all(text, '([A-Z][a-z]{3,})', 1))) AS m FROM documents) SELECT id, len(m) AS mentions FROM s""")
+def mention_candidates(spark, d):
+    return src.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.size(T.capitalised_spans(F.col("text"))).alias("mentions"))
+
+
+@query(f"""WITH {NODE}, t AS (SELECT c_custkey AS id, 'Visit ' || upper(n_name[1]) || lower(n_name[2:]) || ' today' AS text FROM customer JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT DISTINCT id, unnest(list_concat(regexp_extract_all(text, '([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)', 1), regexp_extract_all(text, '([A-Z][a-z]{{3,}})', 1))) AS mention FROM t), c AS (SELECT name, min(id) AS node_id FROM node WHERE name IS NOT NULL GROUP BY name)
+SELECT s.id, mention, node_id FROM s JOIN c ON name = lower(mention)""")
+def mention_scan(spark, d):
+    c = src.read(spark, d, "customer").join(src.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    n = F.col("n_name")
+    texts = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Visit "), F.upper(F.substring(n, 1, 1)), F.lower(F.substring(n, 2, 100)), F.lit(" today")).alias("text"))
+    return retrieval.scan_mentions(texts, src.nodes(spark, d))
+
+
+# --- functions -------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT event_id, event_type || '_' || user_id || '_by' AS rel, 'user ' || user_id AS a, 'the-' || event_type AS b FROM events),
+x AS (SELECT *, list_filter(string_split_regex(lower(a || ' ' || b), '[\\s_\\-]+'), lambda k: length(k) > 1) AS names, string_split(lower(rel), '_') AS parts FROM t)
+SELECT event_id, coalesce(nullif(array_to_string(list_filter(parts, lambda k: NOT list_contains(names, k)), '_'), ''), 'relates_to') AS predicate FROM x""")
+def clean_predicates(spark, d):
+    e = src.read(spark, d, "events")
+    u = F.col("user_id").cast("string")
+    return e.select("event_id", T.clean_predicate(F.concat_ws("_", "event_type", u, F.lit("by")), F.concat(F.lit("user "), u), F.concat(F.lit("the-"), "event_type")).alias("predicate"))
+
+
+@query("SELECT event_id, regexp_replace(trim(event_type || ' ' || props), '[^A-Za-z0-9_]', '_', 'g') AS rel_type FROM events")
+def sanitize_types(spark, d):
+    return src.read(spark, d, "events").select("event_id", T.sanitise_type(F.concat_ws(" ", "event_type", "props")).alias("rel_type"))
+
+
+@query("""WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'High' WHEN 1 THEN NULL WHEN 2 THEN '0.5' WHEN 3 THEN 'rubbish' ELSE value::VARCHAR END AS s FROM events)
+SELECT event_id, CASE WHEN lower(s) = 'high' THEN 8.0 WHEN try_cast(s AS DOUBLE) IS NULL THEN 7.0 WHEN s::DOUBLE BETWEEN 0 AND 1 THEN greatest(1.0, round(s::DOUBLE * 10, 1)) ELSE greatest(1.0, least(10.0, s::DOUBLE)) END::DOUBLE AS confidence FROM t""")
+def score_coercion(spark, d):
+    k = F.col("event_id") % 6
+    s = F.when(k == 0, "High").when(k == 1, None).when(k == 2, "0.5").when(k == 3, "rubbish").otherwise(F.col("value").cast("string"))
+    return src.read(spark, d, "events").select("event_id", S.coerced(s, "confidence").alias("confidence"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(0.5::DOUBLE * l_quantity + 0.3::DOUBLE * l_discount + 0.2::DOUBLE * l_tax, 2) AS weight FROM lineitem")
+def edge_weight(spark, d):
+    return src.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.edge_weight(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")), 2).alias("weight"))
+
+
+@query("SELECT page_id, replace(regexp_extract(url, '([^/]+)$', 1), '_', ' ') AS title FROM pages")
+def note_titles(spark, d):
+    return src.read(spark, d, "pages").select("page_id", T.file_title(F.col("url")).alias("title"))
+
+
+@query("SELECT conv_id, turn, 1 + 2 * (turn % 3 = 0)::INTEGER AS segments, CASE WHEN turn % 3 = 0 THEN 'PDF Extraction' ELSE 'text' END AS second FROM conversations WHERE trim(text) <> '' AND NOT contains(text, '[')")
+def segment_split(spark, d):
+    c = src.read(spark, d, "conversations").where("trim(text) <> '' and not contains(text, '[')")
+    more = T.with_extraction(T.with_extraction(F.col("text"), "PDF Extraction", F.lit("a.pdf"), F.lit("some pages")), "Audio Transcription", F.lit("b.mp3"), F.lit("some words"))
+    s = T.segments(F.when(F.col("turn") % 3 == 0, more).otherwise(F.col("text")))
+    return c.select("conv_id", "turn", F.size(s).alias("segments"), F.coalesce(F.try_element_at(s, F.lit(2))["type"], F.lit("text")).alias("second"))
+
+
+@query("SELECT page_id, [2, page_id % 2][1]::INTEGER AS links, 'pdf' AS first_type, url AS second_url FROM pages")
+def attachment_links(spark, d):
+    p = src.read(spark, d, "pages")
+    a = T.attachments(F.concat(F.lit(f"see [{T.CLIP} report](files/a.PDF) and [{T.MIC} talk]("), F.col("url"), F.lit(") end")))
+    return p.select("page_id", F.size(a).alias("links"), a[0]["type"].alias("first_type"), a[1]["url"].alias("second_url"))
+
+
+@query("SELECT conv_id, turn, trim(text) AS content FROM conversations WHERE NOT contains(text, chr(10)) AND text = trim(text) AND NOT regexp_matches(text, '(?i)^\\[?(previous|next)')")
+def note_clean(spark, d):
+    c = src.read(spark, d, "conversations").where(~F.contains("text", F.lit("\n")) & (F.col("text") == F.trim("text")) & ~F.col("text").rlike(r"(?i)^\[?(previous|next)"))
+    return c.select("conv_id", "turn", T.clean_note(F.concat(F.lit("---\ntitle: x\n---\n\n"), F.col("text"), F.lit("\n\n\n\n[Next](b.md)\n"))).alias("content"))
+
+
+@query("SELECT part.p_partkey AS id, round((('0x' || substr(md5('p' || p_partkey), 31, 2))::INTEGER / 255.0::DOUBLE - 0.5) * 8, 6) AS x, round((('0x' || substr(md5('p' || p_partkey), 29, 2))::INTEGER / 255.0::DOUBLE - 0.5) * 8, 6) AS y, round((('0x' || substr(md5('p' || p_partkey), 27, 2))::INTEGER / 255.0::DOUBLE - 0.5) * 8, 6) AS z FROM part")
+def jitter(spark, d):
+    j = S.jitter(src.key("p", "p_partkey"), 4.0)
+    return src.read(spark, d, "part").select(F.col("p_partkey").alias("id"), *(F.round(j[a], 6).alias(a) for a in "xyz"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), y AS (SELECT *, 1.0::DOUBLE - i::DOUBLE / greatest(n - 1, 1) * 2.0::DOUBLE AS y, i * (pi() * (sqrt(5.0::DOUBLE) - 1.0::DOUBLE)) AS t FROM s)
+SELECT id, round(cos(t) * sqrt(greatest(1.0::DOUBLE - y * y, 0)) * 400, 4) AS x, round(y * 400, 4) AS y, round(sin(t) * sqrt(greatest(1.0::DOUBLE - y * y, 0)) * 400, 4) AS z FROM y""")
+def fibonacci_sphere(spark, d):
+    rows = layout.on_sphere(src.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), 400.0, group=None).select("id", "pos")
+    # The order of the sphere follows hash groups; here it is that of the ids.
+    from pyspark.sql import Window
+
+    w = Window.orderBy("id")
+    p = S.sphere_point(F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy()), 400.0)
+    return rows.select("id", p.alias("p")).select("id", *(F.round(F.col(f"p.{a}"), 4).alias(a) for a in "xyz"))
+
+
+@query(None)
+def solar_positions(spark, d):
+    return layout.solar_positions(src.nodes(spark, d), src.members(spark, d))
+
+
+@query(None)
+def flat_positions(spark, d):
+    return layout.flat_positions(src.nodes(spark, d).where("kind = 'indexable'"), src.members(spark, d))
+
+
+@query("SELECT event_id, list_contains(CASE event_type WHEN 'signup' THEN ['friends_with', 'works_with', 'collaborates_with'] WHEN 'click' THEN ['collaborates_with', 'reports_to', 'mentors'] WHEN 'purchase' THEN ['married_to', 'partners_with'] ELSE [] END, 'works_with') AS evolves, event_type IN ('signup', 'click', 'purchase') AS both_ways FROM events WHERE event_type <> 'view'")
+def rule_lookups(spark, d):
+    a = src.assertions(spark, d).where("rel_type <> 'learning'")
+    return a.select("event_id", rules.can_evolve(F.col("rel_type"), F.lit("works_with")).alias("evolves"), rules.bidirectional(F.col("rel_type")).alias("both_ways"))
+
+
+# --- ingestion -------------------------------------------------------------------------------------
+
+
+@query(None)
+def rel_fold(spark, d):
+    return fold.fold_edges(src.assertions(spark, d)).select("src", "dst", "rel_type", "confidence", "mention_count", "valid_to", "evolved_from", "evolved_to", "invalidated_by")
+
+
+@query(None)
+def rel_actions(spark, d):
+    return fold.fold_actions(src.assertions(spark, d))
+
+
+@query(f"""WITH {ASSERTED}, c(new, old) AS (VALUES ('friends_with', 'hates'), ('hates', 'friends_with'), ('friends_with', 'enemies_with')) SELECT a.event_id, b.event_id AS old_event FROM asserted a JOIN c ON new = a.rel_type JOIN asserted b ON b.src = a.src AND b.dst = a.dst AND b.rel_type = old AND b.ts < a.ts""")
+def rel_contradictions(spark, d):
+    return fold.contradictions(src.assertions(spark, d))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end, count(*) AS n FROM s GROUP BY user_id, k""")
+def idle_sessions(spark, d):
+    return streams.idle_sessions(src.read(spark, d, "events"), gap="6 hours")
+
+
+@query("SELECT user_id AS node_id, count(DISTINCT event_type)::INTEGER AS n, (SELECT string_agg(event_type, ' ' ORDER BY s, event_type) FROM (SELECT event_type, min(event_id) AS s FROM events e WHERE e.user_id = o.user_id GROUP BY event_type)) AS merged FROM events o GROUP BY user_id")
+def merged_context(spark, d):
+    e = src.read(spark, d, "events").select(F.col("user_id").alias("node_id"), F.col("event_type").alias("content"), F.col("event_id").alias("seq"))
+    return tables.merged_contexts(tables.accumulate(e.limit(0), e))
+
+
+@query("SELECT source AS node_id, count(DISTINCT trim(text)) AS contexts FROM documents WHERE trim(text) <> '' GROUP BY source")
+def context_accumulate(spark, d):
+    c = src.read(spark, d, "documents").select(F.col("source").alias("node_id"), F.col("text").alias("content"), F.col("doc_id").alias("seq"))
+    return tables.accumulate(c.limit(0), c).groupBy("node_id").agg(F.count("*").alias("contexts"))
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE -1.0::DOUBLE END AS v FROM customer WHERE c_custkey % 5 <> 0)
+SELECT coalesce(s.id, n.id) AS id, coalesce(n.name, s.name) AS name, coalesce(n.v, s.v) AS v FROM s FULL JOIN n ON s.id = n.id""")
+def upsert_latest(spark, d):
+    c = src.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("v"))
+    new = c.where("id % 5 <> 0").withColumn("v", F.when(F.col("id") % 3 != 0, F.lit(-1.0)))
+    return tables.upsert(c.where("id % 2 = 0"), new, ["id"])
+
+
+@query(None)
+def json_coerce(spark, d):
+    from .functions import extraction as X
+
+    def run(frames):
+        for f in frames:
+            yield f.assign(n=[len(X.coerce(t)["nodes"]) for t in f["j"]])[["event_id", "n"]]
+
+    e = src.read(spark, d, "events")
+    j = F.concat(F.lit('```json\n{"data": {"nodes": [{"trait": "'), "event_type", F.lit('", "evidence_quote": "x"}, "plain",], "relations": []}'))
+    return e.select("event_id", j.alias("j")).mapInPandas(run, "event_id long, n long")
+
+
+@query(None)
+def ingest_notes(spark, d):
+    notes = src.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.timestamp_seconds(F.col("doc_id")).alias("ts"))
+    x = ingest.extract(notes)
+    return ingest.resolve(ingest.entity_rows(x)).select("name", "id", "type", "is_new")
+
+
+# --- communities, answers --------------------------------------------------------------------------
+
+
+@query(None)
+def cluster_l2(spark, d):
+    return communities.cluster(_vectors(spark, d).select(F.col("vec_id").alias("id"), S.as_doubles(F.col("embedding")).alias("v")), 0.25)
+
+
+@query(None)
+def community_hierarchy(spark, d):
+    return communities.hierarchy(_vectors(spark, d).select(F.col("vec_id").alias("id"), S.as_doubles(F.col("embedding")).alias("v")))
+
+
+@query("""WITH p AS (SELECT a.item_id, a.text AS e, b.text AS p FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), n AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(trim(lower(e)), '[^\\p{L}\\p{N}\\p{M}_\\s]', '', 'g'), '\\s+'), lambda x: x <> '') AS t, list_filter(string_split_regex(regexp_replace(trim(lower(p)), '[^\\p{L}\\p{N}\\p{M}_\\s]', '', 'g'), '\\s+'), lambda x: x <> '') AS p FROM p),
+c AS (SELECT item_id, len(t) AS nt, len(p) AS np, len(list_intersect(list_distinct(t), list_distinct(p))) AS c FROM n)
+SELECT item_id, round(CASE WHEN c = 0 THEN 0 ELSE 2.0 * c / (nt + np) END, 6)::DOUBLE AS f1 FROM c""")
+def qa_token_f1(spark, d):
+    b = src.read(spark, d, "benchmark")
+    n = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("p"))
+    return b.join(n, "item_id").select("item_id", F.round(S.token_f1(F.col("p"), F.col("text")), 6).alias("f1"))
+
+
+def _answers(spark, d):
+    b = src.read(spark, d, "benchmark")
+    first = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
+    actual = F.when(F.col("item_id") % 3 == 0, F.concat(first, F.lit("\n\n**Reasoning:** x"))).when(F.col("item_id") % 3 == 1, F.concat(F.lit("It is "), first)).otherwise(F.lit("nothing of the kind"))
+    return b.select(F.col("item_id").alias("test_id"), first.alias("expected"), actual.alias("actual"), F.lit(0.5).alias("precision"), F.lit(1.0).alias("recall"), (F.col("item_id") * 10.0).alias("total_time_ms"), F.when(F.col("item_id") % 10 == 9, "timeout").alias("error"))
+
+
+@query("SELECT item_id AS test_id, item_id % 3 = 0 AS exact_match, item_id % 3 < 2 AS fuzzy_match FROM benchmark")
+def qa_fuzzy(spark, d):
+    return quality.answer_metrics(_answers(spark, d)).select("test_id", "exact_match", "fuzzy_match")
+
+
+@query("""SELECT count(*) AS questions, count(*) FILTER (item_id % 10 = 9) AS errors, round(avg((item_id % 3 = 0)::INTEGER) FILTER (item_id % 10 <> 9), 6) AS exact_match, round(avg((item_id % 3 < 2)::INTEGER) FILTER (item_id % 10 <> 9), 6) AS fuzzy_match, 0.5::DOUBLE AS precision, 1.0::DOUBLE AS recall, round(2.0 / 3, 6)::DOUBLE AS retrieval_f1, round(avg(item_id * 10.0) FILTER (item_id % 10 <> 9), 6) AS mean_ms FROM benchmark""")
+def qa_metrics(spark, d):
+    s = quality.summary(quality.answer_metrics(_answers(spark, d)))
+    return s.select("questions", "errors", *(F.round(c, 6).alias(c) for c in ("exact_match", "fuzzy_match", "precision", "recall", "retrieval_f1", "mean_ms")))
+
+
+def _questions(spark, d):
+    return src.read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"))
+
+
+def _search(spark, d):
+    docs = src.text_documents(spark, d)
+    nodes = docs.select(F.col("node_id").cast("string").alias("id"), F.lit("indexable").alias("kind"), "name", "type")
+    return lambda q, k=retrieval.TOP: retrieval.hybrid_search(q, nodes, docs, search.text_index(docs), k=k)
+
+
+@query(None)
+def hybrid_search(spark, d):
+    return _search(spark, d)(_questions(spark, d)).select("qid", "id", "name", "kind", "place", "rerank_score")
+
+
+@query(None)
+def answer_questions(spark, d):
+    from pyspark import SparkContext  # noqa: F401
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    return retrieval.answer(spark, _questions(spark, d), _search(spark, d))
+
+
+@query(f"""WITH {NODE}, {REL}, seeds AS (SELECT id FROM node WHERE contains(name, 'asia') OR contains(name, 'france')), {_HOP}
+SELECT seed, node_id, name, type, rel_type, confidence, direction, name || ' is a ' || type || '.' AS text FROM h JOIN node ON id = node_id ORDER BY confidence DESC, seed, node_id, rel_type LIMIT 200""")
+def name_expand_top(spark, d):
+    return flagship(spark, d)
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").limit(5)
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Fuzzy name match, one hop over the graph, rendered text, best rows."""
+    n = src.nodes(spark, d)
+    seeds = graph.match_fuzzy(n, ["asia", "france"])
+    rows = graph.one_hop(seeds, src.relations(spark, d), n, 2.0)
+    return rows.withColumn("text", T.node_block(F.col("name"), F.col("type"), F.lit(None).cast("string"), None)).orderBy(F.desc("confidence"), "seed", "node_id", "rel_type").limit(200)
