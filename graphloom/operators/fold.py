@@ -6,9 +6,9 @@ entities, so the fold goes by unordered pair; the same function serves batches a
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,42 +70,69 @@ def fold(assertions: Iterable[dict], edges: dict | None = None) -> tuple[dict, l
     return edges, [apply(edges, a) for a in assertions]
 
 
-def _clean(frame: pd.DataFrame) -> list[dict]:
-    return [{k: None if v is None or v is pd.NaT or v != v else v for k, v in row.items()} for row in frame.to_dict("records")]
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    yield from batch.to_pylist()
 
 
-def _pair(df: DataFrame) -> DataFrame:
-    return df.withColumn("pa", F.least("src", "dst")).withColumn("pb", F.greatest("src", "dst"))
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Rows of a pair of entities next to each other, stored edges first, then assertions in time."""
+    spark = rows.sparkSession
+    keyed = rows.withColumn("_a", F.least("src", "dst")).withColumn("_b", F.greatest("src", "dst"))
+    return keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_a", "_b").sortWithinPartitions("_a", "_b", "_new", "ts", "event_id")
+
+
+def _folded(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[dict]:
+    """Edges or actions of all pairs of a partition; only one pair's edges are held at a time."""
+    pair, edges = None, {}
+    for batch in batches:
+        for row in _rows(batch):
+            if (row["_a"], row["_b"]) != pair:
+                if out == "edges":
+                    yield from edges.values()
+                pair, edges = (row["_a"], row["_b"]), {}
+            if row["_new"]:
+                done = apply(edges, row)
+                if out == "actions":
+                    yield done
+            else:
+                edges[row["src"], row["dst"], row["rel_type"]] = {c: row[c] for c in COLUMNS}
+    if out == "edges":
+        yield from edges.values()
+
+
+def _run(rows: DataFrame, out: str, schema: str) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches):
+        held = []
+        for x in _folded(batches, out):
+            held.append(x)
+            if len(held) >= 5000:
+                yield pa.RecordBatch.from_pylist(held, schema=target)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=target)
+
+    return _ordered(rows).mapInArrow(run, schema)
 
 
 def fold_edges(assertions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The edges after all assertions(event_id, ts, src, dst, rel_type, confidence[, note_id, ...]), beginning from the stored ones.
 
-    A pair's assertions must come in order, so they meet in one task; their number is bounded by how often one pair is asserted between
-    two folds, not by the degree of an entity.
+    A pair's assertions must come in order, so a task takes them one after another from its sorted partition; it never holds more than
+    the edges of one pair.
     """
-    names = assertions.columns
-
-    def run(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        edges = {(e["src"], e["dst"], e["rel_type"]): {c: e[c] for c in COLUMNS} for e in _clean(old)}
-        rows = _clean(new.sort_values(["ts", "event_id"])[names]) if len(new) else []
-        edges, _ = fold(rows, edges)
-        return pd.DataFrame(list(edges.values()), columns=COLUMNS)
-
-    spark = assertions.sparkSession
-    old = spark.createDataFrame([], EDGE) if stored is None else stored.select(*COLUMNS)
-    return _pair(assertions).groupBy("pa", "pb").cogroup(_pair(old).groupBy("pa", "pb")).applyInPandas(run, EDGE)
+    rows = assertions.withColumn("_new", F.lit(True))
+    if stored is not None:
+        rows = rows.unionByName(stored.select(*COLUMNS).withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    return _run(rows, "edges", EDGE)
 
 
 def fold_actions(assertions: DataFrame) -> DataFrame:
     """What the fold did with each assertion: event_id, action, inverse, invalidated."""
-    names = assertions.columns
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        _, done = fold(_clean(frame.sort_values(["ts", "event_id"])[names]))
-        return pd.DataFrame(done)[[c.split()[0] for c in ACTIONS.split(", ")]]
-
-    return _pair(assertions).groupBy("pa", "pb").applyInPandas(run, ACTIONS)
+    return _run(assertions.withColumn("_new", F.lit(True)), "actions", ACTIONS)
 
 
 def contradictions(assertions: DataFrame) -> DataFrame:
