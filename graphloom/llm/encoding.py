@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -15,67 +16,90 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Places(dict):
+    """A number for every key, given on first sight; new holds the keys since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):
+        self.new.append(key)
+        self[key] = n = len(self)
+        return n
+
+
 class StretchEncoder:
     """Ids of texts, put together from ids of stretches that the tokenizer treats independently of each other.
 
     cut(text) gives the stretches of a text; a tuple is a stretch as it stands, a string one that lead stands before. encode(list of
-    strings) gives their ids. Results are kept for at most `entries` stretches; then the store is emptied, so memory is bounded.
+    strings) gives their ids in a row and where each string's begin. Results are kept for at most `entries` stretches; then the store
+    is emptied, so memory is bounded.
     """
 
-    def __init__(self, cut: Callable[[str], list], encode: Callable[[list[str]], list], lead: str = "", entries: int = 700_000):
+    def __init__(self, cut: Callable[[str], list], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], lead: str = "", entries: int = 900_000):
         self.cut, self.encode, self.lead, self.entries = cut, encode, lead, entries
         self._empty()
 
     def _empty(self) -> None:
-        self.place: dict = {}
+        self.place = _Places()
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.used = 0
         self.start, self.length = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
 
-    def _learn(self, new: list) -> None:
-        n = len(self.place)
+    def _learn(self) -> None:
+        """Encodes the new stretches; their places are the last ones."""
+        new, self.place.new = self.place.new, []
+        n = len(self.place) - len(new)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            ids = self.encode([k[0] if isinstance(k, tuple) else self.lead + k for k in part])
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            total = int(lengths.sum())
+            ids, begin = self.encode([k[0] if type(k) is tuple else self.lead + k for k in part])
+            lengths, total = np.diff(begin), len(ids)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), dtype=np.uint32)])
             while n + len(part) > len(self.start):
                 self.start, self.length = (np.concatenate([x, np.zeros(len(x), dtype=np.int64)]) for x in (self.start, self.length))
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=total)
+            self.flat[self.used : self.used + total] = ids
             self.start[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
             self.length[n : n + len(part)] = lengths
-            self.place.update(zip(part, range(n, n + len(part)), strict=True))
             self.used, n = self.used + total, n + len(part)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more entry than texts)."""
         if len(self.place) > self.entries:
             self._empty()
-        parts = [self.cut(t) for t in texts]
-        counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        flat = list(chain.from_iterable(parts))
-        place = np.fromiter(map(self.place.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-        unknown = np.flatnonzero(place < 0)
-        if len(unknown):
-            self._learn(list(dict.fromkeys(flat[i] for i in unknown)))
-            place[unknown] = [self.place[flat[i]] for i in unknown]
+        parts = list(map(self.cut, texts))
+        counts = np.zeros(len(parts) + 1, dtype=np.int64)
+        np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)), out=counts[1:])
+        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(counts[-1]))
+        if self.place.new:
+            self._learn()
         lengths = self.length[place]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[place] - ends + lengths, lengths) + np.arange(total)]
-        whole = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        return ids, whole
+        ends = np.zeros(len(lengths) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=ends[1:])
+        shift = self.start[place] - ends[:-1]
+        ids = self.flat[np.repeat(shift, lengths) + np.arange(ends[-1])]
+        return ids, ends[counts]
+
+
+def in_a_row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.zeros(len(lists) + 1, dtype=np.int64)
+    np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)), out=begin[1:])
+    return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(begin[-1])), begin
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: in_a_row([e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+
+
+# The patterns by which the public tokenizers split a text before any merge.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
 def _cut_at_spaces(text: str) -> list:
@@ -97,12 +121,25 @@ def _cut_dropping_spaces(text: str) -> list:
 
 
 def byte_level(path: str) -> StretchEncoder:
-    return StretchEncoder(_cut_at_spaces, _tokenizer(path), lead=" ")
+    """Stretches between spaces, and within a new one the pieces of the pattern: words recur with other signs around them."""
+    import regex
+
+    pieces = regex.compile(BYTE_PATTERN).findall
+    return StretchEncoder(_cut_at_spaces, StretchEncoder(pieces, _tokenizer(path)), lead=" ")
 
 
 def word_level(path: str) -> StretchEncoder:
-    """For a tokenizer that drops white space and never joins words."""
-    return StretchEncoder(_cut_dropping_spaces, _tokenizer(path))
+    """For a tokenizer that normalises to NFC and lower case, drops white space and never joins words."""
+    import regex
+
+    pieces, nfc = regex.compile(WORD_PATTERN).findall, unicodedata.normalize
+
+    def cut(stretch: str) -> list:
+        if "\u03a3" in stretch:  # Python lowers a sigma by its place in the word, the tokenizer doesn't
+            return [stretch]
+        return pieces(nfc("NFC", stretch).lower())
+
+    return StretchEncoder(_cut_dropping_spaces, StretchEncoder(cut, _tokenizer(path)))
 
 
 KINDS: dict[str, Callable[[str], StretchEncoder]] = {"byte": byte_level, "word": word_level}

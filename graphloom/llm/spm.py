@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import StretchEncoder, public_path
+from .encoding import StretchEncoder, in_a_row, public_path
 
 MARK = "▁"
 # Kinds of pieces and models as the public protobuf schema numbers them.
@@ -132,7 +132,7 @@ class Backend:
             return [(s,) for s in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+$", self._marked(text))]
         return text.split(" ")
 
-    def _learn(self, stretches: list[str]) -> list[list[int]]:
+    def _learn(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
         # The library adds the first mark itself; a mark is a space to it.
         plain = [s[len(self.prefix) :].replace(MARK, " ") if s.startswith(self.prefix) else None for s in stretches]
@@ -140,7 +140,7 @@ class Backend:
         for i, other in zip(known, self.other.encode([plain[i] for i in known], num_threads=1), strict=True):
             if ids[i] != other:
                 self.wrong.add(stretches[i])
-        return ids
+        return in_a_row(ids)
 
     def agrees(self, text: str) -> bool:
         return not self.wrong or not any((s[0] if isinstance(s, tuple) else MARK + s) in self.wrong for s in self.encode.cut(text))

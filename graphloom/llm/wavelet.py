@@ -11,7 +11,6 @@ first; an empty table gives no files and no rows; further columns are ignored.
 from __future__ import annotations
 
 import json
-import posixpath
 import struct
 import zlib
 
@@ -21,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, shuffle_partitions
+from .common import mapped, materialize, new_path, put, shuffle_partitions
 from .encoding import encoder, public_path
 
 MAGIC = b"GLWM1\0\0\0"
@@ -29,25 +28,43 @@ _WORD = 512  # bits between two stored ranks
 
 
 class WaveletMatrix:
-    """Succinct sequence of small integers: access, rank, select, count, occurrences, decode."""
+    """Succinct sequence of whole numbers: access, rank, select, count, occurrences, decode.
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
+    The planes hold codes: the values that occur, most frequent first. So high planes are nearly empty, and no plane stands for values
+    that a file doesn't have.
+    """
+
+    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], symbols: np.ndarray):
+        self.n, self.planes, self.zeros, self.symbols = n, planes, zeros, symbols
         self._ranks: dict[int, np.ndarray] = {}
+        self._codes: dict[int, int] | None = None
+
+    def code(self, value: int) -> int:
+        """The code of a value, -1 where it doesn't occur."""
+        if self._codes is None:
+            self._codes = {int(v): i for i, v in enumerate(self.symbols)}
+        return self._codes.get(value, -1)
 
     @classmethod
-    def build(cls, values: np.ndarray, bits: int | None = None) -> WaveletMatrix:
+    def build(cls, values: np.ndarray) -> WaveletMatrix:
         values = np.asarray(values, dtype=np.uint32)
-        bits = bits or max(1, int(values.max()).bit_length() if len(values) else 1)
-        rest = values.astype(np.uint16) if bits <= 16 else values
+        count = np.bincount(values) if len(values) else np.zeros(1, np.int64)
+        symbols = np.argsort(-count, kind="stable")[: np.count_nonzero(count)].astype(np.uint32)
+        codes = np.zeros(len(count), dtype=np.uint16 if len(symbols) <= 1 << 16 else np.uint32)
+        codes[symbols] = np.arange(len(symbols))
+        rest = codes[values]
+        other = np.empty_like(rest)
         planes, zeros = [], []
-        for level in range(bits - 1, -1, -1):
-            bit = (rest >> rest.dtype.type(level)).astype(bool) if level == bits - 1 and bits == rest.itemsize * 8 else (rest & rest.dtype.type(1 << level)).astype(bool)
+        for level in range(max(0, len(symbols) - 1).bit_length() - 1, -1, -1):
+            bit = (rest & rest.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit))
-            low = rest[~bit]
-            zeros.append(len(low))
-            rest = np.concatenate([low, rest[bit]])
-        return cls(len(values), planes, zeros)
+            ones = int(np.count_nonzero(bit))
+            zeros.append(len(rest) - ones)
+            if level and ones:
+                np.compress(~bit, rest, out=other[: zeros[-1]])
+                np.compress(bit, rest, out=other[zeros[-1] :])
+                rest, other = other, rest
+        return cls(len(values), planes, zeros, symbols)
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones before place i of a plane."""
@@ -74,11 +91,12 @@ class WaveletMatrix:
             value = value << 1 | bit
             ones = self._rank1(level, i)
             i = self.zeros[level] + ones if bit else i - ones
-        return value
+        return int(self.symbols[value])
 
     def _span(self, value: int, lo: int, hi: int) -> tuple[int, int]:
         """The range of the last order that holds value's occurrences among places lo:hi."""
-        if value >> len(self.planes):
+        value = self.code(value)
+        if value < 0:
             return 0, 0
         for level in range(len(self.planes)):
             a, b = self._rank1(level, lo), self._rank1(level, hi)
@@ -114,9 +132,9 @@ class WaveletMatrix:
         lo, hi = self._span(value, 0, self.n)
         if k >= hi - lo:
             return -1
-        i = lo + k
+        i, code = lo + k, self.code(value)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = value >> (len(self.planes) - 1 - level) & 1
+            bit = code >> (len(self.planes) - 1 - level) & 1
             i = self._select_bit(level, bit, i - self.zeros[level] if bit else i)
         return i
 
@@ -127,19 +145,21 @@ class WaveletMatrix:
         """All values in order, plane by plane from the last."""
         out = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
-            back = np.empty_like(out)
             z = self.zeros[level]
+            if z == self.n:
+                continue
+            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            back = np.empty_like(out)
             back[~bit] = out[:z]
             back[bit] = out[z:] | out.dtype.type(1 << (len(self.planes) - 1 - level))
             out = back
-        return out.astype(np.uint32)
+        return self.symbols[out] if self.n else np.zeros(0, np.uint32)
 
 
 def to_bytes(matrix: WaveletMatrix, doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray) -> bytes:
     """One file: a header, then the document table and each plane as zstd frames that can be opened one by one."""
     press = zstandard.ZstdCompressor(level=1)
-    parts = [press.compress(x.tobytes()) for x in (doc_ids.astype("<i8"), known.astype(np.uint8), lengths.astype("<i8"), *matrix.planes)]
+    parts = [press.compress(x.tobytes()) for x in (doc_ids.astype("<i8"), known.astype(np.uint8), lengths.astype("<i8"), matrix.symbols.astype("<u4"), *matrix.planes)]
     head = json.dumps({"n": matrix.n, "docs": len(lengths), "zeros": matrix.zeros, "sizes": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<q", len(head)) + head + b"".join(parts)
 
@@ -154,44 +174,28 @@ def from_bytes(data: bytes | memoryview) -> tuple[WaveletMatrix, np.ndarray, np.
         parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + n]))
         at += n
     ids, known, lengths = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], np.uint8).astype(bool), np.frombuffer(parts[2], "<i8")
-    return WaveletMatrix(head["n"], [np.frombuffer(p, np.uint8) for p in parts[3:]], head["zeros"]), ids, known, lengths
-
-
-def _store(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith(("/", "file:")) else (fs.LocalFileSystem(), path)
-
-
-def _normal(path: str) -> str:
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    return WaveletMatrix(head["n"], [np.frombuffer(p, np.uint8) for p in parts[4:]], head["zeros"], np.frombuffer(parts[3], "<u4")), ids, known, lengths
 
 
-def write_token_files(docs: DataFrame, directory: str, tokenizer: str, kind: str = "byte", end_id: int = 0, bits: int = 16, file_tokens: int = 2_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, directory: str, tokenizer: str, kind: str = "byte", end_id: int = 0, file_tokens: int = 2_000_000) -> DataFrame:
     """Encodes docs(doc_id, text) in doc_id order and writes the files; returns the manifest (part, seq, file, docs, tokens), already run.
 
     A partition of the range sort writes its files one after another, so a file holds about file_tokens ids and memory stays bounded
     by it and by the longest document. A task that runs again writes the same bytes to the same names.
     """
-    directory = _normal(directory)
 
     def write(batches):
         from pyspark import TaskContext
 
-        store, root = _store(directory)
         part, attempt, seq = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         encode = encoder(kind, tokenizer)
         ids, doc_ids, known, lengths, held = [], [], [], [], 0
 
         def flush():
-            matrix = WaveletMatrix.build(np.concatenate(ids), bits)
+            matrix = WaveletMatrix.build(np.concatenate(ids))
             name = f"{part:06d}-{seq:05d}.wm"
             data = to_bytes(matrix, np.array(doc_ids, dtype=np.int64), np.array(known), np.concatenate(lengths))
-            store.create_dir(root)
-            tmp = posixpath.join(root, f"_{name}.{attempt}")
-            with store.open_output_stream(tmp) as f:
-                f.write(data)
-            store.move(tmp, posixpath.join(root, name))
+            put(f"{directory}/{name}", data, attempt)
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "docs": len(doc_ids), "tokens": matrix.n}], schema=_MANIFEST)
 
         for batch in batches:
@@ -231,15 +235,12 @@ def with_starts(manifest: DataFrame, group: int = 1024) -> DataFrame:
 
 def read_token_files(manifest: DataFrame, directory: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone. manifest has base."""
-    directory = _normal(directory)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches):
-        store, root = _store(directory)
         for batch in batches:
             for row in batch.to_pylist():
-                with store.open_input_file(posixpath.join(root, row["file"])) as f:
-                    matrix, doc_ids, known, lengths = from_bytes(f.read())
+                matrix, doc_ids, known, lengths = from_bytes(memoryview(mapped(f"{directory}/{row['file']}")))
                 data = memoryview(matrix.decode().astype("<u4")).cast("B")
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
