@@ -121,3 +121,14 @@ def fuzzy_match(expected: Column, actual: Column, threshold: float = 0.6) -> Col
         | ((F.size(we) > 0) & (F.size(wa) > 0) & (((both >= 2) & (F.size(we) <= 5) & (both / F.size(we) >= 0.5)) | (both / either >= threshold))),
         F.lit(False),
     )
+
+
+#: The namespace of ids made from object names.
+OID = "6ba7b8129dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column) -> Column:
+    """The name-based UUID (version 5) of a string."""
+    h = F.sha1(F.concat(F.unhex(F.lit(OID)), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3)) + 8))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))

@@ -35,3 +35,9 @@ def summary(results: DataFrame) -> DataFrame:
     p, r = mean("precision"), mean("recall")
     quantiles = F.percentile(F.when(good, F.col("total_time_ms")), [0.25, 0.5, 0.75, 0.9, 0.95])
     return results.agg(F.count("*").alias("questions"), F.count(F.when(~good, 1)).alias("errors"), mean("exact_match").alias("exact_match"), mean("fuzzy_match").alias("fuzzy_match"), mean("contains_answer").alias("contains_answer"), mean("f1").alias("token_f1"), p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("retrieval_f1"), mean("total_time_ms").alias("mean_ms"), quantiles.alias("quantiles_ms"))
+
+
+def save(results: DataFrame, path: str) -> None:
+    """Writes the results of each question and their summary as JSON."""
+    results.write.mode("overwrite").json(f"{path}/questions")
+    summary(results).write.mode("overwrite").json(f"{path}/summary")

@@ -51,3 +51,31 @@ def test_note_folder_and_attachments(spark, tmp_path):
 
 def test_web_search_is_empty_offline(spark):
     assert files.web_search(spark, "x").where(F.lit(True)).count() == 0
+
+
+def test_knowledge_bases(spark, tmp_path):
+    import pytest
+
+    from graphloom.sources import bases
+
+    path = str(tmp_path / "kbs")
+    store = bases.create(spark, path, "My Notes")
+    store.commit("nodes", spark.range(3))
+    with pytest.raises(ValueError, match="my_notes"):
+        bases.create(spark, path, "my notes")
+    bases.rename(spark, path, "my_notes", "Ours")
+    assert sorted((r["slug"], r["name"]) for r in bases.listed(spark, path).collect()) == [("default", "Default"), ("my_notes", "Ours")]
+    bases.reset(store, "nodes")
+    assert store.read("nodes").count() == 0
+    bases.delete(spark, path, "my_notes")
+    assert bases.listed(spark, path).count() == 1
+
+
+def test_uuid5(spark):
+    import uuid
+
+    from graphloom.functions import scores
+
+    names = [f"node_{i}" for i in range(40)]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", scores.uuid5(F.col("n")).alias("u")).collect()
+    assert {r["n"]: r["u"] for r in got} == {n: str(uuid.uuid5(uuid.NAMESPACE_OID, n)) for n in names}
