@@ -207,7 +207,8 @@ def _meet(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Pointers (a, b) between linked documents that share (g, part) in rows(g, part, doc_id)."""
     n = shuffle_partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    met = rows.join(texts, "doc_id").repartition(n, "g", "part").sortWithinPartitions("g", "part")
+    # Always by a shuffle of both sides: the ids grow with the documents, and the plan is then the same at every size.
+    met = rows.join(texts.hint("merge"), "doc_id").repartition(n, "g", "part").sortWithinPartitions("g", "part")
 
     def run(batches):
         for _, table in _groups(batches, ("g", "part")):
