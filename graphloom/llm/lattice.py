@@ -1,7 +1,7 @@
 """Near-duplicate vectors by lattice hashing: random projections decoded to E8 lattice points, neighbouring cells probed, cosine verified.
 
-Equal vectors are brought together first and go on as one with a weight. Every table projects the unit vectors to 8 dimensions (one E8
-block, more for larger inputs) and decodes them to the nearest lattice point; a vector is stored in its cell and asks the neighbouring
+Equal vectors are brought together first and go on as one with a weight. Every table projects the unit vectors to 8 dimensions, one E8
+block at every input size, and decodes them to the nearest lattice point; a vector is stored in its cell and asks the neighbouring
 cells that it is nearest to. Cells that only one vector touches are dropped before any vector is moved. A cell of many vectors is split
 into blocks, and every pair of blocks is one task's work, so no group is held whole; tasks return per vector its number of verified
 links and one pointer that joins it to its class, never pairs. A pair that meets more than once counts where it meets first.
@@ -13,8 +13,6 @@ each of them and has the row of the smallest; an empty table gives no rows; furt
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,7 +23,7 @@ from .common import components, materialize, mix, shuffle_partitions
 
 TABLES, PROBES, WIDTH = 7, 8, 1.0
 BLOCK = 1024
-_CELLS_A_BLOCK = 25_000  # 1 / chance that two unrelated vectors share a cell of one E8 block
+BLOCKS = 1  # of E8 a table; a pair must agree in all of them, so more of them lose links
 
 
 def _roots() -> np.ndarray:
@@ -209,13 +207,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLE
     sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     every = vectors.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v"), F.coalesce(sound, F.lit(False)).alias("sound"))
     apart = materialize(every.where("sound").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).where("rep is not null"), "vectors")
-    n = apart.count()
-    blocks = max(1, math.ceil(math.log(max(n, 2) / 4) / math.log(_CELLS_A_BLOCK)))
 
     def hashed(frames):
         for frame in frames:
             for _, part in frame.groupby(frame["v"].map(len)):
-                own, near = cells(_unit(part["v"]), blocks, tables, probes, width)
+                own, near = cells(_unit(part["v"]), BLOCKS, tables, probes, width)
                 rep = part["rep"].to_numpy()
                 key = np.concatenate([own.reshape(-1), near.reshape(-1)]).view(np.int64)
                 yield pd.DataFrame({"cell": key, "rep": np.concatenate([np.repeat(rep, tables), np.repeat(rep, tables * probes)]), "stored": np.arange(len(key)) < own.size})
@@ -235,7 +231,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLE
             lengths = np.diff(table.column("v").combine_chunks().offsets.to_numpy())
             for size in np.unique(lengths):
                 part = table.filter(pa.array(lengths == size))
-                out = _links(part, int(size), blocks, cosine, tables, probes, width)
+                out = _links(part, int(size), BLOCKS, cosine, tables, probes, width)
                 if out is not None:
                     yield out
 
