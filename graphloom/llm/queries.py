@@ -43,7 +43,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(_table(spark, sf_dir, "documents"))
+    return lm.score_documents(_table(spark, sf_dir, "documents"), least=1)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Each operator does the whole job: cases in which a cutoff or a switch by size would lose rows."""
 
+import zlib
+
 import numpy as np
 
 from graphloom.llm import lattice
@@ -27,3 +29,22 @@ def test_near_duplicates_of_many_vectors(spark, tmp_path):
     recall = [float(linked[cosine == c].mean()) for c in (0.91, 0.93, 0.95, 0.97)]
     print("recall", recall)
     assert min(recall) > 0.9 and len(got) == 2 * linked.sum()
+
+
+# --- 8
+
+
+def test_op8_credits_passages_of_one_document(spark, tmp_path):
+    from graphloom.llm import queries
+
+    def words(seed):
+        return np.random.default_rng(seed).permutation([f"w{i}" for i in range(200)]).tolist()
+
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, " ".join(words(i))) for i in range(12) if i not in held]
+    passage = next(t for _, t in rows)
+    rows += [(held[0], passage), (held[1], " ".join(words(999)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op8_lm(spark, str(tmp_path)).collect()}
+    assert got[held[0]]["held_out"] and got[held[1]]["held_out"]
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 0.5 * len(passage.split())
