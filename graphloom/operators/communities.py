@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 
 #: Cosine distance under which clusters of each level merge.
 LEVELS = {2: 0.25, 1: 0.35, 0: 0.75}
-MOST = 6000  # vectors of one clustering; larger inputs are dealt to parts first
+MOST = 6000  # clusters that one task merges; larger inputs merge in rounds first
+BLOCK = 4096
 
 
-def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norm, out=np.zeros_like(vectors, dtype=float), where=norm > 0)
+
+
+def average_linkage(vectors: np.ndarray, threshold: float, size: np.ndarray | None = None) -> np.ndarray:
     """Cluster numbers (by first member) when the nearest clusters merge as long as their mean cosine distance is under the threshold.
 
-    Nearest-neighbour chain: average linkage of unit vectors needs only the sums of each cluster's vectors.
+    Nearest-neighbour chain: average linkage of unit vectors needs only the sums of each cluster's vectors. With size, vectors are
+    such sums of clusters of that many vectors.
     """
     n = len(vectors)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    sums = np.divide(vectors, norm, out=np.zeros_like(vectors, dtype=float), where=norm > 0)
-    size, alive, up = np.ones(n), np.ones(n, dtype=bool), np.arange(n)
+    sums = _unit(vectors) if size is None else vectors.copy()
+    size, alive, up = np.ones(n) if size is None else size.astype(float), np.ones(n, dtype=bool), np.arange(n)
     chain: list[int] = []
     while alive.any():
         if not chain:
@@ -52,26 +58,76 @@ def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     return up
 
 
-def cluster(vectors: DataFrame, threshold: float, parts: int | None = None) -> DataFrame:
-    """id, cluster for vectors(id, v): cluster is the smallest id in it. Exact up to MOST vectors; larger inputs are dealt to parts by the signs of fixed projections, near vectors together, each part exact in itself."""
-    if parts is None:
-        parts = max(1, -(-vectors.count() // MOST))
-    bits = max(0, (parts - 1).bit_length())
+def _nearest(frame: pd.DataFrame) -> pd.DataFrame:
+    """id, near, d: the nearest of the other clusters for each of a pair of blocks (i, j); ties to the smaller id."""
+    i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+    frame = frame.sort_values("id").reset_index(drop=True)
+    a, b = np.flatnonzero(frame["part"] == i), np.flatnonzero(frame["part"] == j)
+    mean = np.stack(frame["s"].to_numpy()) / frame["m"].to_numpy()[:, None]
+    ids = frame["id"].to_numpy()
+    near, best = np.zeros(len(frame), dtype=np.int64), np.full(len(frame), np.inf)
+    for at in range(0, len(a), 512):
+        rows = a[at : at + 512]
+        d = np.round(1 - mean[rows] @ mean[b].T, 12) if len(b) else np.zeros((len(rows), 0))
+        if i == j:
+            d[np.arange(len(rows)), at + np.arange(len(rows))] = np.inf
+        for mine, others, low, k in ((rows, b, d.min(1, initial=np.inf), 1), (b, rows, d.min(0, initial=np.inf), 0)):
+            if (i == j and k == 0) or not d.size:
+                continue
+            better = low < best[mine]
+            near[mine[better]] = others[d.argmin(k)[better]]
+            best[mine[better]] = low[better]
+    some = np.isfinite(best)
+    return pd.DataFrame({"id": ids[some], "near": ids[near[some]], "d": best[some]})
+
+
+def cluster(vectors: DataFrame, threshold: float) -> DataFrame:
+    """id, cluster for vectors(id, v): cluster is the smallest id in it. Exact at every size.
+
+    Up to MOST clusters merge in one task. More merge in rounds first: all pairs that are each other's nearest merge at once, which gives
+    average linkage's own clusters, as a merge never brings a third cluster nearer; clusters with none under the threshold are done.
+    Each round compares all that are left, block by block.
+    """
+    kind = vectors.schema["id"].dataType.simpleString()
 
-    def deal(frames):
+    def unit(frames):
         for f in frames:
-            m = np.array([np.asarray(x, float) for x in f["v"]]) if len(f) else np.zeros((0, 1))
-            planes = np.random.default_rng(5).standard_normal((m.shape[1], bits)) if bits else np.zeros((m.shape[1], 0))
-            yield f.assign(part=((m @ planes > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(f))).astype("int64"))
+            if len(f):
+                yield pd.DataFrame({"id": f["id"], "u": list(np.round(_unit(np.array([np.asarray(x, float) for x in f["v"]])), 12) + 0.0)})
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
+    def finish(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id").reset_index(drop=True)
-        root = average_linkage(np.array([np.asarray(x, float) for x in frame["v"]]), threshold)
-        return pd.DataFrame({"id": frame["id"], "cluster": frame["id"].to_numpy()[root]})
-
-    kind = vectors.schema["id"].dataType.simpleString()
-    dealt = vectors.select("id", "v").mapInPandas(deal, f"id {kind}, v array<double>, part long")
-    return dealt.groupBy("part").applyInPandas(one, f"id {kind}, cluster {kind}")
+        root = average_linkage(np.stack(frame["s"].to_numpy()), threshold, frame["m"].to_numpy())
+        return pd.DataFrame({"id": frame["id"], "up": frame["id"].to_numpy()[root]})
+
+    # Equal directions are at distance 0 and merge before all others; vectors of zeros are near nothing.
+    alone = F.when(F.exists("u", lambda x: x != 0), F.lit("")).otherwise(F.col("id").cast("string"))
+    rows = vectors.select("id", "v").mapInPandas(unit, f"id {kind}, u array<double>").withColumn("alone", alone).checkpoint()
+    reps = rows.groupBy("u", "alone").agg(F.min("id").alias("cluster"), F.count("*").cast("double").alias("m")).checkpoint()
+    of = rows.join(reps.select("u", "alone", "cluster"), ["u", "alone"]).select("id", "cluster").checkpoint()
+    live = reps.select(F.col("cluster").alias("id"), F.transform("u", lambda x: x * F.col("m")).alias("s"), "m")
+    n = live.count()
+    while n > MOST:
+        blocks = -(-n // BLOCK)
+        parts = live.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        met = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "s", "m", "part", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"))
+        found = met.groupBy("i", "j").applyInPandas(_nearest, f"id {kind}, near {kind}, d double")
+        near = found.groupBy("id").agg(F.min(F.struct("d", "near")).alias("x")).select("id", "x.near", "x.d").where(F.col("d") < threshold).checkpoint()
+        if near.isEmpty():
+            return of
+        back = near.select(F.col("id").alias("near"), F.col("near").alias("id"))
+        pairs = near.where("id < near").join(back, ["id", "near"]).select(F.col("id").alias("low"), F.col("near").alias("high")).checkpoint()
+        if pairs.isEmpty():  # ties that rounding parts
+            pairs = near.orderBy("d", F.least("id", "near"), F.greatest("id", "near")).limit(1).select(F.least("id", "near").alias("low"), F.greatest("id", "near").alias("high")).checkpoint()
+        # Those left, each under the smaller id of its pair.
+        left = live.join(near.select("id"), "id", "left_semi")
+        gone = left.join(pairs.withColumnRenamed("high", "id"), "id").select(F.col("low").alias("id"), F.col("s").alias("s2"), F.col("m").alias("m2"))
+        left = left.join(pairs.select(F.col("high").alias("id")), "id", "left_anti").join(gone, "id", "left")
+        live = left.select("id", F.when(F.col("m2").isNull(), F.col("s")).otherwise(F.zip_with("s", "s2", lambda x, y: x + y)).alias("s"), (F.col("m") + F.coalesce("m2", F.lit(0.0))).alias("m")).checkpoint()
+        of = of.join(pairs.withColumnRenamed("high", "cluster"), "cluster", "left").select("id", F.coalesce("low", "cluster").alias("cluster")).checkpoint()
+        n = live.count()
+    last = live.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(finish, f"id {kind}, up {kind}").withColumnRenamed("id", "cluster")
+    return of.join(last, "cluster", "left").select("id", F.coalesce("up", "cluster").alias("cluster"))
 
 
 def hierarchy(vectors: DataFrame, thresholds: dict[int, float] = LEVELS) -> DataFrame:
