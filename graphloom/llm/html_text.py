@@ -2,8 +2,8 @@
 
 A page is read into a tree by a scan over its tags (with the usual implied ends). Every node has characters, link characters, tags and link
 tags; its composite density is characters per tag, damped by the share and number of links. The densities of a node's children are
-added up; the element of the greatest sum is the article, the least density on its path up to the body is the threshold by which
-further parts outside it count as content.
+added up; the article is the element of the greatest sum or the article or main around it, without parts that are mostly links; the least
+density on the path from the first up to the body is the threshold by which further parts outside the article count as content.
 
 Defined cases: null and empty pages give ''; pages cut off anywhere are read as far as they go; character references are decoded, unknown
 ones stay; pages without any block element give their text as one block; an empty table gives no rows; further columns are ignored.
@@ -176,6 +176,27 @@ def _blocks(node: Node, chosen: set[int] | None, out: list[str]) -> None:
     end()
 
 
+def _text_part(node: Node) -> bool:
+    """Whether a part beside dense text belongs to it: a heading, or text that is not mostly links."""
+    return node.name in HEADINGS or 2 * node.link_chars < node.chars
+
+
+def _around(best: Node) -> Node:
+    """The article or main around the densest element; without one, the furthest element that holds only text parts beside it."""
+    node = best
+    while node is not None and node.name not in ("article", "main", "body"):
+        node = node.up
+    if node is not None and node.name != "body":
+        return node
+    node = best
+    while node.up is not None and node.up.up is not None and node.up.name != "body":
+        beside = [c for c in node.up.children if isinstance(c, Node) and not c.out and c is not node and c.chars]
+        if not all(_text_part(c) for c in beside):
+            break
+        node = node.up
+    return node
+
+
 def extract(page: str | None) -> str:
     """The main text of a page, one line per block."""
     if not page:
@@ -195,9 +216,16 @@ def extract(page: str | None) -> str:
         path.append(node)
         node = node.up
     threshold = min([n.density for n in path if n.density > 0], default=0.0)
-    chosen = {id(best)}
+    around = _around(best) if best.up is not None and best.name != "body" else best
+    node = best
+    while node is not around:
+        for c in node.up.children:
+            if isinstance(c, Node) and c is not node and c.chars and not _text_part(c):
+                c.out = True
+        node = node.up
+    chosen = {id(around)}
     # Beside the path, whole parts as dense as the path and with a sum of their own belong to the article too.
-    for n in path:
+    for n in path[path.index(around) if around in path else 0 :]:
         chosen.update(id(c) for c in n.up.children if isinstance(c, Node) and not c.out and c is not n and threshold > 0 and c.density >= threshold and (c.sum >= threshold or c.name in ("p", *HEADINGS)))
     out: list[str] = []
     _blocks(root, chosen, out)

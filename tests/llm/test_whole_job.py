@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from graphloom.llm import lattice
+from graphloom.llm import html_text, lattice
 
 
 # --- 5
@@ -48,3 +48,19 @@ def test_op8_credits_passages_of_one_document(spark, tmp_path):
     got = {r["doc_id"]: r for r in queries.op8_lm(spark, str(tmp_path)).collect()}
     assert got[held[0]]["held_out"] and got[held[1]]["held_out"]
     assert got[held[0]]["score"] > got[held[1]]["score"] + 0.5 * len(passage.split())
+
+
+# --- 10
+
+
+def prose(tag, n, size):
+    return "".join(f"<p>{tag}{i} {'word ' * (size // 5)}</p>" for i in range(n))
+
+
+def test_html_keeps_sections_title_and_lead():
+    title, lead = "A title of some forty characters in all", "lead " * 40
+    inner = f"<h1>{title}</h1><div><p>{lead}</p></div><section>{prose('a', 10, 300)}</section><section>{prose('b', 3, 300)}</section><section>{prose('c', 6, 120)}</section>"
+    links = "<div>" + "".join(f'<a href="/{i}">Another page {i}</a> ' for i in range(12)) + "</div>"
+    for page in (f"<main><article>{inner}</article></main>", f"<main>{inner}</main>", f"<article>{inner}{links}</article>", f"<div id=x><div>{inner}</div></div>"):
+        got = html_text.extract(f"<body><nav>Home</nav>{page}<footer>End</footer></body>").split("\n")
+        assert got[:2] == [title, lead.strip()] and [g.split()[0] for g in got[2:]] == [f"{t}{i}" for t, n in (("a", 10), ("b", 3), ("c", 6)) for i in range(n)]
