@@ -295,7 +295,7 @@ def vector_topk_batch(spark, d):
 h AS (SELECT 'name' || label AS name, score, vec_id % 3 AS origin FROM s) SELECT name, max(score) AS score, count(*) AS hits FROM h GROUP BY name""")
 def vector_multi_merge(spark, d):
     e = _vectors(spark, d)
-    hits = search.vector_top_k(e, e.where("vec_id = 0").first()["embedding"], 1_000_000, None)
+    hits = search.vector_top_k(e, e.where("vec_id = 0").first()["embedding"], None, None)
     rows = hits.select(F.concat(F.lit("Name"), F.col("label").cast("string")).alias("name"), "score", F.pmod("vec_id", F.lit(3)).cast("int").alias("origin"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"), F.lit("thing").alias("type"))
     counts = rows.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("hits"))
     return search.merge_hits(rows).join(counts, "name").select("name", "score", "hits")

@@ -16,13 +16,13 @@ def with_unit(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn("unit", S.unit(F.col(column)))
 
 
-def vector_top_k(vectors: DataFrame, query: list[float], k: int = 500, least: float | None = 0.45, where: Column | None = None, id_column: str = "vec_id") -> DataFrame:
-    """The k best by cosine with one query that is a parameter; ties to the smaller id. Each task keeps k rows, so nothing else is moved."""
+def vector_top_k(vectors: DataFrame, query: list[float], k: int | None = 500, least: float | None = 0.45, where: Column | None = None, id_column: str = "vec_id") -> DataFrame:
+    """The k best by cosine with one query that is a parameter; ties to the smaller id. Each task keeps k rows, so nothing else is moved. Without k all, in no order."""
     q = F.array(*(F.lit(float(x)) for x in query))
     scored = (vectors if where is None else vectors.where(where)).withColumn("score", F.round(S.cosine(F.col("embedding"), q), 6))
     if least is not None:
         scored = scored.where(F.col("score") >= least)
-    return scored.orderBy(F.desc("score"), id_column).limit(k)
+    return scored if k is None else scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
 def vector_top_k_each(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, blocks: int = 1) -> DataFrame:

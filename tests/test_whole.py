@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from graphloom.operators import communities
+from graphloom.operators import communities, search
 
 
 @pytest.mark.parametrize("threshold", [0.25, 0.75])
@@ -19,3 +19,14 @@ def test_clusters_of_many_vectors_are_exact(spark, monkeypatch, threshold):
     monkeypatch.setattr(communities, "BLOCK", 128, raising=False)
     got = {x["id"]: x["cluster"] for x in communities.cluster(df, threshold).collect()}
     assert [got[i] for i in range(len(v))] == want.tolist()
+
+
+def test_merge_of_all_hits_has_no_limit(spark, tmp_path):
+    from graphloom.catalog import vector_multi_merge
+
+    df = spark.createDataFrame([(i, [1.0, float(i)], i % 2) for i in range(6)], "vec_id long, embedding array<double>, label int")
+    assert search.vector_top_k(df, [1.0, 0.0], None, None).count() == 6
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = vector_multi_merge(spark, str(tmp_path))
+    assert {r["name"]: r["hits"] for r in got.collect()} == {"name0": 3, "name1": 3}
+    assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
