@@ -311,6 +311,34 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stand for their class (smallest doc_id) and those that link with nothing, with all their columns."""
-    out = link_documents(docs, k, percent).where("component_id is null or doc_id = component_id").select("doc_id")
-    return docs.join(out.where("doc_id is not null").distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """The documents that stand for their class (smallest doc_id) and those that link with nothing, with all their columns.
+
+    Rows with a null or repeated doc_id take part under keys of their own, so one row of each class stays; a null doc_id only where the
+    class has no other.
+    """
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    repeated = materialize(repeated, "repeated")
+    odd = docs.where("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi"))
+    key, own = "_graphloom_key", "_graphloom_own"
+    odd = materialize(odd.select(*docs.columns, F.monotonically_increasing_id().alias(own)), "odd")
+    if odd.isEmpty():
+        out = link_documents(docs, k, percent).where("component_id is null or doc_id = component_id").select("doc_id")
+        return docs.join(out.distinct(), "doc_id", "left_semi")
+    plain = docs.where("doc_id is not null").join(repeated, "doc_id", "left_anti")
+    # Keys that no document has: above the largest doc_id, or below the smallest where there is no room.
+    ends = docs.agg(F.max(F.col("doc_id").cast("long")).alias("high"), F.min(F.col("doc_id").cast("long")).alias("low")).first()
+    last = odd.agg(F.max(own)).first()[0]
+    high, low = ends["high"] or 0, ends["low"] or 0
+    if high + last + 1 < 1 << 63:
+        odd = odd.withColumn(key, F.lit(high + 1) + F.col(own))
+    elif low - last - 1 >= -(1 << 63):
+        odd = odd.withColumn(key, F.lit(low - 1) - F.col(own))
+    else:
+        raise ValueError("doc_id leaves no room for keys of null and repeated ids")
+    rows = plain.select(F.col("doc_id").cast("long"), "text").unionByName(odd.select(F.col(key).alias("doc_id"), "text"))
+    linked = materialize(link_documents(rows, k, percent), "linked").withColumnRenamed("doc_id", key)
+    ids = linked.join(odd.select(key, F.col("doc_id").cast("long").alias("id"), F.lit(True).alias("is_odd")), key, "left")
+    order = F.struct(F.when(F.col("is_odd"), F.col("id").isNull()).otherwise(False).alias("lost"), F.when(F.col("is_odd"), F.col("id")).otherwise(F.col(key)).alias("id"), F.col(key).alias("key"))
+    kept = materialize(ids.groupBy("component_id").agg(F.min(order).alias("least")).select(F.col("least.key").alias(key)), "kept")
+    some = plain.join(kept.select(F.col(key).alias("doc_id")), "doc_id", "left_semi").select(*docs.columns)
+    return some.unionByName(odd.join(kept, key, "left_semi").select(*docs.columns))

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from graphloom.llm import html_text, lattice
+from graphloom.llm import html_text, jaccard, lattice
 
 
 # --- 5
@@ -64,3 +64,21 @@ def test_html_keeps_sections_title_and_lead():
     for page in (f"<main><article>{inner}</article></main>", f"<main>{inner}</main>", f"<article>{inner}{links}</article>", f"<div id=x><div>{inner}</div></div>"):
         got = html_text.extract(f"<body><nav>Home</nav>{page}<footer>End</footer></body>").split("\n")
         assert got[:2] == [title, lead.strip()] and [g.split()[0] for g in got[2:]] == [f"{t}{i}" for t, n in (("a", 10), ("b", 3), ("c", 6)) for i in range(n)]
+
+
+# --- pipeline
+
+
+def test_one_row_of_each_class_stays(spark):
+    def words(seed):
+        return " ".join(f"w{k}" for k in np.random.default_rng(seed).integers(0, 10**6, 60))
+
+    rows = [(None, words(1)), (None, words(1)), (None, words(1) + " more"), (7, words(2)), (7, words(2)), (None, words(2)), (9, words(3)), (9, words(4)), (5, words(4)), (None, ""), (4, None), (2, words(5)), (3, words(5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard.one_of_each(df).collect()]
+    plain = [x for x in got if x[1]]
+    assert sorted((x for x in plain if x[0] is not None)) == sorted([(7, words(2)), (9, words(3)), (5, words(4)), (2, words(5))])
+    assert len([x for x in plain if x[0] is None]) == 1 and {x for x in got if not x[1]} == {(None, ""), (4, None)}
+    assert jaccard.one_of_each(df).columns == df.columns and jaccard.one_of_each(df.limit(0)).count() == 0
+    alone = df.where("doc_id < 5")
+    assert {r["doc_id"] for r in jaccard.one_of_each(alone).collect()} == {2, 4}
