@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new temporary one where that is unset."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(sc, "_graphloom_shared", None)
         if base is None:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="graphloom-")
             sc._graphloom_shared = base
             sc.setCheckpointDir(base)
@@ -71,6 +75,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# --- memory of a worker process --------------------------------------------------------------------
+
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, forget: Callable[[], None]) -> None:
+    """Says that owner now holds a store in this worker, and empties those of all others: workers are used again by later stages."""
+    for name in [x for x in _KEPT if x != owner]:
+        _KEPT.pop(name)()
+    if owner not in _KEPT:
+        _KEPT[owner] = forget
+        tidy()
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 # --- words ---------------------------------------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,6 +108,7 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
+LONG_RANGE = 256
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +133,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[s:e] for every range, through one prefix sum of a polynomial modulo 2**64."""
+    """64-bit hashes of data[s:e] for every range, through one prefix sum of a polynomial modulo 2**64.
+
+    Strings of about a thousand bytes can be made that collide under any such polynomial; ranges above LONG_RANGE bytes take BLAKE2b.
+    """
     power, inverse = _powers(len(data))
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts])
+    out = mix((prefix[ends] - prefix[starts]) * inverse[starts])
+    for i in np.flatnonzero(ends - starts > LONG_RANGE).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 class Words:

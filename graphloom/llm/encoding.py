@@ -9,6 +9,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import keep
+
 
 def public_path(name: str) -> str:
     import public_tokenizers
@@ -37,7 +39,7 @@ class StretchEncoder:
     is emptied, so memory is bounded.
     """
 
-    def __init__(self, cut: Callable[[str], list], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], lead: str = "", entries: int = 900_000):
+    def __init__(self, cut: Callable[[str], list], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], lead: str = "", entries: int = 400_000):
         self.cut, self.encode, self.lead, self.entries = cut, encode, lead, entries
         self._empty()
 
@@ -89,14 +91,17 @@ def in_a_row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokenizer(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda texts: in_a_row([e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
 
 
+# Added tokens of these tokenizers begin so. They are taken out of a text before its pattern applies, so a stretch that may hold one
+# isn't cut into pieces; none holds or takes in white space, so texts may still be cut at spaces.
+ADDED = "<|"
+
 # The patterns by which the public tokenizers split a text before any merge.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -105,11 +110,11 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 def _cut_at_spaces(text: str) -> list:
     """A byte-level pattern never joins a single space to what stands before it, so a text falls apart before each one.
 
-    Runs of spaces may become one token, so a text with such runs is one stretch.
+    Runs of spaces may become one token, and so may white space before an added token, so a text with either is one stretch.
     """
     if not text:
         return []
-    if "  " in text:
+    if "  " in text or ADDED in text:
         return [(text,)]
     parts: list = text.split(" ")
     parts[0] = (parts[0],)
@@ -125,7 +130,8 @@ def byte_level(path: str) -> StretchEncoder:
     import regex
 
     pieces = regex.compile(BYTE_PATTERN).findall
-    return StretchEncoder(_cut_at_spaces, StretchEncoder(pieces, _tokenizer(path)), lead=" ")
+    cut = lambda stretch: [stretch] if ADDED in stretch else pieces(stretch)
+    return StretchEncoder(_cut_at_spaces, StretchEncoder(cut, _tokenizer(path)), lead=" ")
 
 
 def word_level(path: str) -> StretchEncoder:
@@ -135,7 +141,7 @@ def word_level(path: str) -> StretchEncoder:
     pieces, nfc = regex.compile(WORD_PATTERN).findall, unicodedata.normalize
 
     def cut(stretch: str) -> list:
-        if "\u03a3" in stretch:  # Python lowers a sigma by its place in the word, the tokenizer doesn't
+        if "\u03a3" in stretch or ADDED in stretch:  # Python lowers a sigma by its place in the word, the tokenizer doesn't
             return [stretch]
         return pieces(nfc("NFC", stretch).lower())
 
@@ -148,6 +154,7 @@ _OPEN: dict[tuple[str, str], StretchEncoder] = {}
 
 def encoder(kind: str, path: str) -> StretchEncoder:
     """One encoder per worker process."""
+    keep("encoders", _OPEN.clear)
     if (kind, path) not in _OPEN:
         _OPEN[kind, path] = KINDS[kind](path)
     return _OPEN[kind, path]

@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, Words, blocks, components, materialize, mix, shingle_hashes, shuffle_partitions
+from .common import UnionFind, Words, blocks, components, keep, materialize, mix, shingle_hashes, shuffle_partitions, tidy
 
 FREQUENT, MOST_FREQUENT = 48, 400_000  # repeats that make a shingle come late in the order; how many such are kept at most
 GROUP, LONG, BLOCK = 384, 48, 256
-_WINDOW = 3_000_000
+GROUP_SHINGLES = 1 << 20  # a group that is searched together holds about so many hashes at most, besides one document
+_WINDOW = 1_000_000
+_SLICE = 1024  # rows of an Arrow batch that are worked on at once
 
 
 def overlap(nx, ny, percent: int):
@@ -115,25 +117,34 @@ def linked_classes(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     return [(i, int(r)) for i, r in enumerate(root) if i != r]
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(at, _SLICE)
+
+
 def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that repeat often and their counts: at most MOST_FREQUENT, those above the least power of two that leaves so few."""
 
     def count(batches):
+        keep("jaccard", tidy)
         held, n = [], 0
 
         def flush():
             h, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], names=["h", "n"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for s in document_sets(batch.column("text").cast(pa.binary()).to_pylist(), k):
                 held.append(s)
                 n += len(s)
                 if n >= _WINDOW:
                     yield flush()
-                    held, n = [], 0
+                    n = 0
         if held:
             yield flush()
+        tidy()
 
     counts = materialize(docs.select(F.col("text").cast("string")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
     least, left = 1 << 62, MOST_FREQUENT
@@ -156,25 +167,26 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), *((c, pa.int64()) for c in ("s1", "s2", "low", "high")), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
+        keep("jaccard", tidy)
         often, times = shared.value
-        for batch in batches:
-            rows = []
-            for s in document_sets(batch.column("text").cast(pa.binary()).to_pylist(), k):
+        for batch in _slices(batches):
+            rows, prefixes = np.zeros((batch.num_rows, 5), dtype=np.int64), []
+            for i, s in enumerate(document_sets(batch.column("text").cast(pa.binary()).to_pylist(), k)):
                 n = len(s)
                 if not n:
-                    rows.append((0, 0, 0, 0, 0, None))
+                    prefixes.append(s)
                     continue
-                s1, s2 = mix(s).sum().view(np.int64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64)
+                rows[i] = n, mix(s).sum().view(np.int64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64), *s[[0, -1]].view(np.int64)
                 p = n - -(-percent * n // 100) + 1
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     rank = np.where(often[at] == s, times[at], 0)
-                    prefix = s[np.argsort(rank, kind="stable")[:p]]
-                else:
-                    prefix = s[:p]
-                rows.append((n, int(s1), int(s2), int(s[:1].view(np.int64)[0]), int(s[-1:].view(np.int64)[0]), prefix.view(np.int64)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.int64()))], schema=schema)
+                    s = s[np.argsort(rank, kind="stable")[:p]]
+                prefixes.append(s[:p].copy())
+            edges = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[:, c]) for c in range(5)), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], schema=schema)
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SETS)
 
@@ -211,6 +223,7 @@ def _meet(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     met = rows.join(texts.hint("merge"), "doc_id").repartition(n, "g", "part").sortWithinPartitions("g", "part")
 
     def run(batches):
+        keep("jaccard", tidy)
         for _, table in _groups(batches, ("g", "part")):
             ids = table.column("doc_id").to_pylist()
             if len(ids) < 2:
@@ -218,18 +231,20 @@ def _meet(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
             out = linked_classes(list(document_sets(table.column("text").cast(pa.binary()).to_pylist(), k)), percent)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in out], pa.int64()), pa.array([ids[b] for _, b in out], pa.int64())], schema=_EDGE)
+        tidy()
 
     return met.select("g", "part", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
 def _split(rows: DataFrame, size: int, salt: int) -> DataFrame:
-    """rows(g, doc_id) with a part, about size rows of a g each; without groups of one."""
-    many = rows.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-    return rows.join(many, "g").select("g", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(F.col("m") / size)).alias("part"), "doc_id")
+    """rows(g, doc_id, n) with a part, about size rows and GROUP_SHINGLES hashes of a g each; without groups of one."""
+    many = rows.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
+    parts = F.greatest(F.ceil(F.col("m") / size), F.ceil(F.col("s") / GROUP_SHINGLES))
+    return rows.join(many, "g").select("g", F.pmod(F.xxhash64("doc_id", F.lit(salt)), parts).alias("part"), "doc_id")
 
 
 def _candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of different classes whose prefixes share enough. reps: doc_id, n, class, prefix."""
+    """Pairs (a, b, n of b) of documents of different classes whose prefixes share enough. reps: doc_id, n, class, prefix."""
     p = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     posts = reps.select("doc_id", "n", p.alias("p"), "class", F.explode("prefix").alias("h"))
     busy = materialize(posts.groupBy("h").agg(F.count("*").alias("m"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("m > 1 and lo <> hi").select("h", "m"), "busy")
@@ -243,7 +258,7 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
     near = (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("class_x") != F.col("class_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     pairs = x.join(y, "h").where(near).groupBy("doc_id_x", "doc_id_y", "n_x", "n_y", "p_x", "p_y", "longs_x", "longs_y").agg(F.count("*").alias("c"))
     pairs = pairs.where(F.col("c") >= need(F.col("n_x"), F.col("p_x"), F.col("n_y"), F.col("p_y")) - F.least("longs_x", "longs_y"))
-    found = pairs.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
+    found = pairs.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), F.col("n_y").alias("n"))
     if long.isEmpty():
         return found
 
@@ -254,14 +269,14 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
     met = met.join(reps.select("doc_id", "prefix"), "doc_id").repartition(shuffle_partitions(reps.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j")
 
     def block(batches):
+        keep("jaccard", tidy)
         for (_, i, j), table in _groups(batches, ("h", "i", "j")):
             ids, n, p, own, part = (table.column(c).to_numpy() for c in ("doc_id", "n", "p", "class", "part"))
             if len(np.unique(own)) < 2:
                 continue
-            sets = [np.sort(np.asarray(s, dtype=np.int64)).view(np.uint64) for s in table.column("prefix").to_pylist()]
-            sets = [np.sort(s) for s in sets]
+            sets = [np.sort(s.values.to_numpy().view(np.uint64)) for s in table.column("prefix")]
             lists = Lists(sets)
-            a, b = [], []
+            a, b, size = [], [], []
             for q in range(len(ids)):
                 if part[q] != i:
                     continue
@@ -273,12 +288,14 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
                 least = np.maximum(1, overlap(n, n[q], percent) - np.maximum(n - p, n[q] - p[q]))
                 near, count = lists.search(sets[q], int(least[allowed].min()), allowed)
                 near = near[count >= least[near]]
-                a += [int(ids[q])] * len(near)
-                b += ids[near].tolist()
+                a += np.minimum(ids[near], ids[q]).tolist()
+                b += np.maximum(ids[near], ids[q]).tolist()
+                size += np.where(ids[near] > ids[q], n[near], n[q]).tolist()
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], schema=_EDGE)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, size)], names=["a", "b", "n"])
+        tidy()
 
-    return found.unionByName(met.mapInArrow(block, "a long, b long")).distinct()
+    return found.unionByName(met.mapInArrow(block, "a long, b long, n long")).distinct()
 
 
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -288,15 +305,15 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     key = ("n", "s1", "s2")
     whole = sets.where("n > 0 and doc_id is not null")
     reps = materialize(whole.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("prefix").alias("prefix")), "reps")
-    ids = reps.select(F.col("rep").alias("doc_id"), "low", "high")
-    first = _split(ids.select(F.col("low").alias("g"), "doc_id"), GROUP, 1)
-    second = _split(ids.select(F.col("high").alias("g"), "doc_id"), GROUP, 2).withColumn("part", -1 - F.col("part"))
+    ids = reps.select(F.col("rep").alias("doc_id"), "n", "low", "high")
+    first = _split(ids.select(F.col("low").alias("g"), "doc_id", "n"), GROUP, 1)
+    second = _split(ids.select(F.col("high").alias("g"), "doc_id", "n"), GROUP, 2).withColumn("part", -1 - F.col("part"))
     early = components(_meet(docs, first.unionByName(second), k, percent))
     named = reps.join(early.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("rep").alias("doc_id"), "n", F.coalesce("component", "rep").alias("class"), "prefix")
     named = materialize(named, "classes")
     pairs = materialize(_candidates(named, percent), "candidates")
     # Every candidate is verified in a group of its first document, which stands in each part with some of its partners.
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    parts = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("k"))
     dealt = pairs.join(parts, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("k")).alias("part"), "b")
     rows = dealt.select("g", "part", F.col("b").alias("doc_id")).unionByName(dealt.select("g", "part", F.col("g").alias("doc_id")).distinct())
     late = _meet(docs, rows, k, percent)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Words, blocks, mix, range_hashes
+from .common import _LOWER, Words, blocks, keep, mix, range_hashes, tidy
 
 BITS = 18
 MAX_TRAIN = 6000
@@ -103,6 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id")  # at most max_train rows of 12 bytes
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        keep("quality", tidy)
         group = group.sort_values(["h", "doc_id", "text"])
         weights = fit([((t or "").encode(), int(v)) for t, v in zip(group["text"], group["y"], strict=True)], bits)
         return pd.DataFrame({"weights": [weights.tobytes()]})
@@ -118,6 +119,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, column: s
     schema = docs.select(rest).schema.add(column, "double")
 
     def run(batches):
+        keep("quality", tidy)
         w = shared.value.astype(np.float64)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()

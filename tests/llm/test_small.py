@@ -96,7 +96,6 @@ def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(encoding.public_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
     want, at = [], 0
     for i, x in rows:
@@ -123,8 +122,7 @@ def test_stretches_encode_like_whole_texts(kind, name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(encoding.public_path(name))
-    t.encode_special_tokens = True
-    texts = ["", " ", "a  b", "a   b c", "x \ny", "x\n y \t z", "it's 's  q", "ﬁ ́x ǅ İ ΣΑΣ", "end ", "\n\n a\r\n b", "<|endoftext|> x", "a b", "é\x85 z", "Å ½ x²3 ١٢ don'T"]
+    texts = ["", " ", "a  b", "a   b c", "x \ny", "x\n y \t z", "it's 's  q", "ﬁ ́x ǅ İ ΣΑΣ", "end ", "\n\n a\r\n b", "<|endoftext|> x", "a<|endoftext|>b c", "x\n <|endoftext|>", "n <|endoftext|>  <|startoftext|> y", "<|STARTOFTEXT|> z", "q<|endoftext|", "a b", "é\x85 z", "Å ½ x²3 ١٢ don'T"]
     ids, begin = encoding.encoder(kind, encoding.public_path(name))(texts)
     assert [ids[a:b].tolist() for a, b in itertools.pairwise(begin)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
