@@ -5,7 +5,8 @@ tags; its composite density is characters per tag, damped by the share and numbe
 added up; the article is the element of the greatest sum or the article or main around it, without parts that are mostly links; the least
 density on the path from the first up to the body is the threshold by which further parts outside the article count as content.
 
-Defined cases: null and empty pages give ''; pages cut off anywhere are read as far as they go; character references are decoded, unknown
+Defined cases: null and empty pages give ''; pages cut off anywhere are read as far as they go, a tag cut off or with an open quote gives
+no text; parts with a class like "sidebar" are no article, and with one like "related-work" only if their density says so; character references are decoded, unknown
 ones stay; pages without any block element give their text as one block; an empty table gives no rows; further columns are ignored.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,96 +28,173 @@ DROPPED = frozenset("head script style noscript template iframe svg math canvas
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html tbody td tfoot th thead tr li dd dt legend summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|rail|widget|footer|header|masthead|topbar|comments?|comment-?list|replies|reply|disqus|respond|share|sharing|social|related|recommended|pagination|pager|skip|toolbar)(?:$|[\s_-])", re.I)
+ITEMS = frozenset("li ul ol menu dt dd dl tr td th table option select".split())
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
+SCOPES = frozenset("table td th".split())
+CROSSING = frozenset("table tr tbody body".split())  # end tags that close cells, too
+UNLIKELY = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal newsletter subscribe signup login nav navbar navigation "
+    "menu breadcrumb breadcrumbs sidebar side aside rail widget footer header masthead topbar comment comments commentlist replies reply disqus respond share sharing social "
+    "related recommended pagination pager skip toolbar".split()
+)
+#: Words that say where or how a part stands, not what it is.
+NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons card cards col column container content count desktop fixed form global google group holder icons inner item items js left "
+    "link links list main message mobile outer overlay page panel policy post posts articles stories primary reader reader's right row secondary section site slot small sticky "
+    "text thread title top ui unit user wrap wrapper".split()
+)
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|!\[CDATA\[|[!?])")
+_STOP = re.compile(r">|=\s*([\"'])")
+_ATTRIBUTE = re.compile(r"([^\s\"'/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_NAME_PART = re.compile(r"[A-Z]?[a-z']+|[A-Z]+(?![a-z])|[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "name", "out", "sum", "tags", "up")
+    __slots__ = ("children", "chars", "density", "doubt", "item", "link_chars", "link_tags", "name", "near", "out", "sum", "tags", "titles", "up")
 
-    def __init__(self, name: str, up: Node | None, out: bool = False):
-        self.name, self.up, self.out = name, up, out
+    def __init__(self, name: str, up: Node | None, out: bool = False, doubt: bool = False):
+        self.name, self.up, self.out, self.doubt = name, up, out, doubt
+        self.near: Node = self if name in BLOCK or up is None else up.near  # the innermost block that it is or stands in
+        self.item: Node | None = self if name in ITEMS else up.item if up is not None else None
         self.children: list[Node | str] = []
-        self.chars = self.link_chars = self.tags = self.link_tags = 0
+        self.chars = self.link_chars = self.tags = self.link_tags = self.titles = 0
         self.density = self.sum = 0.0
 
 
-def _unlikely(name: str, attributes: str) -> bool:
-    """Whether an element is no part of an article, by its name or attributes."""
+def _unlikely(name: str, attributes: str) -> tuple[bool, bool]:
+    """(whether an element is no part of an article by its name or attributes, whether a word of its class or id only hints at that).
+
+    A class or id of unlikely and neutral words decides; one that joins an unlikely word to others is a hint for the densities to confirm.
+    """
     if name in DROPPED:
-        return True
+        return True, False
     if not attributes or name in ("body", "html", "article", "main"):
-        return False
+        return False, False
+    hint = False
     for key, *values in _ATTRIBUTE.findall(attributes):
-        value = _html.unescape(values[0] or values[1] or values[2])
         key = key.lower()
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in UNLIKELY_ROLES or key in ("class", "id") and UNLIKELY.search(value):
-            return True
-    return False
+        if key not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
+        value = _html.unescape(values[0] or values[1] or values[2])
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in UNLIKELY_ROLES:
+            return True, False
+        if key in ("class", "id"):
+            for word in value.split():
+                parts = {x.lower() for x in _NAME_PART.findall(word)}
+                if parts & UNLIKELY:
+                    if parts <= UNLIKELY | NEUTRAL:
+                        return True, False
+                    hint = True
+    return False, hint
+
+
+class _Quotes:
+    """Where tags end. What a page lacks from some place on is looked for once, so a scan of any page is linear."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, {}
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.none.get(what, len(self.page) + 1):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none[what] = at
+        return found
+
+    def end(self, at: int) -> tuple[int, int]:
+        """(end of the attributes, place after the tag) of a tag whose attributes begin at a place.
+
+        A quote that isn't closed, or is closed by the quote that opens a later value, ends with the next >; a tag that isn't, with the page.
+        """
+        while True:
+            m = _STOP.search(self.page, at)
+            if not m:
+                return len(self.page), len(self.page)
+            if not m[1]:
+                return m.start(), m.end()
+            close = self.find(m[1], m.end())
+            end = self.find(">", m.end())
+            if close < 0 or 0 <= end < close and self.page[close - 1] == "=":
+                return (end, end + 1) if end >= 0 else (len(self.page), len(self.page))
+            at = close + 1
 
 
 def parse(page: str) -> Node:
-    """The tree of a page."""
+    """The tree of a page, in time linear in its length."""
     root = node = Node("html", None)
-    at, size = 0, len(page)
+    at, size, quotes = 0, len(page), _Quotes(page)
+    total: Counter[str] = Counter()  # open elements by name
+    scopes: list[tuple[Node, Counter[str]]] = [(root, Counter())]  # the same since each open table or cell
+
+    def leave(target: Node) -> Node:
+        """Closes everything inside target and target itself."""
+        at = node
+        while True:
+            if at.name in SCOPES:
+                scopes.pop()
+            scopes[-1][1][at.name] -= 1
+            total[at.name] -= 1
+            if at is target:
+                return at.up
+            at = at.up
+
     while at < size:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
         begin = m.start() if m else size
         if begin > at:
             node.children.append(page[at:begin])
         if not m:
             break
-        at = m.end()
-        name = m[2]
-        if not name:
+        if m[2] is None:
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            end = quotes.find(close, m.end())
+            at = end + len(close) if end >= 0 else size
             continue
-        name = name.lower()
+        name = m[2].lower()
+        stop, at = quotes.end(m.end())
         if m[1]:
-            up = node
-            while up is not None and up.name != name:
-                if up.name in ("table", "td", "th") and name not in ("table", "tr", "tbody", "body", "html"):
-                    up = None
-                    break
-                up = up.up
-            if up is not None and up.up is not None:
-                node = up.up
+            inside, open_ = scopes[-1]
+            if name in CROSSING and total[name] or name in ("td", "th") and inside.name == name or name not in SCOPES and open_[name]:
+                up = node
+                while up.name != name:
+                    up = up.up
+                if up.up is not None:
+                    node = leave(up)
             continue
-        if name in ("html", "body") and node.up is None and name == "html":
+        attributes = page[m.end() : stop]
+        if name == "html":
             continue
-        if name in CLOSES_P:
-            up = node
-            while up.up is not None and up.name != "p" and up.name not in BLOCK:
-                up = up.up
-            if up.name == "p":
-                node = up.up
-            if name in HEADINGS and node.name in HEADINGS:
-                node = node.up
-        elif name in ENDS:
-            ended, within = ENDS[name]
-            up = node
-            while up is not None and up.name not in ended and up.name not in within:
-                up = up.up
-            if up is not None and up.name in ended:
-                node = up.up
-                while node.name in ended:
-                    node = node.up
-        if name == "body" and node.up is not None:  # the head ends
+        if name in CLOSES_P and node.near.name == "p":
+            node = leave(node.near)
+        if name in HEADINGS and node.name in HEADINGS:
+            node = leave(node)
+        if name in ("tr", "td", "th") and scopes[-1][0].name in ("td", "th"):
+            node = leave(scopes[-1][0])
+        if name in ENDS:
+            while node.item is not None and node.item.name in ENDS[name]:
+                node = leave(node.item)
+        if name == "body":  # the head ends
             while node.up is not None:
-                node = node.up
-        new = Node(name, node, node.out or _unlikely(name, m[3]))
+                node = leave(node)
+        out, doubt = (True, False) if node.out else _unlikely(name, attributes)
+        new = Node(name, node, out, doubt)
         node.children.append(new)
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = _END[name].search(page, at)
             stop = end.start() if end else size
             new.children.append(page[at:stop])
             at = end.end() if end else size
-        elif name not in VOID and not m[3].endswith("/") or name in BLOCK - {"hr"}:
+        elif name not in VOID and not attributes.endswith("/") or name in BLOCK - {"hr"}:
             node = new
+            total[name] += 1
+            scopes[-1][1][name] += 1
+            if name in SCOPES:
+                scopes.append((new, Counter()))
     return root
 
 
@@ -124,6 +203,8 @@ def _measure(root: Node) -> None:
     order, stack = [], [(root, False)]
     while stack:
         node, link = stack.pop()
+        node.chars = node.link_chars = node.tags = node.link_tags = node.titles = 0
+        node.density = node.sum = 0.0
         order.append((node, link))
         stack.extend((c, link or c.name == "a") for c in node.children if isinstance(c, Node) and not c.out)
     for node, link in reversed(order):
@@ -134,6 +215,7 @@ def _measure(root: Node) -> None:
                 node.link_chars += n * link
             elif not c.out:
                 node.chars, node.link_chars = node.chars + c.chars, node.link_chars + c.link_chars
+                node.titles += c.titles + (c.name == "h1")
                 node.tags, node.link_tags = node.tags + c.tags + 1, node.link_tags + c.link_tags + (c.name == "a")
     body_chars, body_links = max(1, root.chars), root.link_chars
     for node, _ in reversed(order):
@@ -176,6 +258,18 @@ def _blocks(node: Node, chosen: set[int] | None, out: list[str]) -> None:
     end()
 
 
+def _confirm(root: Node) -> bool:
+    """Takes out the doubtful parts that are mostly links, or that are thinner than half the page and hold no title; says whether any went."""
+    went, stack = False, [root]
+    while stack:
+        node = stack.pop()
+        if node.doubt and (2 * node.link_chars >= node.chars or 2 * node.density < root.density and not node.titles):
+            node.out = went = True
+        elif not node.out:
+            stack.extend(c for c in node.children if isinstance(c, Node) and not c.out)
+    return went
+
+
 def _text_part(node: Node) -> bool:
     """Whether a part beside dense text belongs to it: a heading, or text that is not mostly links."""
     return node.name in HEADINGS or 2 * node.link_chars < node.chars
@@ -203,6 +297,8 @@ def extract(page: str | None) -> str:
         return ""
     root = parse(page)
     _measure(root)
+    if _confirm(root):
+        _measure(root)
     best, stack = root, [root]
     while stack:
         node = stack.pop()
