@@ -26,84 +26,115 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mapped, materialize, mix, new_path, put, shuffle_partitions
+from .common import Words, keep, mapped, materialize, mix, new_path, put, shuffle_partitions, tidy
 
-ORDER, LEAST, DISCOUNT = 3, 2, 0.75
+ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 _MASK = np.uint64((1 << 63) - 1)
 END = mix(np.array([0xE0D], dtype=np.uint64)) & _MASK
-_WINDOW = 1_500_000
-BLOCK = 4096
+_WINDOW = 400_000
+BLOCK = 64
+_BLOCKS = 8192  # blocks that are decoded at once
 BINS = 256
+SAMPLE = 1 << 17  # tokens whose n-grams tell where a level is cut into shards
 
 
 # --- Elias-Fano sequences --------------------------------------------------------------------------
 
 
 class EliasFano:
-    """A monotone sequence of whole numbers below 2**63 in blocks of BLOCK: whole low bytes, and the rest in unary."""
+    """A monotone sequence of whole numbers below 2**63 in blocks of BLOCK: whole low bytes, and the rest in unary with two bits a value.
+
+    Blocks with as many low bytes have one size and lie together, so that any set of blocks is decoded at once; a search decodes only
+    the blocks that it touches, whatever the length of the sequence.
+    """
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
         values = values.astype(np.uint64)
         n = len(values)
-        firsts, offsets, body, at = [], [], [], 0
-        for a in range(0, n, BLOCK):
-            part = values[a : a + BLOCK]
-            rest = part - part[0]
-            spread = int(rest[-1]) // len(part)
-            low = -(-spread.bit_length() // 8)
-            high = (rest >> np.uint64(8 * low)).astype(np.int64)
-            bits = np.zeros(int(high[-1]) + len(part), dtype=np.uint8)
-            bits[high + np.arange(len(part))] = 1
-            raw = bytes([low]) + rest.view(np.uint8).reshape(-1, 8)[:, :low].T.tobytes() + np.packbits(bits).tobytes()
-            firsts.append(int(part[0]))
-            offsets.append(at)
-            body.append(raw)
-            at += len(raw)
-        head = struct.pack("<qq", n, len(firsts))
-        return head + np.array(firsts, "<u8").tobytes() + np.array([*offsets, at], "<i8").tobytes() + b"".join(body)
+        blocks = -(-n // BLOCK)
+        v = np.concatenate([values, np.full(blocks * BLOCK - n, values[-1] if n else 0, np.uint64)]).reshape(blocks, BLOCK)
+        rest = v - v[:, :1]
+        spread = rest[:, -1] // np.uint64(BLOCK) if n else np.zeros(0, np.uint64)
+        low = sum((spread >= np.uint64(1 << 8 * k)).astype(np.uint8) for k in range(8)) if n else np.zeros(0, np.uint8)
+        place, groups, body = np.zeros(blocks, "<u4"), [], []
+        for w in range(9):
+            mine = np.flatnonzero(low == w)
+            groups.append(len(mine))
+            if len(mine):
+                place[mine] = np.arange(len(mine))
+                high = (rest[mine] >> np.uint64(8 * w)).astype(np.int64) if w < 8 else np.zeros((len(mine), BLOCK), np.int64)
+                bits = np.zeros((len(mine), 2 * BLOCK), dtype=np.uint8)
+                np.put_along_axis(bits, high + np.arange(BLOCK), 1, 1)
+                lows = rest[mine].view(np.uint8).reshape(len(mine), BLOCK, 8)[:, :, :w].reshape(len(mine), -1)
+                body.append(np.concatenate([lows, np.packbits(bits, axis=1)], axis=1).tobytes())
+        parts = [v[:, 0].astype("<u8").tobytes(), np.array(groups, "<i8").tobytes(), low.tobytes() + b"\0" * (-blocks % 8), place.tobytes()]
+        return struct.pack("<qq", n, blocks) + b"".join(parts) + b"".join(body)
 
     def __init__(self, data: np.ndarray):
         self.n, blocks = struct.unpack("<qq", data[:16].tobytes())
-        self.first = data[16 : 16 + 8 * blocks].view("<u8")
-        self.offset = data[16 + 8 * blocks : 24 + 16 * blocks].view("<i8")
-        self.body = data[24 + 16 * blocks :]
-
-    def block(self, b: int) -> np.ndarray:
-        raw = self.body[int(self.offset[b]) : int(self.offset[b + 1])]
-        n, low = min(BLOCK, self.n - b * BLOCK), int(raw[0])
-        ones = np.flatnonzero(np.unpackbits(raw[1 + n * low :]))[:n]
-        out = (ones - np.arange(n)).astype(np.uint64) << np.uint64(8 * low) if low < 8 else np.zeros(n, np.uint64)
-        for k in range(low):
-            out |= raw[1 + n * k : 1 + n * (k + 1)].astype(np.uint64) << np.uint64(8 * k)
-        return out + np.uint64(self.first[b])
-
-    def _each(self, block: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(block, first, end) of every run in a sorted array of block numbers."""
-        if len(block):
-            cut = np.flatnonzero(np.diff(block)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
-                yield int(block[a]), a, b
+        at = 16 + 8 * blocks
+        self.first = data[16:at].view("<u8")
+        groups, at = data[at : at + 72].view("<i8"), at + 72
+        self.low, at = data[at : at + blocks], at + blocks + -blocks % 8
+        self.place, at = data[at : at + 4 * blocks].view("<u4"), at + 4 * blocks
+        self.groups = []
+        for w, m in enumerate(groups.tolist()):
+            size = BLOCK * w + BLOCK // 4
+            self.groups.append(data[at : at + m * size].reshape(m, size))
+            at += m * size
+
+    def blocks(self, b: np.ndarray) -> np.ndarray:
+        """The values of some blocks, a row for each; the last block of all is filled up with its last value."""
+        out = np.zeros((len(b), BLOCK), dtype=np.uint64)
+        low, place = self.low[b], self.place[b]
+        for w in np.unique(low).tolist():
+            mine = np.flatnonzero(low == w)
+            raw = self.groups[w][place[mine]]
+            values = np.zeros((len(mine), BLOCK, 8), dtype=np.uint8)
+            values[:, :, :w] = raw[:, : BLOCK * w].reshape(len(mine), BLOCK, w)
+            values = values.view(np.uint64)[:, :, 0]
+            if w < 8:
+                ones = np.flatnonzero(np.unpackbits(raw[:, BLOCK * w :], axis=1)).reshape(len(mine), BLOCK)
+                high = (ones % (2 * BLOCK) - np.arange(BLOCK)).astype(np.uint64)
+                values = values + (high << np.uint64(8 * w))
+            out[mine] = values
+        return out + self.first[b][:, None]
+
+    def all(self) -> np.ndarray:
+        m = len(self.first)
+        parts = [self.blocks(np.arange(a, min(m, a + _BLOCKS))).ravel() for a in range(0, m, _BLOCKS)]
+        return np.concatenate([np.zeros(0, np.uint64), *parts])[: self.n]
+
+    def _touched(self, block: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Of a sorted array of block numbers: runs, the row of each in the values, and the values of the run's different blocks."""
+        new = np.ones(len(block), dtype=bool)
+        new[1:] = block[1:] != block[:-1]
+        row = np.cumsum(new) - 1
+        firsts = np.flatnonzero(new)
+        for r in range(0, len(firsts), _BLOCKS):
+            lo, hi = int(firsts[r]), int(firsts[r + _BLOCKS]) if r + _BLOCKS < len(firsts) else len(block)
+            yield slice(lo, hi), row[lo:hi] - r, self.blocks(block[firsts[r : r + _BLOCKS]])
 
     def at(self, places: np.ndarray) -> np.ndarray:
         """The values at sorted places."""
         out = np.zeros(len(places), dtype=np.uint64)
-        for b, lo, hi in self._each(places // BLOCK):
-            out[lo:hi] = self.block(b)[places[lo:hi] - b * BLOCK]
+        for run, row, values in self._touched(places // BLOCK):
+            out[run] = values[row, places[run] % BLOCK]
         return out
 
     def successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted values: the place of the first element that is not smaller, and whether it is equal."""
-        place, equal = np.full(len(wanted), self.n, dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-        block = np.searchsorted(np.asarray(self.first), wanted, "right") - 1
-        place[block < 0] = 0
+        """For sorted values: the place of the first element that is not smaller, and whether it is equal. The elements all differ."""
+        place, equal = np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+        block = np.searchsorted(self.first, wanted, "right") - 1
         start = int((block < 0).sum())
-        for b, lo, hi in self._each(block[start:]):
-            lo, hi = lo + start, hi + start
-            values = self.block(b)
-            p = np.searchsorted(values, wanted[lo:hi])
-            equal[lo:hi] = (p < len(values)) & (values[np.minimum(p, len(values) - 1)] == wanted[lo:hi])
-            place[lo:hi] = p + b * BLOCK
+        block = block[start:]
+        for run, row, values in self._touched(block):
+            mine, flat = slice(run.start + start, run.stop + start), values.ravel()
+            p = np.searchsorted(flat, wanted[mine])
+            inside = np.minimum(p - row * BLOCK, BLOCK)
+            equal[mine] = (inside < BLOCK) & (flat[np.minimum(p, len(flat) - 1)] == wanted[mine])
+            place[mine] = np.minimum(block[run] * BLOCK + inside, self.n)
         return place, equal
 
 
@@ -138,6 +169,24 @@ def _unpack(data: np.ndarray) -> tuple[dict, dict[str, np.ndarray]]:
     return head, parts
 
 
+class Counts:
+    """Counts by place: a byte each, and the greater ones in a sorted list."""
+
+    @staticmethod
+    def encode(n: np.ndarray) -> dict[str, bytes]:
+        more = np.flatnonzero(n >= 255)
+        return {"counts": np.minimum(n, 255).astype(np.uint8).tobytes(), "more": more.astype("<i8").tobytes(), "more_counts": n[more].astype("<i8").tobytes()}
+
+    def __init__(self, parts: dict[str, np.ndarray]):
+        self.small, self.more, self.more_counts = parts["counts"], parts["more"].view("<i8"), parts["more_counts"].view("<i8")
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        out = self.small[places].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        out[big] = self.more_counts[np.searchsorted(self.more, places[big])]
+        return out
+
+
 class Level:
     """One level of the trie over its shards. shards: dicts with file, lo (first key), base (nodes before), n, and bits of a child."""
 
@@ -152,7 +201,7 @@ class Level:
         if (i, kind) not in self._open:
             head, parts = _unpack(mapped(f"{self.directory}/{self.shards[i]['file']}.{kind}"))
             if kind == "keys":
-                self._open[i, kind] = EliasFano(parts["keys"]), EliasFano(parts["pointers"]) if "pointers" in parts else None, parts["counts"].view("<u4"), head
+                self._open[i, kind] = EliasFano(parts["keys"]), EliasFano(parts["pointers"]) if "pointers" in parts else None, Counts(parts), head
             else:
                 self._open[i, kind] = parts["codes"], parts["book"].view("<f4"), parts["rest_codes"], parts["rest_book"].view("<f4")
         return self._open[i, kind]
@@ -241,18 +290,22 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _windows(batches, size: int = _WINDOW) -> Iterator[tuple[list, list[bytes]]]:
     """(doc_ids, texts) of about size tokens, at some 6 bytes each."""
+    keep("lm", _OPEN.clear)
     ids, texts, n = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            t = t or b""
-            ids.append(i)
-            texts.append(t)
-            n += len(t) // 6 + 1
-            if n >= size:
-                yield ids, texts
-                ids, texts, n = [], [], 0
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                t = t or b""
+                ids.append(i)
+                texts.append(t)
+                n += len(t) // 6 + 1
+                if n >= size:
+                    yield ids, texts
+                    ids, texts, n = [], [], 0
     if ids:
         yield ids, texts
+    tidy()
 
 
 def _nodes(levels: list[Level], h: np.ndarray, begin: np.ndarray, upto: int) -> list[np.ndarray]:
@@ -291,102 +344,137 @@ def _child_keys(levels: list[Level], nodes: list[np.ndarray], ok: np.ndarray, k:
 # --- counting --------------------------------------------------------------------------------------
 
 
-def _count(docs: DataFrame, keys, least: int, name: str) -> DataFrame:
-    """(key, n) of the keys that occur at least `least` times. keys(texts) gives all keys of some texts.
+def _squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers as byte planes under zstd, without the planes above the greatest."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _expand(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8")[:, 0]
+
+
+def _seats(spark, n: int) -> list[int]:
+    """n numbers that hash partitioning deals to n different partitions, by partition."""
+    part = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    found = spark.range(0, 64 + 40 * n, 1, 1).groupBy(part.alias("p")).agg(F.min("id").alias("id")).collect()  # at most n rows
+    seats = {r["p"]: r["id"] for r in found}
+    rest = iter(range(64 + 40 * n, 64 + 41 * n))
+    return [seats.get(p, None) if p in seats else next(rest) for p in range(n)]
+
+
+def _cuts(docs: DataFrame, keys, n: int, total: int) -> np.ndarray:
+    """Up to n - 1 keys that part a level into shards of about one size, from the n-grams of about SAMPLE of its total tokens."""
+    rate = min(1.0, SAMPLE / max(1, total))
+    # Whole documents are drawn, by a hash of their text, and of those a share of the n-grams; it decides sizes of files only.
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, 16 * rate) * (1 << 20)) + 1)
+    every = max(1, int(min(1.0, 16 * rate) / rate))
 
-    Every window counts its own keys and sends them, sorted and packed, as one row for each of the shuffle's buckets.
+    def draw(batches):
+        for _, texts in _windows(batches):
+            key = np.unique(keys(texts))
+            key = key[mix(key) % np.uint64(every) == 0]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    drawn = np.sort(some.mapInArrow(draw, "key long").toArrow().column("key").to_numpy().view(np.uint64))  # about SAMPLE numbers
+    return np.unique(drawn[np.arange(1, n) * len(drawn) // n]) if len(drawn) else np.zeros(0, np.uint64)
+
+
+_SHARD = "part int, file string, lo long, first long, last long, n long, widest long, first_n long, last_n long, first_sum double, last_sum double, total long"
+_SHARD_SCHEMA = pa.schema([(f.split()[0], {"int": pa.int32(), "string": pa.string(), "long": pa.int64(), "double": pa.float64()}[f.split()[1]]) for f in _SHARD.split(", ")])
+
+
+def _build(docs: DataFrame, keys, least: int, cuts: np.ndarray, directory: str, k: int, bits: int) -> list[dict]:
+    """Counts the keys of all texts, writes the key files of level k and returns its shards, a row for each.
+
+    keys(texts) gives all keys of some texts. Every window counts its own and sends them, sorted and packed, as one row for each shard;
+    one shuffle brings them together. A task folds the rows of a shard by merging sorted runs and writes its file.
     """
-    buckets = shuffle_partitions(docs.sparkSession)
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    spark = docs.sparkSession
+    n = len(cuts) + 1
+    seats = _seats(spark, max(n, shuffle_partitions(spark)))[:n]
+    number = {seat: i for i, seat in enumerate(seats)}
+    schema = pa.schema([("seat", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def send(batches):
-        press = zstandard.ZstdCompressor(level=1)
         for _, texts in _windows(batches):
-            key, n = np.unique(keys(texts), return_counts=True)
-            bucket = (mix(key) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            key, count = np.unique(keys(texts), return_counts=True)
+            edges = [0, *np.searchsorted(key, cuts).tolist(), len(key)]
             rows = []
-            for b in range(buckets):
-                part = order[edges[b] : edges[b + 1]]
-                if len(part):
-                    step = np.diff(key[part], prepend=np.uint64(0))
-                    rows.append({"bucket": b, "n": len(part), "keys": press.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes()), "counts": press.compress(n[part].astype("<u4").tobytes())})
+            for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                if b > a:
+                    rows.append({"seat": seats[i], "base": int(key[a]), "keys": _squeeze(np.diff(key[a:b])), "counts": _squeeze(count[a:b].astype(np.uint64))})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def gather(batches):
+        from pyspark import TaskContext
+
+        keep("lm", _OPEN.clear)
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         waiting: dict[int, list] = {}
 
-        def fold(b):
-            k = np.concatenate([x for x, _ in waiting[b]])
-            c = np.concatenate([x for _, x in waiting.pop(b)])
-            order = np.argsort(k, kind="stable")
-            k, c = k[order], c[order]
-            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-            held[b] = k[first], np.add.reduceat(c, first) if len(k) else c
+        def fold(seat):
+            parts = waiting.pop(seat) + ([held.pop(seat)] if seat in held else [])
+            key, count = np.concatenate([x for x, _ in parts]), np.concatenate([c for _, c in parts])
+            order = np.argsort(key, kind="stable")  # merges the sorted runs
+            key, count = key[order], count[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            held[seat] = key[first], np.add.reduceat(count, first)
 
         for batch in batches:
             for row in batch.to_pylist():
-                step = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["keys"]), np.uint8).reshape(8, -1).T.copy().view(np.uint64)[:, 0]
-                c = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), "<u4").astype(np.int64)
-                b = row["bucket"]
-                waiting.setdefault(b, [held.pop(b)] if b in held else []).append((np.cumsum(step, dtype=np.uint64), c))
-                if len(waiting[b]) > 8:
-                    fold(b)
-        for b in list(waiting):
-            fold(b)
-        for k, c in held.values():
-            keep = c >= least
-            for a in range(0, int(keep.sum()), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[keep][a : a + 100_000].view(np.int64)), pa.array(c[keep][a : a + 100_000])], names=["key", "n"])
-
-    sent = docs.mapInArrow(send, "bucket int, n long, keys binary, counts binary")
-    return materialize(sent.repartition(buckets, "bucket").mapInArrow(gather, "key long, n long"), name)
-
-
-def _write(counted: DataFrame, directory: str, k: int, bits: int) -> list[dict]:
-    """Writes the key files of a level and returns its shards, a row for each."""
-    fields = "part int, file string, lo long, first long, last long, n long, widest long, first_sum double, last_sum double, total long"
-
-    def write(batches):
-        from pyspark import TaskContext
-
-        key, n = [], []
-        for batch in batches:
-            key.append(batch.column("key").to_numpy().view(np.uint64))
-            n.append(batch.column("n").to_numpy())
-        if not key or not sum(map(len, key)):
-            return
-        key, n = np.concatenate(key), np.concatenate(n)
-        part, file = TaskContext.get().partitionId(), f"level{k}-{TaskContext.get().partitionId():06d}"
-        parts = {"keys": EliasFano.encode(key), "counts": np.minimum(n, (1 << 32) - 1).astype("<u4").tobytes()}
-        head, row = {"n": len(key)}, {"first": 0, "last": 0, "widest": 0, "first_sum": 0.0, "last_sum": 0.0}
-        if k > 1:
-            context = (key >> np.uint64(bits)).astype(np.int64)
-            lo, hi = int(context[0]), int(context[-1])
-            per = np.bincount(context - lo, minlength=hi - lo + 1)
-            parts["pointers"] = EliasFano.encode(np.concatenate(([0], np.cumsum(per))))
-            kept = np.bincount(context - lo, n - DISCOUNT, hi - lo + 1)
-            head |= {"first": lo, "contexts": hi - lo + 1}
-            row = {"first": lo, "last": hi, "widest": int(per.max()), "first_sum": float(kept[0]), "last_sum": float(kept[-1])}
-        put(f"{directory}/{file}.keys", _pack(head, parts), TaskContext.get().taskAttemptId())
-        yield pa.RecordBatch.from_pylist([{"part": part, "file": file, "lo": int(key[0]), "n": len(key), "total": int(n.sum()), **row}], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("lo", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("widest", pa.int64()), ("first_sum", pa.float64()), ("last_sum", pa.float64()), ("total", pa.int64())]))
-
-    ordered = counted.repartitionByRange(shuffle_partitions(counted.sparkSession), "key").sortWithinPartitions("key")
-    shards = [r.asDict() for r in materialize(ordered.mapInArrow(write, fields), f"level{k}").orderBy("part").collect()]  # a row for each file
+                key = np.concatenate(([np.uint64(0)], np.cumsum(_expand(row["keys"])))) + np.uint64(row["base"])
+                waiting.setdefault(row["seat"], []).append((key, _expand(row["counts"]).astype(np.int64)))
+                if sum(len(x) for x, _ in waiting[row["seat"]]) > max(400_000, len(held[row["seat"]][0]) if row["seat"] in held else 0):
+                    fold(row["seat"])
+        for seat in list(waiting):
+            fold(seat)
+        rows = []
+        for seat in sorted(held):
+            key, count = held.pop(seat)
+            key, count = key[count >= least], count[count >= least]
+            if not len(key):
+                continue
+            part = number[seat]
+            file = f"level{k}-{part:06d}"
+            parts, head = {"keys": EliasFano.encode(key), **Counts.encode(count)}, {"n": len(key)}
+            row = dict.fromkeys(("first", "last", "widest", "first_n", "last_n"), 0) | {"first_sum": 0.0, "last_sum": 0.0}
+            if k > 1:
+                context = (key >> np.uint64(bits)).astype(np.int64)
+                lo, hi = int(context[0]), int(context[-1])
+                per = np.bincount(context - lo, minlength=hi - lo + 1)
+                parts["pointers"] = EliasFano.encode(np.concatenate(([0], np.cumsum(per))))
+                kept = np.bincount(context - lo, count - DISCOUNT, hi - lo + 1)
+                head |= {"first": lo, "contexts": hi - lo + 1}
+                row = {"first": lo, "last": hi, "widest": int(per.max()), "first_n": int(per[0]), "last_n": int(per[-1]), "first_sum": float(kept[0]), "last_sum": float(kept[-1])}
+            put(f"{directory}/{file}.keys", _pack(head, parts), TaskContext.get().taskAttemptId())
+            rows.append({"part": part, "file": file, "lo": int(key[0]), "n": len(key), "total": int(count.sum()), **row})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_SHARD_SCHEMA)
+        tidy()
+
+    sent = docs.mapInArrow(send, "seat int, base long, keys binary, counts binary")
+    met = sent.repartition(max(n, shuffle_partitions(spark)), "seat")
+    shards = [r.asDict() for r in materialize(met.mapInArrow(gather, _SHARD), f"level{k}").orderBy("part").collect()]  # a row for each file
     base = 0
     for s in shards:
         s["base"] = base
         base += s["n"]
-    # A context may go on over several shards; its sum is that of all of them.
+    # A context may go on over several shards; its sums are those of all of them.
     sums: dict[int, float] = {}
+    children: dict[int, int] = {}
     for s in shards:
         for c in {s["first"], s["last"]}:
             sums[c] = sums.get(c, 0.0) + (s["first_sum"] if c == s["first"] else s["last_sum"])
+            children[c] = children.get(c, 0) + (s["first_n"] if c == s["first"] else s["last_n"])
     for s in shards:
         s["first_sum"], s["last_sum"] = sums[s["first"]], sums[s["last"]]
+        s["widest"] = max(s["widest"], children[s["first"]], children[s["last"]])
     return shards
 
 
@@ -401,11 +489,11 @@ def _write_values(spark, directory: str, levels: list[tuple[list[dict], int]], k
         for batch in batches:
             for i in batch.column("shard").to_pylist():
                 keys, _, counts, head = level._shard(i, "keys")
-                n = counts[: keys.n].astype(np.float64)
+                n = counts[np.arange(keys.n)].astype(np.float64)
                 if k == 1:
                     score, rest = np.log10((n + 1) / (total + level.n + 1)), np.zeros(1)
                 else:
-                    key = np.concatenate([keys.block(b) for b in range(len(keys.first))])
+                    key = keys.all()
                     context = (key >> np.uint64(level.bits)).astype(np.int64) - head["first"]
                     child = (key & np.uint64((1 << level.bits) - 1)).astype(np.int64)
                     every = np.arange(head["first"], head["first"] + head["contexts"])
@@ -415,9 +503,6 @@ def _write_values(spark, directory: str, levels: list[tuple[list[dict], int]], k
                     left = np.clip(1 - kept / np.maximum(1, seen), 1e-9, 1)
                     if k > 2:  # the same word after the shorter context
                         middle = (below[k - 2].keys(every) & np.uint64((1 << below[k - 2].bits) - 1)).astype(np.int64)
-                        if k > 3:
-                            parent = (below[k - 2].keys(every) >> np.uint64(below[k - 2].bits)).astype(np.int64)
-                            raise NotImplementedError("orders above 3 need the suffix of each context") if len(parent) else None
                         child = child + _sorted_unique(middle, below[k - 2].first_child)[context]
                     lower = 10 ** _sorted_unique(child, below[k - 2].scores)
                     score, rest = np.log10((n - DISCOUNT) / seen[context] + left[context] * lower), np.log10(left)
@@ -438,15 +523,16 @@ def train(docs: DataFrame, order: int = ORDER, least: int = LEAST, directory: st
     spark = docs.sparkSession
     directory = directory or new_path(spark, "trie")
     docs = docs.select("doc_id", F.col("text").cast("string"))
-    shards = _write(_count(docs, lambda texts: token_hashes(texts)[0], 1, "count1"), directory, 1, 0)
+    n = shuffle_partitions(spark)
+    even = np.array([i * (1 << 63) // n for i in range(1, n)], dtype=np.uint64)  # words have hashes of 63 bits
+    shards = _build(docs, lambda texts: token_hashes(texts)[0], 1, even, directory, 1, 0)
     total, levels = sum(s["total"] for s in shards), [(shards, 0)]
     _write_values(spark, directory, levels, 1, total)
     for k in range(2, order + 1):
-        before, widest = levels[-1][0], max((s["widest"] for s in levels[-1][0]), default=1)
+        before = levels[-1][0]
         nodes = sum(s["n"] for s in before)
-        # A context that goes on over shards has more children than any shard shows of it.
-        spread = sum(s["n"] for s in before) if k == 2 else min(nodes, sum(sorted((s["widest"] for s in before), reverse=True)) or widest)
-        bits = max(1, int(spread).bit_length())
+        widest = nodes if k == 2 else max((s["widest"] for s in before), default=1)
+        bits = max(1, int(widest).bit_length())
         if nodes.bit_length() + bits > 63:
             raise ValueError("keys of this level need more than 63 bits")
 
@@ -458,7 +544,7 @@ def train(docs: DataFrame, order: int = ORDER, least: int = LEAST, directory: st
             ok = _extendable(node, depth, k)
             return _child_keys(opened, node, ok, k, bits) if len(ok) else np.zeros(0, np.uint64)
 
-        levels.append((_write(_count(docs, keys, least, f"count{k}"), directory, k, bits), bits))
+        levels.append((_build(docs, keys, least, _cuts(docs, keys, n, total), directory, k, bits), bits))
         _write_values(spark, directory, levels, k, total)
     return {"directory": directory, "levels": levels, "train_tokens": total}
 

@@ -271,7 +271,7 @@ def test_language_model(spark, docs, empty):
                 g = tuple(w[j : j + k + 1])
                 counts[k][g] = counts[k].get(g, 0) + 1
     n, v = sum(counts[0].values()), len(counts[0])
-    kept = [counts[0], *({g: c for g, c in x.items() if c >= 2} for x in counts[1:])]
+    kept = counts
 
     def p(g):
         if len(g) == 1:
