@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,47 +10,11 @@ from .functions import scores as S
 from .functions import text as T
 from .operators import communities, fold, graph, layout, search, tables
 from .plans import ingest, quality, retrieval
+from .registry import ASSERTED, MEMBER, NODE, NOTE, ORACLE_SQL, QUERIES, REF, REL, query
 from .sources import tables as src
 from .streaming import assertions as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-# The views of sources.tables in SQL.
-NODE = """node AS (SELECT 'r' || r_regionkey AS id, 'indexable' AS kind, lower(r_name) AS name, 'place' AS type FROM region
- UNION ALL SELECT 'n' || n_nationkey, 'indexable', lower(n_name), 'place' FROM nation
- UNION ALL SELECT 's' || s_suppkey, 'indexable', lower(s_name), 'organization' FROM supplier
- UNION ALL SELECT 'c' || c_custkey, 'indexable', lower(c_name), 'person' FROM customer
- UNION ALL SELECT 'p' || p_partkey, 'indexable', lower(p_name), 'thing' FROM part
- UNION ALL SELECT 'o' || o_orderkey, 'note', NULL, NULL FROM orders)"""
-REL = """rel AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'located_in' AS rel_type, 9.0::DOUBLE AS confidence, 1::BIGINT AS mention_count FROM nation
- UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'located_in', 9.0::DOUBLE, 1 FROM supplier
- UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'located_in', 9.0::DOUBLE, 1 FROM customer
- UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, 'supplies', 1 + ((l_suppkey + l_partkey) % 10) * 0.9::DOUBLE, count(*) FROM lineitem GROUP BY l_suppkey, l_partkey
- UNION ALL SELECT 'c' || o_custkey, 's' || l_suppkey, 'buys_from', 1 + ((o_custkey + l_suppkey) % 10) * 0.9::DOUBLE, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey)"""
-REF = """ref AS (SELECT DISTINCT 'o' || l_orderkey AS note_id, 'p' || l_partkey AS node_id FROM lineitem
- UNION ALL SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem
- UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)"""
-MEMBER = """member AS (SELECT 'p' || p_partkey AS node_id, 'community_l2_' || p_brand AS community_id, 2 AS level FROM part
- UNION ALL SELECT 'p' || p_partkey, 'community_l1_' || p_type, 1 FROM part
- UNION ALL SELECT 'p' || p_partkey, 'community_l0_' || (p_size // 10), 0 FROM part)"""
-ASSERTED = """asserted AS (SELECT event_id, ts, 'u' || user_id AS src, 'k' || (json_extract_string(props, '$.k')::BIGINT % 10) AS dst,
- CASE event_type WHEN 'signup' THEN 'knows' WHEN 'view' THEN 'learning' WHEN 'click' THEN 'works_with' WHEN 'purchase' THEN 'friends_with' WHEN 'error' THEN 'hates' END AS rel_type,
- greatest(1.0::DOUBLE, least(10.0::DOUBLE, value / 10)) AS confidence FROM events)"""
-NOTE = """note AS (SELECT d.doc_id AS id, array_to_string(string_split(text, ' ')[1:3], ' ') AS title, text AS content, coalesce(quality = 1, false) AS processed, coalesce(toxic = 1, false) AS failed, lang AS kb_id FROM documents d LEFT JOIN labels y USING (doc_id))"""
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 # --- notes -----------------------------------------------------------------------------------------
 
@@ -315,13 +277,6 @@ def bm25_topk(spark, d):
     return search.best_each(search.bm25(search.text_index(docs, fields), docs, terms, fields), 20)
 
 
-@query(None)
-def bm25_weighted_fields(spark, d):
-    docs = src.text_documents(spark, d)
-    terms = spark.createDataFrame([("a", "the"), ("a", "src3"), ("b", "en")], "qid string, term string")
-    return search.best_each(search.bm25(search.text_index(docs), docs, terms), 20)
-
-
 @query("""WITH a AS (SELECT 'k' || (doc_id % 50) AS name, doc_id::DOUBLE AS score, 0 AS source FROM documents WHERE doc_id % 3 = 0), b AS (SELECT 'k' || (vec_id % 70), vec_id::DOUBLE, 1 FROM embeddings), u AS (SELECT * FROM a UNION ALL SELECT * FROM b),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY source, score DESC) AS n FROM u) SELECT 'q' AS qid, name, score, source, row_number() OVER (ORDER BY source, score DESC, name)::INTEGER AS ord FROM r WHERE n = 1""")
 def hybrid_fusion(spark, d):
@@ -335,16 +290,6 @@ def mention_candidates(spark, d):
     return src.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.size(T.capitalised_spans(F.col("text"))).alias("mentions"))
 
 
-@query(f"""WITH {NODE}, t AS (SELECT c_custkey AS id, 'Visit ' || upper(n_name[1]) || lower(n_name[2:]) || ' today' AS text FROM customer JOIN nation ON c_nationkey = n_nationkey),
-s AS (SELECT DISTINCT id, unnest(list_concat(regexp_extract_all(text, '([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)', 1), regexp_extract_all(text, '([A-Z][a-z]{{3,}})', 1))) AS mention FROM t), c AS (SELECT name, min(id) AS node_id FROM node WHERE name IS NOT NULL GROUP BY name)
-SELECT s.id, mention, node_id FROM s JOIN c ON name = lower(mention)""")
-def mention_scan(spark, d):
-    c = src.read(spark, d, "customer").join(src.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    n = F.col("n_name")
-    texts = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Visit "), F.upper(F.substring(n, 1, 1)), F.lower(F.substring(n, 2, 100)), F.lit(" today")).alias("text"))
-    return retrieval.scan_mentions(texts, src.nodes(spark, d))
-
-
 # --- functions -------------------------------------------------------------------------------------
 
 
@@ -414,16 +359,6 @@ def fibonacci_sphere(spark, d):
     return layout.on_sphere(rows, 400.0, group="g").select("id", *(F.round(F.col(f"pos.{a}"), 4).alias(a) for a in "xyz"))
 
 
-@query(None)
-def solar_positions(spark, d):
-    return layout.solar_positions(src.nodes(spark, d), src.members(spark, d))
-
-
-@query(None)
-def flat_positions(spark, d):
-    return layout.flat_positions(src.nodes(spark, d).where("kind = 'indexable'"), src.members(spark, d))
-
-
 @query("SELECT event_id, list_contains(CASE event_type WHEN 'signup' THEN ['friends_with', 'works_with', 'collaborates_with'] WHEN 'click' THEN ['collaborates_with', 'reports_to', 'mentors'] WHEN 'purchase' THEN ['married_to', 'partners_with'] ELSE [] END, 'works_with') AS evolves, event_type IN ('signup', 'click', 'purchase') AS both_ways FROM events WHERE event_type <> 'view'")
 def rule_lookups(spark, d):
     a = src.assertions(spark, d).where("rel_type <> 'learning'")
@@ -433,16 +368,6 @@ def rule_lookups(spark, d):
 # --- ingestion -------------------------------------------------------------------------------------
 
 
-@query(None)
-def rel_fold(spark, d):
-    return fold.fold_edges(src.assertions(spark, d)).select("src", "dst", "rel_type", "confidence", "mention_count", "valid_to", "evolved_from", "evolved_to", "invalidated_by")
-
-
-@query(None)
-def rel_actions(spark, d):
-    return fold.fold_actions(src.assertions(spark, d))
-
-
 @query(f"""WITH {ASSERTED}, c(new, old) AS (VALUES ('friends_with', 'hates'), ('hates', 'friends_with'), ('friends_with', 'enemies_with')) SELECT a.event_id, b.event_id AS old_event FROM asserted a JOIN c ON new = a.rel_type JOIN asserted b ON b.src = a.src AND b.dst = a.dst AND b.rel_type = old AND b.ts < a.ts""")
 def rel_contradictions(spark, d):
     return fold.contradictions(src.assertions(spark, d))
@@ -474,39 +399,9 @@ def upsert_latest(spark, d):
     return tables.upsert(c.where("id % 2 = 0"), new, ["id"])
 
 
-@query(None)
-def json_coerce(spark, d):
-    from .functions import extraction as X
-
-    def run(frames):
-        for f in frames:
-            yield f.assign(n=[len(X.coerce(t)["nodes"]) for t in f["j"]])[["event_id", "n"]]
-
-    e = src.read(spark, d, "events")
-    j = F.concat(F.lit('```json\n{"data": {"nodes": [{"trait": "'), "event_type", F.lit('", "evidence_quote": "x"}, "plain",], "relations": []}'))
-    return e.select("event_id", j.alias("j")).mapInPandas(run, "event_id long, n long")
-
-
-@query(None)
-def ingest_notes(spark, d):
-    notes = src.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.timestamp_seconds(F.col("doc_id")).alias("ts"))
-    x = ingest.extract(notes)
-    return ingest.resolve(ingest.entity_rows(x)).select("name", "id", "type", "is_new")
-
-
 # --- communities, answers --------------------------------------------------------------------------
 
 
-@query(None)
-def cluster_l2(spark, d):
-    return communities.cluster(_vectors(spark, d).select(F.col("vec_id").alias("id"), S.as_doubles(F.col("embedding")).alias("v")), 0.25)
-
-
-@query(None)
-def community_hierarchy(spark, d):
-    return communities.hierarchy(_vectors(spark, d).select(F.col("vec_id").alias("id"), S.as_doubles(F.col("embedding")).alias("v")))
-
-
 @query("""WITH p AS (SELECT a.item_id, a.text AS e, b.text AS p FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), n AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(trim(lower(e)), '[^\\p{L}\\p{N}\\p{M}_\\s]', '', 'g'), '\\s+'), lambda x: x <> '') AS t, list_filter(string_split_regex(regexp_replace(trim(lower(p)), '[^\\p{L}\\p{N}\\p{M}_\\s]', '', 'g'), '\\s+'), lambda x: x <> '') AS p FROM p),
 c AS (SELECT item_id, len(t) AS nt, len(p) AS np, len(list_intersect(list_distinct(t), list_distinct(p))) AS c FROM n)
 SELECT item_id, round(CASE WHEN c = 0 THEN 0 ELSE 2.0 * c / (nt + np) END, 6)::DOUBLE AS f1 FROM c""")
@@ -534,30 +429,6 @@ def qa_metrics(spark, d):
     return s.select("questions", "errors", *(F.round(c, 6).alias(c) for c in ("exact_match", "fuzzy_match", "precision", "recall", "retrieval_f1", "mean_ms")))
 
 
-def _questions(spark, d):
-    return src.read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"))
-
-
-def _search(spark, d):
-    docs = src.text_documents(spark, d)
-    nodes = docs.select(F.col("node_id").cast("string").alias("id"), F.lit("indexable").alias("kind"), "name", "type")
-    return lambda q, k=retrieval.TOP: retrieval.hybrid_search(q, nodes, docs, search.text_index(docs), k=k)
-
-
-@query(None)
-def hybrid_search(spark, d):
-    return _search(spark, d)(_questions(spark, d)).select("qid", "id", "name", "kind", "place", "rerank_score")
-
-
-@query(None)
-def answer_questions(spark, d):
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-    return retrieval.answer(spark, _questions(spark, d), _search(spark, d))
-
-
 @query(f"""WITH {NODE}, {REL}, seeds AS (SELECT id FROM node WHERE contains(name, 'asia') OR contains(name, 'france')), {_HOP}
 SELECT seed, node_id, name, type, rel_type, confidence, direction, name || ' is a ' || type || '.' AS text FROM h JOIN node ON id = node_id ORDER BY confidence DESC, seed, node_id, rel_type LIMIT 200""")
 def name_expand_top(spark, d):
@@ -570,3 +441,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     seeds = graph.match_fuzzy(n, ["asia", "france"])
     rows = graph.one_hop(seeds, src.relations(spark, d), n, 2.0)
     return rows.withColumn("text", T.node_block(F.col("name"), F.col("type"), F.lit(None).cast("string"), None)).orderBy(F.desc("confidence"), "seed", "node_id", "rel_type").limit(200)
+
+
+from . import catalog_stores, catalog_texts  # noqa: E402, F401  they register theirs

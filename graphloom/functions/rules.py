@@ -86,21 +86,21 @@ def inverse(rel_type: Column) -> Column:
 
 # Relationship types expected between two kinds of entities.
 EXPECTED: dict[tuple[str, str], list[str]] = {
-    ("Person", "Person"): "knows friends_with married_to works_with reports_to mentors collaborates_with partners_with".split(),
-    ("Person", "Task"): "assigned_to responsible_for owns created_by".split(),
-    ("Person", "Entity"): "works_on owns manages created_by".split(),
-    ("Person", "Concept"): "expert_in learning teaches".split(),
-    ("Task", "Task"): "depends_on blocks subtask_of related_to prerequisite_for leads_to".split(),
-    ("Task", "Entity"): "uses modifies affects implements".split(),
-    ("Task", "Concept"): "implements demonstrates requires".split(),
-    ("Entity", "Entity"): "depends_on uses integrates_with part_of contains".split(),
-    ("Entity", "Concept"): "implements based_on uses demonstrates".split(),
-    ("Concept", "Concept"): "prerequisite_for related_to contradicts part_of supports enables".split(),
-    ("Concept", "Entity"): "exemplifies implements".split(),
+    ("Person", "Person"): ["knows", "friends_with", "married_to", "works_with", "reports_to", "mentors", "collaborates_with", "partners_with"],
+    ("Person", "Task"): ["assigned_to", "responsible_for", "owns", "created_by"],
+    ("Person", "Entity"): ["works_on", "owns", "manages", "created_by"],
+    ("Person", "Concept"): ["expert_in", "learning", "teaches"],
+    ("Task", "Task"): ["depends_on", "blocks", "subtask_of", "related_to", "prerequisite_for", "leads_to"],
+    ("Task", "Entity"): ["uses", "modifies", "affects", "implements"],
+    ("Task", "Concept"): ["implements", "demonstrates", "requires"],
+    ("Entity", "Entity"): ["depends_on", "uses", "integrates_with", "part_of", "contains"],
+    ("Entity", "Concept"): ["implements", "based_on", "uses", "demonstrates"],
+    ("Concept", "Concept"): ["prerequisite_for", "related_to", "contradicts", "part_of", "supports", "enables"],
+    ("Concept", "Entity"): ["exemplifies", "implements"],
     ("Event", "Person"): ["involves"],
-    ("Event", "Entity"): "triggered_by resulted_in involves introduced".split(),
-    ("Event", "Concept"): "demonstrates introduced".split(),
-    ("Event", "Task"): "resulted_in triggered_by".split(),
+    ("Event", "Entity"): ["triggered_by", "resulted_in", "involves", "introduced"],
+    ("Event", "Concept"): ["demonstrates", "introduced"],
+    ("Event", "Task"): ["resulted_in", "triggered_by"],
 }
 
 

@@ -24,6 +24,11 @@ def coerced(score: Column, field: str) -> Column:
     return out
 
 
+def yes_probability(yes: Column, no: Column) -> Column:
+    """The share of yes of a model's two logits."""
+    return 1 / (1 + F.exp(no - yes))
+
+
 def edge_weight(strength: Column, confidence: Column, relevance: Column) -> Column:
     return F.round(0.5 * strength + 0.3 * confidence + 0.2 * relevance, 4)
 

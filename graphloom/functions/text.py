@@ -15,11 +15,12 @@ GENERIC_PHRASES = (
     "isolated node community", "isolated node cluster", "isolated core node cluster", "isolated single node community",
     "isolated concept", "potential anomaly", "initial state", "provisional", "minimal connection",
 )
-GENERIC_WORDS = tuple(
-    "isolated conceptual node nodes cluster community core collection fragment echo echoes anomaly pair transient temporal reflection "
-    "reflections potential seeds seed observation observations silent silence unresolved statistical minimal interest inquiry shadow "
-    "shadows whisper whispers remnant remnants trace traces fleeting ephemeral abstract nascent liminal".split()
-)
+GENERIC_WORDS = (
+    "isolated", "conceptual", "node", "nodes", "cluster", "community", "core", "collection", "fragment", "echo", "echoes", "anomaly", "pair",
+    "transient", "temporal", "reflection", "reflections", "potential", "seeds", "seed", "observation", "observations", "silent", "silence",
+    "unresolved", "statistical", "minimal", "interest", "inquiry", "shadow", "shadows", "whisper", "whispers", "remnant", "remnants", "trace",
+    "traces", "fleeting", "ephemeral", "abstract", "nascent", "liminal",
+)
 
 
 def entity_key(name: Column) -> Column:
@@ -181,7 +182,7 @@ SECTIONS = ("REASONING", "FINDING", "FULL_ANSWER", "ANSWER", "NEXT_QUERY")
 def section(text: Column, name: str) -> Column:
     """The first section of that name of a model's answer, null if there is none; marks may be bold."""
     any_name = "|".join(SECTIONS)
-    pattern = rf"(?is)(?:\A|[^A-Z_])\*{{0,3}}{name}\*{{0,3}}\s*:[ \t]*(.*?)(?=\*{{0,3}}(?:{any_name})\*{{0,3}}\s*:|\z)"
+    pattern = rf"(?is)(?:\A|[^A-Z_])\*{{0,3}}{name}\*{{0,3}}\s*:\*{{0,3}}[ \t]*(.*?)(?=\*{{0,3}}(?:{any_name})\*{{0,3}}\s*:|\z)"
     return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, pattern, 1), r"\A\s+|\s+\z", "")), F.lit(""))
 
 

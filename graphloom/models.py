@@ -35,11 +35,11 @@ class Offline:
         self.dims = dims
 
     def embed(self, texts: list[str], query: bool = False) -> np.ndarray:
-        out = np.zeros((len(texts), self.dims), dtype=np.float32)
+        out = np.zeros((len(texts), self.dims))
         for i, t in enumerate(texts):
             for w in words(t):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dims] += 1 if h >> 63 else -1
+                h = hashlib.md5(w.encode()).hexdigest()
+                out[i, int(h[:6], 16) % self.dims] += 1 if int(h[6], 16) >= 8 else -1
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0)
 
@@ -49,7 +49,7 @@ class Offline:
         return {"intent": "search", "entities": names, "concepts": [], "keywords": words(question), "expected_entity_types": [], "question_attribute": None}
 
     def extract(self, note: str) -> str:
-        names = list(dict.fromkeys(re.findall(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*", note)))[:20]
+        names = list(dict.fromkeys(re.findall(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*", note)))
         sentences = re.split(r"(?<=[.!?])\s+", note)
         nodes = [{"name": n, "type": "thing", "isolated_context": next((s for s in sentences if n in s), "")} for n in names]
         rels = [{"source_name": a, "target_name": b, "relationship_type": "related_to", "natural_language": "appears with", "confidence": 5, "strength": 5, "relevance": 5} for s in sentences for found in [[n for n in names if n in s]] for a, b in zip(found, found[1:], strict=False)]
@@ -67,7 +67,7 @@ class Offline:
 
     def rerank(self, query: str, texts: list[str]) -> list[float]:
         q = set(words(query))
-        return [len(q & set(words(t[:1500]))) / max(1, len(q)) for t in texts]
+        return [len(q & set(words(t))) / max(1, len(q)) for t in texts]
 
     def caption(self, name: str, data: bytes) -> str:
         return f"[image {name}, {len(data)} bytes]"

@@ -16,7 +16,7 @@ from ..functions.rules import BIDIRECTIONAL, CONTRADICT, EVOLVE
 
 EDGE = (
     "src string, dst string, rel_type string, confidence double, strength double, relevance double, edge_weight double, mention_count long, relationship_id string, "
-    "ingested_at timestamp, last_updated timestamp, valid_to timestamp, note_id string, evolved_from string, evolved_to string, invalidated_by string, invalidation_note_id string, evolution_note_id string"
+    "ingested_at timestamp_ntz, last_updated timestamp_ntz, valid_to timestamp_ntz, note_id string, evolved_from string, evolved_to string, invalidated_by string, invalidation_note_id string, evolution_note_id string"
 )
 COLUMNS = [c.strip().split()[0] for c in EDGE.split(",")]
 ACTIONS = "event_id long, src string, dst string, rel_type string, action string, inverse boolean, invalidated int"
@@ -77,7 +77,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 def _ordered(rows: DataFrame) -> DataFrame:
     """Rows of a pair of entities next to each other, stored edges first, then assertions in time."""
     spark = rows.sparkSession
-    keyed = rows.withColumn("_a", F.least("src", "dst")).withColumn("_b", F.greatest("src", "dst"))
+    keyed = rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("_a", F.least("src", "dst")).withColumn("_b", F.greatest("src", "dst"))
     return keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_a", "_b").sortWithinPartitions("_a", "_b", "_new", "ts", "event_id")
 
 

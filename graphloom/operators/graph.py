@@ -50,6 +50,25 @@ def variants(nodes: DataFrame, base: str, limit: int = 5) -> DataFrame:
     return by_kind(nodes, "indexable", "note").where(same & ~mixed).select("id", "name", "type").distinct().orderBy(F.length("name"), "name", "id").limit(limit)
 
 
+def variants_each(bases: DataFrame, nodes: DataFrame, per: int = 5) -> DataFrame:
+    """base, id, name, type: other forms of many names(base) at once, as `variants` has them, among names that hold the base's first word."""
+    b = bases.select(F.lower(F.trim("base")).alias("base")).where("base <> ''").distinct()
+    n = by_kind(nodes, "indexable", "note").select("id", "name", "type").distinct()
+    words = n.select("*", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("w"))
+    met = b.withColumn("w", F.split("base", " ")[0]).join(words, "w").drop("w")
+    x, y = F.lower("name"), F.col("base")
+    same = F.startswith(x, F.concat(y, F.lit(" "))) | (F.contains(x, y) & (F.length("name") > F.length("base") + 2))
+    mixed = (F.contains(x, F.lit(" sr")) & F.contains(y, F.lit(" jr"))) | (F.contains(x, F.lit(" jr")) & F.contains(y, F.lit(" sr"))) | (x.rlike(SUFFIX) != y.rlike(SUFFIX))
+    order = Window.partitionBy("base").orderBy(F.length("name"), "name", "id")
+    return met.where(same & ~mixed).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per).drop("_r")
+
+
+def memberships(member: DataFrame) -> DataFrame:
+    """node_id, communities: those of every node, the highest level first."""
+    per = member.groupBy("node_id").agg(F.array_sort(F.collect_set(F.struct((-F.col("level")).alias("l"), "community_id"))).alias("m"))
+    return per.select("node_id", F.transform("m", lambda x: x["community_id"]).alias("communities"))
+
+
 def _valid(edges: DataFrame, as_of: str | None) -> DataFrame:
     """Edges valid at a time, where a time is given; else all, ended ones too."""
     return edges if as_of is None else edges.where((F.col("valid_to").isNull()) | (F.col("valid_to") > F.lit(as_of).cast("timestamp")))
@@ -57,10 +76,11 @@ def _valid(edges: DataFrame, as_of: str | None) -> DataFrame:
 
 def one_hop(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, least: float = 0.0, as_of: str | None = None) -> DataFrame:
     """Neighbours of seeds(id): seed, node_id, name, type, rel_type, confidence, direction; an incoming neighbour counts only where it isn't an outgoing one."""
-    e = _valid(edges, as_of).withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).where(F.col("confidence") >= least).select("src", "dst", "rel_type", "confidence").distinct()
+    e = _valid(edges, as_of).withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).where(F.col("confidence") >= least)
     s = seeds.select(F.col("id").alias("seed")).distinct()
-    out = e.join(s, e["src"] == s["seed"]).select("seed", F.col("dst").alias("node_id"), "rel_type", "confidence", F.lit("outgoing").alias("direction"))
-    incoming = e.join(s, e["dst"] == s["seed"]).select("seed", F.col("src").alias("node_id"), "rel_type", "confidence", F.lit("incoming").alias("direction"))
+    # The seeds go first: only their edges are made different.
+    out = e.join(s, e["src"] == s["seed"]).select("seed", F.col("dst").alias("node_id"), "rel_type", "confidence", F.lit("outgoing").alias("direction")).distinct()
+    incoming = e.join(s, e["dst"] == s["seed"]).select("seed", F.col("src").alias("node_id"), "rel_type", "confidence", F.lit("incoming").alias("direction")).distinct()
     new = incoming.join(out.select("seed", "node_id").distinct(), ["seed", "node_id"], "left_anti")
     found = out.unionByName(new)
     return found.join(nodes.where(F.col("id").isNotNull()).select(F.col("id").alias("node_id"), "name", "type"), "node_id").select("seed", "node_id", "name", "type", "rel_type", "confidence", "direction")

@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 
 
-def on_sphere(rows: DataFrame, radius: float, order: str = "id", group: str | None = None) -> DataFrame:
-    """rows with pos: evenly over a sphere by their order. Ordinals come from counts of groups and ranks inside, so no window holds all rows unless group is one row's."""
+def on_sphere(rows: DataFrame, radius: float, order: str = "id", group: str | None = None, parts: int = 64) -> DataFrame:
+    """rows with pos: evenly over a sphere by their order, which has no ties.
+
+    Ordinals are counts of the parts before and ranks inside a part, so no window holds all rows; parts are cut at quantiles of at most
+    1,024 rows drawn by a hash.
+    """
     if group is not None:
         w = Window.partitionBy(group)
         return rows.withColumn("pos", S.sphere_point(F.row_number().over(w.orderBy(order)) - 1, F.count("*").over(w), radius))
-    part = F.pmod(F.xxhash64(order), F.lit(64))
+    drawn = sorted(r[0] for r in rows.select(order).distinct().orderBy(F.xxhash64(order), order).limit(1024).collect() if r[0] is not None)
+    cuts = sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
     dealt = rows.withColumn("_p", part)
     per = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     total = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select("_p", F.coalesce(F.sum("_n").over(total), F.lit(0)).alias("_b"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    before = per.select("_p", F.coalesce(F.sum("_n").over(total), F.lit(0)).alias("_b"), F.sum("_n").over(Window.partitionBy()).alias("_all"))  # a row for each part
     i = F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
     return dealt.join(F.broadcast(before), "_p").withColumn("pos", S.sphere_point(i, F.col("_all"), radius)).drop("_p", "_b", "_all")
 
@@ -108,7 +114,13 @@ def spring_positions(nodes: DataFrame, edges: DataFrame, group: str = "group") -
         pos = spring(ids, list(zip(e["src"], e["dst"], strict=True)))
         return pd.DataFrame({"id": ids, "x": pos[:, 0], "y": pos[:, 1], "z": pos[:, 2]})
 
-    return nodes.groupBy(group).cogroup(edges.groupBy(group)).applyInPandas(run, "id string, x double, y double, z double")
+    return nodes.groupBy(group).cogroup(edges.withColumnRenamed(group, "_group").groupBy("_group")).applyInPandas(run, "id string, x double, y double, z double")
+
+
+def centroids(positions: DataFrame, member: DataFrame) -> DataFrame:
+    """community_id, x, y, z: the mean place of each community's members."""
+    rows = member.select("community_id", F.col("node_id").alias("id")).distinct().join(positions, "id")
+    return rows.groupBy("community_id").agg(*(F.avg(a).alias(a) for a in "xyz"))
 
 
 def nearest(positions: DataFrame, node: str, radius: float, k: int) -> DataFrame:

@@ -25,14 +25,19 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int | None = 500, le
     return scored if k is None else scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
-def vector_top_k_each(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, blocks: int = 1) -> DataFrame:
-    """qid, vec_id, score, rank for every query(qid, embedding). Queries go round as lists of a block, so no row is written per pair: each vector scores its block and tasks keep k a query."""
+def vector_top_k_each(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, block: int = 256) -> DataFrame:
+    """qid, vec_id, score, rank for every query(qid, embedding). Queries go round as lists of about block, so no row is written per pair: each vector scores a list and tasks keep k a query."""
+    blocks = max(1, -(-queries.count() // block))
     q = queries.select("qid", S.unit(F.col("embedding")).alias("q"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).groupBy("block").agg(F.collect_list(F.struct("qid", "q")).alias("qs"))
     v = vectors.select("vec_id", S.unit(F.col("embedding")).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     hits = F.transform("qs", lambda x: F.struct(x["qid"].alias("qid"), F.round(S.dot(x["q"], F.col("v")), 6).alias("score")))
     if least is not None:
         hits = F.filter(hits, lambda h: h["score"] >= least)
-    flat = v.join(q, "block").select("vec_id", F.explode(hits).alias("h")).select("h.qid", "vec_id", "h.score")
+    # Where the lists are few and small they are broadcast by their size; else vectors are dealt by (block, part), never by the block alone.
+    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    v = v.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    flat = v.join(q, ["block", "part"]).select("vec_id", F.explode(hits).alias("h")).select("h.qid", "vec_id", "h.score")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -43,7 +48,8 @@ def merge_hits(hits: DataFrame) -> DataFrame:
     origin 0 cores, 1 relationships, 2 contexts. The summary is that of the best core or relationship hit, then come the contexts by
     score that it doesn't hold yet.
     """
-    rows = hits.withColumn("key", F.lower("name")).groupBy("key").agg(
+    same = hits.groupBy(F.lower("name").alias("key"), "origin", "text", "type").agg(F.max("score").alias("score"))  # repeats go before anything is gathered
+    rows = same.groupBy("key").agg(
         F.max("score").alias("score"),
         F.array_sort(F.collect_list(F.struct(F.col("origin").alias("o"), (-F.col("score")).alias("s"), F.coalesce("text", F.lit("")).alias("t"), F.coalesce("type", F.lit("")).alias("k")))).alias("h"),
     )
@@ -59,25 +65,57 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def text_index(docs: DataFrame, fields: dict[str, float] = FIELDS, id_column: str = "node_id") -> DataFrame:
-    """Postings term, field, id, tf, len: one pass over the texts, one combined count before the shuffle."""
+def _length(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+"))
+
+
+def text_index(docs: DataFrame, fields: dict[str, float] = FIELDS, id_column: str = "node_id", terms: DataFrame | None = None) -> DataFrame:
+    """Postings term, field, id, tf, len: one pass over the texts, one combined count before the shuffle. With terms(term) only theirs."""
     out = None
     for field in fields:
         # The length is taken before the tokens are exploded, so no row carries the whole list.
         cut = docs.select(F.col(id_column).alias("id"), tokens(F.col(field)).alias("t")).select("id", F.size("t").alias("len"), "t")
-        rows = cut.select("id", F.lit(field).alias("field"), "len", F.explode("t").alias("term")).groupBy("term", "field", "id", "len").agg(F.count("*").alias("tf"))
+        rows = cut.select("id", F.lit(field).alias("field"), "len", F.explode("t").alias("term"))
+        if terms is not None:
+            rows = rows.join(terms.select(F.lower("term").alias("term")).distinct(), "term", "left_semi")
+        rows = rows.groupBy("term", "field", "id", "len").agg(F.count("*").alias("tf"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def bm25(index: DataFrame, docs: DataFrame, terms: DataFrame, fields: dict[str, float] = FIELDS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """qid, id, score for terms(qid, term): the weighted sum over fields of BM25. The terms' side is the small one; only their postings are read."""
-    lengths = docs.select(*(F.avg(F.size(tokens(F.col(f)))).alias(f) for f in fields), F.count("*").alias("docs")).first()
+def text_lengths(docs: DataFrame, fields: dict[str, float] = FIELDS) -> dict[str, float]:
+    """The mean number of tokens of every field, and docs, the number of documents: one row."""
+    return docs.select(*(F.avg(_length(F.col(f))).alias(f) for f in fields), F.count("*").alias("docs")).first().asDict()
+
+
+def store_index(store, docs: DataFrame, fields: dict[str, float] = FIELDS, buckets: int = 64) -> None:
+    """Writes postings, dealt by a hash of their term, and the fields' lengths. A search reads only the buckets of its terms."""
+    posts = text_index(docs, fields).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    store.commit("postings", posts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term"), partition_by=["bucket"])
+    rows = [(k, float(v or 0)) for k, v in text_lengths(docs, fields).items()]
+    store.commit("lengths", docs.sparkSession.createDataFrame([(*r, buckets) for r in rows], "field string, mean double, buckets int"))
+
+
+def stored_index(store) -> tuple[DataFrame, dict[str, float]]:
+    """(postings, lengths) of a stored index, as `bm25` takes them."""
+    rows = store.read("lengths").collect()  # a row for each field
+    return store.read("postings"), {r["field"]: r["mean"] for r in rows} | {"buckets": rows[0]["buckets"]}
+
+
+def bm25(index: DataFrame, docs: DataFrame | None, terms: DataFrame, fields: dict[str, float] = FIELDS, k1: float = 1.2, b: float = 0.75, lengths: dict[str, float] | None = None) -> DataFrame:
+    """qid, id, score for terms(qid, term): the weighted sum over fields of BM25. The terms' side is the small one; only their postings are read.
+
+    lengths are those of a stored index; without them they are counted over docs.
+    """
+    lengths = lengths or text_lengths(docs, fields)
     total = lengths["docs"]
     mean = F.create_map(*(x for f in fields for x in (F.lit(f), F.lit(float(lengths[f] or 1)))))
     weight = F.create_map(*(x for f, w in fields.items() for x in (F.lit(f), F.lit(float(w)))))
     wanted = terms.select("qid", F.lower("term").alias("term")).distinct()
-    posts = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    keys = wanted.select("term").distinct()
+    if "bucket" in index.columns:  # so that the scan prunes the buckets
+        keys = keys.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(int(lengths["buckets"]))).cast("int"))
+    posts = index.join(keys, keys.columns, "left_semi")
     df = posts.groupBy("term", "field").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean[F.col("field")])) * weight[F.col("field")]
@@ -91,12 +129,18 @@ def best_each(scored: DataFrame, k: int) -> DataFrame:
     return out.withColumn("rank_score", F.count("*").over(Window.partitionBy("qid")) - F.col("rank") + 1)
 
 
+def counts_by_kind(hits: DataFrame) -> DataFrame:
+    """How many hits of each kind every query has."""
+    return hits.groupBy("qid", "kind").agg(F.count("*").alias("n"))
+
+
 def fuse(*sources: DataFrame) -> DataFrame:
     """Hits(qid, name, score, ...) of several sources, those of the first source first; each name once a query. ord tells the place."""
     out = None
     for i, s in enumerate(sources):
         rows = s.withColumn("source", F.lit(i))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    first = Window.partitionBy("qid", F.lower("name")).orderBy("source", F.desc("score"), "name")
+    ties = ["name", "id"] if "id" in out.columns else ["name"]
+    first = Window.partitionBy("qid", F.lower("name")).orderBy("source", F.desc("score"), *ties)
     kept = out.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return kept.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("source", F.desc("score"), "name")))
+    return kept.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("source", F.desc("score"), *ties)))

@@ -57,6 +57,29 @@ def set_status(notes: DataFrame, ids: DataFrame, processed: bool | None = None,
     return hit.select(*(p.alias(c) if c == "processed" else f.alias(c) if c == "failed" else F.col(c) for c in notes.columns))
 
 
+def append_children(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Only adds, even what is there already."""
+    return stored.unionByName(new, allowMissingColumns=True)
+
+
+def matching(rows: DataFrame, **payload) -> DataFrame:
+    """Rows whose fields equal the given values, or are among them where a list is given; a None asks for nothing."""
+    for name, value in payload.items():
+        if value is not None:
+            rows = rows.where(F.col(name).isin(*value) if isinstance(value, list | tuple | set) else F.col(name) == F.lit(value))
+    return rows
+
+
+def retrieve(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of some ids; unknown ids give none."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def execute(spark: SparkSession, sql: str, args: dict | None = None, **views: DataFrame) -> DataFrame:
+    """A parameterised SQL query over some tables, each named {like_this} in it."""
+    return spark.sql(sql, args=args or {}, **views)
+
+
 def status(processed: Column, failed: Column) -> Column:
     return F.when(processed, "completed").when(failed, "failed").otherwise("processing")
 

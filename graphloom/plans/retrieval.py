@@ -14,6 +14,7 @@ from ..operators import graph as G
 from ..operators import search as R
 
 TOP, EXPANDED, CONTEXT, ROUNDS, LEAST = 10, 10, 6, 10, 0.05
+RERANKED = 1500  # characters of a text that the reranker reads
 
 
 def analyse(questions: DataFrame, models: ModelHub | None = None) -> DataFrame:
@@ -56,10 +57,21 @@ def match_entities(analysed: DataFrame, nodes: DataFrame, per_query: int = 50) -
     return best.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_query).drop("_r")
 
 
-def match_keywords(analysed: DataFrame, index: DataFrame, docs: DataFrame, per_query: int = 100) -> DataFrame:
+def match_keywords(analysed: DataFrame, index: DataFrame, docs: DataFrame, per_query: int = 100, lengths: dict[str, float] | None = None) -> DataFrame:
     """qid, id, score by BM25 of the question's words and further terms."""
     terms = analysed.select("qid", F.explode(F.array_distinct(F.concat(R.tokens(F.col("question")), F.flatten(F.transform(extra_terms(F.col("question"), F.col("keywords"), F.col("concepts")), R.tokens))))).alias("term"))
-    return R.best_each(R.bm25(index, docs, terms), per_query).select("qid", "id", "score")
+    return R.best_each(R.bm25(index, docs, terms, lengths=lengths), per_query).select("qid", "id", "score")
+
+
+def embedded(rows: DataFrame, column: str, models: ModelHub | None = None, query: bool = False) -> DataFrame:
+    """rows with the embedding of a text column instead of it."""
+    models = models or Offline()
+
+    @F.pandas_udf("array<double>")
+    def embed(t: pd.Series) -> pd.Series:
+        return pd.Series([v.tolist() for v in models.embed(list(t.fillna("")), query=query)])
+
+    return rows.withColumn("embedding", embed(column)).drop(column)
 
 
 def expand(found: DataFrame, edges: DataFrame, nodes: DataFrame, sentences: DataFrame, per_node: int = EXPANDED) -> DataFrame:
@@ -80,34 +92,38 @@ def expand(found: DataFrame, edges: DataFrame, nodes: DataFrame, sentences: Data
     return named.select("qid", "id", "name", T.node_block(F.col("name"), F.col("type"), F.lit(None).cast("string"), F.col("rels"), brief=True).alias("block"))
 
 
-def rerank(candidates: DataFrame, models: ModelHub | None = None, k: int = TOP, least: float = LEAST) -> DataFrame:
-    """The k best candidates(qid, question, text, ord) of every question by the reranker, then those that reach the bar."""
+def rerank(candidates: DataFrame, models: ModelHub | None = None, k: int = TOP, least: float = LEAST, characters: int = RERANKED) -> DataFrame:
+    """The k best candidates(qid, question, text, ord) of every question by the reranker, then those that reach the bar.
+
+    The reranker reads the first characters of a text, as many as it has room for; it gets all of a batch's texts of one question at once.
+    """
     models = models or Offline()
 
     @F.pandas_udf("double")
     def score(question: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([models.rerank(q, [(t or "")[:1500]])[0] for q, t in zip(question, text, strict=True)], dtype=float)
+        out, texts = pd.Series(0.0, index=question.index), text.fillna("").str.slice(0, characters)
+        for q, part in texts.groupby(question):
+            out[part.index] = models.rerank(q, list(part))
+        return out
 
     order = Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "ord")
     out = candidates.withColumn("rerank_score", score("question", "text")).withColumn("place", F.row_number().over(order))
     return out.where((F.col("place") <= k) & (F.col("rerank_score") >= least))
 
 
-def hybrid_search(questions: DataFrame, nodes: DataFrame, docs: DataFrame, index: DataFrame, ref: DataFrame | None = None, notes: DataFrame | None = None, vectors: DataFrame | None = None, models: ModelHub | None = None, k: int = TOP) -> DataFrame:
+def hybrid_search(questions: DataFrame, nodes: DataFrame, docs: DataFrame, index: DataFrame, ref: DataFrame | None = None, notes: DataFrame | None = None, vectors: DataFrame | list[DataFrame] | None = None, models: ModelHub | None = None, k: int = TOP, lengths: dict[str, float] | None = None) -> DataFrame:
     """Candidates of every question: entity matches, then text hits, then vector hits; each name once; reranked; with up to two notes each."""
     models = models or Offline()
     analysed = analyse(questions, models)
     entity = match_entities(analysed, nodes).select("qid", "id", "name", F.col("type"), "score", F.lit("entity_match").alias("kind"))
-    text = match_keywords(analysed, index, docs).join(docs.select(F.col("node_id").alias("id"), "name", "type"), "id").select("qid", F.col("id").cast("string").alias("id"), "name", "type", "score", F.lit("text_match").alias("kind"))
+    text = match_keywords(analysed, index, docs, lengths=lengths).join(docs.select(F.col("node_id").alias("id"), "name", "type"), "id").select("qid", F.col("id").cast("string").alias("id"), "name", "type", "score", F.lit("text_match").alias("kind"))
     sources = [entity, text]
     if vectors is not None:
-
-        @F.pandas_udf("array<float>")
-        def embed(t: pd.Series) -> pd.Series:
-            return pd.Series(list(models.embed(list(t), query=True)))
-
-        q = analysed.select("qid", embed(enriched_query(F.col("question"), F.col("attribute"), F.col("concepts"))).alias("embedding"))
-        hits = R.vector_top_k_each(vectors.select(F.col("node_id").alias("vec_id"), "embedding"), q, 50, 0.45)
+        q = embedded(analysed.select("qid", enriched_query(F.col("question"), F.col("attribute"), F.col("concepts")).alias("q")), "q", models, query=True)
+        hits = None  # several collections: each gives its best, a node counts with its best hit
+        for collection in vectors if isinstance(vectors, list) else [vectors]:
+            some = R.vector_top_k_each(collection.select(F.col("node_id").alias("vec_id"), "embedding"), q, 50, 0.45).select("qid", "vec_id", "score")
+            hits = some if hits is None else hits.unionByName(some).groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
         sources.append(hits.join(nodes.select(F.col("id").alias("vec_id"), "name", "type"), "vec_id").select("qid", F.col("vec_id").alias("id"), "name", "type", "score", F.when(F.col("type") == "community", "community_summary").otherwise("vector_match").alias("kind")))
     fused = R.fuse(*sources)
     body = docs.select(F.col("node_id").cast("string").alias("id"), F.col("isolated_contexts").alias("body"))
