@@ -31,10 +31,11 @@ from .common import Words, keep, mapped, materialize, mix, new_path, put, shuffl
 ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 _MASK = np.uint64((1 << 63) - 1)
 END = mix(np.array([0xE0D], dtype=np.uint64)) & _MASK
-_WINDOW = 400_000
-BLOCK = 64
-_BLOCKS = 8192  # blocks that are decoded at once
+_WINDOW = 600_000
+BLOCK = 8
+_BLOCKS = 32768  # blocks that are decoded at once
 BINS = 256
+SHARD = 3_000_000  # tokens of training text for a shard of a level
 SAMPLE = 1 << 17  # tokens whose n-grams tell where a level is cut into shards
 
 
@@ -308,37 +309,73 @@ def _windows(batches, size: int = _WINDOW) -> Iterator[tuple[list, list[bytes]]]
     tidy()
 
 
-def _nodes(levels: list[Level], h: np.ndarray, begin: np.ndarray, upto: int) -> list[np.ndarray]:
-    """For k = 1..upto the node of the k tokens that end at each place, -1 where there is none."""
-    out = [_sorted_unique(h, levels[0].find)]
+class _Grams:
+    """What a level knows of the n-grams that end at each place: node (-1 where there is none), and as asked for its count, score, the
+    weight that it leaves as a context and its first child."""
+
+    def __init__(self, n: int):
+        self.node = np.full(n, -1, dtype=np.int64)
+        self.count = self.score = self.rest = self.first = None
+
+
+def _look_up(levels: list[Level], k: int, keys: np.ndarray, ok: np.ndarray, n: int, values: bool) -> _Grams:
+    """Level k's n-grams with the given keys, which end at places ok of n. Every different key is looked up once; nodes come in the order of keys."""
+    out, level = _Grams(n), levels[k - 1]
+    u, back = np.unique(keys, return_inverse=True)
+    node = level.find(u)
+    some = node >= 0
+    sorted_nodes = node[some]
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        of_key = np.zeros(len(u), dtype=x.dtype)
+        of_key[some] = x
+        full = np.zeros(n, dtype=x.dtype)
+        full[ok] = of_key[back]
+        return full
+
+    out.node[ok] = node[back]
+    if len(levels) > k:
+        if k + 1 < len(levels) or not values:
+            out.first = spread(levels[k].first_child(sorted_nodes))
+        if values:
+            out.rest = spread(levels[k].rest(sorted_nodes))
+    if values:
+        out.score = spread(level.scores(sorted_nodes))
+        if k == 1:
+            out.count = spread(level.counts(sorted_nodes))
+    return out
+
+
+def _walk(levels: list[Level], h: np.ndarray, begin: np.ndarray, upto: int, values: bool) -> list[_Grams]:
+    """For k = 1..upto the n-grams of k tokens that end at each place."""
     n = len(h)
-    depth = np.arange(n) - np.repeat(begin[:-1], np.diff(begin))
+    out = [_look_up(levels, 1, h, np.arange(n), n, values)]
+    depth = _depth(begin, n)
     for k in range(2, upto + 1):
-        level, node = levels[k - 1], np.full(n, -1, dtype=np.int64)
         ok = _extendable(out, depth, k)
-        if len(ok) and level.n:
-            node[ok] = _sorted_unique(_child_keys(levels, out, ok, k, level.bits), level.find)
-        out.append(node)
+        out.append(_look_up(levels, k, _child_keys(out, ok, k, levels[k - 1].bits), ok, n, values) if len(ok) and levels[k - 1].n else _Grams(n))
     return out
 
 
-def _extendable(nodes: list[np.ndarray], depth: np.ndarray, k: int) -> np.ndarray:
+def _depth(begin: np.ndarray, n: int) -> np.ndarray:
+    return np.arange(n) - np.repeat(begin[:-1], np.diff(begin))
+
+
+def _extendable(grams: list[_Grams], depth: np.ndarray, k: int) -> np.ndarray:
     """Places where an n-gram of k tokens may end: both of its parts of k - 1 tokens are nodes."""
-    last = nodes[k - 2]
+    last = grams[k - 2].node
     ok = np.flatnonzero((depth >= k - 1) & (last >= 0))
     return ok[last[ok - 1] >= 0] if len(ok) else ok
 
 
-def _child_keys(levels: list[Level], nodes: list[np.ndarray], ok: np.ndarray, k: int, bits: int) -> np.ndarray:
+def _child_keys(grams: list[_Grams], ok: np.ndarray, k: int, bits: int) -> np.ndarray:
     """Key (context, relative successor) of the n-grams of k tokens that end at places ok.
 
     For k = 2 the successor is the word; above, its place among the children of the context without its first word.
     """
-    context = nodes[k - 2][ok - 1].astype(np.uint64) << np.uint64(bits)
-    if k == 2:
-        return context | nodes[0][ok].astype(np.uint64)
-    first = _sorted_unique(nodes[k - 3][ok - 1], levels[k - 2].first_child)
-    return context | (nodes[k - 2][ok] - first).astype(np.uint64)
+    context = grams[k - 2].node[ok - 1].astype(np.uint64) << np.uint64(bits)
+    child = grams[k - 2].node[ok]
+    return context | (child if k == 2 else child - grams[k - 3].first[ok - 1]).astype(np.uint64)
 
 
 # --- counting --------------------------------------------------------------------------------------
@@ -523,10 +560,12 @@ def train(docs: DataFrame, order: int = ORDER, least: int = LEAST, directory: st
     spark = docs.sparkSession
     directory = directory or new_path(spark, "trie")
     docs = docs.select("doc_id", F.col("text").cast("string"))
-    n = shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shards = lambda tokens, each: max(1, min(shuffle_partitions(spark), -(-tokens // each)))
+    n = shards(size // 6, 4 * SHARD)  # words repeat more than longer n-grams
     even = np.array([i * (1 << 63) // n for i in range(1, n)], dtype=np.uint64)  # words have hashes of 63 bits
-    shards = _build(docs, lambda texts: token_hashes(texts)[0], 1, even, directory, 1, 0)
-    total, levels = sum(s["total"] for s in shards), [(shards, 0)]
+    words = _build(docs, lambda texts: token_hashes(texts)[0], 1, even, directory, 1, 0)
+    total, levels = sum(s["total"] for s in words), [(words, 0)]
     _write_values(spark, directory, levels, 1, total)
     for k in range(2, order + 1):
         before = levels[-1][0]
@@ -539,12 +578,11 @@ def train(docs: DataFrame, order: int = ORDER, least: int = LEAST, directory: st
         def keys(texts, levels=tuple(levels), k=k, bits=bits):
             opened = _opened(directory, list(levels))
             h, begin = token_hashes(texts)
-            node = _nodes(opened, h, begin, k - 1)
-            depth = np.arange(len(h)) - np.repeat(begin[:-1], np.diff(begin))
-            ok = _extendable(node, depth, k)
-            return _child_keys(opened, node, ok, k, bits) if len(ok) else np.zeros(0, np.uint64)
+            grams = _walk(opened, h, begin, k - 1, False)
+            ok = _extendable(grams, _depth(begin, len(h)), k)
+            return _child_keys(grams, ok, k, bits) if len(ok) else np.zeros(0, np.uint64)
 
-        levels.append((_build(docs, keys, least, _cuts(docs, keys, n, total), directory, k, bits), bits))
+        levels.append((_build(docs, keys, least, _cuts(docs, keys, shards(total, SHARD), total), directory, k, bits), bits))
         _write_values(spark, directory, levels, k, total)
     return {"directory": directory, "levels": levels, "train_tokens": total}
 
@@ -562,23 +600,23 @@ def _opened(directory: str, levels: list) -> list[Level]:
 def score_texts(levels: list[Level], total: int, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(tokens, known tokens, base score, score) of every text."""
     h, begin = token_hashes(texts)
-    nodes = _nodes(levels, h, begin, len(levels))
+    grams = _walk(levels, h, begin, len(levels), True)
     size = total + levels[0].n + 1
-    known = nodes[0] >= 0
-    base = np.full(len(h), -np.log10(size))
-    base[known] = np.log10((_sorted_unique(nodes[0][known], levels[0].counts) + 1) / size)
-    score = base.copy()
-    score[known] = _sorted_unique(nodes[0][known], levels[0].scores)
-    depth = np.arange(len(h)) - np.repeat(begin[:-1], np.diff(begin))
+    known = grams[0].node >= 0
+    base = np.log10((np.where(known, grams[0].count, 0) + 1) / size)
+    score = np.where(known, grams[0].score, base)
+    depth = _depth(begin, len(h))
     for k in range(2, len(levels) + 1):
-        context = np.full(len(h), -1, dtype=np.int64)
-        context[1:] = nodes[k - 2][:-1]
-        context[depth < k - 1] = -1
-        found, cut = nodes[k - 1] >= 0, (context >= 0) & (nodes[k - 1] < 0)
-        if cut.any():
-            score[cut] += _sorted_unique(context[cut], levels[k - 1].rest)
+        before, here = grams[k - 2], grams[k - 1]
+        context = np.zeros(len(h), dtype=bool)
+        context[1:] = before.node[:-1] >= 0
+        context &= depth >= k - 1
+        found = here.node >= 0
+        cut = np.flatnonzero(context & ~found)
+        if len(cut) and before.rest is not None:
+            score[cut] += before.rest[cut - 1]
         if found.any():
-            score[found] = _sorted_unique(nodes[k - 1][found], levels[k - 1].scores)
+            score[found] = here.score[found]
     add = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[begin])
     return np.diff(begin), add(known).astype(np.int64), add(base), add(score)
 
