@@ -41,24 +41,69 @@ SYNTHETIC = 2000
 #: Mean log-likelihood ratio a pair of characters, in nats, from which a run counts as random.
 THRESHOLD = 1.0
 
+_CHUNK = 4096
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value evaluated once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _before(values: Column, op, zero: Column) -> Column:
+    """For every place of an int array what op has made of the values before it.
+
+    A fold that grows an array copies it at each step, so long arrays are folded in blocks of about the square root of their length.
+    """
+
+    def fold(block: Column, begin: Column) -> Column:
+        first = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, first, lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def whole(v: Column) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda k: F.slice(v, k * size + 1, size))
+        begins = lambda b: fold(F.transform(b, lambda x: F.aggregate(x, zero, op)), zero)
+        return F.when(F.size(v) > 0, _let(blocks, lambda b: F.flatten(F.zip_with(b, begins(b), fold)))).otherwise(F.array().cast("array<int>"))
+
+    return _let(values, whole)
+
+
+def _sum(a: Column, x: Column) -> Column:
+    return (a + x).cast("int")
+
+
 def _spans(text: Column, pattern: str, kind: int, value_at_least: int = 0, value_group: int = 0) -> Column:
     """Spans of the leftmost matches that don't overlap, found from what stands between them; only where there is a match at all."""
     none = F.array().cast(_SPAN)
     p = F.lit(pattern)
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(value_group)).alias("value"))
+    rows = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(F.regexp_extract_all(text, p, F.lit(0)), F.length).alias("hit"), F.transform(F.regexp_extract_all(text, p, F.lit(value_group)), F.length).alias("value"))
+
+    def placed(x: Column) -> Column:
+        at = _before(F.transform(x, lambda r: (r["gap"] + F.coalesce(r["hit"], F.lit(0))).cast("int")), _sum, F.lit(0))
+        good = F.filter(F.zip_with(x, at, lambda r, a: F.struct(r["hit"].alias("hit"), r["value"].alias("value"), (a + r["gap"]).cast("int").alias("start"))), lambda r: r["hit"].isNotNull() & (r["value"] >= value_at_least))
+        return F.transform(good, lambda r: F.struct(r["start"].alias("start"), F.lit(kind).alias("kind"), (r["start"] + r["hit"]).cast("int").alias("end")))
+
+    return F.when(text.rlike(pattern), _let(rows, placed)).otherwise(none)
+
+
+def _runs(text: Column) -> Column:
+    """array<struct<start, s>> of the runs that stand apart from assignments and hold no hex or access key."""
+    kind = "array<struct<start:int,s:string>>"
+    gaps = F.split(text, ASSIGN, -1)
+    hits = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)), F.length)
 
-    def step(a, x):
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        good = x["hit"].isNotNull() & (F.length(x["value"]) >= value_at_least)
-        add = F.when(good, F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))).otherwise(none)
-        return F.struct(F.coalesce(end, a["at"]).cast("int").alias("at"), F.concat(a["out"], add).cast(_SPAN).alias("out"))
+    def of_gap(g: Column) -> Column:
+        strings = F.regexp_extract_all(g["s"], F.lit(RUN), F.lit(0))
+        x = F.zip_with(_spans(g["s"], RUN, 3), strings, lambda span, s: F.struct((span["start"] + g["start"]).cast("int").alias("start"), s.alias("s")))
+        return F.filter(x, lambda r: ~r["s"].rlike(f"{HEX}|{ACCESS}"))
 
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(rows, begin, step, lambda a: a["out"])).otherwise(none)
+    def of_text(x: Column) -> Column:
+        at = _before(F.transform(x, lambda r: (F.length(r["gap"]) + F.coalesce(r["hit"], F.lit(0))).cast("int")), _sum, F.lit(0))
+        parts = F.filter(F.zip_with(x, at, lambda r, a: F.struct(a.alias("start"), r["gap"].alias("s"))), lambda g: g["s"].rlike(RUN))
+        return F.flatten(F.transform(parts, of_gap))
+
+    return F.when(text.rlike(RUN), _let(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), of_text)).otherwise(F.array().cast(kind)).cast(kind)
 
 
 def with_base(docs: DataFrame) -> DataFrame:
@@ -117,16 +162,10 @@ def _ratio(string: Column, table: list[float]) -> Column:
 def with_spans(docs: DataFrame, table: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with _text, _assign, _access, _hex, _markov and _all (all spans by start, then kind)."""
     table = train(samples(docs)) if table is None else table
-    base = with_base(docs)
-    t = F.col("_text")
-    # A run's text is cut out again only where the text has runs.
-    runs = _spans(t, RUN, 3)
-    strings = F.when(t.rlike(RUN), F.regexp_extract_all(t, F.lit(RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    base = base.withColumn("_runs", F.arrays_zip(runs.alias("span"), strings.alias("s"))).withColumn("_base", F.concat("_assign", "_access", "_hex"))
-    apart = lambda r: ~F.exists("_base", lambda b: (b["start"] < r["span"]["end"]) & (b["end"] > r["span"]["start"]))
-    free = F.filter("_runs", apart)
-    base = base.withColumn("_markov", F.transform(F.filter(free, lambda r: _ratio(r["s"], table) >= threshold), lambda r: r["span"]).cast(_SPAN))
-    return base.withColumn("_all", F.array_sort(F.concat("_base", "_markov")))
+    base = with_base(docs).withColumn("_base", F.concat("_assign", "_access", "_hex"))
+    random = F.filter(_runs(F.col("_text")), lambda r: _ratio(r["s"], table) >= threshold)
+    found = F.transform(random, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), (r["start"] + F.length(r["s"])).cast("int").alias("end")))
+    return base.withColumn("_markov", found.cast(_SPAN)).withColumn("_all", F.array_sort(F.concat("_base", "_markov")))
 
 
 def _written(spans: Column) -> Column:
@@ -147,13 +186,25 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", table: list[float] | None =
     Overlapping spans are replaced as one. A null text stays null.
     """
     s = with_spans(docs, table)
+    text = F.col("_text")
+
+    def replaced(x: Column) -> Column:
+        """x: spans, the greatest end before each, and the text in chunks, so that no cut begins at the text's start."""
+
+        def between(a: Column, b: Column) -> Column:
+            i, j = F.floor(a / _CHUNK).cast("int"), F.floor(b / _CHUNK).cast("int")
+            chunk = lambda k: F.coalesce(F.get(x["chunks"], k), F.lit(""))
+            cut = F.substring(chunk(i), a % _CHUNK + 1, b - a)
+            whole = F.array_join(F.slice(x["chunks"], i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+            return F.when(i == j, cut).otherwise(F.concat(F.substring(chunk(i), a % _CHUNK + 1, F.lit(_CHUNK)), whole, F.substring(chunk(j), F.lit(1), b % _CHUNK)))
 
-    def step(a, x):
-        start = F.greatest(x["start"], a["at"])
-        grown = F.struct(F.greatest(x["end"], a["at"]).alias("at"), F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, start - a["at"]), F.when(x["start"] >= a["at"], F.lit(mark)).otherwise(F.lit(""))).alias("out"))
-        return grown
+        pieces = F.zip_with(x["spans"], x["before"], lambda r, at: F.when(r["start"] >= at, F.concat(between(at, r["start"]), F.lit(mark))).otherwise(F.lit("")))
+        last = F.greatest(F.element_at(x["before"], -1), F.element_at(x["spans"], -1)["end"])
+        return F.concat(F.array_join(pieces, ""), between(last, x["length"]))
 
-    clean = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text") - a["at"])))
+    ends = _before(F.transform("_all", lambda r: r["end"]), lambda a, e: F.greatest(a, e), F.lit(0))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    clean = _let(F.struct(F.col("_all").alias("spans"), ends.alias("before"), chunks.alias("chunks"), F.length(text).alias("length")), replaced)
     out = s.withColumn("text", F.when(F.size("_all") > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
