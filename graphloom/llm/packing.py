@@ -11,13 +11,14 @@ further columns are ignored; a document longer than a sequence is cut at multipl
 from __future__ import annotations
 
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 from .encoding import encoder, public_path
 
 CAPACITY = 2048
@@ -48,19 +49,25 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1,
 
 
 def price(values: np.ndarray, sizes: np.ndarray, limits: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The multiset of classes of greatest value that fits room units (each class at most limits times), by dynamic programming."""
-    best, took = np.zeros(room + 1), np.full(room + 1, -1)
+    """The multiset of classes of greatest value that fits room units (each class at most limits times), by dynamic programming.
+
+    A class that is worth no more than a smaller one is never needed, so few classes are left for the table.
+    """
     useful = np.flatnonzero((values > 1e-12) & (limits > 0) & (sizes <= room))
+    order = useful[np.argsort(sizes[useful], kind="stable")]
+    best_smaller = np.maximum.accumulate(np.concatenate(([0.0], values[order])))[:-1]
+    fits = order[values[order] > best_smaller + 1e-15]
+    best, took = np.zeros(room + 1), np.full(room + 1, -1)
+    value, size = values[fits], sizes[fits]
+    upto = np.searchsorted(size, np.arange(room + 1), "right")
     for u in range(1, room + 1):
-        fits = useful[sizes[useful] <= u]
-        if not len(fits):
-            continue
-        gain = best[u - sizes[fits]] + values[fits]
-        k = int(gain.argmax())
-        if gain[k] > best[u - 1] + 1e-15:
-            best[u], took[u] = gain[k], fits[k]
-        else:
-            best[u] = best[u - 1]
+        n = upto[u]
+        best[u] = best[u - 1]
+        if n:
+            gain = best[u - size[:n]] + value[:n]
+            k = int(gain.argmax())
+            if gain[k] > best[u] + 1e-15:
+                best[u], took[u] = gain[k], fits[k]
     pattern, u = np.zeros(len(values), dtype=np.int64), room
     while u > 0:
         if took[u] < 0:
@@ -71,10 +78,12 @@ def price(values: np.ndarray, sizes: np.ndarray, limits: np.ndarray, room: int)
     return float(best[room]), pattern
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, most_columns: int = 4000, tolerance: float = 1e-7) -> list[tuple[np.ndarray, float]]:
+def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, tolerance: float = 1e-6) -> list[tuple[np.ndarray, float]]:
     """Patterns and fractional counts of the linear program min sum(x), sum(pattern * x) = demand, x >= 0: the revised simplex method.
 
-    The basis starts with one pattern per class, as often as it fits; every step prices a pattern by knapsack and pivots it in.
+    The basis starts with one pattern per class, as often as it fits; every step prices a pattern by knapsack and pivots it in. It ends
+    when no pattern is worth more than 1, or when the bound that every pricing gives (the program's value over the best pattern's) shows
+    that less than half a sequence or a 100,000th can still be gained.
     """
     m = len(sizes)
     columns = [np.zeros(m, dtype=np.int64) for _ in range(m)]
@@ -83,10 +92,12 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, most_col
     inverse = np.diag([1.0 / c[i] for i, c in enumerate(columns)])
     x = inverse @ demand
     basis = list(columns)
-    for step in range(most_columns):
+    lower = 0.0
+    for step in count():
         dual = inverse.sum(0)
         value, pattern = price(dual, sizes, np.full(m, room), room)
-        if value <= 1 + tolerance:
+        lower = max(lower, float(x.sum()) / max(value, 1.0))
+        if value <= 1 + tolerance or float(x.sum()) - lower <= max(0.5, 1e-5 * lower):
             break
         d = inverse @ pattern
         up = d > 1e-9
@@ -142,11 +153,11 @@ def _layout(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int,
     return rows
 
 
-def assign(cut: DataFrame, capacity: int = CAPACITY, step: int = 8, spread: int = 200_000) -> DataFrame:
+def assign(cut: DataFrame, capacity: int = CAPACITY, step: int = 8) -> DataFrame:
     """Adds sequence_id and offset to pieces(doc_id, start, length, ...). cut is read three times, so pass a written table.
 
     To the driver come only the histogram over capacity / step classes and the rows per class and salt group; ranks within a class are
-    numbered inside salt groups of about `spread` pieces, so that one length may hold any share of all pieces.
+    numbered inside salt groups, as many as the class's share asks for, so that one length may hold any share of all pieces.
     """
     spark = cut.sparkSession
     sized = cut.withColumn("class", F.ceil(F.col("length") / step).cast("int"))
@@ -155,8 +166,9 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, step: int = 8, spread: int
     if not rows:
         return cut.withColumn("sequence_id", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long"))
     layout = F.broadcast(spark.createDataFrame(rows, "class int, lo long, hi long, times long, sequence long, slot long"))
-    salts = max(1, -(-sum(histogram.values()) // spread))
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    size = max(32, sum(histogram.values()) // (8 * shuffle_partitions(spark)))  # rows of a salt group
+    salts = F.create_map(*(F.lit(x) for c, n in histogram.items() for x in (c, -(-n // size))))  # an entry for each class
+    salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts[F.col("class")]).cast("int"))
     per = salted.groupBy("class", "salt").agg(F.count("*").alias("n"))
     before = per.select("class", "salt", (F.sum("n").over(Window.partitionBy("class").orderBy("salt")) - F.col("n")).alias("before"))
     inner = Window.partitionBy("class", "salt").orderBy("doc_id", "start", "ids_crc32")
