@@ -100,6 +100,19 @@ def tidy() -> None:
         pass
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, fan: int = 64) -> DataFrame:
+    """rows joined with groups(keys, m, ...), of which each has m of the rows; groups must be a written table.
+
+    Keys with more than a 1,024th of all rows, so fewer than 1,024 keys, are dealt to fan tasks by a hash of the rows' column `by`.
+    """
+    total = groups.agg(F.sum("m").alias("n")).first()["n"] or 0
+    hot = F.broadcast(groups.where(F.col("m") > total / 1024).select(*keys, F.lit(True).alias("_hot")))  # fewer than 1,024 keys
+    left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(fan)).cast("int")).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))
+    right = groups.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 # --- words ---------------------------------------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)

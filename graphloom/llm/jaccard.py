@@ -3,7 +3,7 @@
 Documents with the same set go on as one. The rest comes in three steps, none of which lists the pairs of a group:
 
 1. Documents with the same smallest (or greatest) shingle hash meet in groups, large ones split at random; in each group the inverted
-   lists of the shingles are searched for partners with DivideSkip: short lists are merged by counting, the longest are only probed, and
+   lists of the shingles are searched for partners with DivideSkip: the short lists are merged in document order, the longest are only probed, and
    pairs already in one class are passed over. This joins most of what belongs together.
 2. A linked pair shares a shingle of both prefixes (n - ceil(t * n) + 1 shingles, rarest first), and its prefixes share as many as leave
    the rest able to reach the overlap. Only pairs from different classes of step 1 are counted, over short lists by a join, over long
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, Words, blocks, components, keep, materialize, mix, shingle_hashes, shuffle_partitions, tidy
+from .common import UnionFind, Words, blocks, components, keep, materialize, mix, shingle_hashes, shuffle_partitions, spread_join, tidy
 
 FREQUENT, MOST_FREQUENT = 48, 400_000  # repeats that make a shingle come late in the order; how many such are kept at most
 GROUP, LONG, BLOCK = 384, 48, 256
@@ -77,13 +77,14 @@ class Lists:
         longest = int(length.max())
         aside = min(least - 1, int(least / (self.MU * math.log2(longest + 1) + 1)), len(at) - 1)
         short, long = at[: len(at) - aside], at[len(at) - aside :]
-        # Merge the short lists: a count of every document that they hold.
+        # Merge the short lists, each sorted by document, into one order; a document's run tells how many of them hold it.
         size = self.begin[short + 1] - self.begin[short]
         ends = np.cumsum(size)
-        merged = self.doc[np.repeat(self.begin[short] - ends + size, size) + np.arange(ends[-1])]
-        count = np.bincount(merged, minlength=len(self.sizes))
-        near = np.flatnonzero((count >= max(1, least - aside)) & allowed)
-        count = count[near]
+        merged = np.sort(self.doc[np.repeat(self.begin[short] - ends + size, size) + np.arange(ends[-1])], kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+        near, count = merged[new], np.diff(np.append(new, len(merged)))
+        keep = (count >= max(1, least - aside)) & allowed[near]
+        near, count = near[keep], count[keep]
         # Probe the long lists by bisection for what is left.
         for i, x in enumerate(long.tolist()):
             if not len(near):
@@ -238,9 +239,9 @@ def _meet(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
 
 def _split(rows: DataFrame, size: int, salt: int) -> DataFrame:
     """rows(g, doc_id, n) with a part, about size rows and GROUP_SHINGLES hashes of a g each; without groups of one."""
-    many = rows.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
+    many = materialize(rows.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1"), "groups")
     parts = F.greatest(F.ceil(F.col("m") / size), F.ceil(F.col("s") / GROUP_SHINGLES))
-    return rows.join(many, "g").select("g", F.pmod(F.xxhash64("doc_id", F.lit(salt)), parts).alias("part"), "doc_id")
+    return spread_join(rows, many, ["g"], "doc_id").select("g", F.pmod(F.xxhash64("doc_id", F.lit(salt)), parts).alias("part"), "doc_id")
 
 
 def _candidates(reps: DataFrame, percent: int) -> DataFrame:
@@ -248,7 +249,7 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
     p = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     posts = reps.select("doc_id", "n", p.alias("p"), "class", F.explode("prefix").alias("h"))
     busy = materialize(posts.groupBy("h").agg(F.count("*").alias("m"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("m > 1 and lo <> hi").select("h", "m"), "busy")
-    rows = materialize(posts.join(busy, "h"), "postings")
+    rows = materialize(spread_join(posts, busy, ["h"], "doc_id"), "postings")
     long = rows.where(F.col("m") > LONG)
     tally = long.groupBy("doc_id").agg(F.count("*").alias("longs"))
     need = lambda nx, px, ny, py: F.ceil(percent * (nx + ny) / (100 + percent) - 1e-9) - F.greatest(nx - px, ny - py)
@@ -304,7 +305,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = materialize(_profiles(docs, k, percent), "sets")
     key = ("n", "s1", "s2")
     whole = sets.where("n > 0 and doc_id is not null")
-    reps = materialize(whole.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("prefix").alias("prefix")), "reps")
+    reps = materialize(whole.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("prefix").alias("prefix")), "reps")
     ids = reps.select(F.col("rep").alias("doc_id"), "n", "low", "high")
     first = _split(ids.select(F.col("low").alias("g"), "doc_id", "n"), GROUP, 1)
     second = _split(ids.select(F.col("high").alias("g"), "doc_id", "n"), GROUP, 2).withColumn("part", -1 - F.col("part"))
@@ -321,8 +322,8 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     joined = late.join(of.withColumnRenamed("id", "a").withColumnRenamed("class", "ca"), "a").join(of.withColumnRenamed("id", "b").withColumnRenamed("class", "cb"), "b")
     last = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     final = of.join(last.withColumnRenamed("node", "class"), "class", "left").select(F.col("id").alias("rep"), F.coalesce("component", "class").alias("component_id"))
-    classes = reps.select(*key, "rep").join(final, "rep").groupBy(*key).agg(F.min("component_id").alias("component_id"))
-    linked = whole.select("doc_id", *key).join(classes, list(key)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    classes = materialize(reps.select(*key, "m", "rep").join(final, "rep").select(*key, "m", "component_id"), "final")
+    linked = spread_join(whole.select("doc_id", *key), classes, list(key), "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 

@@ -2,7 +2,8 @@
 
 A file holds the ids of some consecutive documents as bit-planes, most significant bit first, each plane in the order that a stable
 sort by the planes above leaves. Rank and select on the planes give access to any token, counts of a token in any range, and the
-places where it occurs, without decoding the rest.
+places where it occurs, without decoding the rest: ranks of every 512 bits and samples for select are stored beside each plane, and files
+are memory-mapped.
 
 Defined cases: a null or empty text has only the end id; equal doc_ids are ordered by text and keep one row each; a null doc_id comes
 first; an empty table gives no files and no rows; further columns are ignored.
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import mapped, materialize, new_path, put, shuffle_partitions
 from .encoding import encoder, public_path
 
-MAGIC = b"GLWM1\0\0\0"
+MAGIC = b"GLWM2\0\0\0"
 _WORD = 512  # bits between two stored ranks
+_SAMPLE = 4096  # ones, or zeros, between two stored samples
 
 
 class WaveletMatrix:
@@ -34,11 +36,27 @@ class WaveletMatrix:
     that a file doesn't have.
     """
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], symbols: np.ndarray):
+    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], symbols: np.ndarray, ranks: list[np.ndarray] | None = None, selects: list[tuple[np.ndarray, np.ndarray]] | None = None):
         self.n, self.planes, self.zeros, self.symbols = n, planes, zeros, symbols
-        self._ranks: dict[int, np.ndarray] = {}
+        self.ranks = [self._directory(p) for p in planes] if ranks is None else ranks
+        self.selects = [self._samples(r, n) for r in self.ranks] if selects is None else selects
         self._codes: dict[int, int] | None = None
 
+    @staticmethod
+    def _directory(plane: np.ndarray) -> np.ndarray:
+        """The ones before every _WORD bits of a plane, and all of them."""
+        padded = np.zeros(-(-len(plane) * 8 // _WORD) * (_WORD // 8), dtype=np.uint8)
+        padded[: len(plane)] = plane
+        each = np.bitwise_count(padded).reshape(-1, _WORD // 8).sum(1, dtype=np.int64)
+        return np.concatenate(([0], np.cumsum(each))).astype("<u4")
+
+    @staticmethod
+    def _samples(rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of a plane in which its zeros, and its ones, number 0, _SAMPLE, 2 * _SAMPLE ... stand."""
+        ones = rank.astype(np.int64)
+        before = (np.minimum(np.arange(len(ones)) * _WORD, n) - ones, ones)
+        return tuple((np.searchsorted(x, np.arange(0, x[-1], _SAMPLE), "right") - 1).astype("<u4") for x in before)
+
     def code(self, value: int) -> int:
         """The code of a value, -1 where it doesn't occur."""
         if self._codes is None:
@@ -67,16 +85,10 @@ class WaveletMatrix:
         return cls(len(values), planes, zeros, symbols)
 
     def _rank1(self, level: int, i: int) -> int:
-        """Ones before place i of a plane."""
-        if level not in self._ranks:
-            plane = self.planes[level]
-            padded = np.zeros(-(-len(plane) * 8 // _WORD) * (_WORD // 8), dtype=np.uint8)
-            padded[: len(plane)] = plane
-            each = np.bitwise_count(padded).reshape(-1, _WORD // 8).sum(1, dtype=np.int64)
-            self._ranks[level] = np.concatenate(([0], np.cumsum(each)))
+        """Ones before place i of a plane: a stored rank and the bits of one word."""
         block, byte = i // _WORD, i // 8
         plane = self.planes[level]
-        ones = int(self._ranks[level][block]) + int(np.bitwise_count(plane[block * (_WORD // 8) : byte]).sum())
+        ones = int(self.ranks[level][block]) + int(np.bitwise_count(plane[block * (_WORD // 8) : byte]).sum())
         return ones + (int(plane[byte]) >> (8 - i % 8)).bit_count() if i % 8 else ones
 
     def _bit(self, level: int, i: int) -> int:
@@ -116,8 +128,10 @@ class WaveletMatrix:
         return b - a
 
     def _select_bit(self, level: int, bit: int, k: int) -> int:
-        """The place of the k-th (from 0) such bit of a plane, by bisection over ranks."""
-        lo, hi = 0, self.n
+        """The place of the k-th (from 0) such bit of a plane: bisection between two stored samples."""
+        words = self.selects[level][bit]
+        lo = int(words[k // _SAMPLE]) * _WORD
+        hi = min(self.n, (int(words[k // _SAMPLE + 1]) + 1) * _WORD) if k // _SAMPLE + 1 < len(words) else self.n
         while lo < hi:
             mid = (lo + hi) // 2
             ones = self._rank1(level, mid + 1)
@@ -157,24 +171,31 @@ class WaveletMatrix:
 
 
 def to_bytes(matrix: WaveletMatrix, doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray) -> bytes:
-    """One file: a header, then the document table and each plane as zstd frames that can be opened one by one."""
-    press = zstandard.ZstdCompressor(level=1)
-    parts = [press.compress(x.tobytes()) for x in (doc_ids.astype("<i8"), known.astype(np.uint8), lengths.astype("<i8"), matrix.symbols.astype("<u4"), *matrix.planes)]
+    """One file: a header, the document table under zstd, then the planes with their ranks and samples as they are, so that a mapped file
+    answers from the pages that a question touches."""
+    table = zstandard.ZstdCompressor(level=1).compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + known.astype(np.uint8).tobytes())
+    parts = [table, matrix.symbols.astype("<u4").tobytes()]
+    for plane, rank, (zeros, ones) in zip(matrix.planes, matrix.ranks, matrix.selects, strict=True):
+        parts += [plane.tobytes(), rank.astype("<u4").tobytes(), zeros.astype("<u4").tobytes(), ones.astype("<u4").tobytes()]
     head = json.dumps({"n": matrix.n, "docs": len(lengths), "zeros": matrix.zeros, "sizes": [len(p) for p in parts]}).encode()
-    return MAGIC + struct.pack("<q", len(head)) + head + b"".join(parts)
+    head += b" " * (-len(head) % 8)
+    return MAGIC + struct.pack("<q", len(head)) + head + b"".join(p + b"\0" * (-len(p) % 8) for p in parts)
 
 
-def from_bytes(data: bytes | memoryview) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
-    """(matrix, doc_ids, whether each is known, tokens of each)."""
-    if bytes(data[:8]) != MAGIC:
+def open_file(data: np.ndarray) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
+    """(matrix, doc_ids, whether each is known, tokens of each) of a file's bytes; of the planes nothing is read or copied."""
+    if data[:8].tobytes() != MAGIC:
         raise ValueError("not a token file")
-    (size,) = struct.unpack("<q", data[8:16])
-    head, at, parts = json.loads(bytes(data[16 : 16 + size])), 16 + size, []
+    (size,) = struct.unpack("<q", data[8:16].tobytes())
+    head, at, parts = json.loads(data[16 : 16 + size].tobytes()), 16 + size, []
     for n in head["sizes"]:
-        parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + n]))
-        at += n
-    ids, known, lengths = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], np.uint8).astype(bool), np.frombuffer(parts[2], "<i8")
-    return WaveletMatrix(head["n"], [np.frombuffer(p, np.uint8) for p in parts[4:]], head["zeros"], np.frombuffer(parts[3], "<u4")), ids, known, lengths
+        parts.append(data[at : at + n])
+        at += n + -n % 8
+    table, docs = zstandard.ZstdDecompressor().decompress(parts[0].tobytes()), head["docs"]
+    ids, lengths, known = np.frombuffer(table, "<i8", docs), np.frombuffer(table, "<i8", docs, 8 * docs), np.frombuffer(table, np.uint8, docs, 16 * docs).astype(bool)
+    of = [parts[i : i + 4] for i in range(2, len(parts), 4)]
+    matrix = WaveletMatrix(head["n"], [p[0] for p in of], head["zeros"], parts[1].view("<u4"), [p[1].view("<u4") for p in of], [(p[2].view("<u4"), p[3].view("<u4")) for p in of])
+    return matrix, ids, known, lengths
 
 
 def write_token_files(docs: DataFrame, directory: str, tokenizer: str, kind: str = "byte", end_id: int = 0, file_tokens: int = 2_000_000) -> DataFrame:
@@ -240,7 +261,7 @@ def read_token_files(manifest: DataFrame, directory: str) -> DataFrame:
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                matrix, doc_ids, known, lengths = from_bytes(memoryview(mapped(f"{directory}/{row['file']}")))
+                matrix, doc_ids, known, lengths = open_file(mapped(f"{directory}/{row['file']}"))
                 data = memoryview(matrix.decode().astype("<u4")).cast("B")
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]

@@ -110,7 +110,7 @@ def test_token_files(spark, docs, empty):
 def test_wavelet_matrix():
     r = np.random.default_rng(2)
     for v in (r.integers(0, 70_000, 3000), r.zipf(1.4, 3000) % 50_257, np.zeros(5, int), np.zeros(0, int)):
-        m, *_ = wavelet.from_bytes(wavelet.to_bytes(wavelet.WaveletMatrix.build(v), np.zeros(1), np.ones(1), np.array([len(v)])))
+        m, *_ = wavelet.open_file(np.frombuffer(wavelet.to_bytes(wavelet.WaveletMatrix.build(v), np.zeros(1), np.ones(1), np.array([len(v)])), np.uint8))
         assert (m.decode() == v).all()
         for x in v[:20]:
             assert m.occurrences(int(x))[:5] == np.flatnonzero(v == x)[:5].tolist() and m.rank(int(x), len(v) // 2) == (v[: len(v) // 2] == x).sum()
