@@ -91,11 +91,15 @@ def in_a_row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokenizer(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    return lambda texts: in_a_row([e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        return in_a_row([e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+
+    return encode
 
 
 # Added tokens of these tokenizers begin so. They are taken out of a text before its pattern applies, so a stretch that may hold one

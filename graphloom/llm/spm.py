@@ -1,11 +1,11 @@
 """SentencePiece models on the tokenizers library: read the model protobuf, rebuild the tokenizer, encode, decode, verify.
 
-Rebuilt are the normaliser (only identity with an optional dummy prefix and white-space clean-up; others are refused), the metaspace
-marker, the unigram scores or the BPE merges that the scores imply, and byte fallback. Every different stretch of text that a worker
-encodes is compared with the sentencepiece library; `parity` tells per document whether all of its stretches agreed.
+Rebuilt are the normaliser (its compiled character map, white-space squeezing, the dummy prefix), the metaspace marker, the unigram scores
+or the BPE merges that the scores imply, user-defined pieces, and byte fallback. Batches are encoded by the library's threads. `parity`
+tells per document whether the sentencepiece library gives the same ids for its whole text.
 
 Defined cases: null and empty texts have no ids and decode to ''; repeated rows keep one row each; an empty table gives none; further
-columns are ignored.
+columns are ignored. `round_trip` compares with the text as it stands, so a normaliser that changes a text makes it false.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
 from .encoding import StretchEncoder, in_a_row, public_path
 
 MARK = "▁"
@@ -77,11 +78,9 @@ def parse_model(path: str) -> dict:
 
 
 def build_tokenizer(model: dict):
-    """A tokenizers.Tokenizer for text in which spaces are already metaspace marks."""
+    """A tokenizers.Tokenizer for normalised text in which spaces are already metaspace marks."""
     from tokenizers import Tokenizer, decoders, models
 
-    if model["charsmap"] or model["normalizer"] not in ("", "identity"):
-        raise ValueError("only identity normalisers are rebuilt")
     pieces = model["pieces"]
     unknown = next(i for i, p in enumerate(pieces) if p[2] == UNKNOWN)
     if model["model_type"] == UNIGRAM:
@@ -99,23 +98,35 @@ def build_tokenizer(model: dict):
     return t
 
 
+def build_normaliser(model: dict):
+    """The function that a model applies to a text before its pieces: character map and white space, without prefix and marks."""
+    from tokenizers import normalizers
+
+    charsmap = normalizers.Precompiled(model["charsmap"]) if model["charsmap"] else None
+    squeeze = re.compile(" {2,}").sub if model["remove_extra_whitespaces"] else None
+
+    def normalise(text: str) -> str:
+        if charsmap is not None:
+            text = charsmap.normalize_str(text)
+        return squeeze(" ", text).strip(" ") if squeeze else text
+
+    return normalise
+
+
 class Backend:
-    """Encodes and decodes batches, and compares every stretch it learns with the sentencepiece library."""
+    """Encodes and decodes batches, and tells whether the sentencepiece library encodes whole texts alike."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         self.model = parse_model(path)
-        if self.model["remove_extra_whitespaces"]:
-            raise ValueError("models that squeeze white space are not rebuilt")
         self.prefix = MARK if self.model["add_dummy_prefix"] else ""
+        self.normalise = build_normaliser(self.model)
+        self.plain = not self.model["charsmap"] and not self.model["remove_extra_whitespaces"]
         self.tokenizer = build_tokenizer(self.model)
         self.other = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.off = 0 if self.model["add_dummy_prefix"] else None
-        self.wrong: set[str] = set()
         whole = all(MARK not in t.lstrip(MARK) for t, _, _ in self.model["pieces"])  # then no piece holds a mark behind another character
-        self.encode = StretchEncoder(self._cut if whole else lambda t: [(self._marked(t),)] if t else [], self._learn, lead=MARK)
+        self.encode = StretchEncoder(self._cut if whole else self._whole, self._learn, lead=MARK)
         byte = re.compile(r"<0x([0-9A-F]{2})>")
         self.surface = [bytes([int(m[1], 16)]) if kind == BYTE and (m := byte.fullmatch(t)) else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else t.replace(MARK, " ").encode() for t, _, kind in self.model["pieces"]]
         self.sizes = np.array([len(s) for s in self.surface])
@@ -125,7 +136,13 @@ class Backend:
     def _marked(self, text: str) -> str:
         return self.prefix + text.replace(" ", MARK)
 
+    def _whole(self, text: str) -> list:
+        text = self.normalise(text)
+        return [(self._marked(text),)] if text else []
+
     def _cut(self, text: str) -> list:
+        if not self.plain:
+            text = self.normalise(text)
         if not text:
             return []
         if "  " in text or text[0] == " " or not self.prefix or MARK in text:
@@ -133,17 +150,13 @@ class Backend:
         return text.split(" ")
 
     def _learn(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
-        # The library adds the first mark itself; a mark is a space to it.
-        plain = [s[len(self.prefix) :].replace(MARK, " ") if s.startswith(self.prefix) else None for s in stretches]
-        known = [i for i, p in enumerate(plain) if p]
-        for i, other in zip(known, self.other.encode([plain[i] for i in known], num_threads=1), strict=True):
-            if ids[i] != other:
-                self.wrong.add(stretches[i])
-        return in_a_row(ids)
-
-    def agrees(self, text: str) -> bool:
-        return not self.wrong or not any((s[0] if isinstance(s, tuple) else MARK + s) in self.wrong for s in self.encode.cut(text))
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        return in_a_row([e.ids for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)])
+
+    def parity(self, texts: list[str], flat: np.ndarray, begin: np.ndarray) -> list[bool]:
+        """Whether the other library gives these ids for each whole text."""
+        ids, other = in_a_row(self.other.encode(texts, num_threads=1))
+        return [bool(n - m == y - x and (ids[m:n] == flat[x:y]).all()) for m, n, x, y in zip(other[:-1].tolist(), other[1:].tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids as UTF-8, without the space of the dummy prefix."""
@@ -159,6 +172,7 @@ _OPEN: dict[str, Backend] = {}
 
 
 def backend(path: str) -> Backend:
+    keep("sentencepiece", _OPEN.clear)
     if path not in _OPEN:
         _OPEN[path] = Backend(path)
     return _OPEN[path]
@@ -181,7 +195,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
                 edges = begin.tolist()
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(edges, edges[1:], strict=False)]
                 same = [b.decode(flat[x:y]) == t.encode() for x, y, t in zip(edges, edges[1:], part, strict=False)]
-                columns = [rows.slice(at, 256), pa.array(np.diff(begin)), pa.array(crc, pa.int64()), pa.array(same), pa.array([b.agrees(t) for t in part])]
+                columns = [rows.slice(at, 256), pa.array(np.diff(begin)), pa.array(crc, pa.int64()), pa.array(same), pa.array(b.parity(part, flat, begin))]
                 if with_ids:
                     columns.append(pa.array([flat[x:y].astype(np.int32) for x, y in zip(edges, edges[1:], strict=False)], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
