@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize, mix, shuffle_partitions
 
-TABLES, PROBES, WIDTH = 7, 8, 1.0
+TABLES, PROBES, WIDTH = 9, 8, 1.0
 BLOCK = 1024
 BLOCKS = 1  # of E8 a table; a pair must agree in all of them, so more of them lose links
 
