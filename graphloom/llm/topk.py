@@ -12,6 +12,8 @@ all of them; empty tables give no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -133,14 +135,29 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256)
         n = -(-b["n"] // _CANDIDATES)
         blocks.append((b["band"], base, n, b["top"]))
         base += n
-    table = F.from_json(F.lit(str([{"band": a, "base": b, "n": n, "top": t} for a, b, n, t in blocks]).replace("'", '"')), "array<struct<band:int,base:long,n:int,top:double>>")
-    groups = max(1, -(-q.count() // _QUERIES))
-    barred = q.mapInPandas(bars, "vec_id long, v array<double>, norm double, bar double")
+    barred = materialize(q.mapInPandas(bars, "vec_id long, v array<double>, norm double, bar double"), "queries")
+    # Queries stand in groups by the length that a candidate needs, so that a band is sent only to the groups that it can serve.
+    need = F.when((F.col("norm") > 0) & (F.col("bar") > 1e-6), (F.col("bar") - 1e-6) / F.col("norm")).otherwise(0.0)
+    step = F.floor(F.log(F.greatest(need, F.lit(1e-3))) * 8).cast("int")
+    steps = barred.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min(need).alias("low")).orderBy("step").collect()  # a few hundred at most
+    if not steps:
+        return empty
+    groups, asked = [], 0
+    for x in steps:
+        n = -(-x["n"] // _QUERIES)
+        groups.append((x["step"], asked, n, x["low"]))
+        asked += n
+    served = lambda top: sum(n for _, _, n, low in groups if low <= top * (1 + 1e-6) + 1e-6)
+    as_table = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")
+    table = as_table([{"band": a, "base": b, "n": n, "top": t, "served": served(t)} for a, b, n, t in blocks], "band:int,base:long,n:int,top:double,served:long")
+    places = as_table([{"step": a, "base": b, "n": n} for a, b, n, _ in groups], "step:int,base:long,n:int")
     reach = F.filter(table, lambda t: F.col("norm") * t["top"] * (1 + 1e-9) + 1e-6 >= F.col("bar"))
     to = F.flatten(F.transform(reach, lambda t: F.sequence(t["base"], t["base"] + t["n"] - 1)))
-    left = barred.select(F.col("vec_id").alias("id"), "v", "bar", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("qb"), F.explode(to).alias("cb"))
+    own = F.element_at(F.filter(places, lambda t: t["step"] == step), 1)
+    left = barred.select(F.col("vec_id").alias("id"), "v", "bar", (own["base"] + F.pmod(F.xxhash64("vec_id", "v"), own["n"])).alias("qb"), F.explode(to).alias("cb"))
     mine = F.element_at(F.filter(table, lambda t: t["band"] == F.floor(F.log(F.greatest("norm", F.lit(1e-3))) * 8).cast("int")), 1)
-    right = c.select("vec_id", "v", (mine["base"] + F.pmod(F.xxhash64("vec_id", "v"), mine["n"])).alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("qb"))
+    right = c.select("vec_id", "v", mine.alias("m")).where("m.served > 0")
+    right = right.select("vec_id", "v", (F.col("m.base") + F.pmod(F.xxhash64("vec_id", "v"), F.col("m.n"))).alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m.served") - 1)).alias("qb"))
 
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
