@@ -9,8 +9,9 @@ from .functions import text as T
 from .operators import communities, graph, layout, search, tables
 from .plans import ingest, quality, retrieval
 from .registry import MEMBER, NODE, NOTE, REF, REL, query
-from .sources import bases
+from .sources import bases, files
 from .sources import tables as src
+from .streaming import assertions as streams
 
 
 def shared_path(spark, name: str) -> str:
@@ -104,6 +105,93 @@ def base_reset(spark, d):
     return before.agg(F.count("*").alias("before")).crossJoin(after).withColumn("version", F.lit(store.version("nation")))  # two single rows
 
 
+# --- files -----------------------------------------------------------------------------------------
+
+
+def put_files(spark, folder: str, named: dict[str, bytes]) -> str:
+    """Writes small files through Hadoop's file systems, so that any shared folder will do."""
+    jvm = spark._jvm
+    for name, data in named.items():
+        p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, True)
+        out.write(bytearray(data))
+        out.close()
+    return folder
+
+
+def _zip(parts: dict[str, str]) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+@query("""SELECT 'n' || n_nationkey || '.' || k AS name, CASE k WHEN 'docx' THEN n_name || chr(10) || 'key | ' || n_nationkey WHEN 'xlsx' THEN '=== Sheet: One ===' || chr(10) || n_name || chr(9) || n_nationkey WHEN 'csv' THEN n_name || chr(9) || 'x' WHEN 'png' THEN '[image n' || n_nationkey || '.png, 3 bytes]'
+ WHEN 'mp3' THEN '[audio n' || n_nationkey || '.mp3, 4 bytes]' WHEN 'pdf' THEN '[no extractable text]' ELSE '[unsupported file type: .zzz]' END AS text FROM nation, (SELECT unnest(['docx', 'xlsx', 'csv', 'png', 'mp3', 'pdf', 'zzz']) AS k) WHERE n_nationkey < 5""")
+def attachment_texts(spark, d):
+    w, m = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    named = {}
+    for r in src.read(spark, d, "nation").where("n_nationkey < 5").collect():  # five rows make the files
+        k, n = r["n_nationkey"], r["n_name"]
+        cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+        named[f"n{k}.docx"] = _zip({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>{n}</w:t></w:r></w:p><w:tbl><w:tr>{cell("key")}{cell(k)}</w:tr></w:tbl></w:body></w:document>'})
+        sheet = f'<worksheet xmlns="{m}"><sheetData><row><c t="s"><v>0</v></c><c/><c><v>{k}</v></c></row></sheetData></worksheet>'
+        named[f"n{k}.xlsx"] = _zip({"xl/workbook.xml": f'<workbook xmlns="{m}"><sheets><sheet name="One"/></sheets></workbook>', "xl/sharedStrings.xml": f'<sst xmlns="{m}"><si><t>{n}</t></si></sst>', "xl/worksheets/sheet1.xml": sheet})
+        named |= {f"n{k}.csv": f"{n},,x\n,,\n".encode(), f"n{k}.png": b"abc", f"n{k}.mp3": b"abcd", f"n{k}.pdf": b"%PDF-", f"n{k}.zzz": b"1"}
+    return files.attachments(spark, put_files(spark, shared_path(spark, "attachments"), named)).select("name", "text")
+
+
+@query("SELECT 'Nation_' || n_nationkey || '.md' AS id, 'Nation ' || n_nationkey AS title, '# ' || n_name || chr(10) || chr(10) || 'Body' AS content, (24 - n_nationkey)::INTEGER AS place FROM nation WHERE n_nationkey % 2 = 0")
+def notes_from_folder(spark, d):
+    import json
+
+    names = src.read(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 rows make the files
+    named = {f"Nation_{r['n_nationkey']}.md": f"---\nt: x\n---\n# {r['n_name']}\n\n\n\nBody\n\n[Next](b.md)\n".encode() for r in names}
+    order = [f"Nation_{k}.md" for k in range(24, -1, -1)]
+    cases = [{"notes": [x if i % 2 == 0 else order[0] for i, x in enumerate(order)]}, {"notes": order[:3:2]}]
+    folder = put_files(spark, shared_path(spark, "notes"), named | {"manifest.json": json.dumps({"test_cases": cases}).encode()})
+    return files.note_folder(spark, folder, f"{folder}/manifest.json").select("id", "title", "content", F.col("ord.n").alias("place"))
+
+
+@query("SELECT n_name || chr(9) || n_nationkey AS line FROM nation")
+def sheet_lines(spark, d):
+    path = shared_path(spark, "sheets")
+    n = src.read(spark, d, "nation")
+    n.select("n_name", F.lit(None).cast("string").alias("x"), F.col("n_nationkey").cast("string").alias("k")).write.option("sep", "\t").csv(path)
+    return files.spreadsheet_rows(spark, path, "\t")
+
+
+# --- streams ---------------------------------------------------------------------------------------
+
+
+@query("SELECT 'u' || user_id AS src, count(*) AS mentions FROM events GROUP BY user_id")
+def assertion_stream(spark, d):
+    """Assertions of one type folded batch by batch from a stream: mentions add up as in one go."""
+    path = shared_path(spark, "stream")
+    a = src.assertions(spark, d).withColumn("rel_type", F.lit("mentions")).withColumn("dst", F.lit("k"))
+    a.repartition(3, "event_id").write.parquet(f"{path}/in")
+    source = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    store = tables.Store(spark, f"{path}/kb")
+    streams.fold_stream(source, store, f"{path}/checkpoint", parts=8).awaitTermination()
+    return streams.folded(store).groupBy("src").agg(F.sum("mention_count").alias("mentions"))
+
+
+@query("SELECT user_id AS id, arg_max(event_type, ts) AS status FROM events GROUP BY user_id")
+def status_stream(spark, d):
+    changes = src.read(spark, d, "events").select(F.col("user_id").alias("id"), "ts", F.col("event_type").alias("status"))
+    return streams.latest_status(changes).select("id", "status")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id AS node_id, max(ts) + INTERVAL 12 HOUR AS end, count(*) AS n FROM s GROUP BY user_id, k""")
+def recompute_sessions(spark, d):
+    return streams.recompute_queue(src.read(spark, d, "events").select(F.col("user_id").alias("node_id"), "ts"), gap="12 hours").select("node_id", "end", "n")
+
+
 # --- sinks -----------------------------------------------------------------------------------------
 
 

@@ -163,6 +163,31 @@ class Store:
         rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/{self.slug}/{table}/v{n}{'-' + tag if tag else ''}")
         return n
 
+    def commit_parts(self, table: str, rows: DataFrame, tag: str) -> int:
+        """Replaces only the parts (column part) that rows hold. The next version lists the folder of every part; data that a repeated
+        call writes again has the same name."""
+        path = f"{self.path}/{self.slug}/{table}_parts/{tag}"
+        rows.write.mode("overwrite").partitionBy("part").parquet(path)
+        new = self.spark.read.parquet(path).select("part").distinct().select("part", F.lit(path).alias("path"))
+        if self.exists(table):
+            new = new.unionByName(self.read(table).join(new.select("part"), "part", "left_anti"))
+        return self.commit(table, new.coalesce(1), tag=tag)
+
+    def read_parts(self, table: str, schema: str, parts: Sequence[int] | None = None) -> DataFrame:
+        """The rows of all or some parts, with their part."""
+        listed = self.read(table).collect() if self.exists(table) else []  # a row for each part
+        wanted = [r for r in listed if parts is None or r["part"] in set(parts)]
+        if not wanted:
+            return self.spark.createDataFrame([], f"{schema}, part int")
+        folders: dict[str, list[int]] = {}
+        for r in wanted:
+            folders.setdefault(r["path"], []).append(r["part"])
+        out = None
+        for path, own in sorted(folders.items()):
+            rows = self.spark.read.schema(f"{schema}, part int").parquet(path).where(F.col("part").isin(*own))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
     def drop(self) -> None:
         if self.slug == "default":
             raise ValueError("the default knowledge base stays")

@@ -18,24 +18,39 @@ def idle_sessions(events: DataFrame, key: str = "user_id", gap: str = IDLE, late
     return s.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def fold_stream(assertions: DataFrame, store: tables.Store, checkpoint: str, table: str = "rel", **trigger) -> StreamingQuery:
-    """Folds each micro-batch into the stored edges. A batch that runs again is skipped: its number is part of the version that it made."""
+PARTS = 64  # of the stored edges, by pair of entities
+
+
+def fold_stream(assertions: DataFrame, store: tables.Store, checkpoint: str, table: str = "rel", parts: int = PARTS, **trigger) -> StreamingQuery:
+    """Folds each micro-batch into the stored edges, of which it reads and rewrites only the parts that its pairs belong to.
+
+    A batch that runs again is skipped: its number is part of the version that it made.
+    """
+    part = F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.lit(parts)).cast("int")
 
     def batch(rows: DataFrame, number: int) -> None:
         if any(tag == f"b{number}" for _, tag in store.versions(table)):
             return
-        old = store.read(table) if store.exists(table) else None
-        store.commit(table, fold.fold_edges(rows, old), tag=f"b{number}")
+        rows = rows.where("src is not null and dst is not null")
+        touched = [r[0] for r in rows.select(part).distinct().collect()]  # at most parts numbers
+        if touched:
+            old = store.read_parts(table, fold.EDGE, touched).drop("part")
+            store.commit_parts(table, fold.fold_edges(rows, old).withColumn("part", part), tag=f"b{number}")
 
     return assertions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def folded(store: tables.Store, table: str = "rel") -> DataFrame:
+    """The edges that a stream has folded so far."""
+    return store.read_parts(table, fold.EDGE).drop("part")
+
+
 def latest_status(changes: DataFrame, late: str = "1 hour") -> DataFrame:
     """id with the status of its last change(id, ts, status)."""
     return changes.withWatermark("ts", late).groupBy("id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
 
 
 def recompute_queue(changes: DataFrame, gap: str = IDLE, late: str = "1 minute") -> DataFrame:
-    """start, end, nodes: what changed between two idle times, to be rebuilt at the end of each."""
-    s = changes.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w")).agg(F.collect_set("node_id").alias("nodes"))
-    return s.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.array_sort("nodes").alias("nodes"))
+    """node_id, start, end, n: a node's changes without an idle time between them, to be rebuilt at its end. Nodes are keys, so no list of all is held."""
+    s = changes.withWatermark("ts", late).groupBy("node_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return s.select("node_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
