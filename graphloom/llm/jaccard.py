@@ -34,6 +34,7 @@ FREQUENT, MOST_FREQUENT = 48, 400_000  # repeats that make a shingle come late i
 GROUP, LONG, BLOCK = 384, 48, 256
 GROUP_SHINGLES = 1 << 20  # a group that is searched together holds about so many hashes at most, besides one document
 _WINDOW = 1_000_000
+_PROBED = 64  # long lists that are probed at once
 _SLICE = 1024  # rows of an Arrow batch that are worked on at once
 
 
@@ -65,6 +66,7 @@ class Lists:
         new[1:] = sorted_flat[1:] != sorted_flat[:-1]
         self.begin = np.append(np.flatnonzero(new), len(flat))
         self.keys = sorted_flat[new]
+        self.places = (np.cumsum(new) - 1) * len(sets) + self.doc
 
     def search(self, query: np.ndarray, least: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sets among the allowed that share at least `least` elements with the query, and how many each shares."""
@@ -85,16 +87,16 @@ class Lists:
         near, count = merged[new], np.diff(np.append(new, len(merged)))
         keep = (count >= max(1, least - aside)) & allowed[near]
         near, count = near[keep], count[keep]
-        # Probe the long lists by bisection for what is left.
-        for i, x in enumerate(long.tolist()):
+        # Probe the long lists by bisection for what is left, some lists at a time: (list, document) pairs stand in one sorted array.
+        for i in range(0, len(long), _PROBED):
             if not len(near):
                 break
-            part = self.doc[self.begin[x] : self.begin[x + 1]]
-            p = np.searchsorted(part, near)
-            count = count + ((p < len(part)) & (part[np.minimum(p, len(part) - 1)] == near))
-            if i % 16 == 15:
-                keep = count >= least - (len(long) - i - 1)
-                near, count = near[keep], count[keep]
+            part = long[i : i + _PROBED]
+            wanted = (part[:, None] * len(self.sizes) + near).ravel()
+            p = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
+            count = count + (self.places[p] == wanted).reshape(len(part), -1).sum(0)
+            keep = count >= least - (len(long) - i - len(part))
+            near, count = near[keep], count[keep]
         keep = count >= least
         return near[keep], count[keep]
 
