@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's docs. All
 but the last return the columns of documents; the last returns the pieces of the packed sequences.
+
+Defined cases: null and empty texts pass the near-duplicate stage each by itself, score as the classifier's bias alone, and are packed as
+their end token; rows with a null or repeated doc_id take part, one row of each class stays; without usable labels every document scores
+the share of good labels, 0.5 without any, and goes if that is under 0.7; empty tables give no rows; further columns pass through.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
-    return packing.pack(docs)
+    """Pieces of sequences of 2048 tokens. Executors have grown in the stages before, so the encoder keeps fewer stretches."""
+    return packing.pack(docs, entries=200_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

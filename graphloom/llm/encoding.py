@@ -18,6 +18,9 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+ENTRIES = 450_000  # stretches of a generation
+
+
 class _Places(dict):
     """A number for every key, given on first sight; new holds the keys since it was last emptied."""
 
@@ -35,41 +38,61 @@ class StretchEncoder:
     """Ids of texts, put together from ids of stretches that the tokenizer treats independently of each other.
 
     cut(text) gives the stretches of a text; a tuple is a stretch as it stands, a string one that lead stands before. encode(list of
-    strings) gives their ids in a row and where each string's begin. Results are kept for at most `entries` stretches; then the store
-    is emptied, so memory is bounded.
+    strings) gives their ids in a row and where each string's begin. Results are kept in two generations of at most about `entries`
+    stretches: when the young one is full it becomes the old one, and what is met again moves over, so common stretches stay and memory
+    is bounded.
     """
 
-    def __init__(self, cut: Callable[[str], list], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], lead: str = "", entries: int = 400_000):
+    def __init__(self, cut: Callable[[str], list], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], lead: str = "", entries: int = ENTRIES):
         self.cut, self.encode, self.lead, self.entries = cut, encode, lead, entries
-        self._empty()
+        self._begin()
+        self.old: tuple[dict, np.ndarray, np.ndarray, np.ndarray] = ({}, self.flat[:0], self.start[:0], self.length[:0])
 
-    def _empty(self) -> None:
+    def _begin(self) -> None:
         self.place = _Places()
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.used = 0
-        self.start, self.length = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.start, self.length = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
+
+    def _age(self) -> None:
+        n = len(self.place)
+        self.old = self.place, self.flat[: self.used].copy(), self.start[:n].copy(), self.length[:n].copy()
+        self._begin()
+
+    def _store(self, at: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        total = len(ids)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), dtype=np.uint32)])
+        self.flat[self.used : self.used + total] = ids
+        self.start[at] = self.used + np.cumsum(lengths) - lengths
+        self.length[at] = lengths
+        self.used += total
 
     def _learn(self) -> None:
-        """Encodes the new stretches; their places are the last ones."""
+        """Ids of the new stretches, from the old generation or by encoding; their places are the last ones."""
         new, self.place.new = self.place.new, []
         n = len(self.place) - len(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids, begin = self.encode([k[0] if type(k) is tuple else self.lead + k for k in part])
-            lengths, total = np.diff(begin), len(ids)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), dtype=np.uint32)])
-            while n + len(part) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros(len(x), dtype=np.int64)]) for x in (self.start, self.length))
-            self.flat[self.used : self.used + total] = ids
-            self.start[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.length[n : n + len(part)] = lengths
-            self.used, n = self.used + total, n + len(part)
+        while n + len(new) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros(len(x), dtype=x.dtype)]) for x in (self.start, self.length))
+        place, flat, start, length = self.old
+        if place:
+            was = np.fromiter((place.get(k, -1) for k in new), dtype=np.int64, count=len(new))
+            known = np.flatnonzero(was >= 0)
+            lengths = length[was[known]].astype(np.int64)
+            ends = np.cumsum(lengths)
+            self._store(n + known, flat[np.repeat(start[was[known]] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths)
+            fresh = np.flatnonzero(was < 0)
+        else:
+            fresh = np.arange(len(new))
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
+            ids, begin = self.encode([k[0] if type(k) is tuple else self.lead + k for k in map(new.__getitem__, part.tolist())])
+            self._store(n + part, ids, np.diff(begin))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more entry than texts)."""
         if len(self.place) > self.entries:
-            self._empty()
+            self._age()
         parts = list(map(self.cut, texts))
         counts = np.zeros(len(parts) + 1, dtype=np.int64)
         np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)), out=counts[1:])
@@ -129,16 +152,16 @@ def _cut_dropping_spaces(text: str) -> list:
     return [w for w in text.replace("\n", " ").split(" ") if w]
 
 
-def byte_level(path: str) -> StretchEncoder:
+def byte_level(path: str, entries: int = ENTRIES) -> StretchEncoder:
     """Stretches between spaces, and within a new one the pieces of the pattern: words recur with other signs around them."""
     import regex
 
     pieces = regex.compile(BYTE_PATTERN).findall
     cut = lambda stretch: [stretch] if ADDED in stretch else pieces(stretch)
-    return StretchEncoder(_cut_at_spaces, StretchEncoder(cut, _tokenizer(path)), lead=" ")
+    return StretchEncoder(_cut_at_spaces, StretchEncoder(cut, _tokenizer(path), entries=entries), lead=" ", entries=entries)
 
 
-def word_level(path: str) -> StretchEncoder:
+def word_level(path: str, entries: int = ENTRIES) -> StretchEncoder:
     """For a tokenizer that normalises to NFC and lower case, drops white space and never joins words."""
     import regex
 
@@ -149,16 +172,17 @@ def word_level(path: str) -> StretchEncoder:
             return [stretch]
         return pieces(nfc("NFC", stretch).lower())
 
-    return StretchEncoder(_cut_dropping_spaces, StretchEncoder(cut, _tokenizer(path)))
+    return StretchEncoder(_cut_dropping_spaces, StretchEncoder(cut, _tokenizer(path), entries=entries), entries=entries)
 
 
-KINDS: dict[str, Callable[[str], StretchEncoder]] = {"byte": byte_level, "word": word_level}
-_OPEN: dict[tuple[str, str], StretchEncoder] = {}
+KINDS: dict[str, Callable[[str, int], StretchEncoder]] = {"byte": byte_level, "word": word_level}
+_OPEN: dict[tuple[str, str, int], StretchEncoder] = {}
 
 
-def encoder(kind: str, path: str) -> StretchEncoder:
-    """One encoder per worker process."""
+def encoder(kind: str, path: str, entries: int = ENTRIES) -> StretchEncoder:
+    """One encoder per worker process. entries bounds its memory, by some 150 bytes a stretch in each of four stores."""
     keep("encoders", _OPEN.clear)
-    if (kind, path) not in _OPEN:
-        _OPEN[kind, path] = KINDS[kind](path)
-    return _OPEN[kind, path]
+    if (kind, path, entries) not in _OPEN:
+        _OPEN.clear()
+        _OPEN[kind, path, entries] = KINDS[kind](path, entries)
+    return _OPEN[kind, path, entries]

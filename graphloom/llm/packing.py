@@ -19,17 +19,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
-from .encoding import encoder, public_path
+from .encoding import ENTRIES, encoder, public_path
 
 CAPACITY = 2048
 
 
-def pieces(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, capacity: int = CAPACITY, entries: int = ENTRIES) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece; row numbers tell equal doc_ids apart through `key`."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def cut(batches):
-        encode = encoder(kind, tokenizer)
+        encode = encoder(kind, tokenizer, entries)
         for batch in batches:
             rows, texts = batch.column("doc_id"), batch.column("text")
             for at in range(0, batch.num_rows, 256):
@@ -180,6 +180,6 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, step: int = 8) -> DataFrame
     return placed.select(*cut.columns, F.col("sequence_id").cast("long"), F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset"))
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, kind: str = "word", end_id: int = 1, capacity: int = CAPACITY, step: int = 8) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return assign(materialize(pieces(docs, tokenizer or public_path("word_bpe_49k.json"), kind, end_id, capacity), "pieces"), capacity, step)
+def pack(docs: DataFrame, tokenizer: str | None = None, kind: str = "word", end_id: int = 1, capacity: int = CAPACITY, step: int = 8, entries: int = ENTRIES) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. entries bounds the encoder's memory."""
+    return assign(materialize(pieces(docs, tokenizer or public_path("word_bpe_49k.json"), kind, end_id, capacity, entries), "pieces"), capacity, step)
