@@ -113,26 +113,49 @@ def in_a_row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(begin[-1])), begin
 
 
-def _tokenizer(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+def _joined(path: str, join: str, size: Callable[[str], int], easy: Callable[[str], bool], end: str = "") -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """An encoder of many stretches in one call: the tokenizer gets them joined, and the bytes that each id stands for tell where each
+    stretch's ids end. Stretches that aren't easy are encoded one by one, and all are where an end isn't met.
+
+    size(stretch) gives the bytes that its ids stand for; end is what ids at the end of a word have in their name besides.
+    """
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    vocabulary = t.get_vocab()
+    of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+    for name, i in vocabulary.items():
+        of[i] = len(name.removesuffix(end) if end else name)  # the names write every byte as one character
 
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    def single(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return in_a_row([e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
 
+    def encode(stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        mask = np.fromiter(map(easy, stretches), dtype=bool, count=len(stretches))
+        some = [s for s, m in zip(stretches, mask.tolist(), strict=True) if m]
+        if not some:
+            return single(stretches)
+        ids = np.array(t.encode_batch_fast([join.join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        ends = np.concatenate(([0], np.cumsum(of[ids])))
+        wanted = np.cumsum(np.fromiter(map(size, some), dtype=np.int64, count=len(some)))
+        at = np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)
+        if (ends[at] != wanted).any() or at[-1] != len(ids):
+            return single(stretches)
+        rest, begin = single([s for s, m in zip(stretches, mask.tolist(), strict=True) if not m])
+        start, length = np.zeros(len(stretches), np.int64), np.zeros(len(stretches), np.int64)
+        length[mask], length[~mask] = np.diff(at, prepend=0), np.diff(begin)
+        start[mask], start[~mask] = at - length[mask], len(ids) + begin[:-1]
+        out = np.concatenate(([0], np.cumsum(length)))
+        return np.concatenate([ids, rest])[np.repeat(start - out[:-1], length) + np.arange(out[-1])], out
+
     return encode
 
 
 # Added tokens of these tokenizers begin so. They are taken out of a text before its pattern applies, so a stretch that may hold one
-# isn't cut into pieces; none holds or takes in white space, so texts may still be cut at spaces.
+# is encoded by itself; none holds or takes in white space, so texts may still be cut at spaces.
 ADDED = "<|"
 
-# The patterns by which the public tokenizers split a text before any merge.
-BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-
 
 def _cut_at_spaces(text: str) -> list:
     """A byte-level pattern never joins a single space to what stands before it, so a text falls apart before each one.
@@ -153,26 +176,23 @@ def _cut_dropping_spaces(text: str) -> list:
 
 
 def byte_level(path: str, entries: int = ENTRIES) -> StretchEncoder:
-    """Stretches between spaces, and within a new one the pieces of the pattern: words recur with other signs around them."""
-    import regex
-
-    pieces = regex.compile(BYTE_PATTERN).findall
-    cut = lambda stretch: [stretch] if ADDED in stretch else pieces(stretch)
-    return StretchEncoder(_cut_at_spaces, StretchEncoder(cut, _tokenizer(path), entries=entries), lead=" ", entries=entries)
+    """Byte-level BPE: a stretch begins with the space before it, so joined ones fall apart before each space as a text does."""
+    easy = lambda s: len(s) > 1 and s[0] == " " and not s[1].isspace() and not s[-1].isspace() and ADDED not in s
+    size = lambda s: len(s) if s.isascii() else len(s.encode())
+    return StretchEncoder(_cut_at_spaces, _joined(path, "", size, easy), lead=" ", entries=entries)
 
 
 def word_level(path: str, entries: int = ENTRIES) -> StretchEncoder:
     """For a tokenizer that normalises to NFC and lower case, drops white space and never joins words."""
-    import regex
-
-    pieces, nfc = regex.compile(WORD_PATTERN).findall, unicodedata.normalize
 
-    def cut(stretch: str) -> list:
-        if "\u03a3" in stretch or ADDED in stretch:  # Python lowers a sigma by its place in the word, the tokenizer doesn't
-            return [stretch]
-        return pieces(nfc("NFC", stretch).lower())
+    def size(s: str) -> int:
+        if s.isascii():
+            return len("".join(s.split()))
+        return len("".join(unicodedata.normalize("NFC", s).lower().split()).encode())
 
-    return StretchEncoder(_cut_dropping_spaces, StretchEncoder(cut, _tokenizer(path), entries=entries), entries=entries)
+    # Python lowers a sigma by its place in the word, the tokenizer doesn't.
+    easy = lambda s: s.isascii() and ADDED not in s or "\u03a3" not in s and ADDED not in s
+    return StretchEncoder(_cut_dropping_spaces, _joined(path, " ", size, easy, "</w>"), entries=entries)
 
 
 KINDS: dict[str, Callable[[str, int], StretchEncoder]] = {"byte": byte_level, "word": word_level}
