@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fim, html_text, jaccard, lattice, lm, packing, quality, secret_scan, spm, topk, trie, wavelet
+from . import fim, html_text, jaccard, lattice, lm, packing, quality, secret_scan, spm, topk, toxicity, trie, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,12 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.examples(_table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_tokens, op3_secrets, op4_quality, op5_lattice, op6_packing, op7_sentencepiece, op8_lm, op9_jaccard, op10_html, op11_trie, op12_fim)
+    f.__name__: f for f in (op1_topk, op2_tokens, op3_secrets, op4_quality, op5_lattice, op6_packing, op7_sentencepiece, op8_lm, op9_jaccard, op10_html, op11_trie, op12_fim, op13_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {
