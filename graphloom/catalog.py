@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog_stores import shared_path
 from .functions import rules
 from .functions import scores as S
 from .functions import text as T
@@ -250,7 +251,7 @@ def vector_topk_filtered(spark, d):
 SELECT qid, vec_id, score, rank FROM r WHERE rank <= 10""")
 def vector_topk_batch(spark, d):
     e = _vectors(spark, d)
-    return search.vector_top_k_each(e, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), 10, 0.0)
+    return search.vector_top_k_each(e, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), 10, tables.Store(spark, shared_path(spark, "store")), 0.0)
 
 
 @query(f"""WITH s AS (SELECT e.vec_id, e.label, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),

@@ -29,6 +29,16 @@ def shared_path(spark, name: str) -> str:
     return f"{str(base).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def once_path(spark, name: str, folder: str) -> str:
+    """The same path for every call of this application on one folder of tables."""
+    import hashlib
+
+    files = sorted(x for t in ("documents", "benchmark") for x in src.read(spark, folder, t).inputFiles())
+    key = hashlib.md5("\n".join(files).encode()).hexdigest()[:12]
+    paths = spark.sparkContext.__dict__.setdefault("_graphloom_once", {})
+    return paths.setdefault((name, key), shared_path(spark, f"{name}-{key}"))
+
+
 def ensure_checkpoints(spark) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_path(spark, "checkpoints"))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog_stores import ensure_checkpoints, shared_path, stop_words, words_sql
+from .catalog_stores import ensure_checkpoints, once_path, shared_path, stop_words, words_sql
 from .functions import extraction as X
 from .functions import rules
 from .functions import text as T
 from .models import Offline
 from .operators import communities, fold, search, tables
+from .operators.vectors import VectorIndex, build
 from .plans import ingest, retrieval
 from .registry import ASSERTED, query
+from .session import evened
 from .sources import tables as src
 
 
@@ -292,14 +294,17 @@ def _questions(spark, d):
 
 
 def _search(spark, d):
-    docs = src.text_documents(spark, d)
+    """Documents are embedded and indexed once for a folder and application; later searches read what was stored."""
+    docs = evened(src.text_documents(spark, d))
     nodes = docs.select(F.col("node_id").cast("string").alias("id"), F.lit("indexable").alias("kind"), "name", "type")
-    vectors = retrieval.embedded(docs.select(F.col("node_id").cast("string").alias("node_id"), "isolated_contexts"), "isolated_contexts", Offline())
-    store = tables.Store(spark, shared_path(spark, "store"))
-    search.store_index(store, docs)
-    store.commit("vectors", vectors)
+    store = tables.Store(spark, once_path(spark, "search", d))
+    if not store.exists("ready"):
+        search.store_index(store, docs)
+        vectors = retrieval.embedded(docs.select(F.col("node_id").cast("string").alias("vec_id"), "isolated_contexts"), "isolated_contexts", Offline())
+        build(store, vectors)
+        store.commit("ready", spark.range(1))
     index, lengths = search.stored_index(store)
-    return lambda q, k=retrieval.TOP: retrieval.hybrid_search(q, nodes, docs, index, vectors=store.read("vectors"), lengths=lengths, k=k)
+    return lambda q, k=retrieval.TOP: retrieval.hybrid_search(q, nodes, docs, index, vectors=VectorIndex(store), lengths=lengths, k=k)
 
 
 _VECTOR = """(SELECT {1} AS id, b, sum(s)::DOUBLE AS x FROM (SELECT {1}, ('0x' || h[1:6])::INTEGER % 256 AS b, CASE WHEN ('0x' || h[7])::INTEGER >= 8 THEN 1 ELSE -1 END AS s FROM (SELECT {1}, md5(unnest({2})) AS h FROM {0})) GROUP BY ALL)"""

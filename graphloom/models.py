@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -28,6 +29,12 @@ def words(text: str) -> list[str]:
     return [w for w in re.findall(r"\w+", text.lower()) if w not in STOP]
 
 
+@functools.lru_cache(1 << 16)
+def _place(word: str) -> tuple[int, int]:
+    h = hashlib.md5(word.encode()).hexdigest()
+    return int(h[:6], 16), 1 if int(h[6], 16) >= 8 else -1
+
+
 class Offline:
     """Rules instead of models: hashed bags of words, capitalised spans, word overlap."""
 
@@ -38,8 +45,8 @@ class Offline:
         out = np.zeros((len(texts), self.dims))
         for i, t in enumerate(texts):
             for w in words(t):
-                h = hashlib.md5(w.encode()).hexdigest()
-                out[i, int(h[:6], 16) % self.dims] += 1 if int(h[6], 16) >= 8 else -1
+                place, sign = _place(w)
+                out[i, place % self.dims] += sign
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .tables import Store
+from .vectors import build
 
 #: Fields of a text document and their weights.
 FIELDS = {"name": 3.0, "type": 2.0, "isolated_contexts": 1.0, "relationship_natural_language": 1.0}
@@ -25,21 +27,9 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int | None = 500, le
     return scored if k is None else scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
-def vector_top_k_each(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, block: int = 256) -> DataFrame:
-    """qid, vec_id, score, rank for every query(qid, embedding). Queries go round as lists of about block, so no row is written per pair: each vector scores a list and tasks keep k a query."""
-    blocks = max(1, -(-queries.count() // block))
-    q = queries.select("qid", S.unit(F.col("embedding")).alias("q"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).groupBy("block").agg(F.collect_list(F.struct("qid", "q")).alias("qs"))
-    v = vectors.select("vec_id", S.unit(F.col("embedding")).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    hits = F.transform("qs", lambda x: F.struct(x["qid"].alias("qid"), F.round(S.dot(x["q"], F.col("v")), 6).alias("score")))
-    if least is not None:
-        hits = F.filter(hits, lambda h: h["score"] >= least)
-    # Where the lists are few and small they are broadcast by their size; else vectors are dealt by (block, part), never by the block alone.
-    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
-    v = v.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    flat = v.join(q, ["block", "part"]).select("vec_id", F.explode(hits).alias("h")).select("h.qid", "vec_id", "h.score")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def vector_top_k_each(vectors: DataFrame, queries: DataFrame, k: int, store: Store, least: float | None = None) -> DataFrame:
+    """qid, vec_id, score, rank for every query(qid, embedding), through an index that is written to store; searches again go to `vectors.VectorIndex`."""
+    return build(store, vectors.select("vec_id", "embedding")).search(queries, k, least)
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:

@@ -153,9 +153,11 @@ class Store:
     def version(self, table: str) -> int:
         return max((n for n, _ in self.versions(table)), default=-1)
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, schema: str | None = None) -> DataFrame:
+        """The last version. A table written in folders by value needs its schema where it may have no rows."""
         n, tag = self.versions(table)[-1]
-        return self.spark.read.parquet(f"{self.path}/{self.slug}/{table}/v{n}{'-' + tag if tag else ''}")
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(f"{self.path}/{self.slug}/{table}/v{n}{'-' + tag if tag else ''}")
 
     def commit(self, table: str, rows: DataFrame, partition_by: Sequence[str] = (), tag: str = "") -> int:
         """Writes the next version. A lost executor costs its tasks; a lost driver leaves the version before."""

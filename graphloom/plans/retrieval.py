@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..models import ModelHub, Offline
 from ..operators import graph as G
 from ..operators import search as R
+from ..operators.vectors import VectorIndex
 
 TOP, EXPANDED, CONTEXT, ROUNDS, LEAST = 10, 10, 6, 10, 0.05
 RERANKED = 1500  # characters of a text that the reranker reads
@@ -111,7 +112,7 @@ def rerank(candidates: DataFrame, models: ModelHub | None = None, k: int = TOP,
     return out.where((F.col("place") <= k) & (F.col("rerank_score") >= least))
 
 
-def hybrid_search(questions: DataFrame, nodes: DataFrame, docs: DataFrame, index: DataFrame, ref: DataFrame | None = None, notes: DataFrame | None = None, vectors: DataFrame | list[DataFrame] | None = None, models: ModelHub | None = None, k: int = TOP, lengths: dict[str, float] | None = None) -> DataFrame:
+def hybrid_search(questions: DataFrame, nodes: DataFrame, docs: DataFrame, index: DataFrame, ref: DataFrame | None = None, notes: DataFrame | None = None, vectors: VectorIndex | list[VectorIndex] | None = None, models: ModelHub | None = None, k: int = TOP, lengths: dict[str, float] | None = None) -> DataFrame:
     """Candidates of every question: entity matches, then text hits, then vector hits; each name once; reranked; with up to two notes each."""
     models = models or Offline()
     analysed = analyse(questions, models)
@@ -122,7 +123,7 @@ def hybrid_search(questions: DataFrame, nodes: DataFrame, docs: DataFrame, index
         q = embedded(analysed.select("qid", enriched_query(F.col("question"), F.col("attribute"), F.col("concepts")).alias("q")), "q", models, query=True)
         hits = None  # several collections: each gives its best, a node counts with its best hit
         for collection in vectors if isinstance(vectors, list) else [vectors]:
-            some = R.vector_top_k_each(collection.select(F.col("node_id").alias("vec_id"), "embedding"), q, 50, 0.45).select("qid", "vec_id", "score")
+            some = collection.search(q, 50, 0.45).select("qid", "vec_id", "score")
             hits = some if hits is None else hits.unionByName(some).groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
         sources.append(hits.join(nodes.select(F.col("id").alias("vec_id"), "name", "type"), "vec_id").select("qid", F.col("vec_id").alias("id"), "name", "type", "score", F.when(F.col("type") == "community", "community_summary").otherwise("vector_match").alias("kind")))
     fused = R.fuse(*sources)
