@@ -276,6 +276,17 @@ def community_hierarchy(spark, d):
     return communities.hierarchy(clustered_vectors(spark, d))
 
 
+@query("""WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS s FROM v),
+c AS (SELECT 0 AS step, id, s, 1.0::DOUBLE AS m, [id] AS ids FROM u
+ UNION ALL SELECT step + 1, id, CASE WHEN id = low THEN list_transform(list_zip(s, s2), lambda p: p[1] + p[2]) ELSE s END, CASE WHEN id = low THEN m + m2 ELSE m END, CASE WHEN id = low THEN list_concat(ids, ids2) ELSE ids END
+ FROM c, (SELECT a.id AS low, b.id AS high, b.s AS s2, b.m AS m2, b.ids AS ids2 FROM c a JOIN c b ON a.id < b.id WHERE 1 - list_inner_product(a.s, b.s) / (a.m * b.m) < 0.35 ORDER BY round(1 - list_inner_product(a.s, b.s) / (a.m * b.m), 12), a.id, b.id LIMIT 1) WHERE id <> high)
+SELECT unnest(ids) AS id, id AS cluster FROM c WHERE step = (SELECT max(step) FROM c)""")
+def cluster_embeddings(spark, d):
+    """Average linkage of the embeddings themselves; the SQL merges the nearest two clusters again and again."""
+    ensure_checkpoints(spark)
+    return communities.cluster(src.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), 0.35)
+
+
 # --- ingestion -------------------------------------------------------------------------------------
 
 

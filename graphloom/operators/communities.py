@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import cells as C
+
 #: Cosine distance under which clusters of each level merge.
 LEVELS = {2: 0.25, 1: 0.35, 0: 0.75}
 MOST = 6000  # clusters that one task merges; larger inputs merge in rounds first
-BLOCK = 4096
+BLOCK = 1024
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """rows as a table in the checkpoint folder. Unlike a checkpoint it runs the plan once and forgets the size that the plan was thought to
+    have, which multiplies with every join of a round."""
+    spark = rows.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -58,27 +71,76 @@ def average_linkage(vectors: np.ndarray, threshold: float, size: np.ndarray | No
     return up
 
 
-def _nearest(frame: pd.DataFrame) -> pd.DataFrame:
-    """id, near, d: the nearest of the other clusters for each of a pair of blocks (i, j); ties to the smaller id."""
-    i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-    frame = frame.sort_values("id").reset_index(drop=True)
-    a, b = np.flatnonzero(frame["part"] == i), np.flatnonzero(frame["part"] == j)
-    mean = np.stack(frame["s"].to_numpy()) / frame["m"].to_numpy()[:, None]
-    ids = frame["id"].to_numpy()
-    near, best = np.zeros(len(frame), dtype=np.int64), np.full(len(frame), np.inf)
-    for at in range(0, len(a), 512):
-        rows = a[at : at + 512]
-        d = np.round(1 - mean[rows] @ mean[b].T, 12) if len(b) else np.zeros((len(rows), 0))
-        if i == j:
-            d[np.arange(len(rows)), at + np.arange(len(rows))] = np.inf
-        for mine, others, low, k in ((rows, b, d.min(1, initial=np.inf), 1), (b, rows, d.min(0, initial=np.inf), 0)):
-            if (i == j and k == 0) or not d.size:
-                continue
-            better = low < best[mine]
-            near[mine[better]] = others[d.argmin(k)[better]]
-            best[mine[better]] = low[better]
-    some = np.isfinite(best)
-    return pd.DataFrame({"id": ids[some], "near": ids[near[some]], "d": best[some]})
+def _nearest(rows: list[tuple]) -> pd.DataFrame:
+    """id, near, d: the nearest of the other clusters for each of some pairs of blocks (same, ids, means, other ids, other means); ties to the smaller id."""
+    out = []
+    for same, a, left, b, right in rows:
+        # Both sides' distances come from the same products, so two clusters see each other at the same distance.
+        best_a, near_a = np.full(len(a), np.inf), np.zeros(len(a), np.int64)
+        best_b, near_b = np.full(len(b), np.inf), np.zeros(len(b), np.int64)
+        for at in range(0, len(a), 512):
+            d = np.round(1 - left[at : at + 512] @ right.T, 12)
+            if same:
+                d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
+            best_a[at : at + len(d)], near_a[at : at + len(d)] = d.min(1), d.argmin(1)
+            low = d.min(0)
+            better = low < best_b
+            near_b[better], best_b[better] = at + d.argmin(0)[better], low[better]
+        out += [(a[i], b[near_a[i]], best_a[i]) for i in np.flatnonzero(np.isfinite(best_a)).tolist()]
+        if not same:
+            out += [(b[i], a[near_b[i]], best_b[i]) for i in np.flatnonzero(np.isfinite(best_b)).tolist()]
+    return pd.DataFrame(out, columns=["id", "near", "d"])
+
+
+def reachable(heads: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """i, j of the cells, i no later than j, of which two members can be nearer than the threshold: with centers a, b and radii r, s the
+    product of two members is at most ab + r|b| + s|a| + rs."""
+    center, radius, cell = C.matrix(heads["center"]), heads["radius"].to_numpy(), heads["cell"].to_numpy()
+    size = np.linalg.norm(center, axis=1)
+    out = []
+    for i in range(len(cell)):
+        most = center @ center[i] + radius * size[i] + radius[i] * size + radius * radius[i]
+        j = np.flatnonzero((most > 1 - threshold - 1e-9) & (cell >= cell[i]))
+        out.append(np.column_stack((np.full(len(j), cell[i]), cell[j])))
+    return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2)), columns=["i", "j"]).astype("int32")
+
+
+def laid(live: DataFrame, centroids: np.ndarray) -> tuple[DataFrame, pd.DataFrame]:
+    """(blocks of the clusters' means by cell, the cells' centers and radii): at most cells.MOST of the latter, so they fit anywhere."""
+    means = live.select("id", F.transform("s", lambda x: x / F.col("m")).alias("mean"))
+    blocks = written(C.blocks(C.dealt(C.with_cell(means, centroids, "mean"), BLOCK), "mean"))
+    return blocks, C.heads(blocks).toPandas()
+
+
+def nearest(blocks: DataFrame, heads: pd.DataFrame, threshold: float, kind: str) -> DataFrame:
+    """id, near, d of every cluster with one nearer than the threshold: only blocks of cells that can hold it meet."""
+    spark = blocks.sparkSession
+    pairs = F.broadcast(spark.createDataFrame(reachable(heads, threshold), "i int, j int"))  # at most cells.MOST squared / 2 pairs of numbers
+    left = blocks.select(F.col("cell").alias("i"), F.col("sub").alias("sub_i"), F.col("ids").alias("a"), F.col("vectors").alias("x"), F.col("center").alias("ca"), F.col("radius").alias("ra"))
+    right = blocks.select(F.col("cell").alias("j"), F.col("sub").alias("sub_j"), F.col("ids").alias("b"), F.col("vectors").alias("y"), F.col("center").alias("cb"), F.col("radius").alias("rb"))
+    # Each block is dealt to the pairs that it takes part in, so that no cell meets all of its partners in one task.
+    met = left.join(pairs, "i").join(right, "j").where("i < j or sub_i <= sub_j").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(frames):
+        for f in C.in_batches(frames):
+            rows = []
+            for i, j, p, q, a, b, x, y, ca, cb, ra, rb in zip(f["i"], f["j"], f["sub_i"], f["sub_j"], f["a"], f["b"], f["x"], f["y"], f["ca"], f["cb"], f["ra"], f["rb"], strict=True):
+                ca, cb = np.asarray(ca), np.asarray(cb)
+                if ca @ cb + ra * np.linalg.norm(cb) + rb * np.linalg.norm(ca) + ra * rb > 1 - threshold - 1e-9:
+                    rows.append((i == j and p == q, a, np.frombuffer(x).reshape(len(a), -1), b, np.frombuffer(y).reshape(len(b), -1)))
+            yield _nearest(rows)
+
+    found = met.mapInPandas(run, f"id {kind}, near {kind}, d double").where(F.col("d") < threshold)
+    return found.groupBy("id").agg(F.min(F.struct("d", "near")).alias("x")).select("id", "x.near", "x.d")
+
+
+def compared(vectors: DataFrame, threshold: float, cells: int | None = None) -> tuple[int, int]:
+    """(pairs of vectors(id, v) that the first round compares at most, all pairs): how much the cells pass over."""
+    rows = vectors.select("id", F.col("v").alias("s"), F.lit(1.0).alias("m"))
+    n = rows.count()
+    _, heads = laid(rows, C.fit(C.sampled(rows, "s"), cells or int(min(C.MOST, max(1, n // 32)))))
+    size = dict(zip(heads["cell"], heads["n"], strict=True))
+    return int(sum(size[i] * size[j] / (1 + (i == j)) for i, j in reachable(heads, threshold).itertuples(index=False))), n * n // 2
 
 
 def cluster(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -86,7 +148,7 @@ def cluster(vectors: DataFrame, threshold: float) -> DataFrame:
 
     Up to MOST clusters merge in one task. More merge in rounds first: all pairs that are each other's nearest merge at once, which gives
     average linkage's own clusters, as a merge never brings a third cluster nearer; clusters with none under the threshold are done.
-    Each round compares all that are left, block by block.
+    A round compares only blocks of cells whose centers and radii let two clusters be under the threshold.
     """
     kind = vectors.schema["id"].dataType.simpleString()
 
@@ -102,29 +164,33 @@ def cluster(vectors: DataFrame, threshold: float) -> DataFrame:
 
     # Equal directions are at distance 0 and merge before all others; vectors of zeros are near nothing.
     alone = F.when(F.exists("u", lambda x: x != 0), F.lit("")).otherwise(F.col("id").cast("string"))
-    rows = vectors.select("id", "v").mapInPandas(unit, f"id {kind}, u array<double>").withColumn("alone", alone).checkpoint()
-    reps = rows.groupBy("u", "alone").agg(F.min("id").alias("cluster"), F.count("*").cast("double").alias("m")).checkpoint()
-    of = rows.join(reps.select("u", "alone", "cluster"), ["u", "alone"]).select("id", "cluster").checkpoint()
+    rows = written(vectors.select("id", "v").mapInPandas(unit, f"id {kind}, u array<double>").withColumn("alone", alone))
+    reps = written(rows.groupBy("u", "alone").agg(F.min("id").alias("cluster"), F.count("*").cast("double").alias("m")))
+    # A direction that very many share is looked up in every task, so its rows don't meet in one.
+    total = rows.count()
+    hot = F.broadcast(reps.where(F.col("m") > total / 1024).select("u", "alone", F.col("cluster").alias("known")))  # fewer than 1,024
+    often = rows.join(hot, ["u", "alone"], "left")
+    rare = often.where("known is null").drop("known").join(reps.select("u", "alone", "cluster"), ["u", "alone"]).select("id", "cluster")
+    of = written(often.where("known is not null").select("id", F.col("known").alias("cluster")).unionByName(rare))
     live = reps.select(F.col("cluster").alias("id"), F.transform("u", lambda x: x * F.col("m")).alias("s"), "m")
-    n = live.count()
+    n, centroids = live.count(), None
     while n > MOST:
-        blocks = -(-n // BLOCK)
-        parts = live.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        met = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "s", "m", "part", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"))
-        found = met.groupBy("i", "j").applyInPandas(_nearest, f"id {kind}, near {kind}, d double")
-        near = found.groupBy("id").agg(F.min(F.struct("d", "near")).alias("x")).select("id", "x.near", "x.d").where(F.col("d") < threshold).checkpoint()
+        if centroids is None:
+            centroids = C.fit(C.sampled(live.select("id", F.transform("s", lambda x: x / F.col("m")).alias("mean")), "mean"), int(min(C.MOST, max(1, n // 32))))
+        blocks, heads = laid(live, centroids)
+        near = written(nearest(blocks, heads, threshold, kind))
         if near.isEmpty():
             return of
         back = near.select(F.col("id").alias("near"), F.col("near").alias("id"))
-        pairs = near.where("id < near").join(back, ["id", "near"]).select(F.col("id").alias("low"), F.col("near").alias("high")).checkpoint()
+        pairs = written(near.where("id < near").join(back, ["id", "near"]).select(F.col("id").alias("low"), F.col("near").alias("high")))
         if pairs.isEmpty():  # ties that rounding parts
-            pairs = near.orderBy("d", F.least("id", "near"), F.greatest("id", "near")).limit(1).select(F.least("id", "near").alias("low"), F.greatest("id", "near").alias("high")).checkpoint()
+            pairs = written(near.orderBy("d", F.least("id", "near"), F.greatest("id", "near")).limit(1).select(F.least("id", "near").alias("low"), F.greatest("id", "near").alias("high")))
         # Those left, each under the smaller id of its pair.
         left = live.join(near.select("id"), "id", "left_semi")
         gone = left.join(pairs.withColumnRenamed("high", "id"), "id").select(F.col("low").alias("id"), F.col("s").alias("s2"), F.col("m").alias("m2"))
         left = left.join(pairs.select(F.col("high").alias("id")), "id", "left_anti").join(gone, "id", "left")
-        live = left.select("id", F.when(F.col("m2").isNull(), F.col("s")).otherwise(F.zip_with("s", "s2", lambda x, y: x + y)).alias("s"), (F.col("m") + F.coalesce("m2", F.lit(0.0))).alias("m")).checkpoint()
-        of = of.join(pairs.withColumnRenamed("high", "cluster"), "cluster", "left").select("id", F.coalesce("low", "cluster").alias("cluster")).checkpoint()
+        live = written(left.select("id", F.when(F.col("m2").isNull(), F.col("s")).otherwise(F.zip_with("s", "s2", lambda x, y: x + y)).alias("s"), (F.col("m") + F.coalesce("m2", F.lit(0.0))).alias("m")))
+        of = written(of.join(pairs.withColumnRenamed("high", "cluster"), "cluster", "left").select("id", F.coalesce("low", "cluster").alias("cluster")))
         n = live.count()
     last = live.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(finish, f"id {kind}, up {kind}").withColumnRenamed("id", "cluster")
     return of.join(last, "cluster", "left").select("id", F.coalesce("up", "cluster").alias("cluster"))

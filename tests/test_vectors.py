@@ -55,3 +55,18 @@ def test_an_index_without_vectors(spark, tmp_path):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     index = vectors.build(tables.Store(spark, str(tmp_path)), none)
     assert index.search(spark.createDataFrame([(1, [1.0])], "qid long, embedding array<double>"), 3).count() == 0
+
+
+def test_linkage_compares_few_of_all_pairs(spark):
+    """Compared pairs grow clearly slower than the square: ten times the vectors of as many more groups."""
+    from graphloom.operators import communities
+
+    counts = []
+    for n in (3_000, 30_000):
+        r = np.random.default_rng(n)
+        base = r.standard_normal((n // 100, 24))
+        v = base[np.arange(n) % (n // 100)] + 0.1 * r.standard_normal((n, 24))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        counts.append(communities.compared(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"), 0.25))
+    assert counts[0][0] < 0.3 * counts[0][1] and counts[1][0] < 0.1 * counts[1][1]
+    assert counts[1][0] / counts[0][0] < 50  # all pairs: 100
