@@ -12,6 +12,7 @@ from .registry import MEMBER, NODE, NOTE, REF, REL, query
 from .sources import bases, files
 from .sources import tables as src
 from .streaming import assertions as streams
+from .streaming import rebuilds
 
 
 def shared_path(spark, name: str) -> str:
@@ -202,6 +203,32 @@ def recompute_sessions(spark, d):
     return streams.recompute_queue(src.read(spark, d, "events").select(F.col("user_id").alias("node_id"), "ts"), gap="12 hours").select("node_id", "end", "n")
 
 
+@query("SELECT DISTINCT event_type AS kb, user_id::VARCHAR AS node_id FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL")
+def idle_trigger_stream(spark, d):
+    """The stream of all events, a knowledge base for each type: once nothing is being ingested any more, each changed node comes out once."""
+    import time
+
+    path = shared_path(spark, "idle")
+    e = src.read(spark, d, "events").select(F.col("event_type").alias("kb"), F.lit("node").alias("kind"), F.col("user_id").cast("string").alias("node_id")).where("kb is not null and node_id is not null")
+    marks = e.select("kb").distinct().select("kb", F.explode(F.array(F.lit("begin"), F.lit("end"))).alias("kind"), F.lit(None).cast("string").alias("node_id"))
+    e.unionByName(marks).write.parquet(f"{path}/in")
+    bases = marks.select("kb").distinct().count()
+    store, key = tables.Store(spark, f"{path}/kb"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rebuilds.PROVIDER)
+    try:
+        source = spark.readStream.schema(e.schema).parquet(f"{path}/in")
+        q = rebuilds.queue_rebuilds(rebuilds.idle_trigger(source, 1000), store, f"{path}/checkpoint", processingTime="1 second")
+        while q.isActive and bases and (not store.exists("pending") or rebuilds.queued(store).select("kb").distinct().count() < bases):
+            time.sleep(1)
+        q.stop()
+    finally:
+        spark.conf.set(key, before)
+    if q.exception():
+        raise q.exception()
+    return rebuilds.queued(store).select("kb", "node_id")
+
+
 # --- sinks -----------------------------------------------------------------------------------------
 
 

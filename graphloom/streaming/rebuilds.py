@@ -88,6 +88,13 @@ def queue_rebuilds(triggered: DataFrame, store: Store, checkpoint: str, table: s
     return triggered.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
+def queued(store: Store, table: str = "pending") -> DataFrame:
+    """kb, epoch, node_id of every trigger that has fired."""
+    paths = [f"{store.path}/{store.slug}/{table}/v{n}-{tag}" for n, tag in store.versions(table)]
+    schema = "kb string, epoch long, node_id string"
+    return store.spark.read.schema(schema).parquet(*paths) if paths else store.spark.createDataFrame([], schema)
+
+
 class Superseded(RuntimeError):
     """A newer request for the same knowledge base has come."""
 
