@@ -155,10 +155,12 @@ def published(store: Store, table: str) -> DataFrame:
     return store.spark.read.parquet(f"{store.path}/{store.slug}/{table}/v{n}-{tag}")
 
 
-def to_rebuild(store: Store, spark: SparkSession) -> DataFrame:
-    """node_id of what superseded runs gave back, for the next request to take along."""
+def to_rebuild(store: Store, spark: SparkSession, after: int = 0) -> DataFrame:
+    """node_id of what superseded runs gave back, for the next request to take along; after is the last epoch whose nodes were taken along before."""
     out = None
     for n, tag in store.versions("pending_again"):
+        if int(tag[1:]) <= after:
+            continue
         rows = spark.read.parquet(f"{store.path}/{store.slug}/pending_again/v{n}-{tag}").select("node_id")
         out = rows if out is None else out.unionByName(rows)
     return spark.createDataFrame([], "node_id string") if out is None else out.distinct()

@@ -75,6 +75,7 @@ def test_only_the_newest_rebuild_is_published(spark, tmp_path):
     assert done == {"first": False} and time.time() - began < 45
     assert [tuple(r) for r in rebuilds.published(store, "communities").collect()] == [("x", "new")]
     assert sorted(r["node_id"] for r in rebuilds.to_rebuild(store, spark).collect()) == ["x", "y"]
+    assert rebuilds.to_rebuild(store, spark, after=1).count() == 0
 
 
 def test_a_fault_of_its_own_is_raised(spark, tmp_path):
