@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_stores import shared_path
+from .catalog_stores import ensure_checkpoints, shared_path
 from .functions import rules
 from .functions import scores as S
 from .functions import text as T
@@ -117,6 +117,7 @@ SELECT seed AS src, node_id AS dst, depth AS length, array_to_string(path, '>')
 def paths_between(spark, d):
     e = src.relations(spark, d).where("rel_type = 'located_in'")
     ids = src.read(spark, d, "nation").select(src.key("n", "n_nationkey").alias("id"))
+    ensure_checkpoints(spark)
     return graph.paths_between(ids, e, 2, limit=None).select("src", "dst", "length", F.array_join("path", ">").alias("path"))
 
 

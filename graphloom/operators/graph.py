@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUFFIX = r".* (sr\.?|jr\.?|senior|junior|i|ii|iii|iv|v|vi)$"
+WIDTH = 2048  # rows of a key that one task joins with as many of the other side
 
 
 def by_kind(nodes: DataFrame, *kinds: str) -> DataFrame:
@@ -41,13 +42,17 @@ def names_to_ids(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return names.join(canonical_ids(nodes), "name", "left")
 
 
+def is_variant(name: Column, base: Column) -> Column:
+    """Whether a lower-cased name goes on after the base, or holds it and is longer by three; generations aren't mixed."""
+    same = F.startswith(name, F.concat(base, F.lit(" "))) | (F.contains(name, base) & (F.length(name) > F.length(base) + 2))
+    mixed = (F.contains(name, F.lit(" sr")) & F.contains(base, F.lit(" jr"))) | (F.contains(name, F.lit(" jr")) & F.contains(base, F.lit(" sr"))) | (name.rlike(SUFFIX) != base.rlike(SUFFIX))
+    return same & ~mixed
+
+
 def variants(nodes: DataFrame, base: str, limit: int = 5) -> DataFrame:
     """Other forms of a name: what goes on after it, or holds it and is longer; generations aren't mixed."""
     base = base.lower().strip()
-    n, b = F.lower("name"), F.lit(base)
-    same = n.startswith(base + " ") | (F.contains(n, b) & (F.length("name") > len(base) + 2))
-    mixed = (F.contains(n, F.lit(" sr")) & F.contains(b, F.lit(" jr"))) | (F.contains(n, F.lit(" jr")) & F.contains(b, F.lit(" sr"))) | (n.rlike(SUFFIX) != b.rlike(SUFFIX))
-    return by_kind(nodes, "indexable", "note").where(same & ~mixed).select("id", "name", "type").distinct().orderBy(F.length("name"), "name", "id").limit(limit)
+    return by_kind(nodes, "indexable", "note").where(is_variant(F.lower("name"), F.lit(base))).select("id", "name", "type").distinct().orderBy(F.length("name"), "name", "id").limit(limit)
 
 
 def variants_each(bases: DataFrame, nodes: DataFrame, per: int = 5) -> DataFrame:
@@ -56,11 +61,8 @@ def variants_each(bases: DataFrame, nodes: DataFrame, per: int = 5) -> DataFrame
     n = by_kind(nodes, "indexable", "note").select("id", "name", "type").distinct()
     words = n.select("*", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("w"))
     met = b.withColumn("w", F.split("base", " ")[0]).join(words, "w").drop("w")
-    x, y = F.lower("name"), F.col("base")
-    same = F.startswith(x, F.concat(y, F.lit(" "))) | (F.contains(x, y) & (F.length("name") > F.length("base") + 2))
-    mixed = (F.contains(x, F.lit(" sr")) & F.contains(y, F.lit(" jr"))) | (F.contains(x, F.lit(" jr")) & F.contains(y, F.lit(" sr"))) | (x.rlike(SUFFIX) != y.rlike(SUFFIX))
     order = Window.partitionBy("base").orderBy(F.length("name"), "name", "id")
-    return met.where(same & ~mixed).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per).drop("_r")
+    return met.where(is_variant(F.lower("name"), F.col("base"))).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per).drop("_r")
 
 
 def memberships(member: DataFrame) -> DataFrame:
@@ -86,31 +88,83 @@ def one_hop(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, least: float =
     return found.join(nodes.where(F.col("id").isNotNull()).select(F.col("id").alias("node_id"), "name", "type"), "node_id").select("seed", "node_id", "name", "type", "rel_type", "confidence", "direction")
 
 
+def _both_ways(edges: DataFrame, least: float | None, missing: float) -> DataFrame:
+    """Different edges in both directions, without loops and those under the bar."""
+    e = edges.select("src", "dst", "rel_type", F.coalesce("confidence", F.lit(missing)).alias("confidence"))
+    if least is not None:
+        e = e.where(F.col("confidence") >= least)
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type", "confidence")).where("src <> dst").distinct()
+
+
+def _standing(seeds: DataFrame) -> DataFrame:
+    """Walks of no edges, one for each of seeds(id)."""
+    return seeds.select(F.col("id").alias("seed"), F.col("id").alias("node_id"), F.array("id").alias("path"), F.array().cast("array<string>").alias("rel_path"), F.array().cast("array<double>").alias("confidence_path")).distinct()
+
+
+def _extended(step: DataFrame) -> DataFrame:
+    """Walks with one more edge, of walks joined with the edges of their last node; no node comes twice."""
+    step = step.where(~F.array_contains("path", F.col("dst")))
+    return step.select("seed", F.col("dst").alias("node_id"), F.concat("path", F.array("dst")).alias("path"), F.concat("rel_path", F.array("rel_type")).alias("rel_path"), F.concat("confidence_path", F.array("confidence")).alias("confidence_path"))
+
+
 def k_hop(seeds: DataFrame, edges: DataFrame, hops: int, least: float | None = None, missing: float = 0.0, limit: int | None = None) -> DataFrame:
     """Simple undirected paths of 1 to hops edges from seeds(id): seed, node_id, depth, path, rel_path, confidence_path.
 
     A hop is one join; edges under the bar go before it, as a path with one such edge is dropped as a whole.
     """
-    e = edges.select("src", "dst", "rel_type", F.coalesce("confidence", F.lit(missing)).alias("confidence"))
-    if least is not None:
-        e = e.where(F.col("confidence") >= least)
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type", "confidence")).where("src <> dst").distinct()
-    front = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node_id"), F.array("id").alias("path"), F.array().cast("array<string>").alias("rel_path"), F.array().cast("array<double>").alias("confidence_path")).distinct()
-    found = None
+    both = _both_ways(edges, least, missing)
+    front, found = _standing(seeds), None
     for depth in range(1, hops + 1):
-        step = front.join(both, front["node_id"] == both["src"]).where(~F.array_contains("path", F.col("dst")))
-        front = step.select("seed", F.col("dst").alias("node_id"), F.concat("path", F.array("dst")).alias("path"), F.concat("rel_path", F.array("rel_type")).alias("rel_path"), F.concat("confidence_path", F.array("confidence")).alias("confidence_path"))
+        front = _extended(front.join(both, front["node_id"] == both["src"]))
         here = front.withColumn("depth", F.lit(depth))
         found = here if found is None else found.unionByName(here)
     found = found.select("seed", "node_id", "depth", "path", "rel_path", "confidence_path")
     return found if limit is None else found.orderBy("depth", "seed", "path", "rel_path", "confidence_path").limit(limit)
 
 
+def hub_join(left: DataFrame, right: DataFrame, key: str, width: int | None = None) -> DataFrame:
+    """The inner join by key, where a key of n and m rows is dealt into blocks of about width by width rows (WIDTH).
+
+    Rows go to blocks by a hash of all their columns, so a task that runs again deals them alike. Keys of up to width rows a side stay whole;
+    the others' rows are copied n * m / width times, against n * m rows that come out.
+    """
+    width = width or WIDTH
+    sizes = left.groupBy(key).agg(F.count("*").alias("_n"), F.lit(0).cast("long").alias("_m")).unionByName(right.groupBy(key).agg(F.lit(0).cast("long").alias("_n"), F.count("*").alias("_m")))
+    hubs = sizes.groupBy(key).agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m")).where(f"_n > 0 and _m > 0 and (_n > {width} or _m > {width})")
+    hubs = hubs.select(key, F.ceil(F.col("_n") / width).cast("int").alias("_ns"), F.ceil(F.col("_m") / width).cast("int").alias("_ms"))
+
+    def dealt(rows: DataFrame, own: str, parts: str, other: str, others: str) -> DataFrame:
+        out = rows.join(hubs, key, "left").withColumn(own, F.pmod(F.xxhash64(*rows.columns), F.coalesce(parts, F.lit(1))).cast("int"))
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1))).drop("_ns", "_ms")
+
+    return dealt(left, "_i", "_ns", "_j", "_ms").join(dealt(right, "_j", "_ms", "_i", "_ns"), [key, "_i", "_j"]).drop("_i", "_j")
+
+
+def half_walks(ids: DataFrame, edges: DataFrame, hops: int, least: float, missing: float = 0.8) -> DataFrame:
+    """Simple walks of up to half the hops (rounded up) from ids(id): seed, node_id, n edges, path, rel_path, confidence_path."""
+    both = _both_ways(edges, least, missing).withColumnRenamed("src", "node_id")
+    front = _standing(ids.where("id is not null"))
+    found = front.withColumn("n", F.lit(0))
+    for n in range(1, (hops + 1) // 2 + 1):
+        front = _extended(hub_join(front, both, "node_id"))
+        found = found.unionByName(front.withColumn("n", F.lit(n)))
+    return found
+
+
 def paths_between(ids: DataFrame, edges: DataFrame, hops: int = 3, least: float = 0.5, limit: int | None = 20) -> DataFrame:
-    """Simple paths between any two of ids(id), the smaller end first, shortest first. A missing confidence counts 0.8."""
-    found = k_hop(ids, edges, hops, least, 0.8)
-    out = found.join(ids.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi").where("seed < node_id")
-    out = out.select(F.col("seed").alias("src"), F.col("node_id").alias("dst"), F.col("depth").alias("length"), "path", "rel_path", "confidence_path")
+    """Simple paths between any two of ids(id), the smaller end first, shortest first. A missing confidence counts 0.8.
+
+    Walks of half the length from both ends meet in the middle: a path of L edges is one walk of ceil(L / 2) from its smaller end and one
+    of floor(L / 2) from its larger end, so no walk goes further than half the hops. Hubs are dealt to several tasks (`hub_join`). The
+    walks are written once (`checkpoint`), as both sides and the sizes of hubs read them.
+    """
+    walks = half_walks(ids, edges, hops, least).checkpoint()
+    ends = walks.select(F.col("seed").alias("_end"), "node_id", F.col("n").alias("_n"), F.col("path").alias("_path"), F.col("rel_path").alias("_rels"), F.col("confidence_path").alias("_confs"))
+    met = hub_join(walks.where("n > 0"), ends, "node_id").where((F.col("seed") < F.col("_end")) & (F.col("n") - F.col("_n")).isin(0, 1) & (F.col("n") + F.col("_n") <= hops))
+    met = met.where(F.size(F.array_intersect("path", "_path")) == 1)  # the middle alone is on both
+    back = lambda c: F.reverse(F.col(c))
+    path = F.concat("path", F.slice(back("_path"), 2, F.col("_n")))
+    out = met.select(F.col("seed").alias("src"), F.col("_end").alias("dst"), (F.col("n") + F.col("_n")).alias("length"), path.alias("path"), F.concat("rel_path", back("_rels")).alias("rel_path"), F.concat("confidence_path", back("_confs")).alias("confidence_path"))
     return out if limit is None else out.orderBy("length", "path", "rel_path", "confidence_path").limit(limit)
 
 
