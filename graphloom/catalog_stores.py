@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import scores as S
 from .functions import text as T
-from .operators import communities, graph, layout, search, tables
+from .operators import communities, graph, layout, names, search, tables
 from .plans import ingest, quality, retrieval
 from .registry import MEMBER, NODE, NOTE, REF, REL, query
 from .sources import bases, files
@@ -375,6 +375,39 @@ def name_variants_batch(spark, d):
     return graph.variants_each(b, src.nodes(spark, d))
 
 
+def _name_index(spark, d):
+    """The index of all names, built once an application."""
+    store = tables.Store(spark, once_path(spark, "names", d))
+    return names.NameIndex(store) if store.exists("name_pieces") else names.build(store, src.nodes(spark, d))
+
+
+@query(f"""WITH {NODE}, q AS (SELECT trim(substr(lower(p_name), 3, 5)) AS matched FROM part UNION SELECT right(lower(s_name), 3) FROM supplier UNION SELECT right(lower(n_name), 2) FROM nation),
+h AS (SELECT DISTINCT matched, id, name, type FROM node, q WHERE kind IN ('indexable', 'note') AND id IS NOT NULL AND name IS NOT NULL AND contains(lower(name), matched)),
+r AS (SELECT *, row_number() OVER (PARTITION BY matched ORDER BY length(name), name, id) AS r FROM h) SELECT matched, id, name, type FROM r WHERE r <= 50""")
+def name_match_batch(spark, d):
+    p = src.read(spark, d, "part").select(F.substring("p_name", 3, 5).alias("pattern"))
+    for table, column, n in (("supplier", "s_name", 3), ("nation", "n_name", 2)):
+        p = p.union(src.read(spark, d, table).select(F.right(column, F.lit(n))))
+    return _name_index(spark, d).fuzzy(p)
+
+
+@query(f"""WITH {NODE}, b AS (SELECT DISTINCT trim(substr(lower(p_name), 2, 6)) AS base FROM part UNION SELECT 'nation_1'), m AS (SELECT DISTINCT base, id, name, type FROM b, node WHERE id IS NOT NULL AND name IS NOT NULL
+ AND (starts_with(lower(name), base || ' ') OR (contains(lower(name), base) AND length(name) > length(base) + 2))), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY length(name), name, id) AS r FROM m) SELECT base, id, name, type FROM r WHERE r <= 5""")
+def name_variants_index(spark, d):
+    b = src.read(spark, d, "part").select(F.substring("p_name", 2, 6).alias("base")).union(src.read(spark, d, "nation").where("n_nationkey = 1").select("n_name"))
+    return _name_index(spark, d).variants(b)
+
+
+@query(f"""WITH RECURSIVE {REL}, {NODE}, e AS (SELECT DISTINCT src, dst, rel_type, confidence FROM (SELECT src, dst, rel_type, confidence FROM rel WHERE rel_type = 'located_in' UNION ALL SELECT dst, src, rel_type, confidence FROM rel WHERE rel_type = 'located_in') WHERE src <> dst AND confidence >= 0.5),
+ids AS (SELECT DISTINCT id FROM node WHERE kind IN ('indexable', 'note') AND (contains(lower(name), 'nation_1') OR contains(lower(name), 'supplier#00000001'))), w AS (SELECT id AS seed, id AS node_id, 0 AS depth, [id] AS path FROM ids
+ UNION ALL SELECT seed, dst, depth + 1, list_append(path, dst) FROM w JOIN e ON node_id = src WHERE depth < 4 AND NOT list_contains(path, dst))
+SELECT seed AS src, node_id AS dst, depth AS length, array_to_string(path, '>') AS path FROM w WHERE depth > 0 AND seed < node_id AND node_id IN (SELECT id FROM ids)""")
+def paths_named(spark, d):
+    ensure_checkpoints(spark)
+    e = src.relations(spark, d).where("rel_type = 'located_in'")
+    return _name_index(spark, d).paths(["Nation_1", "SUPPLIER#00000001"], e, 4, limit=None).select("src", "dst", "length", F.array_join("path", ">").alias("path"))
+
+
 @query(f"WITH {MEMBER}, s AS (SELECT level, community_id, count(*) AS n FROM member GROUP BY ALL) SELECT level, count(*) AS communities, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean FROM s GROUP BY level")
 def community_sizes(spark, d):
     return communities.sizes(src.members(spark, d))

@@ -141,12 +141,15 @@ def hub_join(left: DataFrame, right: DataFrame, key: str, width: int | None = No
 
 
 def half_walks(ids: DataFrame, edges: DataFrame, hops: int, least: float, missing: float = 0.8) -> DataFrame:
-    """Simple walks of up to half the hops (rounded up) from ids(id): seed, node_id, n edges, path, rel_path, confidence_path."""
+    """Simple walks of up to half the hops (rounded up) from ids(id): seed, node_id, n edges, path, rel_path, confidence_path.
+
+    The walks of each hop are written (`checkpoint`), as the next hop, the sizes of hubs and both sides of the meeting read them.
+    """
     both = _both_ways(edges, least, missing).withColumnRenamed("src", "node_id")
-    front = _standing(ids.where("id is not null"))
+    front = _standing(ids.where("id is not null")).checkpoint()
     found = front.withColumn("n", F.lit(0))
     for n in range(1, (hops + 1) // 2 + 1):
-        front = _extended(hub_join(front, both, "node_id"))
+        front = _extended(hub_join(front, both, "node_id")).checkpoint()
         found = found.unionByName(front.withColumn("n", F.lit(n)))
     return found
 
@@ -155,10 +158,9 @@ def paths_between(ids: DataFrame, edges: DataFrame, hops: int = 3, least: float
     """Simple paths between any two of ids(id), the smaller end first, shortest first. A missing confidence counts 0.8.
 
     Walks of half the length from both ends meet in the middle: a path of L edges is one walk of ceil(L / 2) from its smaller end and one
-    of floor(L / 2) from its larger end, so no walk goes further than half the hops. Hubs are dealt to several tasks (`hub_join`). The
-    walks are written once (`checkpoint`), as both sides and the sizes of hubs read them.
+    of floor(L / 2) from its larger end, so no walk goes further than half the hops. Hubs are dealt to several tasks (`hub_join`).
     """
-    walks = half_walks(ids, edges, hops, least).checkpoint()
+    walks = half_walks(ids, edges, hops, least)
     ends = walks.select(F.col("seed").alias("_end"), "node_id", F.col("n").alias("_n"), F.col("path").alias("_path"), F.col("rel_path").alias("_rels"), F.col("confidence_path").alias("_confs"))
     met = hub_join(walks.where("n > 0"), ends, "node_id").where((F.col("seed") < F.col("_end")) & (F.col("n") - F.col("_n")).isin(0, 1) & (F.col("n") + F.col("_n") <= hops))
     met = met.where(F.size(F.array_intersect("path", "_path")) == 1)  # the middle alone is on both
