@@ -9,7 +9,7 @@ from .functions import extraction as X
 from .functions import rules
 from .functions import text as T
 from .models import Offline
-from .operators import communities, fold, search, tables
+from .operators import communities, fold, mentions, search, tables
 from .operators.vectors import VectorIndex, build
 from .plans import ingest, retrieval
 from .registry import ASSERTED, query
@@ -165,6 +165,23 @@ def mention_scan(spark, d):
     return retrieval.scan_mentions(docs.select(F.col("doc_id").alias("id"), "text"), nodes)
 
 
+@query("""WITH w AS (SELECT DISTINCT lower(string_split(text, ' ')[3]) AS name FROM documents UNION SELECT DISTINCT lower(split_part(p_name, ' ', 2)) FROM part), n AS (SELECT name FROM w WHERE regexp_full_match(name, '[a-z0-9]+')),
+t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS mention FROM documents) SELECT id, mention, count(*) AS n FROM t JOIN n ON name = mention GROUP BY id, mention""")
+def mention_counts(spark, d):
+    docs = src.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    words = docs.select(F.get(F.split("text", " "), 2).alias("name")).union(src.read(spark, d, "part").select(F.split("p_name", " ")[1])).where(F.lower("name").rlike("^[a-z0-9]+$"))
+    return mentions.tag(docs, words).groupBy("id", F.lower("mention").alias("mention")).agg(F.count("*").alias("n"))
+
+
+@query()
+def mention_tags(spark, d):
+    """Mentions of names of one to three words, the longest first; names are the capitalised spans and the first words of all texts."""
+    docs = src.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    first = docs.select(F.explode(F.array(*(F.array_join(F.slice(F.split("text", " "), 2, n), " ") for n in (2, 3)))).alias("name"))
+    spans = docs.select(F.explode(T.capitalised_spans(F.col("text"))).alias("name"))
+    return mentions.tag(docs, first.union(spans).distinct())
+
+
 # --- the relationship fold -------------------------------------------------------------------------
 
 
