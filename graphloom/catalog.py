@@ -276,7 +276,7 @@ def bm25_topk(spark, d):
     docs = src.read(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("isolated_contexts"))
     fields = {"isolated_contexts": 1.0}
     terms = spark.createDataFrame([("a", "the"), ("a", "thand"), ("b", "und"), ("b", "der")], "qid string, term string")
-    return search.best_each(search.bm25(search.text_index(docs, fields), docs, terms, fields), 20)
+    return search.best_each(search.bm25(search.text_index(docs, fields, terms=terms), docs, terms, fields), 20)
 
 
 @query("""WITH a AS (SELECT 'k' || (doc_id % 50) AS name, doc_id::DOUBLE AS score, 0 AS source FROM documents WHERE doc_id % 3 = 0), b AS (SELECT 'k' || (vec_id % 70), vec_id::DOUBLE, 1 FROM embeddings), u AS (SELECT * FROM a UNION ALL SELECT * FROM b),

@@ -10,11 +10,13 @@ from .functions import rules
 from .functions import text as T
 from .models import Offline
 from .operators import communities, fold, mentions, search, tables
+from .operators.textindex import TextIndex
 from .operators.vectors import VectorIndex, build
 from .plans import ingest, retrieval
 from .registry import ASSERTED, query
 from .session import evened
 from .sources import tables as src
+from .streaming.indexing import index_stream
 
 
 def _lit(values) -> str:
@@ -237,11 +239,12 @@ def rel_fold_resumed(spark, d):
 
 # --- full-text search ------------------------------------------------------------------------------
 
-_FIELD = """t0 AS (SELECT doc_id AS id, 'name' AS field, 3.0 AS weight, array_to_string(string_split(text, ' ')[1:3], ' ') AS text FROM documents UNION ALL SELECT doc_id, 'type', 2.0, source FROM documents
- UNION ALL SELECT doc_id, 'isolated_contexts', 1.0, text FROM documents UNION ALL SELECT doc_id, 'relationship_natural_language', 1.0, 'written in ' || lang FROM documents),
-t1 AS (SELECT id, field, weight, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS ts FROM t0), mean AS (SELECT field, avg(len(ts)) AS mean, count(*) AS total FROM t1 GROUP BY field),
+_BASE = """t0 AS (SELECT doc_id AS id, 'name' AS field, 3.0 AS weight, array_to_string(string_split(text, ' ')[1:3], ' ') AS text FROM documents UNION ALL SELECT doc_id, 'type', 2.0, source FROM documents
+ UNION ALL SELECT doc_id, 'isolated_contexts', 1.0, text FROM documents UNION ALL SELECT doc_id, 'relationship_natural_language', 1.0, 'written in ' || lang FROM documents),"""
+_POST = """t1 AS (SELECT id, field, weight, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS ts FROM t0), mean AS (SELECT field, avg(len(ts)) AS mean, count(*) AS total FROM t1 GROUP BY field),
 post AS (SELECT id, field, weight, dl, term, count(*) AS tf FROM (SELECT id, field, weight, len(ts) AS dl, unnest(ts) AS term FROM t1) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM post GROUP BY ALL),
 hits AS (SELECT qid, id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) * weight), 6) AS score FROM q JOIN post USING (term) JOIN df USING (term, field) JOIN mean USING (field) GROUP BY qid, id)"""
+_FIELD = f"{_BASE}\n{_POST}"
 _WORDS = "(VALUES ('a', 'the'), ('a', 'thand'), ('b', 'und'), ('b', 'de'), ('b', 'written')) v(qid, term)"
 
 
@@ -265,6 +268,50 @@ def text_index_stored(spark, d):
     return search.best_each(search.bm25(index, None, _terms(spark), lengths=lengths), 5).select("qid", "id", "score")
 
 
+_CHANGED = """t0 AS (SELECT doc_id AS id, 'name' AS field, 3.0 AS weight, CASE WHEN doc_id % 5 = 1 THEN 'thand' ELSE array_to_string(string_split(text, ' ')[1:3], ' ') END AS text FROM documents
+ UNION ALL SELECT doc_id, 'type', 2.0, source FROM documents UNION ALL SELECT doc_id, 'isolated_contexts', 1.0, CASE WHEN doc_id % 5 = 1 THEN 'the ' ELSE '' END || text FROM documents
+ UNION ALL SELECT doc_id, 'relationship_natural_language', 1.0, CASE WHEN doc_id % 5 = 1 THEN NULL WHEN doc_id % 3 = 0 THEN 'the und ' || lang ELSE 'written in ' || lang END FROM documents),
+""" + _POST.replace("FROM t0)", "FROM t0 WHERE id % 7 <> 2)", 1)
+_FIRST = "SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM hits) WHERE r <= 50"
+
+
+def _replacing(docs):
+    """A fifth of the documents anew, without a sentence."""
+    return docs.where("node_id % 5 = 1").withColumn("name", F.lit("thand")).withColumn("isolated_contexts", F.concat(F.lit("the "), "isolated_contexts")).withColumn("relationship_natural_language", F.lit(None).cast("string"))
+
+
+def _refreshed(docs):
+    """New sentences for a third of the documents."""
+    return docs.where("node_id % 3 = 0").select("node_id", F.concat(F.lit("the und "), F.substring("relationship_natural_language", 12, 100)).alias("relationship_natural_language"))
+
+
+@query(f"WITH q AS (SELECT * FROM {_WORDS}), {_CHANGED} {_FIRST}")
+def text_index_changed(spark, d):
+    """Documents are changed in part, replaced and deleted as segments of the stored index; searches see what is live."""
+    docs = src.text_documents(spark, d)
+    index = TextIndex(tables.Store(spark, shared_path(spark, "store")))
+    index.upsert(docs)
+    index.update(_refreshed(docs).unionByName(spark.createDataFrame([(-1, "the")], "node_id long, relationship_natural_language string")))
+    index.upsert(_replacing(docs))
+    index.delete(docs.where("node_id % 7 = 2"))
+    return index.search(_terms(spark), 50).select("qid", "id", "score")
+
+
+@query(f"WITH q AS (SELECT * FROM {_WORDS}), {_CHANGED} {_FIRST}")
+def text_index_stream(spark, d):
+    """The same changes as a stream that stops and goes on from its checkpoint; every batch is one segment."""
+    ensure_checkpoints(spark)
+    docs, base = src.text_documents(spark, d), shared_path(spark, "changes")
+    index = TextIndex(tables.Store(spark, f"{base}/store"))
+    refreshed = docs.drop("relationship_natural_language").join(_refreshed(docs), "node_id")
+    for n, some in enumerate([docs, refreshed, _replacing(docs).unionByName(docs.where("node_id % 7 = 2"))]):
+        gone = (F.col("node_id") % 7 == 2) & F.lit(n == 2)
+        some.withColumn("at", F.lit(n) + gone.cast("int")).withColumn("deleted", gone).select(*docs.columns, "at", "deleted").write.mode("append").parquet(f"{base}/in")
+        changes = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+        index_stream(changes, index, ["at"], f"{base}/checkpoint").awaitTermination()
+    return index.search(_terms(spark), 50).select("qid", "id", "score")
+
+
 # --- communities -----------------------------------------------------------------------------------
 
 
