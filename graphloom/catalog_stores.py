@@ -191,6 +191,19 @@ def assertion_stream(spark, d):
     return streams.folded(store).groupBy("src").agg(F.sum("mention_count").alias("mentions"))
 
 
+@query("SELECT 'u' || user_id AS src, count(DISTINCT event_id % 40) AS mentions FROM events GROUP BY user_id")
+def assertions_once_stream(spark, d):
+    """Notes that come again, in the same batch, in a later one and after a restart, count what they told once."""
+    path = shared_path(spark, "stream")
+    a = src.assertions(spark, d).withColumn("rel_type", F.lit("mentions")).withColumn("dst", F.lit("k")).withColumn("note_id", F.concat(F.lit("n"), (F.col("event_id") % 40).cast("string")))
+    store = tables.Store(spark, f"{path}/kb")
+    for _ in range(2):
+        a.repartition(2, "event_id").write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        streams.fold_stream(source, store, f"{path}/checkpoint", parts=8, once=True).awaitTermination()
+    return streams.folded(store).groupBy("src").agg(F.sum("mention_count").alias("mentions"))
+
+
 @query("SELECT user_id AS id, arg_max(event_type, ts) AS status FROM events GROUP BY user_id")
 def status_stream(spark, d):
     changes = src.read(spark, d, "events").select(F.col("user_id").alias("id"), "ts", F.col("event_type").alias("status"))

@@ -135,6 +135,26 @@ def fold_actions(assertions: DataFrame) -> DataFrame:
     return _run(assertions.withColumn("_new", F.lit(True)), "actions", ACTIONS)
 
 
+TOLD = ["note_id", "src", "dst", "rel_type"]  # what a ledger knows an assertion by
+LEDGER = ", ".join(f"{c} string" for c in TOLD) + ", batch long"
+
+
+def first_told(assertions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """Assertions whose note didn't tell the same before: not in the ledger, and the first (ts, event_id) of several that come now.
+
+    Those without a note can't be known again, so each of them counts.
+    """
+    known = F.col("note_id").isNotNull()
+    same = lambda c: F.coalesce(c, F.lit("")).alias(c) if c != "note_id" else F.col(c)
+    named, rest = assertions.where(known), [c for c in assertions.columns if c not in TOLD]
+    if ledger is not None:
+        keys = ledger.select(*(same(c).alias(f"_{c}") for c in TOLD)).distinct()
+        match = [(F.coalesce(F.col(c), F.lit("")) if c != "note_id" else F.col(c)) == F.col(f"_{c}") for c in TOLD]
+        named = named.join(keys, match, "left_anti")
+    once = named.groupBy(*TOLD).agg(F.min_by(F.struct(*rest), F.struct("ts", "event_id")).alias("_r")).select(*TOLD, *(F.col(f"_r.{c}").alias(c) for c in rest))
+    return once.select(*assertions.columns).unionByName(assertions.where(~known))
+
+
 def contradictions(assertions: DataFrame) -> DataFrame:
     """event_id, old_event: earlier assertions of a pair that a later one contradicts."""
     from ..functions import rules

@@ -65,7 +65,11 @@ def relationship_rows(extracted: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def ingest(notes: DataFrame, stored: dict[str, DataFrame] | None = None, models: ModelHub | None = None) -> dict[str, DataFrame]:
-    """The tables after some notes(id, content, ts): nodes, ref, rel, contexts, sentences, skipped; stored has those before."""
+    """The tables after some notes(id, content, ts): nodes, ref, rel, contexts, sentences, skipped; stored has those before.
+
+    A note that comes again adds no contexts and reinforces its edges again. Where stored has a ledger (`fold.TOLD`, or None for a new
+    one), what a note told before counts no more, and the ledger after these notes is among the tables.
+    """
     stored = stored or {}
     extracted = extract(notes, models).checkpoint()  # models run once
     entities = entity_rows(extracted)
@@ -73,6 +77,11 @@ def ingest(notes: DataFrame, stored: dict[str, DataFrame] | None = None, models:
     ref = entities.join(nodes, "name").select("note_id", F.col("id").alias("node_id")).distinct()
     rels = relationship_rows(extracted, nodes)
     good = rels.where("skip is null").select("event_id", "ts", "src", "dst", "rel_type", "confidence", "strength", "relevance", "edge_weight", "relationship_id", "note_id")
+    told = {}
+    if "ledger" in stored:
+        good = fold.first_told(good, stored["ledger"])
+        keys = good.select(*fold.TOLD)
+        told = {"ledger": keys if stored["ledger"] is None else stored["ledger"].select(*fold.TOLD).unionByName(keys)}
     edges = fold.fold_edges(good, stored.get("rel"))
     actions = fold.fold_actions(good)
     spoken = rels.join(actions.where("action in ('created', 'evolved')").select("event_id"), "event_id", "left_semi").select("relationship_id", "src", "dst", "natural_language")
@@ -88,4 +97,5 @@ def ingest(notes: DataFrame, stored: dict[str, DataFrame] | None = None, models:
         "sentences": spoken if "sentences" not in stored else tables.upsert(stored["sentences"], spoken, ["relationship_id"]),
         "skipped": rels.where("skip is not null").groupBy("skip").agg(F.count("*").alias("n")),
         "failed": extracted.where("failed").select("id"),
+        **told,
     }

@@ -21,10 +21,11 @@ def idle_sessions(events: DataFrame, key: str = "user_id", gap: str = IDLE, late
 PARTS = 64  # of the stored edges, by pair of entities
 
 
-def fold_stream(assertions: DataFrame, store: tables.Store, checkpoint: str, table: str = "rel", parts: int = PARTS, **trigger) -> StreamingQuery:
+def fold_stream(assertions: DataFrame, store: tables.Store, checkpoint: str, table: str = "rel", parts: int = PARTS, once: bool = False, **trigger) -> StreamingQuery:
     """Folds each micro-batch into the stored edges, of which it reads and rewrites only the parts that its pairs belong to.
 
-    A batch that runs again is skipped: its number is part of the version that it made.
+    A batch that runs again is skipped: its number is part of the version that it made. A note that comes again reinforces its edges
+    again, unless `once` is set: then a ledger tells which note told what (`told_once`).
     """
     part = F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.lit(parts)).cast("int")
 
@@ -32,6 +33,8 @@ def fold_stream(assertions: DataFrame, store: tables.Store, checkpoint: str, tab
         if any(tag == f"b{number}" for _, tag in store.versions(table)):
             return
         rows = rows.where("src is not null and dst is not null")
+        if once:
+            rows = told_once(rows, store, table, number, parts)
         touched = [r[0] for r in rows.select(part).distinct().collect()]  # at most parts numbers
         if touched:
             old = store.read_parts(table, fold.EDGE, touched).drop("part")
@@ -40,6 +43,25 @@ def fold_stream(assertions: DataFrame, store: tables.Store, checkpoint: str, tab
     return assertions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def told_once(rows: DataFrame, store: tables.Store, table: str, number: int, parts: int = PARTS) -> DataFrame:
+    """Assertions of a batch that no batch before brought, after they were put into the ledger <table>_ledger.
+
+    The ledger gets a batch's lines before its edges are written. What a batch that fails in between has put there bears its number, and
+    the same batch, run again, doesn't take it for told; lines that it writes twice say the same. Only the parts of the batch's notes are read.
+    """
+    spark, path = rows.sparkSession, f"{store.path}/{store.slug}/{table}_ledger"
+    place = F.pmod(F.xxhash64("note_id"), F.lit(parts)).cast("int")
+    touched = [r[0] for r in rows.where("note_id is not null").select(place).distinct().collect()]  # at most parts numbers
+    fs, folder = store._fs(path)
+    ledger = None
+    if fs.exists(folder):
+        ledger = spark.read.schema(f"{fold.LEDGER}, part int").parquet(path).where(F.col("part").isin(touched) & (F.col("batch") != number))
+    fresh = fold.first_told(rows, ledger)
+    lines = fresh.where("note_id is not null").select(*fold.TOLD, F.lit(number).cast("long").alias("batch"), place.alias("part"))
+    lines.repartition("part").write.mode("append").partitionBy("part").parquet(path)
+    return fresh
+
+
 def folded(store: tables.Store, table: str = "rel") -> DataFrame:
     """The edges that a stream has folded so far."""
     return store.read_parts(table, fold.EDGE).drop("part")

@@ -24,6 +24,62 @@ def test_stream_fold_equals_batch(spark, tmp_path):
     assert len(store.versions("rel")) == 3
 
 
+ASSERTED = "event_id long, ts timestamp, src string, dst string, rel_type string, confidence double, note_id string"
+
+
+def test_first_told(spark):
+    rows = [(1, DAY, "a", "b", "knows", 1.0, "n1"), (2, DAY, "a", "b", "knows", 2.0, "n1"), (3, DAY, "a", "b", "knows", 3.0, "n2"), (4, DAY, "a", "b", None, 3.0, "n1"), (5, DAY, None, "b", "knows", 3.0, "n1"), (6, DAY, "a", "b", "knows", 1.0, None), (7, DAY, "a", "b", "knows", 1.0, None)]
+    df = spark.createDataFrame(rows, ASSERTED)
+    ids = lambda t: sorted(r["event_id"] for r in t.collect())
+    assert ids(fold.first_told(df)) == [1, 3, 4, 5, 6, 7]
+    ledger = df.where("event_id in (2, 5)").select(*fold.TOLD)
+    assert ids(fold.first_told(df, ledger)) == [3, 4, 6, 7]
+    assert ids(fold.first_told(df, ledger.limit(0))) == [1, 3, 4, 5, 6, 7]
+
+
+def test_stream_counts_a_repeated_note_once_over_a_failed_batch(spark, tmp_path, monkeypatch):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    kinds = ["knows", "friends_with", "works_with"]
+    rows = [(i, DAY + dt.timedelta(hours=i), f"u{i % 3}", f"k{i % 2}", kinds[i % 3], float(i % 9 + 1), f"n{i % 2}") for i in range(24)]
+    df = spark.createDataFrame(rows, ASSERTED)
+    want = fold.fold_edges(fold.first_told(df))
+    key = lambda t: sorted((r["src"], r["dst"], r["rel_type"], r["mention_count"]) for r in t.collect())
+    for again in range(2):  # the second delivery repeats the first
+        for i in range(2):
+            df.where(f"event_id >= {12 * i} and event_id < {12 * i + 12}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    store = tables.Store(spark, str(tmp_path / "kb"))
+    whole, calls = tables.Store.commit_parts, []
+
+    def failing(self, table, rows, tag):
+        calls.append(tag)
+        if calls.count("b1") == 1 and tag == "b1":
+            raise RuntimeError("lost after the ledger was written")
+        return whole(self, table, rows, tag)
+
+    monkeypatch.setattr(tables.Store, "commit_parts", failing)
+    start = lambda: streams.fold_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), store, str(tmp_path / "cp"), once=True)
+    with pytest.raises(StreamingQueryException):
+        start().awaitTermination(120)
+    start().awaitTermination(120)
+    assert calls.count("b1") == 2
+    assert key(streams.folded(store)) == key(want)
+    assert sum(x[3] for x in key(want)) < sum(x[3] for x in key(fold.fold_edges(df)))
+
+
+def test_ingest_with_a_ledger(spark):
+    from graphloom.plans import ingest
+
+    notes = spark.createDataFrame([("o1", "Ada Lovelace met Charles Babbage.", DAY), ("o2", "Ada Lovelace met Charles Babbage. Paris is far.", DAY)], "id string, content string, ts timestamp")
+    count = lambda t: sum(r["mention_count"] for r in t["rel"].collect())
+    first = ingest.ingest(notes, {"ledger": None})
+    stored = {k: first[k] for k in ("nodes", "contexts", "rel", "ledger")}
+    again = ingest.ingest(notes, stored)
+    assert count(first) == count(again) and again["ledger"].count() == first["ledger"].count() > 0
+    assert count(ingest.ingest(notes, {k: v for k, v in stored.items() if k != "ledger"})) == 2 * count(first)
+
+
 def test_idle_sessions_stream(spark, tmp_path):
     e = spark.createDataFrame([(1, DAY), (1, DAY + dt.timedelta(seconds=60)), (1, DAY + dt.timedelta(seconds=400)), (2, DAY)], "user_id long, ts timestamp")
     got = sorted((r["user_id"], r["n"]) for r in streams.idle_sessions(e).collect())
