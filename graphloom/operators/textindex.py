@@ -113,14 +113,14 @@ class TextIndex:
     # --- changes ---
 
     def upsert(self, docs: DataFrame, batch: int | None = None) -> None:
-        """Adds documents, or puts them in the place of those with the same id. Of rows of one id the greatest by its columns counts."""
+        """Adds documents, or puts them in the place of those with the same id. Of rows of one id that with the greatest hash of its columns counts."""
         rows = docs.where(F.col(self.id).isNotNull())
-        self._write(latest(rows, [self.id], rows.columns), rows.select(F.col(self.id).alias("id")), batch)
+        self._write(latest(rows, [self.id], [F.xxhash64(*rows.columns)]), rows.select(F.col(self.id).alias("id")), batch)
 
     def update(self, changes: DataFrame, create: bool = False, batch: int | None = None) -> None:
-        """Changes the fields that aren't null in changes; unknown ids are ignored, or with create made. Of rows of one id the greatest counts."""
+        """Changes the fields that aren't null in changes; unknown ids are ignored, or with create made. Rows of one id as in `upsert`."""
         rows = changes.where(F.col(self.id).isNotNull())
-        new = latest(rows, [self.id], rows.columns).select(F.col(self.id).alias("id"), F.struct(*rows.columns).alias("new"))
+        new = latest(rows, [self.id], [F.xxhash64(*rows.columns)]).select(F.col(self.id).alias("id"), F.struct(*rows.columns).alias("new"))
         held = self._segments()
         if not held:
             return self.upsert(changes, batch) if create else None
