@@ -31,6 +31,22 @@ def _bucket(column: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
+def _runs(words: Column) -> Column:
+    """array<struct<term, tf>> of sorted words: one for each run of equal ones."""
+
+    def of(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
+        cut = lambda s: F.transform(s, lambda x, k: F.struct(F.get(w, x - 1).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(w) + 1) - x).alias("tf")))
+        return _bound(starts, cut)
+
+    return _bound(F.when(F.size(words) > 0, words), of)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value bound as a lambda's variable, so that it is taken once and not for each element; null stays null."""
+    return F.get(F.transform(F.filter(F.array(value), lambda v: v.isNotNull()), use), F.lit(0))
+
+
 class TextIndex:
     """Documents by id_column with text fields that have weights.
 
@@ -115,7 +131,9 @@ class TextIndex:
     def upsert(self, docs: DataFrame, batch: int | None = None) -> None:
         """Adds documents, or puts them in the place of those with the same id. Of rows of one id that with the greatest hash of its columns counts."""
         rows = docs.where(F.col(self.id).isNotNull())
-        self._write(latest(rows, [self.id], [F.xxhash64(*rows.columns)]), rows.select(F.col(self.id).alias("id")), batch)
+        # Texts are moved only where some id comes more than once; that reads the ids alone.
+        several = not rows.groupBy(self.id).count().where("count > 1").isEmpty()
+        self._write(latest(rows, [self.id], [F.xxhash64(*rows.columns)]) if several else rows, rows.select(F.col(self.id).alias("id")), batch)
 
     def update(self, changes: DataFrame, create: bool = False, batch: int | None = None) -> None:
         """Changes the fields that aren't null in changes; unknown ids are ignored, or with create made. Rows of one id as in `upsert`."""
@@ -183,18 +201,17 @@ class TextIndex:
         return rows.repartition("bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SPREAD)))
 
     def _cut(self, path: str, kind: str, schema: StructType) -> DataFrame:
-        """Postings of a segment's documents; texts are cut one field at a time, a token of a document leaves a task once."""
+        """Postings of a segment's documents. A document is there once, so its tokens are counted within its row: sorted, then by runs."""
         docs, out = self.store.spark.read.schema(f"id {kind}, lens array<int>, doc {schema.simpleString()}").parquet(f"{path}/docs"), None
         for i, field in enumerate(self.fields):
-            rows = docs.select("id", F.col("lens")[i].alias("len"), F.lit(field).alias("field"), F.explode(tokens(F.col(f"doc.{field}"))).alias("term"))
-            rows = rows.groupBy("term", "field", "id", "len").agg(F.count("*").alias("tf"))
+            runs = _runs(F.sort_array(tokens(F.col(f"doc.{field}"))))
+            rows = docs.select("id", F.col("lens")[i].alias("len"), F.lit(field).alias("field"), F.explode(runs).alias("r")).select("r.term", "field", "id", F.col("r.tf").cast("long").alias("tf"), "len")
             out = rows if out is None else out.unionByName(rows)
         return out.withColumn("bucket", _bucket("term", self.buckets))
 
     def _write_postings(self, path: str, posts: DataFrame) -> None:
-        """Dealt by ranges of bucket, term and a hash of the id: a common term goes to many tasks, and a task writes few folders."""
-        order = ["bucket", "term", F.xxhash64("id")]
-        posts.repartitionByRange(*order).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        """Dealt by bucket and a hash of the id, so that a common term goes to many tasks."""
+        self._dealt(posts).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
 
     def _commit(self, held: list[dict]) -> None:
         self.store.commit(self.table, self.store.spark.createDataFrame(held, MANIFEST).coalesce(1))
