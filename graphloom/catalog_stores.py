@@ -552,7 +552,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord)::I
 def rerank_top(spark, d):
     b = src.read(spark, d, "benchmark")
     p = b.select(F.col("item_id").alias("ord"), "text")
-    c = b.select(F.col("item_id").alias("qid"), F.col("text").alias("question")).join(p, (F.col("ord") >= F.col("qid")) & (F.col("ord") <= F.col("qid") + 14))
+    q = b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    c = q.withColumn("ord", F.explode(F.sequence("qid", F.col("qid") + 14))).join(p, "ord")  # by equal ids, not all pairs
     return retrieval.rerank(c).select("qid", "ord", "place", F.round("rerank_score", 6).alias("rerank_score"))
 
 
