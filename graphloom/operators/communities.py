@@ -15,6 +15,9 @@ from . import cells as C
 LEVELS = {2: 0.25, 1: 0.35, 0: 0.75}
 MOST = 6000  # clusters that one task merges; larger inputs merge in rounds first
 BLOCK = 1024
+GROUP = 16_000_000  # bytes of vectors on one side of a task
+TASKS = 3  # for each core, where there are enough vectors
+CELLS = 4_000_000  # products at once
 
 
 def written(rows: DataFrame) -> DataFrame:
@@ -71,25 +74,45 @@ def average_linkage(vectors: np.ndarray, threshold: float, size: np.ndarray | No
     return up
 
 
-def _nearest(rows: list[tuple]) -> pd.DataFrame:
-    """id, near, d: the nearest of the other clusters for each of some pairs of blocks (same, ids, means, other ids, other means); ties to the smaller id."""
-    out = []
-    for same, a, left, b, right in rows:
-        # Both sides' distances come from the same products, so two clusters see each other at the same distance.
-        best_a, near_a = np.full(len(a), np.inf), np.zeros(len(a), np.int64)
-        best_b, near_b = np.full(len(b), np.inf), np.zeros(len(b), np.int64)
-        for at in range(0, len(a), 512):
-            d = np.round(1 - left[at : at + 512] @ right.T, 12)
-            if same:
-                d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
-            best_a[at : at + len(d)], near_a[at : at + len(d)] = d.min(1), d.argmin(1)
-            low = d.min(0)
-            better = low < best_b
-            near_b[better], best_b[better] = at + d.argmin(0)[better], low[better]
-        out += [(a[i], b[near_a[i]], best_a[i]) for i in np.flatnonzero(np.isfinite(best_a)).tolist()]
-        if not same:
-            out += [(b[i], a[near_b[i]], best_b[i]) for i in np.flatnonzero(np.isfinite(best_b)).tolist()]
-    return pd.DataFrame(out, columns=["id", "near", "d"])
+def _both(best: np.ndarray, near: np.ndarray, at: np.ndarray, low: np.ndarray, to: np.ndarray) -> None:
+    """Keeps, at rows `at`, the lower of a known and a new distance; ties to the smaller place."""
+    better = (low < best[at]) | ((low == best[at]) & (to < near[at]))
+    best[at[better]], near[at[better]] = low[better], to[better]
+
+
+def _nearest(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """id, near, d: the nearest of the others, under the threshold, for the rows of one group of blocks among themselves or of two groups
+    across; ties to the smaller id. part has a row for each block: grp, ids, vectors, center, radius."""
+    part = part.reset_index(drop=True)
+    ids = np.concatenate([np.asarray(x) for x in part["ids"]])
+    of, rows = np.repeat(np.arange(len(part)), [len(x) for x in part["ids"]]), np.concatenate([np.frombuffer(v).reshape(len(i), -1) for v, i in zip(part["vectors"], part["ids"], strict=True)])
+    order = np.argsort(ids, kind="stable")  # places in the order of ids, so the first of equals is the smallest
+    ids, of, rows = ids[order], of[order], rows[order]
+    center, radius, group = C.matrix(part["center"]), part["radius"].to_numpy(), part["grp"].to_numpy()
+    size = np.linalg.norm(center, axis=1)
+    across = group[0] != group[-1] or len(set(group.tolist())) > 1
+    best, near = np.full(len(ids), np.inf), np.full(len(ids), len(ids))
+    for i in np.flatnonzero(group == group.min()) if across else range(len(part)):
+        most = center @ center[i] + radius * size[i] + radius[i] * size + radius * radius[i]
+        meets = (most > 1 - threshold - 1e-9) & ((group != group[i]) if across else (np.arange(len(part)) >= i))
+        right = np.flatnonzero(meets[of])
+        left = np.flatnonzero(of == i)
+        if not len(right):
+            continue
+        other = rows[right].T
+        step = max(1, CELLS // len(right))
+        for mine in (left[x : x + step] for x in range(0, len(left), step)):
+            # Both sides' distances come from the same products, so two clusters see each other at the same distance.
+            d = 1 - rows[mine] @ other
+            if not across:
+                d[mine[:, None] == right[None, :]] = np.inf
+            some, those = np.flatnonzero(d.min(1) < threshold + 1e-9), np.flatnonzero(d.min(0) < threshold + 1e-9)
+            if len(some):
+                d = np.round(d[np.ix_(some, those)], 12)
+                _both(best, near, mine[some], d.min(1), right[those[d.argmin(1)]])
+                _both(best, near, right[those], d.min(0), mine[some[d.argmin(0)]])
+    found = np.flatnonzero(best < threshold)
+    return pd.DataFrame({"id": ids[found], "near": ids[near[found]], "d": best[found]})
 
 
 def reachable(heads: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -112,25 +135,44 @@ def laid(live: DataFrame, centroids: np.ndarray) -> tuple[DataFrame, pd.DataFram
     return blocks, C.heads(blocks).toPandas()
 
 
+def grouped(heads: pd.DataFrame, threshold: float, cores: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(cell, sub, grp of every block, grp, task of every group in every task): groups of about GROUP bytes of near cells, or smaller ones
+    where there would be too few tasks; a task for each pair of groups in which two members can be nearer than the threshold."""
+    center, n, cell = C.matrix(heads["center"]), heads["n"].to_numpy(), heads["cell"].to_numpy()
+    axis = np.linalg.eigh(np.cov(center.T).reshape(center.shape[1], -1))[1][:, -1] if len(cell) > 1 else np.ones(center.shape[1])
+    order = np.argsort(center @ axis, kind="stable")
+    begin = np.empty(len(n))
+    begin[order] = np.cumsum(n[order]) - n[order]
+    total = int(n.sum())
+    wanted = min(max(1, total // 256), max(-(-total * 8 * center.shape[1] // GROUP), int(np.ceil((2 * TASKS * cores) ** 0.5))))
+    subs = -(-n // BLOCK)
+    of = np.repeat(np.arange(len(n)), subs)
+    sub = np.concatenate([np.arange(x) for x in subs])
+    grp = ((begin[of] + sub * (n / subs)[of]) * wanted // total).astype(int)
+    place = {int(c): x for x, c in enumerate(cell)}
+    near = np.zeros((len(n), len(n)), dtype=np.float32)
+    met = reachable(heads, threshold)
+    i, j = (np.array([place[c] for c in met[k].tolist()], dtype=int) for k in ("i", "j"))
+    near[i, j] = near[j, i] = 1
+    held = np.zeros((wanted, len(n)), dtype=np.float32)
+    held[grp, of] = 1
+    g, h = np.nonzero(np.triu(held @ near @ held.T > 0))
+    task = np.arange(len(g))
+    tasks = pd.DataFrame({"grp": np.concatenate((g, h[g != h])), "task": np.concatenate((task, task[g != h]))})
+    return pd.DataFrame({"cell": cell[of], "sub": sub, "grp": grp}), tasks
+
+
 def nearest(blocks: DataFrame, heads: pd.DataFrame, threshold: float, kind: str) -> DataFrame:
-    """id, near, d of every cluster with one nearer than the threshold: only blocks of cells that can hold it meet."""
+    """id, near, d of every cluster with one nearer than the threshold: only blocks of cells that can hold it meet.
+
+    A task gets whole groups of blocks, so a block is copied once for each group that its own can reach, not once for each block.
+    """
     spark = blocks.sparkSession
-    pairs = F.broadcast(spark.createDataFrame(reachable(heads, threshold), "i int, j int"))  # at most cells.MOST squared / 2 pairs of numbers
-    left = blocks.select(F.col("cell").alias("i"), F.col("sub").alias("sub_i"), F.col("ids").alias("a"), F.col("vectors").alias("x"), F.col("center").alias("ca"), F.col("radius").alias("ra"))
-    right = blocks.select(F.col("cell").alias("j"), F.col("sub").alias("sub_j"), F.col("ids").alias("b"), F.col("vectors").alias("y"), F.col("center").alias("cb"), F.col("radius").alias("rb"))
-    # Each block is dealt to the pairs that it takes part in, so that no cell meets all of its partners in one task.
-    met = left.join(pairs, "i").join(right, "j").where("i < j or sub_i <= sub_j").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def run(frames):
-        for f in C.in_batches(frames):
-            rows = []
-            for i, j, p, q, a, b, x, y, ca, cb, ra, rb in zip(f["i"], f["j"], f["sub_i"], f["sub_j"], f["a"], f["b"], f["x"], f["y"], f["ca"], f["cb"], f["ra"], f["rb"], strict=True):
-                ca, cb = np.asarray(ca), np.asarray(cb)
-                if ca @ cb + ra * np.linalg.norm(cb) + rb * np.linalg.norm(ca) + ra * rb > 1 - threshold - 1e-9:
-                    rows.append((i == j and p == q, a, np.frombuffer(x).reshape(len(a), -1), b, np.frombuffer(y).reshape(len(b), -1)))
-            yield _nearest(rows)
-
-    found = met.mapInPandas(run, f"id {kind}, near {kind}, d double").where(F.col("d") < threshold)
+    of, tasks = grouped(heads, threshold, spark.sparkContext.defaultParallelism)
+    of = F.broadcast(spark.createDataFrame(of, "cell int, sub int, grp int"))  # a row for each block
+    tasks = F.broadcast(spark.createDataFrame(tasks, "grp int, task int"))  # at most the groups squared
+    met = blocks.join(of, ["cell", "sub"]).join(tasks, "grp").select("task", "grp", "ids", "vectors", "center", "radius")
+    found = met.groupBy("task").applyInPandas(lambda part: _nearest(part, threshold), f"id {kind}, near {kind}, d double")
     return found.groupBy("id").agg(F.min(F.struct("d", "near")).alias("x")).select("id", "x.near", "x.d")
 
 
