@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from .vectors import build
 #: Fields of a text document and their weights.
 FIELDS = {"name": 3.0, "type": 2.0, "isolated_contexts": 1.0, "relationship_natural_language": 1.0}
 
+BATCH = 256  # questions that meet a document at once
+ROWS = 512  # documents that a task multiplies at once
+
 
 def with_unit(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """vectors with `unit`; stored once, cosine is a product of two such columns."""
@@ -92,16 +97,12 @@ def stored_index(store) -> tuple[DataFrame, dict[str, float]]:
     return store.read("postings"), {r["field"]: r["mean"] for r in rows} | {"buckets": rows[0]["buckets"]}
 
 
-def bm25(index: DataFrame, docs: DataFrame | None, terms: DataFrame, fields: dict[str, float] = FIELDS, k1: float = 1.2, b: float = 0.75, lengths: dict[str, float] | None = None) -> DataFrame:
-    """qid, id, score for terms(qid, term): the weighted sum over fields of BM25. The terms' side is the small one; only their postings are read.
-
-    lengths are those of a stored index; without them they are counted over docs.
-    """
+def _parts(index: DataFrame, docs: DataFrame | None, wanted: DataFrame, fields: dict[str, float], k1: float, b: float, lengths: dict[str, float] | None) -> DataFrame:
+    """id, term, part: what every posting of wanted(term) adds to the score of its document."""
     lengths = lengths or text_lengths(docs, fields)
     total = lengths["docs"]
     mean = F.create_map(*(x for f in fields for x in (F.lit(f), F.lit(float(lengths[f] or 1)))))
     weight = F.create_map(*(x for f, w in fields.items() for x in (F.lit(f), F.lit(float(w)))))
-    wanted = terms.select("qid", F.lower("term").alias("term")).distinct()
     keys = wanted.select("term").distinct()
     if "bucket" in index.columns:  # so that the scan prunes the buckets
         keys = keys.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(int(lengths["buckets"]))).cast("int"))
@@ -109,7 +110,60 @@ def bm25(index: DataFrame, docs: DataFrame | None, terms: DataFrame, fields: dic
     df = posts.groupBy("term", "field").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean[F.col("field")])) * weight[F.col("field")]
-    return posts.join(df, ["term", "field"]).withColumn("part", part).join(wanted, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return posts.join(df, ["term", "field"]).select("id", "term", part.alias("part"))
+
+
+def bm25(index: DataFrame, docs: DataFrame | None, terms: DataFrame, fields: dict[str, float] = FIELDS, k1: float = 1.2, b: float = 0.75, lengths: dict[str, float] | None = None) -> DataFrame:
+    """qid, id, score for terms(qid, term): the weighted sum over fields of BM25. The terms' side is the small one; only their postings are read.
+
+    lengths are those of a stored index; without them they are counted over docs.
+    """
+    wanted = terms.select("qid", F.lower("term").alias("term")).distinct()
+    return _parts(index, docs, wanted, fields, k1, b, lengths).join(wanted, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def bm25_best(index: DataFrame, docs: DataFrame | None, terms: DataFrame, k: int, fields: dict[str, float] = FIELDS, k1: float = 1.2, b: float = 0.75, lengths: dict[str, float] | None = None) -> DataFrame:
+    """qid, id, score: the k best of `bm25` for every qid, ties to the smaller id. No row is made for a pair of a document and a question.
+
+    Postings are dealt by document and BATCH questions, whose terms go along; a task multiplies rows of documents by its questions' terms
+    and keeps k documents a question.
+    """
+    asked = terms.select("qid", F.lower("term").alias("term")).distinct()
+    batches = F.broadcast(asked.agg(F.ceil(F.count_distinct("qid") / BATCH).cast("int").alias("_b")))  # a row
+    asked = asked.crossJoin(batches).withColumn("batch", F.pmod(F.xxhash64("qid"), F.greatest("_b", F.lit(1))).cast("int")).select("batch", "qid", "term")
+    parts = _parts(index, docs, asked, fields, k1, b, lengths).groupBy("id", "term").agg(F.sum("part").alias("part"))
+    dealt = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = parts.join(F.broadcast(asked.select("batch", "term").distinct()), "term").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(dealt)).cast("int"))
+    each = rows.groupBy("batch", "slice", "id").agg(F.collect_list("term").alias("terms"), F.collect_list("part").alias("parts"))
+    asked = asked.groupBy("batch", "qid").agg(F.collect_list("term").alias("terms")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
+    schema = f"qid {asked.schema['qid'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, score double"
+
+    def best(part: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(questions):
+            return pd.DataFrame({"qid": questions["qid"].iloc[:0], "id": part["id"].iloc[:0], "score": np.zeros(0)})
+        names = {t: i for i, t in enumerate(sorted({t for x in questions["terms"] for t in x}))}
+        holds = np.zeros((len(names), len(questions)))
+        for q, x in enumerate(questions["terms"]):
+            holds[[names[t] for t in x], q] = 1
+        part = part.sort_values("id", key=lambda s: s.map(lambda x: x.encode()) if s.dtype == object else s).reset_index(drop=True)
+        at, top = np.full((len(questions), 0), -1), np.zeros((len(questions), 0))
+        for a in range(0, len(part), ROWS):
+            some = part.iloc[a : a + ROWS]
+            held = np.zeros((len(some), len(names)))
+            for row, (t, x) in enumerate(zip(some["terms"], some["parts"], strict=True)):
+                held[row, [names[w] for w in t]] = x
+            # Every posting adds more than nothing, so 0 is no hit. Documents ascend: a stable sort leaves ties to the smaller.
+            raw = (held @ holds).T
+            score = np.concatenate((top, np.where(raw > 0, np.round(raw, 6), -1.0)), axis=1)
+            place = np.concatenate((at, np.broadcast_to(np.arange(a, a + len(some)), raw.shape)), axis=1)
+            kept = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            at, top = np.take_along_axis(place, kept, 1), np.take_along_axis(score, kept, 1)
+        q, n = np.nonzero(top >= 0)
+        return pd.DataFrame({"qid": questions["qid"].to_numpy()[q], "id": part["id"].to_numpy()[at[q, n]], "score": top[q, n]})
+
+    key = ["batch", "slice"]
+    hits = each.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(best, schema)
+    return best_each(hits, k).select("qid", "id", "score")
 
 
 def best_each(scored: DataFrame, k: int) -> DataFrame:

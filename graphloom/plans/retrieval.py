@@ -61,7 +61,7 @@ def match_entities(analysed: DataFrame, nodes: DataFrame, per_query: int = 50) -
 def match_keywords(analysed: DataFrame, index: DataFrame, docs: DataFrame, per_query: int = 100, lengths: dict[str, float] | None = None) -> DataFrame:
     """qid, id, score by BM25 of the question's words and further terms."""
     terms = analysed.select("qid", F.explode(F.array_distinct(F.concat(R.tokens(F.col("question")), F.flatten(F.transform(extra_terms(F.col("question"), F.col("keywords"), F.col("concepts")), R.tokens))))).alias("term"))
-    return R.best_each(R.bm25(index, docs, terms, lengths=lengths), per_query).select("qid", "id", "score")
+    return R.bm25_best(index, docs, terms, per_query, lengths=lengths)
 
 
 def embedded(rows: DataFrame, column: str, models: ModelHub | None = None, query: bool = False) -> DataFrame:
