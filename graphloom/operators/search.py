@@ -85,7 +85,8 @@ def text_lengths(docs: DataFrame, fields: dict[str, float] = FIELDS) -> dict[str
 
 def store_index(store, docs: DataFrame, fields: dict[str, float] = FIELDS, buckets: int = 64) -> None:
     """Writes postings, dealt by a hash of their term, and the fields' lengths. A search reads only the buckets of its terms."""
-    posts = text_index(docs, fields).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    # Texts are dealt by id in place of their tokens, which are then counted where they are.
+    posts = text_index(docs.repartition(F.col("node_id")), fields).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     store.commit("postings", posts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term"), partition_by=["bucket"])
     rows = [(k, float(v or 0)) for k, v in text_lengths(docs, fields).items()]
     store.commit("lengths", docs.sparkSession.createDataFrame([(*r, buckets) for r in rows], "field string, mean double, buckets int"))
