@@ -282,7 +282,7 @@ def _replacing(docs):
 
 def _refreshed(docs):
     """New sentences for a third of the documents."""
-    return docs.where("node_id % 3 = 0").select("node_id", F.concat(F.lit("the und "), F.substring("relationship_natural_language", 12, 100)).alias("relationship_natural_language"))
+    return docs.where("node_id % 3 = 0").withColumn("relationship_natural_language", F.concat(F.lit("the und "), F.substring("relationship_natural_language", 12, 100)))
 
 
 @query(f"WITH q AS (SELECT * FROM {_WORDS}), {_CHANGED} {_FIRST}")
@@ -291,7 +291,7 @@ def text_index_changed(spark, d):
     docs = src.text_documents(spark, d)
     index = TextIndex(tables.Store(spark, shared_path(spark, "store")))
     index.upsert(docs)
-    index.update(_refreshed(docs).unionByName(spark.createDataFrame([(-1, "the")], "node_id long, relationship_natural_language string")))
+    index.update(_refreshed(docs).select("node_id", "relationship_natural_language").unionByName(spark.createDataFrame([(-1, "the")], "node_id long, relationship_natural_language string")))
     index.upsert(_replacing(docs))
     index.delete(docs.where("node_id % 7 = 2"))
     return index.search(_terms(spark), 50).select("qid", "id", "score")
@@ -303,7 +303,7 @@ def text_index_stream(spark, d):
     ensure_checkpoints(spark)
     docs, base = src.text_documents(spark, d), shared_path(spark, "changes")
     index = TextIndex(tables.Store(spark, f"{base}/store"))
-    refreshed = docs.drop("relationship_natural_language").join(_refreshed(docs), "node_id")
+    refreshed = _refreshed(docs)
     for n, some in enumerate([docs, refreshed, _replacing(docs).unionByName(docs.where("node_id % 7 = 2"))]):
         gone = (F.col("node_id") % 7 == 2) & F.lit(n == 2)
         some.withColumn("at", F.lit(n) + gone.cast("int")).withColumn("deleted", gone).select(*docs.columns, "at", "deleted").write.mode("append").parquet(f"{base}/in")

@@ -6,6 +6,9 @@ A search reads from each segment only the buckets of its terms and leaves out wh
 the newest back as soon as one isn't much larger than all newer ones together, so their number grows with the logarithm of the input and
 a document is rewritten as often at most; merging copies live postings and never cuts a text again.
 
+Postings are stored as a row for each document, field and bucket, with the terms and their counts as arrays. Tasks write to all folders
+what they read, so neither texts nor postings are shuffled; they read as few at once that a segment has a bounded number of files.
+
 One writer at a time; readers see whole segments. What a lost writer leaves is named in no manifest, and `vacuum` removes it.
 """
 
@@ -22,12 +25,13 @@ from .search import FIELDS, _length, best_each, bm25, tokens
 from .tables import Store, latest
 
 BUCKETS = 32  # folders of postings by term and of documents by id; more for larger input
-SPREAD = 16  # tasks that write the documents of a bucket
+WRITERS = 4  # tasks that write a segment: a fourth of the shuffle partitions, and at least all cores
+LOOKUP = 1_000_000  # ids that go to every task, in place of the texts or postings going to the ids
 MERGE_AT = 4.0  # a segment merges with the newer ones where it has at most so many times their rows
 MANIFEST = "seg long, path string, docs long, gone long, batch long, buckets int, schema string, totals array<struct<docs:long,tokens:long>>"
 
 
-def _bucket(column: str, buckets: int) -> Column:
+def _bucket(column: str | Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
@@ -42,6 +46,21 @@ def _runs(words: Column) -> Column:
     return _bound(F.when(F.size(words) > 0, words), of)
 
 
+def _by_bucket(runs: Column, buckets: int) -> Column:
+    """array<struct<bucket, terms, tfs>> of runs of terms: one for each bucket that they reach."""
+
+    def of(r: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(r)), lambda i: (i == 1) | (F.get(r, i - 1)["bucket"] != F.get(r, i - 2)["bucket"]))
+
+        def cut(s: Column) -> Column:
+            part = lambda x, k: F.slice(r, x, F.coalesce(F.get(s, k + 1), F.size(r) + 1) - x)
+            return F.transform(s, lambda x, k: F.struct(F.get(r, x - 1)["bucket"].alias("bucket"), part(x, k)["term"].alias("terms"), part(x, k)["tf"].alias("tfs")))
+
+        return _bound(starts, cut)
+
+    return _bound(F.sort_array(F.transform(runs, lambda r: F.struct(_bucket(r["term"], buckets).alias("bucket"), r["term"].alias("term"), r["tf"].alias("tf")))), of)
+
+
 def _bound(value: Column, use) -> Column:
     """use(value), with the value bound as a lambda's variable, so that it is taken once and not for each element; null stays null."""
     return F.get(F.transform(F.filter(F.array(value), lambda v: v.isNotNull()), use), F.lit(0))
@@ -87,15 +106,20 @@ class TextIndex:
         later = [s for s in held if s["gone"]]
         if not later:
             return rows
-        last = self._read(later, "gone", f"id {self._id_type(held)}").groupBy("id").agg(F.max("seg").alias("_last"))
+        last = self._looked_up(self._read(later, "gone", f"id {self._id_type(held)}").groupBy("id").agg(F.max("seg").alias("_last")), sum(s["gone"] for s in later))
         return rows.join(last, "id", "left").where("_last is null or seg >= _last").drop("_last")
 
+    def _looked_up(self, ids: DataFrame, n: int) -> DataFrame:
+        """ids, of which there are at most n, as the small side of a join where they are few enough."""
+        return F.broadcast(ids) if n <= LOOKUP else ids
+
     def _documents(self, held: list[dict], ids: DataFrame | None) -> DataFrame:
         """id, bucket, lens, doc, seg of live documents; with ids(id) only theirs, read from their buckets."""
         full, where = [s for s in held if s["docs"]] or held[:1], None
         if ids is not None:
             ids = ids.select("id", _bucket("id", self.buckets).alias("bucket")).distinct()
-            where = F.col("bucket").isin([r[0] for r in ids.select("bucket").distinct().collect()])  # at most as many numbers as buckets
+            count = ids.groupBy("bucket").count().collect()  # at most as many rows as buckets
+            where, ids = F.col("bucket").isin([r[0] for r in count]), self._looked_up(ids, sum(r[1] for r in count))
         rows = self._read(full, "docs", f"id {self._id_type(held)}, lens array<int>, doc {self._schema(held).simpleString()}, bucket int", where)
         return self._live(rows if ids is None else rows.join(ids, ["bucket", "id"], "left_semi"), held)
 
@@ -117,6 +141,7 @@ class TextIndex:
         keys = terms.select(F.lower("term").alias("term")).where("term is not null").distinct().withColumn("bucket", _bucket("term", self.buckets))
         where = F.col("bucket").isin([r[0] for r in keys.select("bucket").distinct().collect()])
         rows = self._read([s for s in held if s["docs"]] or held[:1], "postings", self._posting(held), where)
+        rows = rows.select("*", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("id", "seg", "field", "len", "bucket", "p.terms", F.col("p.tfs").cast("long").alias("tf")).withColumnRenamed("terms", "term")
         return self._live(rows.join(keys, ["bucket", "term"], "left_semi"), held).select("term", "field", "id", "tf", "len")
 
     def search(self, terms: DataFrame, k: int) -> DataFrame:
@@ -124,16 +149,25 @@ class TextIndex:
         return best_each(bm25(self.postings(terms), None, terms, self.fields, lengths=self.lengths()), k)
 
     def _posting(self, held: list[dict]) -> str:
-        return f"term string, field string, id {self._id_type(held)}, tf long, len int, bucket int"
+        return f"id {self._id_type(held)}, field string, len int, terms array<string>, tfs array<int>, bucket int"
 
     # --- changes ---
 
     def upsert(self, docs: DataFrame, batch: int | None = None) -> None:
         """Adds documents, or puts them in the place of those with the same id. Of rows of one id that with the greatest hash of its columns counts."""
         rows = docs.where(F.col(self.id).isNotNull())
-        # Texts are moved only where some id comes more than once; that reads the ids alone.
-        several = not rows.groupBy(self.id).count().where("count > 1").isEmpty()
-        self._write(latest(rows, [self.id], [F.xxhash64(*rows.columns)]) if several else rows, rows.select(F.col(self.id).alias("id")), batch)
+        self._write(self._last(rows, [F.xxhash64(*rows.columns)]), rows.select(F.col(self.id).alias("id")), batch)
+
+    def _last(self, rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+        """The last row of every id. Only texts whose id comes more than once are moved; which these are, the ids alone tell."""
+        several = rows.groupBy(self.id).count().where("count > 1").select(self.id)
+        n = several.count()
+        if not n:
+            return rows
+        if n > LOOKUP:
+            return latest(rows, [self.id], order)
+        several = F.broadcast(several)
+        return rows.join(several, self.id, "left_anti").unionByName(latest(rows.join(several, self.id, "left_semi"), [self.id], order))
 
     def update(self, changes: DataFrame, create: bool = False, batch: int | None = None) -> None:
         """Changes the fields that aren't null in changes; unknown ids are ignored, or with create made. Rows of one id as in `upsert`."""
@@ -153,7 +187,7 @@ class TextIndex:
 
     def apply(self, changes: DataFrame, order: Sequence[str], deleted: str = "deleted", batch: int | None = None) -> None:
         """Upserts and deletions in one segment: of an id's changes the last by the order counts; where deleted is true it goes."""
-        last = latest(changes.where(F.col(self.id).isNotNull()), [self.id], order)
+        last = self._last(changes.where(F.col(self.id).isNotNull()), order)
         gone = F.coalesce(deleted, F.lit(False))
         self._write(last.where(~gone).drop(deleted), last.select(F.col(self.id).alias("id")), batch)
 
@@ -195,23 +229,27 @@ class TextIndex:
     def _write_documents(self, path: str, docs: DataFrame) -> None:
         lens = F.array(*(_length(F.col(f)).cast("int") for f in self.fields))
         rows = docs.select(F.col(self.id).alias("id"), lens.alias("lens"), F.struct(*docs.columns).alias("doc")).withColumn("bucket", _bucket("id", self.buckets))
-        self._dealt(rows).write.partitionBy("bucket").parquet(f"{path}/docs")
+        self._few(rows).write.partitionBy("bucket").parquet(f"{path}/docs")
 
-    def _dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition("bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SPREAD)))
+    def _few(self, rows: DataFrame) -> DataFrame:
+        """rows in fewer partitions, without a shuffle, as each task writes a file to the folder of every bucket."""
+        spark = self.store.spark
+        return rows.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // WRITERS))
 
     def _cut(self, path: str, kind: str, schema: StructType) -> DataFrame:
         """Postings of a segment's documents. A document is there once, so its tokens are counted within its row: sorted, then by runs."""
-        docs, out = self.store.spark.read.schema(f"id {kind}, lens array<int>, doc {schema.simpleString()}").parquet(f"{path}/docs"), None
-        for i, field in enumerate(self.fields):
-            runs = _runs(F.sort_array(tokens(F.col(f"doc.{field}"))))
-            rows = docs.select("id", F.col("lens")[i].alias("len"), F.lit(field).alias("field"), F.explode(runs).alias("r")).select("r.term", "field", "id", F.col("r.tf").cast("long").alias("tf"), "len")
-            out = rows if out is None else out.unionByName(rows)
-        return out.withColumn("bucket", _bucket("term", self.buckets))
+        docs = self.store.spark.read.schema(f"id {kind}, lens array<int>, doc {schema.simpleString()}").parquet(f"{path}/docs")
+
+        def of(i: int, field: str) -> Column:
+            runs = _by_bucket(_runs(F.sort_array(tokens(F.col(f"doc.{field}")))), self.buckets)
+            return F.transform(runs, lambda r: F.struct(F.lit(field).alias("field"), F.col("lens")[i].alias("len"), r["terms"].alias("terms"), r["tfs"].alias("tfs"), r["bucket"].alias("bucket")))
+
+        all_fields = [of(i, field) for i, field in enumerate(self.fields)]
+        # All fields in one pass, so that the longest one's work is dealt as the documents are.
+        return docs.select("id", F.explode(F.flatten(F.filter(F.array(*all_fields), lambda x: x.isNotNull()))).alias("r")).select("id", "r.*")
 
     def _write_postings(self, path: str, posts: DataFrame) -> None:
-        """Dealt by bucket and a hash of the id, so that a common term goes to many tasks."""
-        self._dealt(posts).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self._few(posts).write.partitionBy("bucket").parquet(f"{path}/postings")
 
     def _commit(self, held: list[dict]) -> None:
         self.store.commit(self.table, self.store.spark.createDataFrame(held, MANIFEST).coalesce(1))
@@ -228,7 +266,7 @@ class TextIndex:
             return 0
         some, kept, kind = held[first:], held[:first], self._id_type(held)
         path = f"{self.store.path}/{self.store.slug}/{self.table}_segments/{uuid.uuid4().hex}"
-        self._dealt(self._documents(some, None).drop("seg")).write.partitionBy("bucket").parquet(f"{path}/docs")
+        self._few(self._documents(some, None).drop("seg")).write.partitionBy("bucket").parquet(f"{path}/docs")
         docs, _ = self._counted(f"{path}/docs", kind, 1)
         posts = self._read([s for s in some if s["docs"]], "postings", self._posting(held)) if any(s["docs"] for s in some) else None
         if posts is not None or not kept:
