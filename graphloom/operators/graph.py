@@ -76,15 +76,21 @@ def _valid(edges: DataFrame, as_of: str | None) -> DataFrame:
     return edges if as_of is None else edges.where((F.col("valid_to").isNull()) | (F.col("valid_to") > F.lit(as_of).cast("timestamp")))
 
 
+def different(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows without repeats. They are dealt by the keys to all shuffle partitions before equal ones are sought, so a task holds its share
+    of them, however many the task before it made and however many partitions would be joined to one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).distinct()
+
+
 def one_hop(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, least: float = 0.0, as_of: str | None = None) -> DataFrame:
     """Neighbours of seeds(id): seed, node_id, name, type, rel_type, confidence, direction; an incoming neighbour counts only where it isn't an outgoing one."""
     e = _valid(edges, as_of).withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).where(F.col("confidence") >= least)
-    s = seeds.select(F.col("id").alias("seed")).distinct()
-    # The seeds go first: only their edges are made different.
-    out = e.join(s, e["src"] == s["seed"]).select("seed", F.col("dst").alias("node_id"), "rel_type", "confidence", F.lit("outgoing").alias("direction")).distinct()
-    incoming = e.join(s, e["dst"] == s["seed"]).select("seed", F.col("src").alias("node_id"), "rel_type", "confidence", F.lit("incoming").alias("direction")).distinct()
-    new = incoming.join(out.select("seed", "node_id").distinct(), ["seed", "node_id"], "left_anti")
-    found = out.unionByName(new)
+    s = seeds.select(F.col("id").alias("seed")).where("seed is not null").distinct()
+    way = lambda seed, other, name: F.struct(F.col(seed).alias("seed"), F.col(other).alias("node_id"), F.lit(name).alias("direction"))
+    # Edges are read once for both directions, and dealt once, by neighbours; the seeds go first: only their edges are made different.
+    ends = e.select(F.explode(F.array(way("src", "dst", "outgoing"), way("dst", "src", "incoming"))).alias("w"), "rel_type", "confidence").select("w.*", "rel_type", "confidence")
+    met = different(ends.join(s, "seed", "left_semi"), "seed", "node_id")
+    found = met.withColumn("_last", F.max("direction").over(Window.partitionBy("seed", "node_id"))).where("direction = _last").drop("_last")
     return found.join(nodes.where(F.col("id").isNotNull()).select(F.col("id").alias("node_id"), "name", "type"), "node_id").select("seed", "node_id", "name", "type", "rel_type", "confidence", "direction")
 
 
@@ -93,7 +99,7 @@ def _both_ways(edges: DataFrame, least: float | None, missing: float) -> DataFra
     e = edges.select("src", "dst", "rel_type", F.coalesce("confidence", F.lit(missing)).alias("confidence"))
     if least is not None:
         e = e.where(F.col("confidence") >= least)
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type", "confidence")).where("src <> dst").distinct()
+    return different(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type", "confidence")).where("src <> dst"), "src", "dst")
 
 
 def _standing(seeds: DataFrame) -> DataFrame:
@@ -248,11 +254,11 @@ def without_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def undirected_pairs(edges: DataFrame) -> DataFrame:
-    return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return different(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")), "a", "b")
 
 
 def layout_edges(edges: DataFrame, member: DataFrame, limit: int | None = 5000) -> DataFrame:
-    out = edges.select("src", "dst").union(member.select("node_id", "community_id")).distinct()
+    out = different(edges.select("src", "dst").union(member.select("node_id", "community_id")), "src", "dst")
     return out if limit is None else out.orderBy("src", "dst").limit(limit)
 
 
