@@ -14,24 +14,27 @@ from ..functions import text as T
 from ..models import ModelHub, Offline
 from ..operators import fold, graph, tables
 
+NOTES = 50  # notes whose extractions a worker holds at a time; a frame of Spark's has up to 10,000
+
+
+def read_notes(frames: Iterator[pd.DataFrame], models: ModelHub, attempts: int = 3) -> Iterator[pd.DataFrame]:
+    """What `extract` gives for frames of notes, in frames of at most NOTES notes."""
+    for f in (whole.iloc[a : a + NOTES] for whole in frames for a in range(0, len(whole), NOTES)):
+        rows = []
+        for content in f["content"]:
+            for _ in range(attempts):
+                got = X.coerce(models.extract(content or ""))
+                if got["nodes"] or not content:
+                    break
+            rows.append(got)
+        yield f.assign(nodes=[r["nodes"] for r in rows], relationships=[r["relationships"] for r in rows], title=[r["title"] for r in rows], failed=[bool(c) and not r["nodes"] for r, c in zip(rows, f["content"], strict=True)])
+
 
 def extract(notes: DataFrame, models: ModelHub | None = None, attempts: int = 3) -> DataFrame:
     """id, content, ts, nodes, relationships, title of notes(id, content, ts); a note whose answer can't be read after some attempts has empty lists and failed."""
     models = models or Offline()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for content in f["content"]:
-                for _ in range(attempts):
-                    got = X.coerce(models.extract(content or ""))
-                    if got["nodes"] or not content:
-                        break
-                rows.append(got)
-            yield f.assign(nodes=[r["nodes"] for r in rows], relationships=[r["relationships"] for r in rows], title=[r["title"] for r in rows], failed=[bool(c) and not r["nodes"] for r, c in zip(rows, f["content"], strict=True)])
-
     fields = X.SCHEMA.replace("sentiment string, ", "")
-    return notes.select("id", "content", "ts").mapInPandas(run, f"id string, content string, ts timestamp, {fields}, failed boolean")
+    return notes.select("id", "content", "ts").mapInPandas(lambda frames: read_notes(frames, models, attempts), f"id string, content string, ts timestamp, {fields}, failed boolean")
 
 
 def entity_rows(extracted: DataFrame) -> DataFrame:
