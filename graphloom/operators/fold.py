@@ -70,8 +70,15 @@ def fold(assertions: Iterable[dict], edges: dict | None = None) -> tuple[dict, l
     return edges, [apply(edges, a) for a in assertions]
 
 
+ALWAYS = ("_a", "_b", "_new", "src", "dst", "rel_type", "ts", "confidence")  # what every row has, null or not
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    yield from batch.to_pylist()
+    """Rows without the columns that hold nothing in this batch, as most of an edge's do for assertions. Columns become lists as wholes."""
+    held = [(name, c) for name, c in zip(batch.schema.names, batch.columns, strict=True) if name in ALWAYS or c.null_count < len(c)]
+    names = [name for name, _ in held]
+    for values in zip(*(c.to_pylist() for _, c in held), strict=True):
+        yield dict(zip(names, values, strict=True))
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
@@ -95,7 +102,7 @@ def _folded(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[dict]:
                 if out == "actions":
                     yield done
             else:
-                edges[row["src"], row["dst"], row["rel_type"]] = {c: row[c] for c in COLUMNS}
+                edges[row["src"], row["dst"], row["rel_type"]] = {c: row.get(c) for c in COLUMNS}
     if out == "edges":
         yield from edges.values()
 
