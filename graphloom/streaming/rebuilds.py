@@ -2,7 +2,8 @@
 
 The trigger is one stateful stream, keyed by knowledge base. Its state holds how many notes are being ingested and the nodes that they
 changed; a timer of processing time is set when the last one ends and unset by the next that begins, and when it fires the nodes go out
-once and the state is emptied. The nodes are a map state, so a batch touches only those that it brings. `lanes` deals the nodes of one
+once and the state is emptied. The nodes are a list state of many nodes an entry, to which a batch adds its own with a few calls; nodes
+that came in several batches are taken out when the list may hold each twice, and when the timer fires. `lanes` deals the nodes of one
 base to several keys where one task can't hold them; begins and ends of a note then go to every lane.
 """
 
@@ -19,6 +20,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.tables import Store
 
 IDLE_MS = 120_000
+ENTRY = 1000  # nodes of an entry of the list
+ROOM = 100_000  # nodes that are added before a short list is looked through for repeated ones
+FRAME = 10_000  # nodes that go out at once
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,17 +36,37 @@ class IdleTrigger(StatefulProcessor):
         self.handle = handle
         self.active = handle.getValueState("active", "n long")
         self.epoch = handle.getValueState("epoch", "n long")
-        self.pending = handle.getMapState("pending", "node_id string", "seen long")
+        self.pending = handle.getListState("pending", "nodes array<string>")
+        self.held = handle.getValueState("held", "n long, distinct long")
 
     def _number(self, state) -> int:
         return int(state.get()[0]) if state.exists() else 0
 
+    def _entries(self, nodes: list[str]) -> list[tuple]:
+        return [(nodes[a : a + ENTRY],) for a in range(0, len(nodes), ENTRY)]
+
+    def _nodes(self) -> list[str]:
+        """Each held node once."""
+        return list(dict.fromkeys(n for entry in self.pending.get() for n in entry[0])) if self.pending.exists() else []
+
+    def _add(self, nodes: list[str]) -> None:
+        n, distinct = self.held.get() if self.held.exists() else (0, 0)
+        self.pending.appendList(self._entries(nodes))
+        n += len(nodes)
+        if n > 2 * distinct + ROOM:
+            nodes = self._nodes()
+            self.pending.put(self._entries(nodes))
+            n = distinct = len(nodes)
+        self.held.update((n, distinct))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         active = self._number(self.active)
+        new: dict[str, None] = {}
         for f in rows:
             active += int((f["kind"] == "begin").sum()) - int((f["kind"] == "end").sum())
-            for node in f.loc[f["kind"] == "node", "node_id"].dropna().unique().tolist():
-                self.pending.updateValue((node,), (1,))
+            new.update(dict.fromkeys(f.loc[f["kind"] == "node", "node_id"].dropna().unique().tolist()))
+        if new:
+            self._add(list(new))
         active = max(0, active)  # an end without a begin counts for nothing
         self.active.update((active,))
         for timer in list(self.handle.listTimers()):  # each batch of events puts the rebuild off
@@ -53,11 +77,12 @@ class IdleTrigger(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         epoch = self._number(self.epoch) + 1
-        nodes = [k[0] for k in self.pending.keys()]
+        nodes = self._nodes()
         self.pending.clear()
+        self.held.clear()
         self.epoch.update((epoch,))
-        if nodes:
-            yield pd.DataFrame({"kb": key[0], "epoch": epoch, "node_id": nodes})
+        for a in range(0, len(nodes), FRAME):
+            yield pd.DataFrame({"kb": key[0], "epoch": epoch, "node_id": nodes[a : a + FRAME]})
 
     def close(self) -> None:
         pass
