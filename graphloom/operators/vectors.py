@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from . import cells as C
 from .tables import Store
 
-#: Queries that meet a block at once.
-BATCH = 256
+#: Queries and bytes of vectors that meet in one task.
+BATCH, GROUP = 4096, 8 << 20
 _SLACK = 1e-5  # scores are rounded to six places
 
 
@@ -77,38 +77,55 @@ class VectorIndex:
         return queries.select("qid", "q", "bar").mapInPandas(run, f"cell int, qid {qid}, q binary, bar double")
 
     def _products(self, pairs: DataFrame, k: int) -> DataFrame:
-        """qid, vec_id, score of the k best hits of every pair(cell, qid, q, bar), a written table, of a query and a block of its cell."""
-        spark, qid = pairs.sparkSession, pairs.schema["qid"].dataType.simpleString()
-        asked = pairs.groupBy("cell").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("_b")).collect()  # at most cells.MOST rows and a few
-        batches = spark.createDataFrame([tuple(r) for r in asked], "cell int, _b int")
-        lists = pairs.join(F.broadcast(batches), "cell").groupBy("cell", F.pmod(F.xxhash64("qid"), F.col("_b")).alias("_batch")).agg(F.collect_list(F.struct("qid", "q", "bar")).alias("qs"))
-        # Folders of other cells aren't opened.
-        blocks = self.store.read(f"{self.name}_blocks", C.block_schema(self.kind)).where(F.col("cell").isin(*(r["cell"] for r in asked))).select("cell", "dims", "ids", "vectors", "center", "radius")
+        """qid, vec_id, score of the k best hits of every query and group of cells, of pairs(cell, qid, q, bar), a written table.
 
-        def run(frames):
-            for f in C.in_batches(frames):
-                out = []
-                for dims, ids, vectors, center, radius, qs in zip(f["dims"], f["ids"], f["vectors"], f["center"], f["radius"], f["qs"], strict=True):
-                    qs = [x for x in qs if len(x["q"]) == 8 * dims]
-                    if not qs:
-                        continue
-                    q = np.stack([np.frombuffer(x["q"]) for x in qs])
-                    bar = np.array([x["bar"] for x in qs])
-                    away = np.sqrt(((q - np.asarray(center)) ** 2).sum(1))
-                    can = np.flatnonzero(1 - np.maximum(0, away - radius) ** 2 / 2 >= bar - _SLACK)
-                    if not len(can):
-                        continue
-                    score = np.round(q[can] @ np.frombuffer(vectors).reshape(len(ids), dims).T, 6) + 0.0
-                    for row, c in enumerate(can.tolist()):
-                        s = score[row]
-                        good = np.flatnonzero(s >= bar[c])
-                        if len(good) > k:  # ids ascend, so a stable sort leaves ties to the smaller
-                            good = good[np.argsort(-s[good], kind="stable")[:k]]
-                        out += [(qs[c]["qid"], ids[g], float(s[g])) for g in good.tolist()]
-                yield pd.DataFrame(out, columns=["qid", "vec_id", "score"])
-
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return blocks.join(lists, "cell").drop("_batch").repartition(n).mapInPandas(run, f"qid {qid}, vec_id {self.kind}, score double")
+        Cells go together in groups of about GROUP bytes, large ones in parts; a query is copied to a group once, whatever number of its cells it reaches."""
+        spark, qid = pairs.sparkSession, pairs.schema["qid"].dataType.simpleString()
+        size: dict[int, int] = {}
+        for dims, (cell, n, *_) in self.cells.items():
+            for c, m in zip(cell.tolist(), n.tolist(), strict=True):
+                size[c] = size.get(c, 0) + 8 * dims * m
+        of, grp, held = [], 0, 0
+        for c in sorted(size):  # at most cells.MOST and one for each further dimension
+            if held and held + size[c] > GROUP:
+                grp, held = grp + 1, 0
+            of.append((c, grp, max(1, -(-size[c] // GROUP))))
+            held += size[c]
+        groups = lambda: F.broadcast(spark.createDataFrame(of, "cell int, grp int, parts int"))  # noqa: E731 - a frame for each side of the cogroup
+        asked = pairs.join(groups(), "cell").groupBy("grp", "qid", "q", "bar").agg(F.collect_list("cell").alias("cells"), F.max("parts").alias("parts"))
+        counts = pairs.join(groups(), "cell").groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("qid") / BATCH).cast("int")).alias("batches")).collect()  # a row for each group
+        batches = lambda: F.broadcast(spark.createDataFrame([tuple(r) for r in counts], "grp int, batches int"))
+        asked = asked.join(batches(), "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("grp", "part", F.pmod(F.xxhash64("qid"), F.col("batches")).cast("int").alias("batch"), "qid", "q", "bar", "cells")
+        blocks = self.store.read(f"{self.name}_blocks", C.block_schema(self.kind)).join(groups(), "cell").join(batches(), "grp")
+        blocks = blocks.select("grp", F.pmod("sub", "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "cell", "dims", "ids", "vectors", "center", "radius")
+
+        def run(asked: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+            by_cell: dict[tuple, list[int]] = {}
+            for i, (q, own) in enumerate(zip(asked["q"], asked["cells"], strict=True)):
+                for c in own:  # a query that came twice reaches its cells twice
+                    by_cell.setdefault((c, len(q) // 8), []).append(i)
+            bars, out = asked["bar"].to_numpy(dtype=float), []
+            for cell, dims, ids, vectors, center, radius in zip(*(blocks[c] for c in ("cell", "dims", "ids", "vectors", "center", "radius")), strict=True):
+                mine = np.array(by_cell.get((cell, dims), ()), dtype=int)
+                if not len(mine):
+                    continue
+                q, bar = np.stack([np.frombuffer(x) for x in asked["q"].iloc[mine]]), bars[mine]
+                away = np.sqrt(((q - np.asarray(center)) ** 2).sum(1))
+                can = np.flatnonzero(1 - np.maximum(0, away - radius) ** 2 / 2 >= bar - _SLACK)
+                if not len(can):
+                    continue
+                score = np.round(q[can] @ np.frombuffer(vectors).reshape(len(ids), dims).T, 6) + 0.0
+                for row, c in enumerate(can.tolist()):
+                    good = np.flatnonzero(score[row] >= bar[c])
+                    if len(good) > k:  # ids ascend, so a stable sort leaves ties to the smaller
+                        good = good[np.argsort(-score[row][good], kind="stable")[:k]]
+                    out += [(int(mine[c]), ids[g], float(score[row][g])) for g in good.tolist()]
+            hits = pd.DataFrame(out, columns=["i", "vec_id", "score"]).sort_values(["i", "score", "vec_id"], ascending=[True, False, True])
+            hits = hits.groupby("i").head(k)
+            return pd.DataFrame({"qid": asked["qid"].iloc[hits["i"].astype(int)].to_numpy(), "vec_id": hits["vec_id"].to_numpy(), "score": hits["score"].to_numpy(dtype=float)})
+
+        keys = ["grp", "part", "batch"]
+        return asked.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(run, f"qid {qid}, vec_id {self.kind}, score double")
 
     def search(self, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
         """qid, vec_id, score, rank: the k best by cosine, of at least `least`, for every query(qid, embedding)."""
