@@ -566,7 +566,7 @@ l AS (SELECT z.qid, z.id, r, n.name AS own, n.type AS kind, CASE WHEN direction
 SELECT qid, id, own AS name, own || ' is a ' || kind || '.' || chr(10) || string_agg(CASE WHEN direction = 'incoming' THEN other || ' ' || nl || ' ' || own || '.' ELSE own || ' ' || nl || ' ' || other || '.' END || chr(10) || other || ' is a ' || other_kind || '.', chr(10) ORDER BY r) AS block FROM l GROUP BY qid, id, own, kind""")
 def graph_expansion(spark, d):
     found = src.read(spark, d, "supplier").select(F.concat(F.lit("q"), (F.col("s_suppkey") % 3).cast("string")).alias("qid"), src.key("s", "s_suppkey").alias("id"))
-    rel = src.relations(spark, d)
+    rel = src.relations(spark, d, counted=False)
     said = rel.where("rel_type = 'supplies'").select("src", "dst", F.lit("r1").alias("relationship_id"), F.lit("delivers").alias("natural_language"))
     return retrieval.expand(found, rel, src.nodes(spark, d), said)
 

@@ -76,20 +76,29 @@ def _valid(edges: DataFrame, as_of: str | None) -> DataFrame:
     return edges if as_of is None else edges.where((F.col("valid_to").isNull()) | (F.col("valid_to") > F.lit(as_of).cast("timestamp")))
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by the keys to all shuffle partitions, which are not joined to fewer."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def different(rows: DataFrame, *keys: str) -> DataFrame:
     """rows without repeats. They are dealt by the keys to all shuffle partitions before equal ones are sought, so a task holds its share
     of them, however many the task before it made and however many partitions would be joined to one."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).distinct()
+    return dealt(rows, *keys).distinct()
+
+
+def ends(edges: DataFrame, least: float = 0.0, as_of: str | None = None) -> DataFrame:
+    """Edges as each of their ends has them: seed, node_id, direction, rel_type, confidence (1.0 where missing). They are read once for both directions."""
+    e = _valid(edges, as_of).withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).where(F.col("confidence") >= least)
+    way = lambda seed, other, name: F.struct(F.col(seed).alias("seed"), F.col(other).alias("node_id"), F.lit(name).alias("direction"))
+    return e.select(F.explode(F.array(way("src", "dst", "outgoing"), way("dst", "src", "incoming"))).alias("w"), "rel_type", "confidence").select("w.*", "rel_type", "confidence")
 
 
 def one_hop(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, least: float = 0.0, as_of: str | None = None) -> DataFrame:
     """Neighbours of seeds(id): seed, node_id, name, type, rel_type, confidence, direction; an incoming neighbour counts only where it isn't an outgoing one."""
-    e = _valid(edges, as_of).withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).where(F.col("confidence") >= least)
     s = seeds.select(F.col("id").alias("seed")).where("seed is not null").distinct()
-    way = lambda seed, other, name: F.struct(F.col(seed).alias("seed"), F.col(other).alias("node_id"), F.lit(name).alias("direction"))
-    # Edges are read once for both directions, and dealt once, by neighbours; the seeds go first: only their edges are made different.
-    ends = e.select(F.explode(F.array(way("src", "dst", "outgoing"), way("dst", "src", "incoming"))).alias("w"), "rel_type", "confidence").select("w.*", "rel_type", "confidence")
-    met = different(ends.join(s, "seed", "left_semi"), "seed", "node_id")
+    # Edges are dealt once, by neighbours; the seeds go first: only their edges are made different.
+    met = different(ends(edges, least, as_of).join(s, "seed", "left_semi"), "seed", "node_id")
     found = met.withColumn("_last", F.max("direction").over(Window.partitionBy("seed", "node_id"))).where("direction = _last").drop("_last")
     return found.join(nodes.where(F.col("id").isNotNull()).select(F.col("id").alias("node_id"), "name", "type"), "node_id").select("seed", "node_id", "name", "type", "rel_type", "confidence", "direction")
 

@@ -75,19 +75,39 @@ def embedded(rows: DataFrame, column: str, models: ModelHub | None = None, query
     return rows.withColumn("embedding", embed(column)).drop(column)
 
 
+def best_neighbours(found: DataFrame, edges: DataFrame, nodes: DataFrame, per_node: int = EXPANDED) -> DataFrame:
+    """qid, id, node_id, name, type, rel_type, incoming, place: the best neighbours of found nodes (qid, id) that weren't found themselves, each once
+    a question, with its best edge. Repeated edges count once; an incoming one counts only where none goes out to that neighbour.
+
+    Edges meet by question and neighbour in one shuffle and one sort, and leave it as one row, before names, found nodes and places are looked at.
+    """
+    asked = found.select("qid", "id").where("id is not null").distinct()
+    near = G.ends(edges.where("src is not null and dst is not null")).join(asked.withColumnRenamed("id", "seed"), "seed").withColumnRenamed("seed", "id")
+    near = G.dealt(near.select("qid", "node_id", "id", (F.col("direction") == "incoming").alias("incoming"), "rel_type", "confidence"), "qid", "node_id")
+    # In this order the first edge of a pair is its best outgoing one, or its best incoming one where none goes out.
+    pair = Window.partitionBy("node_id", "qid").orderBy("id", "incoming", F.desc("confidence"), "rel_type")
+    first = near.withColumn("_before", F.lag("id").over(pair)).where("_before is null or _before <> id")
+    less = F.when(~F.isnan("confidence"), -F.col("confidence")).alias("less")  # smallest where confidence is greatest; null, before all, where it is no number
+    one = first.groupBy("node_id", "qid").agg(F.min(F.struct(less, "id", "rel_type", "incoming")).alias("w"))
+    one = one.select("qid", "node_id", "w.id", "w.rel_type", "w.incoming", F.coalesce(-F.col("w.less"), F.lit(float("nan"))).alias("confidence"))
+    rows = one.join(asked.withColumnRenamed("id", "node_id"), ["qid", "node_id"], "left_anti").join(nodes.select(F.col("id").alias("node_id"), "name", "type"), "node_id")
+    once = Window.partitionBy("node_id", "qid").orderBy("name", "type")  # a node may be listed twice
+    best = Window.partitionBy("id", "qid").orderBy(F.desc("confidence"), "name", "node_id")
+    rows = rows.withColumn("_o", F.row_number().over(once)).where("_o = 1").withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_node)
+    return rows.select("qid", "id", "node_id", "name", "type", "rel_type", "incoming", "place")
+
+
 def expand(found: DataFrame, edges: DataFrame, nodes: DataFrame, sentences: DataFrame, per_node: int = EXPANDED) -> DataFrame:
-    """qid, id, name, block: found nodes (qid, id) with the sentences of their best neighbours that weren't found themselves; each neighbour once a question."""
-    hops = G.one_hop(found.select("id").distinct(), edges, nodes)
-    rows = found.select("qid", "id").join(hops.withColumnRenamed("seed", "id"), "id").join(found.select("qid", F.col("id").alias("node_id")), ["qid", "node_id"], "left_anti")
-    once = Window.partitionBy("qid", "node_id").orderBy(F.desc("confidence"), "id", "rel_type")
-    rows = rows.withColumn("_o", F.row_number().over(once)).where("_o = 1")
-    best = Window.partitionBy("qid", "id").orderBy(F.desc("confidence"), "name", "node_id")
-    rows = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= per_node)
-    incoming = F.col("direction") == "incoming"
-    rows = rows.withColumn("src", F.when(incoming, F.col("node_id")).otherwise(F.col("id"))).withColumn("dst", F.when(incoming, F.col("id")).otherwise(F.col("node_id")))
-    said = sentences.groupBy("src", "dst").agg(F.max_by("natural_language", "relationship_id").alias("nl"))
+    """qid, id, name, block: found nodes (qid, id) with the sentences of their best neighbours that weren't found themselves; each neighbour once a question.
+
+    The neighbours, at most per_node rows a found node, are written (`checkpoint`), as sentences are narrowed to theirs before they are grouped.
+    """
+    incoming = F.col("incoming")
+    rows = best_neighbours(found, edges, nodes, per_node).withColumn("src", F.when(incoming, F.col("node_id")).otherwise(F.col("id"))).withColumn("dst", F.when(incoming, F.col("id")).otherwise(F.col("node_id"))).checkpoint()
+    told = sentences.join(rows.select("src", "dst").distinct().hint("shuffle_hash"), ["src", "dst"], "left_semi")
+    said = told.groupBy("src", "dst").agg(F.max_by("natural_language", "relationship_id").alias("nl"))
     rows = rows.join(said, ["src", "dst"], "left").withColumn("nl", F.coalesce("nl", T.spoken(F.col("rel_type"))))
-    rel = F.struct(F.col("_r").alias("r"), "nl", "name", "type", F.lit("").alias("context"), incoming.alias("incoming"))
+    rel = F.struct(F.col("place").alias("r"), "nl", "name", "type", F.lit("").alias("context"), "incoming")
     lists = rows.groupBy("qid", "id").agg(F.array_sort(F.collect_list(rel)).alias("rels"))
     named = lists.join(nodes.select("id", "name", "type"), "id")
     return named.select("qid", "id", "name", T.node_block(F.col("name"), F.col("type"), F.lit(None).cast("string"), F.col("rels"), brief=True).alias("block"))

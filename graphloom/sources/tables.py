@@ -23,17 +23,18 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _pairs(spark: SparkSession, sf_dir: str, a: str, b: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem")
-    return line.groupBy(a, b).agg(F.count("*").alias("mention_count"))
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("mention_count"))
 
 
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, rel_type, confidence, mention_count."""
+def relations(spark: SparkSession, sf_dir: str, counted: bool = True) -> DataFrame:
+    """src, dst, rel_type, confidence, mention_count. Not counted: an edge comes as often as the tables mention it, each time as one mention, for
+    readers to whom repeats don't matter; then nothing is grouped."""
+    each = _counted if counted else lambda rows, *keys: rows.select(*keys, F.lit(1).cast("long").alias("mention_count"))
     fixed = lambda t, a, ka, b, kb: read(spark, sf_dir, t).select(key(a, ka).alias("src"), key(b, kb).alias("dst"), F.lit("located_in").alias("rel_type"), F.lit(9.0).alias("confidence"), F.lit(1).cast("long").alias("mention_count"))
     score = lambda x, y: 1 + F.pmod(F.col(x) + F.col(y), F.lit(10)) * F.lit(0.9)
-    supplies = _pairs(spark, sf_dir, "l_suppkey", "l_partkey").select(key("s", "l_suppkey").alias("src"), key("p", "l_partkey").alias("dst"), F.lit("supplies").alias("rel_type"), score("l_suppkey", "l_partkey").alias("confidence"), "mention_count")
-    bought = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("mention_count"))
+    supplies = each(read(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey").select(key("s", "l_suppkey").alias("src"), key("p", "l_partkey").alias("dst"), F.lit("supplies").alias("rel_type"), score("l_suppkey", "l_partkey").alias("confidence"), "mention_count")
+    bought = each(read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey", "l_suppkey")
     buys = bought.select(key("c", "o_custkey").alias("src"), key("s", "l_suppkey").alias("dst"), F.lit("buys_from").alias("rel_type"), score("o_custkey", "l_suppkey").alias("confidence"), "mention_count")
     return fixed("nation", "n", "n_nationkey", "r", "n_regionkey").unionByName(fixed("supplier", "s", "s_suppkey", "n", "s_nationkey")).unionByName(fixed("customer", "c", "c_custkey", "n", "c_nationkey")).unionByName(supplies).unionByName(buys)
 
