@@ -42,11 +42,13 @@ def _bucket(column: str) -> Column:
 def build(store: Store, nodes: DataFrame) -> NameIndex:
     """Writes the index of nodes(id, kind, name, type): entities and notes with an id and a name; repeated nodes count once.
 
-    Three tables, each dealt by a hash: names (key, id, name, type), postings (piece, key) and pieces (piece, names).
+    Three tables, each dealt by a hash: names (key, id, name, type), postings (piece, key) and pieces (piece, names); a fourth without rows
+    keeps the columns of names, which folders by bucket don't show where there are no names.
     """
-    named = G.by_kind(nodes, "indexable", "note").select(F.lower("name").alias("key"), "id", "name", "type").distinct()
-    store.commit("names", named.withColumn("bucket", _bucket("key")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))), partition_by=["bucket"])
-    keys = store.read("names", _schema(named)).select("key").distinct()
+    named = G.by_kind(nodes, "indexable", "note").select(F.lower("name").alias("key"), "id", "name", "type").distinct().withColumn("bucket", _bucket("key"))
+    store.commit("name_columns", named.limit(0))
+    store.commit("names", named.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))), partition_by=["bucket"])
+    keys = _names(store).select("key").distinct()
     posts = keys.select("key", F.explode(pieces(F.col("key"))).alias("piece")).withColumn("bucket", _bucket("piece"))
     # A piece of many names goes to several files, so that no task writes it alone.
     store.commit("name_postings", posts.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("bucket", "piece"), partition_by=["bucket"])
@@ -55,8 +57,9 @@ def build(store: Store, nodes: DataFrame) -> NameIndex:
     return NameIndex(store)
 
 
-def _schema(named: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema) + ", bucket int"
+def _names(store: Store) -> DataFrame:
+    """The stored names. An index that was built before their columns were kept has names to show them."""
+    return store.read("names", store.read("name_columns").schema if store.exists("name_columns") else None)
 
 
 class NameIndex:
@@ -104,5 +107,5 @@ class NameIndex:
         return G.paths_between(ids, edges, hops, least, limit)
 
     def _nodes(self, hits: DataFrame) -> DataFrame:
-        n = self.store.read("names").select("key", "id", "name", "type")
+        n = _names(self.store).select("key", "id", "name", "type")
         return G.hub_join(hits, n, "key")

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -153,7 +154,7 @@ class Store:
     def version(self, table: str) -> int:
         return max((n for n, _ in self.versions(table)), default=-1)
 
-    def read(self, table: str, schema: str | None = None) -> DataFrame:
+    def read(self, table: str, schema: str | StructType | None = None) -> DataFrame:
         """The last version. A table written in folders by value needs its schema where it may have no rows."""
         n, tag = self.versions(table)[-1]
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
