@@ -266,7 +266,8 @@ def undirected_pairs(edges: DataFrame) -> DataFrame:
     return different(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")), "a", "b")
 
 
-def layout_edges(edges: DataFrame, member: DataFrame, limit: int | None = 5000) -> DataFrame:
+def layout_edges(edges: DataFrame, member: DataFrame, limit: int | None = None) -> DataFrame:
+    """src, dst: each edge once, and each member with its community; all of them, unless a limit is given."""
     out = different(edges.select("src", "dst").union(member.select("node_id", "community_id")), "src", "dst")
     return out if limit is None else out.orderBy("src", "dst").limit(limit)
 
