@@ -16,7 +16,10 @@ from .tables import Store
 
 #: Queries and bytes of vectors that meet in one task.
 BATCH, GROUP = 4096, 8 << 20
+#: Queries that are multiplied at once, and rows that a task makes before it hands them on.
+ROWS, PAIRS = 256, 4096
 _SLACK = 1e-5  # scores are rounded to six places
+_ROUNDED = 1e-6  # rounding makes no more of a score
 
 
 def _usable(rows: DataFrame, column: str) -> DataFrame:
@@ -52,51 +55,65 @@ class VectorIndex:
         heads = store.read(f"{name}_cells").toPandas()
         self.cells = {int(d): (g["cell"].to_numpy(), g["n"].to_numpy(), C.matrix(g["center"]), g["radius"].to_numpy()) for d, g in heads.groupby("dims")}
 
+    def _groups(self) -> list[tuple[int, int, int]]:
+        """cell, grp, parts: cells that go together, about GROUP bytes of them, and into how many parts a large one goes."""
+        size: dict[int, int] = {}
+        for dims, (cell, n, *_) in self.cells.items():
+            for c, m in zip(cell.tolist(), n.tolist(), strict=True):
+                size[c] = size.get(c, 0) + 8 * dims * m
+        of, grp, held = [], 0, 0
+        for c in sorted(size):  # at most cells.MOST and one for each further dimension
+            if held and held + size[c] > GROUP:
+                grp, held = grp + 1, 0
+            of.append((c, grp, max(1, -(-size[c] // GROUP))))
+            held += size[c]
+        return of
+
     def reached(self, queries: DataFrame, k: int, first: bool) -> DataFrame:
-        """cell, qid, q, bar for queries(qid, q, bar) and the cells that they have to read: at first the nearest ones that hold k vectors,
-        after that all others in which a vector can reach the bar."""
-        shared = queries.sparkSession.sparkContext.broadcast(self.cells)
+        """grp, qid, q, bar, cells for queries(qid, q, bar) and the cells that they have to read, a row for each group of cells: at first the
+        nearest ones that hold k vectors, after that all others in which a vector can reach the bar."""
+        shared = queries.sparkSession.sparkContext.broadcast((self.cells, {c: g for c, g, _ in self._groups()}))
         qid = queries.schema["qid"].dataType.simpleString()
 
         def run(frames):
+            cells, group = shared.value
             for f in C.in_batches(frames):
                 out = []
                 for i, q, bar in zip(f["qid"], f["q"], f["bar"], strict=True):
-                    if len(q) not in shared.value:
+                    if len(q) not in cells:
                         continue
-                    cell, n, center, radius = shared.value[len(q)]
+                    cell, n, center, radius = cells[len(q)]
                     away = np.sqrt(np.maximum(0, ((center - np.asarray(q)) ** 2).sum(1)))
                     best = 1 - np.maximum(0, away - radius) ** 2 / 2
                     order = np.argsort(away, kind="stable")
                     near = order[: int(np.searchsorted(np.cumsum(n[order]), k)) + 1]
                     mine = near if first else np.setdiff1d(np.flatnonzero(best >= bar - _SLACK), near)
-                    mine = mine[best[mine] >= bar - _SLACK]
-                    out += [(int(cell[c]), i, np.asarray(q).tobytes(), bar) for c in mine]
-                yield pd.DataFrame(out, columns=["cell", "qid", "q", "bar"])
+                    own: dict[int, list[int]] = {}
+                    for c in cell[mine[best[mine] >= bar - _SLACK]].tolist():
+                        own.setdefault(group[c], []).append(c)
+                    out += [(g, i, np.asarray(q).tobytes(), bar, x) for g, x in own.items()]
+                    if len(out) >= PAIRS:
+                        yield pd.DataFrame(out, columns=["grp", "qid", "q", "bar", "cells"])
+                        out = []
+                yield pd.DataFrame(out, columns=["grp", "qid", "q", "bar", "cells"])
 
-        return queries.select("qid", "q", "bar").mapInPandas(run, f"cell int, qid {qid}, q binary, bar double")
+        return queries.select("qid", "q", "bar").mapInPandas(run, f"grp int, qid {qid}, q binary, bar double, cells array<int>")
 
     def _products(self, pairs: DataFrame, k: int) -> DataFrame:
-        """qid, vec_id, score of the k best hits of every query and group of cells, of pairs(cell, qid, q, bar), a written table.
+        """qid, vec_id, score of the k best hits of every query and group of cells, of pairs(grp, qid, q, bar, cells), a written table; or of
+        pairs(cell, qid, q, bar).
 
         Cells go together in groups of about GROUP bytes, large ones in parts; a query is copied to a group once, whatever number of its cells it reaches."""
-        spark, qid = pairs.sparkSession, pairs.schema["qid"].dataType.simpleString()
-        size: dict[int, int] = {}
-        for dims, (cell, n, *_) in self.cells.items():
-            for c, m in zip(cell.tolist(), n.tolist(), strict=True):
-                size[c] = size.get(c, 0) + 8 * dims * m
-        of, grp, held = [], 0, 0
-        for c in sorted(size):  # at most cells.MOST and one for each further dimension
-            if held and held + size[c] > GROUP:
-                grp, held = grp + 1, 0
-            of.append((c, grp, max(1, -(-size[c] // GROUP))))
-            held += size[c]
-        groups = lambda: F.broadcast(spark.createDataFrame(of, "cell int, grp int, parts int"))  # noqa: E731 - a frame for each side of the cogroup
-        asked = pairs.join(groups(), "cell").groupBy("grp", "qid", "q", "bar").agg(F.collect_list("cell").alias("cells"), F.max("parts").alias("parts"))
-        counts = pairs.join(groups(), "cell").groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("qid") / BATCH).cast("int")).alias("batches")).collect()  # a row for each group
-        batches = lambda: F.broadcast(spark.createDataFrame([tuple(r) for r in counts], "grp int, batches int"))
-        asked = asked.join(batches(), "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("grp", "part", F.pmod(F.xxhash64("qid"), F.col("batches")).cast("int").alias("batch"), "qid", "q", "bar", "cells")
-        blocks = self.store.read(f"{self.name}_blocks", C.block_schema(self.kind)).join(groups(), "cell").join(batches(), "grp")
+        spark, qid, of = pairs.sparkSession, pairs.schema["qid"].dataType.simpleString(), self._groups()
+        if "cell" in pairs.columns:
+            pairs = pairs.join(F.broadcast(spark.createDataFrame([x[:2] for x in of], "cell int, grp int")), "cell").groupBy("grp", "qid", "q", "bar").agg(F.collect_list("cell").alias("cells"))
+        counts = pairs.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("qid") / BATCH).cast("int")).alias("batches")).collect()  # a row for each group
+        # Only groups that are asked for are read.
+        parts = {g: max(p for _, x, p in of if x == g) for g in {r["grp"] for r in counts}}
+        groups = F.broadcast(spark.createDataFrame([(c, g, parts[g]) for c, g, _ in of if g in parts], "cell int, grp int, parts int"))
+        batches = lambda: F.broadcast(spark.createDataFrame([(*r, parts[r["grp"]]) for r in counts], "grp int, batches int, asked_parts int"))  # noqa: E731 - a frame for each side of the cogroup
+        asked = pairs.join(batches(), "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("asked_parts") - 1))).select("grp", "part", F.pmod(F.xxhash64("qid"), F.col("batches")).cast("int").alias("batch"), "qid", "q", "bar", "cells")
+        blocks = self.store.read(f"{self.name}_blocks", C.block_schema(self.kind)).join(groups, "cell").join(batches(), "grp")
         blocks = blocks.select("grp", F.pmod("sub", "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "cell", "dims", "ids", "vectors", "center", "radius")
 
         def run(asked: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
@@ -104,24 +121,44 @@ class VectorIndex:
             for i, (q, own) in enumerate(zip(asked["q"], asked["cells"], strict=True)):
                 for c in own:  # a query that came twice reaches its cells twice
                     by_cell.setdefault((c, len(q) // 8), []).append(i)
-            bars, out = asked["bar"].to_numpy(dtype=float), []
+            bars, found = asked["bar"].to_numpy(dtype=float).copy(), []
+
+            def best() -> pd.DataFrame:
+                """The k best so far of every query; from now on only what reaches the last of k counts."""
+                hits = pd.DataFrame({c: np.concatenate([x[j] for x in found]) for j, c in enumerate(("i", "vec_id", "score"))} if found else {"i": [], "vec_id": [], "score": []})
+                hits = hits.sort_values(["i", "score", "vec_id"], ascending=[True, False, True]).groupby("i").head(k)
+                full = hits.groupby("i")["score"].agg(["size", "min"])
+                full = full[full["size"] == k]
+                at = full.index.to_numpy(dtype=int)
+                bars[at] = np.maximum(bars[at], full["min"].to_numpy(dtype=float))
+                found[:] = [(hits["i"].to_numpy(dtype=int), hits["vec_id"].to_numpy(), hits["score"].to_numpy(dtype=float))] if len(hits) else []
+                return hits
+
             for cell, dims, ids, vectors, center, radius in zip(*(blocks[c] for c in ("cell", "dims", "ids", "vectors", "center", "radius")), strict=True):
                 mine = np.array(by_cell.get((cell, dims), ()), dtype=int)
-                if not len(mine):
-                    continue
-                q, bar = np.stack([np.frombuffer(x) for x in asked["q"].iloc[mine]]), bars[mine]
-                away = np.sqrt(((q - np.asarray(center)) ** 2).sum(1))
-                can = np.flatnonzero(1 - np.maximum(0, away - radius) ** 2 / 2 >= bar - _SLACK)
-                if not len(can):
-                    continue
-                score = np.round(q[can] @ np.frombuffer(vectors).reshape(len(ids), dims).T, 6) + 0.0
-                for row, c in enumerate(can.tolist()):
-                    good = np.flatnonzero(score[row] >= bar[c])
-                    if len(good) > k:  # ids ascend, so a stable sort leaves ties to the smaller
-                        good = good[np.argsort(-score[row][good], kind="stable")[:k]]
-                    out += [(int(mine[c]), ids[g], float(score[row][g])) for g in good.tolist()]
-            hits = pd.DataFrame(out, columns=["i", "vec_id", "score"]).sort_values(["i", "score", "vec_id"], ascending=[True, False, True])
-            hits = hits.groupby("i").head(k)
+                held, ids = np.frombuffer(vectors).reshape(len(ids), dims).T, np.asarray(ids)
+                for a in range(0, len(mine), ROWS):
+                    some = mine[a : a + ROWS]
+                    q = np.stack([np.frombuffer(x) for x in asked["q"].iloc[some]])
+                    away = np.sqrt(((q - np.asarray(center)) ** 2).sum(1))
+                    can = np.flatnonzero(1 - np.maximum(0, away - radius) ** 2 / 2 >= bars[some] - _SLACK)
+                    if not len(can):
+                        continue
+                    score = q[can] @ held
+                    least = bars[some[can]] - _ROUNDED
+                    if score.shape[1] > k and np.count_nonzero(score >= least[:, None]) > 4 * k * len(can):
+                        least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k] - _ROUNDED)
+                    row, col = np.nonzero(score >= least[:, None])
+                    value = np.round(score[row, col], 6) + 0.0
+                    good = value >= bars[some[can]][row]
+                    row, col, value = row[good], col[good], value[good]
+                    order = np.lexsort((-value, row))  # ids ascend, so a stable sort leaves ties to the smaller
+                    row, col, value = row[order], col[order], value[order]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    found.append((some[can[row[kept]]], ids[col[kept]], value[kept]))
+                if sum(len(x[0]) for x in found) > 2 * k * max(ROWS, len(asked)):
+                    best()
+            hits = best()
             return pd.DataFrame({"qid": asked["qid"].iloc[hits["i"].astype(int)].to_numpy(), "vec_id": hits["vec_id"].to_numpy(), "score": hits["score"].to_numpy(dtype=float)})
 
         keys = ["grp", "part", "batch"]
@@ -152,5 +189,5 @@ class VectorIndex:
     def counts(self, queries: DataFrame, k: int, least: float | None = None) -> dict[str, int]:
         """How many pairs of a query and a cell a search reads at most when `least` is the only bar, and how many there are."""
         q = _usable(queries.select("qid", "embedding"), "embedding").select("qid", F.col("embedding").alias("q"), F.lit(-1.0 if least is None else float(least)).alias("bar"))
-        read = self.reached(q, k, True).count() + self.reached(q, k, False).count()
+        read = sum(self.reached(q, k, first).agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0] for first in (True, False))
         return {"read": read, "all": q.count() * sum(len(c) for c, *_ in self.cells.values())}
