@@ -289,7 +289,7 @@ def _refreshed(docs):
 def text_index_changed(spark, d):
     """Documents are changed in part, replaced and deleted as segments of the stored index; searches see what is live."""
     docs = src.text_documents(spark, d)
-    index = TextIndex(tables.Store(spark, shared_path(spark, "store")))
+    index = TextIndex(tables.Store(spark, shared_path(spark, "store")), keep=1)
     index.upsert(docs)
     index.update(_refreshed(docs).select("node_id", "relationship_natural_language").unionByName(spark.createDataFrame([(-1, "the")], "node_id long, relationship_natural_language string")))
     index.upsert(_replacing(docs))
@@ -302,12 +302,12 @@ def text_index_stream(spark, d):
     """The same changes as a stream that stops and goes on from its checkpoint; every batch is one segment."""
     ensure_checkpoints(spark)
     docs, base = src.text_documents(spark, d), shared_path(spark, "changes")
-    index = TextIndex(tables.Store(spark, f"{base}/store"))
+    index = TextIndex(tables.Store(spark, f"{base}/store"), keep=1)
     refreshed = _refreshed(docs)
     for n, some in enumerate([docs, refreshed, _replacing(docs).unionByName(docs.where("node_id % 7 = 2"))]):
         gone = (F.col("node_id") % 7 == 2) & F.lit(n == 2)
         some.withColumn("at", F.lit(n) + gone.cast("int")).withColumn("deleted", gone).select(*docs.columns, "at", "deleted").write.mode("append").parquet(f"{base}/in")
-        changes = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+        changes = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("cleanSource", "delete").parquet(f"{base}/in")
         index_stream(changes, index, ["at"], f"{base}/checkpoint").awaitTermination()
     return index.search(_terms(spark), 50).select("qid", "id", "score")
 

@@ -9,7 +9,8 @@ a document is rewritten as often at most; merging copies live postings and never
 Postings are stored as a row for each document, field and bucket, with the terms and their counts as arrays. Tasks write to all folders
 what they read, so neither texts nor postings are shuffled; they read as few at once that a segment has a bounded number of files.
 
-One writer at a time; readers see whole segments. What a lost writer leaves is named in no manifest, and `vacuum` removes it.
+One writer at a time; readers see whole segments. What a lost writer leaves is named in no manifest, and `vacuum` removes it. With `keep`
+every change ends with that, so that no more than the live segments and those of one merge are stored at any time.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .tables import Store, latest
 BUCKETS = 32  # folders of postings by term and of documents by id; more for larger input
 WRITERS = 4  # tasks that write a segment: a fourth of the shuffle partitions, and at least all cores
 LOOKUP = 1_000_000  # ids that go to every task, in place of the texts or postings going to the ids
+CODEC = "zstd"  # of segments, which are stored for long
 MERGE_AT = 4.0  # a segment merges with the newer ones where it has at most so many times their rows
 MANIFEST = "seg long, path string, docs long, gone long, batch long, buckets int, schema string, totals array<struct<docs:long,tokens:long>>"
 
@@ -73,8 +75,9 @@ class TextIndex:
     missing ones are null. Empty and null fields have no postings; null ones don't count for a field's mean length.
     """
 
-    def __init__(self, store: Store, fields: dict[str, float] = FIELDS, id_column: str = "node_id", table: str = "text", buckets: int = BUCKETS, merge_at: float | None = MERGE_AT):
-        self.store, self.fields, self.id, self.table, self.merge_at = store, fields, id_column, table, merge_at
+    def __init__(self, store: Store, fields: dict[str, float] = FIELDS, id_column: str = "node_id", table: str = "text", buckets: int = BUCKETS, merge_at: float | None = MERGE_AT, keep: int | None = None):
+        """keep: after each change only segments that so many manifests name stay, for readers that don't last longer; without it all, until `vacuum`."""
+        self.store, self.fields, self.id, self.table, self.merge_at, self.keep = store, fields, id_column, table, merge_at, keep
         held = self._segments()
         self.buckets = held[0]["buckets"] if held else buckets
 
@@ -215,6 +218,8 @@ class TextIndex:
         self._commit([*held, seg])
         if self.merge_at is not None:
             self.merge(self.merge_at)
+        if self.keep is not None:
+            self.vacuum(self.keep)
 
     def _totals(self, row) -> list[dict]:
         """Documents and tokens of every field, then documents as such."""
@@ -229,7 +234,7 @@ class TextIndex:
     def _write_documents(self, path: str, docs: DataFrame) -> None:
         lens = F.array(*(_length(F.col(f)).cast("int") for f in self.fields))
         rows = docs.select(F.col(self.id).alias("id"), lens.alias("lens"), F.struct(*docs.columns).alias("doc")).withColumn("bucket", _bucket("id", self.buckets))
-        self._few(rows).write.partitionBy("bucket").parquet(f"{path}/docs")
+        self._few(rows).write.option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/docs")
 
     def _few(self, rows: DataFrame) -> DataFrame:
         """rows in fewer partitions, without a shuffle, as each task writes a file to the folder of every bucket."""
@@ -249,7 +254,7 @@ class TextIndex:
         return docs.select("id", F.explode(F.flatten(F.filter(F.array(*all_fields), lambda x: x.isNotNull()))).alias("r")).select("id", "r.*")
 
     def _write_postings(self, path: str, posts: DataFrame) -> None:
-        self._few(posts).write.partitionBy("bucket").parquet(f"{path}/postings")
+        self._few(posts).write.option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/postings")
 
     def _commit(self, held: list[dict]) -> None:
         self.store.commit(self.table, self.store.spark.createDataFrame(held, MANIFEST).coalesce(1))
@@ -266,7 +271,7 @@ class TextIndex:
             return 0
         some, kept, kind = held[first:], held[:first], self._id_type(held)
         path = f"{self.store.path}/{self.store.slug}/{self.table}_segments/{uuid.uuid4().hex}"
-        self._few(self._documents(some, None).drop("seg")).write.partitionBy("bucket").parquet(f"{path}/docs")
+        self._few(self._documents(some, None).drop("seg")).write.option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/docs")
         docs, _ = self._counted(f"{path}/docs", kind, 1)
         posts = self._read([s for s in some if s["docs"]], "postings", self._posting(held)) if any(s["docs"] for s in some) else None
         if posts is not None or not kept:
